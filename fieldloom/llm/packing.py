@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import id_and_text, stage
+from fieldloom.llm.common import id_and_text, map_arrow, stage
 from fieldloom.llm.tokens import PartCache, pack_ids
 
 #: Rows of one length that one task ranks at most, on average.
@@ -140,7 +140,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     A document's ids are those of its whole text followed by ``end_id``; only longer ones
     than ``capacity`` are cut. Null text is empty, so each row gives one piece at least.
     """
-    return id_and_text(docs).mapInArrow(_piece_batches(tokenizer_path, capacity, end_id), "doc_id long, piece int, start long, length long, ids binary")
+    return map_arrow(id_and_text(docs), _piece_batches(tokenizer_path, capacity, end_id), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:

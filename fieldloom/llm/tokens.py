@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import id_and_text, new_path, path_exists
+from fieldloom.llm.common import id_and_text, map_arrow, new_path, path_exists
 
 CACHE_ENTRIES = 400_000
 _PLAIN_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -104,7 +104,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     missing = keyed.select("digest", "text")
     if path_exists(spark, store):
         missing = missing.join(spark.read.parquet(store).select("digest"), "digest", "left_anti")
-    counted = missing.dropDuplicates(["digest"]).mapInArrow(_count_batches(tokenizer_path), "digest binary, n_tokens long")
+    counted = map_arrow(missing.dropDuplicates(["digest"]), _count_batches(tokenizer_path), "digest binary, n_tokens long")
     counted.write.mode("append").option("compression", "zstd").parquet(store)
     stored = spark.read.schema("digest binary, n_tokens long").parquet(store).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return (
