@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import id_and_text, map_arrow, stage
-from fieldloom.llm.tokens import PartCache, pack_ids
+from fieldloom.llm.tokens import pack_ids, piece_cache
 
 #: Rows of one length that one task ranks at most, on average.
 RANK_BLOCK = 20_000
@@ -113,7 +113,7 @@ def _piece_batches(path: str, capacity: int, end_id: int):
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = PartCache(path, pack_ids)
+        cache = piece_cache(path, pack_ids)
         end = pack_ids([end_id])
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])

@@ -7,7 +7,9 @@ encodes only the distinct contents that the cache lacks, and appends them to it.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.common import id_and_text, map_arrow, new_path, path_exists
 
+#: Pre-tokens that one generation of a worker's memory holds.
 CACHE_ENTRIES = 400_000
-_PLAIN_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
 @lru_cache(maxsize=4)
@@ -35,47 +37,91 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
-class PartCache:
-    """Encodes texts part by part and remembers parts, for vocabularies whose rules never look across a plain space.
+_CONTRACTIONS = r"'s|'t|'re|'ve|'m|'ll|'d|"
+_STYLES = {
+    "byte": re.compile(_CONTRACTIONS + r" ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"),
+    "word": re.compile(_CONTRACTIONS + r"[^\W\d_]+|\d|(?:[^\s\w]|_)+"),
+}
 
-    A part is what lies between single spaces that have non-space characters on both
-    sides; each part but the first keeps its leading space. Pre-tokenizers of the two
-    BPE families here never join characters across such a place, so the ids of a text
-    are the ids of its parts in order. A text that holds a special token's string is
-    encoded as a whole. The memory is emptied at ``CACHE_ENTRIES`` parts.
+
+def style_of(path: str) -> str:
+    """Which of the two known pre-tokenizers a vocabulary file has; '' if neither."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    before, split = spec.get("normalizer"), spec.get("pre_tokenizer") or {}
+    if before is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space"):
+        return "byte"
+    kinds = [x.get("type") for x in (before or {}).get("normalizers", [])]
+    if kinds == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in split.get("pretokenizers", [])] == ["Split", "ByteLevel"]:
+        return "word"
+    return ""
+
+
+def plain_char(c: str) -> bool:
+    """Whether Python's classes agree with the tokenizer's for this character, on its own and beside any other."""
+    kind = unicodedata.category(c)
+    if kind[0] == "L":
+        return c.isalpha() and unicodedata.normalize("NFC", c) == c and len(c.lower()) == 1 and c != "\u03a3" and not 0x1100 <= ord(c) <= 0x11FF
+    if kind == "Nd":
+        return c.isdecimal()
+    return c in " \t\n\r\x0b\x0c" or (kind[0] in "PS" and not c.isalnum() and not c.isspace() and unicodedata.normalize("NFC", c) == c)
+
+
+class PieceCache:
+    """Encodes texts pre-token by pre-token and remembers what each gives.
+
+    The two BPE families here never merge across pre-tokens, so a text's ids are those of
+    its pre-tokens in order. Texts with a special token's string, or with a character on
+    which Python's classes might differ from the tokenizer's, are encoded as a whole.
+    Memory is bounded: two generations of ``CACHE_ENTRIES``; the older one is dropped.
     """
 
     def __init__(self, path: str, value):
-        self.tokenizer, self.value, self.known = load_tokenizer(path), value, {}
+        self.tokenizer, self.value, self.style = load_tokenizer(path), value, style_of(path)
+        self.young, self.old = {}, {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain: set[str] = set()
 
     def _encode(self, texts: list[str]) -> list:
-        batch = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [self.value(e.ids) for e in batch]
+        return [self.value(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _is_plain(self, text: str) -> bool:
+        new = set(text) - self.plain
+        for c in new:
+            if not plain_char(c):
+                return False
+            self.plain.add(c)
+        return True
 
     def parts(self, text: str) -> list:
-        """Values of the text's parts, in order."""
-        if any(s in text for s in self.special):
+        """Values of the text's pre-tokens in order, or of the text as a whole."""
+        if not self.style or any(s in text for s in self.special) or not self._is_plain(text):
             return self._encode([text])
-        found = _PLAIN_SPACE.split(text)
-        head = self._encode(found[:1])
-        known = self.known
-        rest = found[1:]
-        try:
-            return head + [known[p] for p in rest]
-        except KeyError:
-            pass
-        new = list({p for p in rest if p not in known})
-        if len(known) + len(new) > CACHE_ENTRIES:
-            known.clear()
-            new = list(set(rest))
-        known.update(zip(new, self._encode([" " + p for p in new])))
-        return head + [known[p] for p in rest]
+        found = _STYLES[self.style].findall(text.lower() if self.style == "word" else text)
+        values = list(map(self.young.get, found))
+        if None not in values:
+            return values
+        young, old = self.young, self.old
+        lacking = {p for p, v in zip(found, values, strict=True) if v is None}
+        known = {p: old[p] for p in lacking if p in old}
+        new = [p for p in lacking if p not in known]
+        known.update(zip(new, self._encode(new), strict=True))
+        if len(young) + len(known) > CACHE_ENTRIES:
+            self.old, self.young = young, dict(known)
+        else:
+            young.update(known)
+        return [known[p] if v is None else v for p, v in zip(found, values, strict=True)]
+
+
+@lru_cache(maxsize=4)
+def piece_cache(path: str, value) -> PieceCache:
+    """One memory per worker, kept from task to task."""
+    return PieceCache(path, value)
 
 
 def _count_batches(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = PartCache(path, len)
+        cache = piece_cache(path, len)
         for batch in batches:
             counts = [sum(cache.parts(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
