@@ -94,7 +94,13 @@ class Words:
         power, inverse = _power_tables(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * inverse[self.start])
+        self._sums, self._inverse = sums, inverse
+        self.hash = self.prefix_hash(n + 1)
+
+    def prefix_hash(self, length: int) -> np.ndarray:
+        """Hashes of the words' first ``length`` bytes."""
+        end = np.minimum(self.end, self.start + length)
+        return mix((self._sums[end] - self._sums[self.start]) * self._inverse[self.start])
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash and index of the first word of each run of k words inside one row."""

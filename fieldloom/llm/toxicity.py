@@ -13,7 +13,6 @@ them are aggregated over all labelled texts.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,53 +25,77 @@ from fieldloom.llm.textvec import NON_ALNUM, Words, mix, text_slices
 
 BITS = 20
 VOCABULARY = 1 << BITS
-BIGRAMS = 1 << 21
+BIGRAMS = 1 << 22
+#: First bytes of a word, under which rare words share evidence.
+STEM_BYTES = 5
 #: Rows of the left-out fold on which the curve is fitted, at most (by hash of doc_id, all if fewer).
 CURVE_ROWS = 20_000
+#: Labelled rows up to which labels are joined by broadcast (some 50 MB).
+BROADCAST_LABELS = 1_000_000
 WINDOWS = (1, 4, 16, 64)
 FEATURES = 2 + 2 * len(WINDOWS)
 _WORD = np.uint64(VOCABULARY - 1)
 
 
+_HOLDS, _STEM = 1 << (2 * BITS), 2 << (2 * BITS)
+
+
 def bigram_bucket(keys: np.ndarray) -> np.ndarray:
     return (mix(keys.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) & np.uint64(BIGRAMS - 1)).astype(np.int64)
 
 
-def word_pairs(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the word, number of the word before it); a row's first word follows number 0."""
+def word_numbers(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the word, number of the word before it, number of its stem); a row's first word follows number 0."""
     number = (words.hash & _WORD).astype(np.int64)
     before = np.zeros_like(number)
     before[1:] = number[:-1]
     starts = words.at[:-1][words.at[:-1] < words.at[1:]]
     before[starts] = 0
-    return number, before
+    return number, before, (words.prefix_hash(STEM_BYTES) & _WORD).astype(np.int64)
 
 
-class KneserNey:
-    """Log-likelihood ratios of toxic to ordinary text, per word.
+def document_keys(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) once for each bigram, word and stem that a row holds."""
+    number, before, stem = word_numbers(words)
+    keys = np.concatenate([(before << BITS) | number, _HOLDS | number, _STEM | stem])
+    row = np.tile(words.row, 3)
+    order = np.lexsort((keys, row))
+    keys, row = keys[order], row[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
+    return row[first], keys[first]
+
 
-    counts: [2, BIGRAMS] bigram counts; total, types: [2, VOCABULARY] tokens and distinct
-    followers of a word as history; before: [2, VOCABULARY] distinct predecessors of a
-    word; pooled: [VOCABULARY] distinct predecessors over both classes.
+class KneserNey:
+    """Log-likelihood ratios of toxic to ordinary text, per word. All counts are of documents.
+
+    pairs: [2, BIGRAMS] documents with a bigram, where two or more (a bigram of one
+    document is discounted whole); total, single, more: [2, VOCABULARY] for a word as
+    history, the bigrams' documents summed, and its bigrams of one and of more documents;
+    before: [2, VOCABULARY] distinct predecessors of a word, but no more than documents
+    that hold it; pooled: [VOCABULARY] distinct predecessors over both classes; stems:
+    [2, VOCABULARY] documents with a stem.
     """
 
-    def __init__(self, counts, total, types, before, pooled, discount: float = 0.9):
-        self.discount, self.counts = discount, counts
+    def __init__(self, pairs, total, single, more, before, pooled, stems, discount: float = 0.9, prior: float = 2.0):
+        self.discount, self.pairs, self.total = discount, pairs, total.astype(np.float32)
         shared = (pooled + 0.5) / (pooled.sum() + 0.5 * len(pooled))
-        self.low = np.empty((2, len(pooled)), np.float32)
-        self.rest = np.empty((2, len(pooled)), np.float32)
-        self.total = total
+        self.low, self.left, self.rest, self.stem = (np.empty((2, len(pooled)), np.float32) for _ in range(4))
+        mass = np.maximum(stems.sum(axis=1).astype(float), 1)
         for c in range(2):
             n = max(1.0, float(before[c].sum()))
-            left = discount * np.count_nonzero(before[c]) / n if before[c].any() else 1.0
-            self.low[c] = np.maximum(before[c] - discount, 0) / n + left * shared
-            self.rest[c] = np.where(total[c] > 0, discount * types[c] / np.maximum(total[c], 1), 1.0)
+            share = discount * np.count_nonzero(before[c]) / n if before[c].any() else 1.0
+            self.low[c] = np.maximum(before[c] - discount, 0) / n
+            self.left[c] = share * shared
+            self.rest[c] = np.where(total[c] > 0, (single[c] + discount * more[c]) / np.maximum(total[c], 1), 1.0)
+            self.stem[c] = (stems[c] + prior) / (stems.sum(axis=0) * mass[c] / mass.sum() + prior)
 
-    def ratios(self, number: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def ratios(self, number: np.ndarray, before: np.ndarray, stem: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each word after its predecessor, and of each word alone."""
         bucket = bigram_bucket((before << BITS) | number)
-        p = [np.maximum(self.counts[c][bucket] - self.discount, 0) / np.maximum(self.total[c][before], 1) + self.rest[c][before] * self.low[c][number] for c in range(2)]
-        return np.log(p[1] / p[0]), np.log(self.low[1][number] / self.low[0][number])
+        low = [self.low[c][number] + self.left[c][number] * self.stem[c][stem] for c in range(2)]
+        p = [np.maximum(self.pairs[c][bucket] - np.float32(self.discount), 0) / np.maximum(self.total[c][before], 1) + self.rest[c][before] * low[c] for c in range(2)]
+        return np.log(p[1] / p[0]), np.log(low[1] / low[0])
 
 
 def features(words: Words, model: KneserNey) -> np.ndarray:
@@ -80,14 +103,13 @@ def features(words: Words, model: KneserNey) -> np.ndarray:
     out = np.zeros((words.rows, FEATURES))
     if not len(words.hash):
         return out
-    number, before = word_pairs(words)
     lengths = np.diff(words.at)
     filled = np.flatnonzero(lengths)
     starts = words.at[:-1][filled]
-    for k, ratio in enumerate(model.ratios(number, before)):
-        out[filled, k] = np.add.reduceat(ratio, starts) / lengths[filled]
-        sums = np.concatenate(([0.0], np.cumsum(ratio)))
-        last = words.at[words.row + 1]
+    last = words.at[words.row + 1]
+    for k, ratio in enumerate(model.ratios(*word_numbers(words))):
+        sums = np.concatenate(([0.0], np.cumsum(ratio.astype(np.float64))))
+        out[filled, k] = (sums[words.at[1:][filled]] - sums[starts]) / lengths[filled]
         for j, w in enumerate(WINDOWS):
             # the mean over up to w words from each word on; what lies beyond the text counts as 0
             ends = np.minimum(np.arange(len(ratio)) + w, last)
@@ -109,3 +131,123 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50
         if np.abs(step).max() < 1e-8:
             break
     return mean, scale, w
+
+
+def fold_of(column: str = "doc_id"):
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(5))
+
+
+def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
+        held: list[np.ndarray] = []
+        for a, b, data, offsets in text_slices(batch):
+            row, keys = document_keys(Words(data, offsets, NON_ALNUM))
+            held.append((keys << 1) | toxic[a:b][row])
+        keys, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
+        counts = n.astype(np.int64) << (32 * (keys & 1))
+        yield pa.RecordBatch.from_arrays([pa.array(keys >> 1), pa.array(counts)], ["key", "n"])
+
+
+def _bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bucket = bigram_bucket(batch.column("key").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column("toxic"), batch.column("ordinary")], ["bucket", "toxic", "ordinary"])
+
+
+def _feature_batches(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [features(Words(data, offsets, NON_ALNUM), model.value) for _, _, data, offsets in text_slices(batch)]
+            x = np.concatenate(rows) if rows else np.zeros((0, FEATURES))
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), FEATURES).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), flat], ["doc_id", "toxic", "x"])
+
+    return run
+
+
+def apply_curve(x: np.ndarray, curve) -> np.ndarray:
+    mean, scale, weights = curve
+    return 1 / (1 + np.exp(-np.clip(np.column_stack([(x - mean) / scale, np.ones(len(x))]) @ weights, -30, 30)))
+
+
+def _score_batches(model, curve):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [apply_curve(features(Words(data, offsets, NON_ALNUM), model.value), curve) for _, _, data, offsets in text_slices(batch)]
+            scores = np.concatenate(parts) if parts else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
+
+    return run
+
+
+def _dense(df: DataFrame, index: str, columns: list[str], size: int, dtype=np.int64) -> np.ndarray:
+    """Columns of a table of at most ``size`` rows as dense arrays over ``index``."""
+    got = df.select(index, *columns).toArrow()
+    out = np.zeros((len(columns), size), dtype)
+    at = got[index].to_numpy()
+    for k, c in enumerate(columns):
+        out[k, at] = np.minimum(got[c].to_numpy(), np.iinfo(dtype).max)
+    return out
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text, toxic, fold of the rows that labels may be learned from: folds 1 to 4.
+
+    Labels are joined by broadcast where they are few, by shuffle beyond ``BROADCAST_LABELS``.
+    """
+    known = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic")).filter(fold_of() != 0)
+    if known.count() <= BROADCAST_LABELS:
+        known = F.broadcast(known)
+    return id_and_text(docs).join(known, "doc_id").withColumn("fold", fold_of())
+
+
+def fit(docs: DataFrame, labels: DataFrame):
+    """(broadcast KneserNey, curve) from labelled rows; fold 1 fits the curve, folds 2-4 are counted."""
+    spark = docs.sparkSession
+    learn = labelled_texts(docs, labels)
+    keys = map_arrow(learn.filter("fold > 1").select("text", "toxic"), _key_batches, "key long, n long")
+    counts = stage(keys.groupBy("key").agg(F.sum("n").alias("n")), "ngrams")
+    mask = VOCABULARY - 1
+    counts = counts.select("key", F.shiftright("key", 2 * BITS).alias("kind"), F.shiftright("n", 32).alias("toxic"), F.col("n").bitwiseAND((1 << 32) - 1).alias("ordinary"))
+    bigrams = counts.filter("kind = 0")
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    word, history = F.col("key").bitwiseAND(mask), F.shiftright("key", BITS)
+    by_word = bigrams.groupBy(word.alias("w")).agg(one(F.col("ordinary") > 0).alias("b0"), one(F.col("toxic") > 0).alias("b1"), F.count("*").alias("pooled"))
+    by_history = bigrams.groupBy(history.alias("w")).agg(
+        *[f(F.col(c)).alias(f"{n}{k}") for n, f in (("t", F.sum), ("s", lambda x: one(x == 1)), ("m", lambda x: one(x > 1))) for k, c in enumerate(("ordinary", "toxic"))]
+    )
+    before = _dense(by_word, "w", ["b0", "b1", "pooled"], VOCABULARY)
+    after = _dense(by_history, "w", ["t0", "t1", "s0", "s1", "m0", "m1"], VOCABULARY)
+    holds, stems = (_dense(counts.filter(F.col("kind") == k).select(word.alias("w"), "ordinary", "toxic"), "w", ["ordinary", "toxic"], VOCABULARY) for k in (1, 2))
+    repeated = map_arrow(bigrams.filter("toxic > 1 or ordinary > 1").select("key", "toxic", "ordinary"), _bucket_batches, "bucket long, toxic long, ordinary long")
+    often = lambda c: F.sum(F.when(F.col(c) > 1, F.col(c)).otherwise(0)).alias(c)
+    pairs = _dense(repeated.groupBy("bucket").agg(often("ordinary"), often("toxic")), "bucket", ["ordinary", "toxic"], BIGRAMS, np.uint16)
+    model = spark.sparkContext.broadcast(KneserNey(pairs, after[0:2], after[2:4], after[4:6], np.minimum(before[:2], holds), before[2], stems))
+
+    seen = map_arrow(learn.filter("fold = 1").select("doc_id", "toxic", "text"), _feature_batches(model), "doc_id long, toxic long, x array<double>")
+    sample = seen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS).toArrow()
+    y = sample["toxic"].to_numpy().astype(float)
+    x = np.array(sample["x"].to_pylist(), float).reshape(len(y), FEATURES)
+    if y.any() and not y.all():
+        return model, fit_curve(x, y)
+    constant = -30.0 if not y.any() else 30.0  # labels of one class, or none
+    return model, (np.zeros(FEATURES), np.ones(FEATURES), np.array([0.0] * FEATURES + [constant]))
+
+
+def score(docs: DataFrame, model, curve) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text)."""
+    scored = map_arrow(id_and_text(docs), _score_batches(model, curve), "doc_id long, score double")
+    return scored.select("doc_id", (fold_of() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text), learned from ``labels`` (doc_id, toxic).
+
+    Only labels of rows whose crc32(doc_id as text) mod 5 is not 0 are learned from.
+    Null and empty texts get the score of a text without evidence. Labels other than 0
+    and 1 are ignored; if a doc_id is labelled twice, 1 counts. With labels of one class
+    only that class is predicted, with none class 0. Repeated rows repeat their result;
+    extra columns are ignored; an empty table gives an empty result.
+    """
+    return score(docs, *fit(docs, labels))
