@@ -81,23 +81,36 @@ class PieceCache:
         self.young, self.old = {}, {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.plain: set[str] = set()
+        self.odd: set[str] = set()
 
     def _encode(self, texts: list[str]) -> list:
         return [self.value(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _is_plain(self, text: str) -> bool:
-        new = set(text) - self.plain
-        for c in new:
+    def _is_plain(self, chars: set[str]) -> bool:
+        for c in chars - self.plain:
             if not plain_char(c):
                 return False
             self.plain.add(c)
+            if not c.isalpha() and c not in " \n.,":
+                self.odd.add(c)
         return True
 
+    def _split(self, text: str, chars: set[str]) -> list[str]:
+        """The pre-tokens of a plain text."""
+        if self.style != "word":
+            return _STYLES[self.style].findall(text)
+        text = text.lower()
+        if chars.isdisjoint(self.odd) and not (".." in text or ",," in text or ".," in text or ",." in text):
+            # letters, single stops and commas, blanks: splitting at blanks gives the same as the pattern
+            return text.replace(".", " . ").replace(",", " , ").split()
+        return _STYLES[self.style].findall(text)
+
     def parts(self, text: str) -> list:
         """Values of the text's pre-tokens in order, or of the text as a whole."""
-        if not self.style or any(s in text for s in self.special) or not self._is_plain(text):
+        chars = set(text)
+        if not self.style or not self._is_plain(chars) or any(s in text for s in self.special):
             return self._encode([text])
-        found = _STYLES[self.style].findall(text.lower() if self.style == "word" else text)
+        found = self._split(text, chars)
         values = list(map(self.young.get, found))
         if None not in values:
             return values
