@@ -10,10 +10,18 @@ that fit in a sketch, exactly the share that the similarity asks for), so among
 size - shared + 1 rarest values of either one is common: only those are indexed, and
 passages that many documents share stay out of the lists.
 
-Lists never give all their pairs. First each member is paired with the list's most
-connected member only; after these links are joined to components, pairs are made
-between members of different components alone. A pair inside one component cannot
-change the result, so no component is lost.
+Lists never give all their pairs. First each member is paired only with the list's most
+connected member, its hub; the links found are joined to components. What is left are
+outsiders: members of a hub's group outside the hub's component. Let M be a reference
+set, I(x) the size of x's intersection with it, and call x's elements outside M added.
+If x and y share no added element, at most min(|M| - I(x), |M| - I(y)) elements of M are
+missing in both, and their similarity can reach the limit p only if
+
+    p (|M| - |y|) >= p |M union x| - I(x)     and the same with x and y exchanged.
+
+So only pairs that share an added element, or meet both bounds, are made and verified;
+pairs inside one component never are, since they cannot change the result. M is what
+two of three well-connected members hold, which undoes the edits of any one of them.
 """
 
 from __future__ import annotations
@@ -88,10 +96,11 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, k
     """The pairs (a, b) whose full sets meet ``percent``: union-sketch estimate first, then the texts' shingle sets."""
     side = lambda c: reps.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}"))
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("u", union)
-    likely = likely.withColumn("both", F.size(F.array_intersect(F.array_intersect("sa", "sb"), F.col("u"))))
-    short = (F.size("sa") < k) & (F.size("sb") < k)
-    likely = likely.filter(F.when(short, 100 * F.col("both") >= percent * F.size("u")).otherwise(F.col("both") >= shared_at_least(percent, k)))
+    shared = F.array_intersect("sa", "sb")
+    likely = pairs.join(side("a"), "a").join(side("b"), "b")
+    whole = (F.size("sa") < k) & (F.size("sb") < k)  # then sketches are the sets
+    sure = 100 * F.size(shared) >= percent * (F.size("sa") + F.size("sb") - F.size(shared))
+    likely = likely.filter(F.when(whole, sure).otherwise(F.size(F.array_intersect(shared, union)) >= shared_at_least(percent, k)))
     likely = stage(likely.select("a", "b").distinct(), "likely")
     needed = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
     texts = stage(id_and_text(docs).join(needed, "doc_id", "left_semi"), "texts")
@@ -152,6 +161,72 @@ def inverted_lists(reps: DataFrame, percent: int, k: int = K) -> DataFrame:
     return rows.select("e.value", "id", "n", "pop")
 
 
+def _diff_batches(words: int):
+    schema = pa.schema([("hub", pa.int64()), ("id", pa.int64()), ("nm", pa.int64()), ("n", pa.int64()), ("both", pa.int64()), ("added", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hubs = batch.column("hub").to_numpy()
+            new = np.flatnonzero(np.concatenate(([True], hubs[1:] != hubs[:-1]))) if len(hubs) else []
+            few = batch.take(pa.array(new, pa.int64()))
+            majority = {}
+            held = [[s for _, _, data, offsets in text_slices(few, c) for s in shingle_sets(Words(data, offsets), words)] for c in ("t1", "t2", "t3")]
+            for hub, x, y, z in zip(few.column("hub").to_pylist(), *held, strict=True):
+                if len(y) and len(z):
+                    value, n = np.unique(np.concatenate([x, y, z]), return_counts=True)
+                    x = value[n >= 2]
+                majority[hub] = x
+            sets = [s for _, _, data, offsets in text_slices(batch, "text") for s in shingle_sets(Words(data, offsets), words)]
+            nm, n, both, added = [], [], [], []
+            for hub, s in zip(hubs.tolist(), sets, strict=True):
+                m = majority[hub]
+                inside = np.isin(s, m, assume_unique=True)
+                nm.append(len(m))
+                n.append(len(s))
+                both.append(int(inside.sum()))
+                added.append((s[~inside] ^ _TOP).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("id"), pa.array(nm, pa.int64()), pa.array(n, pa.int64()), pa.array(both, pa.int64()), pa.array(added, pa.list_(pa.int64()))], schema=schema)
+
+    return run
+
+
+def outsider_pairs(met: DataFrame, labels: DataFrame, docs: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
+    """(a, b): the pairs of different components, outside the hub pairs, that may still be similar; see the module's text."""
+    label = lambda c, name: labels.select(F.col("id").alias(c), F.col("label").alias(name))
+    placed = met.join(label("id", "l"), "id", "left").join(label("hub", "main"), "hub", "left")
+    placed = stage(placed.select("hub", "id", "pop", F.coalesce("l", "id").alias("label"), F.coalesce("main", "hub").alias("main")), "groups")
+    open_groups = placed.groupBy("hub").agg(F.count("*").alias("size"), F.max((F.col("label") != F.col("main")).cast("int")).alias("open")).filter("size > 1 and open = 1").select("hub")
+    placed = stage(placed.join(open_groups, "hub", "left_semi"), "open-groups")
+    if placed.isEmpty():
+        return placed.select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    best = F.max(F.struct("pop", (-F.col("id")).alias("minus"))).alias("h")
+    inner = placed.filter("label = main")
+    second = inner.groupBy("hub").agg(best).select("hub", (-F.col("h.minus")).alias("h2"))
+    third = inner.join(second, "hub").filter("id <> h2").groupBy("hub").agg(best).select("hub", (-F.col("h.minus")).alias("h3"))
+    guides = open_groups.join(second, "hub", "left").join(third, "hub", "left")
+    needed = placed.select(F.col("id").alias("doc_id")).union(guides.select("hub")).distinct()
+    texts = stage(id_and_text(docs).join(needed, "doc_id", "left_semi"), "open-texts")
+    text = lambda c, name: texts.select(F.col("doc_id").alias(c), F.col("text").alias(name))
+    guides = guides.join(text("hub", "t1"), "hub").join(text("h2", "t2"), "h2", "left").join(text("h3", "t3"), "h3", "left").select("hub", "t1", "t2", "t3")
+    rows = placed.select("hub", "id").join(text("id", "text"), "id").join(guides, "hub")
+    diffs = map_arrow(rows.select("hub", "id", "text", "t1", "t2", "t3"), _diff_batches(words), "hub long, id long, nm long, n long, both long, added array<long>")
+    diffs = stage(diffs.join(placed.select("hub", "id", "label", "main"), ["hub", "id"]), "diffs")
+
+    added = diffs.select("hub", "id", "label", "main", "n", F.explode("added").alias("value"))
+    mixed = added.groupBy("hub", "value").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("hub", "value")
+    added = added.join(mixed, ["hub", "value"], "left_semi")
+    side = lambda df, x: df.select("hub", "value", F.col("id").alias(f"id_{x}"), F.col("label").alias(f"label_{x}"), F.col("n").alias(f"n_{x}"), (F.col("label") == F.col("main")).alias(f"in_{x}"))
+    apart = (F.col("label_x") != F.col("label_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (F.col("in_y") | (F.col("id_x") < F.col("id_y")))
+    sharing = side(added.filter("label <> main"), "x").join(side(added, "y"), ["hub", "value"]).filter(apart)
+
+    gap = (percent * (F.col("nm") + F.col("n") - F.col("both")) - 100 * F.col("both")).alias("gap")
+    bound = lambda df, x: df.select("hub", "nm", F.col("id").alias(f"id_{x}"), F.col("label").alias(f"label_{x}"), F.col("n").alias(f"n_{x}"), (F.col("label") == F.col("main")).alias(f"in_{x}"), gap.alias(f"gap_{x}"))
+    fits = (percent * (F.col("nm") - F.col("n_y")) >= F.col("gap_x")) & (percent * (F.col("nm") - F.col("n_x")) >= F.col("gap_y"))
+    shrunk = bound(diffs.filter("label <> main"), "x").join(bound(diffs, "y").drop("nm"), "hub").filter(apart & fits)
+    pairs = sharing.select("id_x", "id_y").union(shrunk.select("id_x", "id_y"))
+    return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text).
 
@@ -171,21 +246,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K, words: int =
 
     rank = F.max(F.struct("pop", (-F.col("id")).alias("minus"), "n"))
     hubs = lists.groupBy("value").agg(rank.alias("h")).select("value", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n"))
-    near = lambda x, y: (100 * F.least(x, y)) >= (percent * F.greatest(x, y))
-    pairs = lists.join(hubs, "value").filter((F.col("id") != F.col("hub")) & near("n", "hub_n"))
+    met = stage(lists.join(hubs, "value").filter(F.col("id") != F.col("hub")).groupBy("hub", "id").agg(F.max("pop").alias("pop"), F.max("n").alias("n"), F.max("hub_n").alias("hub_n")), "met")
+    pairs = met.filter((100 * F.least("n", "hub_n")) >= (percent * F.greatest("n", "hub_n")))
     pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     links = stage(verified(pairs, reps, docs, percent, k, words), "links")
     labels = stage(components(links), "labels")
-
-    placed = lists.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    placed = stage(placed, "placed")
-    mixed = placed.groupBy("value").agg(F.max(F.struct("pop", (-F.col("id")).alias("minus"), "label")).alias("h"), F.min("label").alias("low"), F.max("label").alias("high"))
-    mixed = mixed.filter("low <> high").select("value", (-F.col("h.minus")).alias("hub"), F.col("h.label").alias("main"))
-    members = placed.join(mixed, "value").select("value", "id", "n", "label", "main", "hub")
-    out = members.filter("label <> main").select("value", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-    rest = members.filter("id <> hub")
-    cross = out.join(rest, "value").filter((F.col("lx") != F.col("label")) & near("nx", "n") & ((F.col("label") == F.col("main")) | (F.col("x") < F.col("id"))))
-    cross = stage(cross.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct(), "cross")
+    cross = stage(outsider_pairs(met, labels, docs, percent, words), "cross")
     if not cross.isEmpty():
         more = stage(verified(cross, reps, docs, percent, k, words), "more-links")
         if not more.isEmpty():
