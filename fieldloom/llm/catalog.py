@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import neardup, neighbours, packing, tokens, toxicity
+from fieldloom.llm import decontaminate, neardup, neighbours, packing, tokens, toxicity
 from fieldloom.llm.common import table
 
 
@@ -29,12 +29,17 @@ def op6_ivf_pq_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
     "op6_ivf_pq_neighbours": op6_ivf_pq_neighbours,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
