@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import decontaminate, neardup, neighbours, packing, tokens, toxicity
+from fieldloom.llm import decontaminate, linededup, neardup, neighbours, packing, tokens, toxicity
 from fieldloom.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
@@ -40,6 +44,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_ivf_pq_neighbours": op6_ivf_pq_neighbours,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_line_dedup": linededup.ORACLE_SQL}
