@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import decontaminate, linededup, neardup, neighbours, packing, tokens, toxicity
+from fieldloom.llm import decontaminate, licenses, linededup, neardup, neighbours, packing, preferences, resample, tokens, toxicity
 from fieldloom.llm.common import table
 
 
@@ -37,14 +37,29 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op1_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.format_preferences(preferences.paired_turns(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
+    "op1_preference_formatting": op1_preference_formatting,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
     "op6_ivf_pq_neighbours": op6_ivf_pq_neighbours,
+    "op7_importance_resampling": op7_importance_resampling,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_line_dedup": linededup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_preference_formatting": preferences.ORACLE_SQL, "op10_line_dedup": linededup.ORACLE_SQL}
