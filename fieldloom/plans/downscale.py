@@ -1,0 +1,57 @@
+"""One downscaling step as a plan, and two of them in a row."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable, Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fieldloom.operators import climatology as clim_ops
+from fieldloom.operators import correct, fill, regrid
+
+Grid = tuple[Sequence[float], Sequence[float]]
+
+
+def _calendar(df: DataFrame) -> DataFrame:
+    return df.withColumn("year", F.year("day")).withColumn("month", F.month("day"))
+
+
+def reconstruct_daily(anomalies: DataFrame, fine_clim: DataFrame, mask: DataFrame, coarse: Grid, fine: Grid) -> DataFrame:
+    """Raw fine field: regridded anomalies, filled inside the mask, plus the fine climatology."""
+    on_fine = regrid.regrid(anomalies, coarse, fine, ["day"], "linear_nearest")
+    filled = fill.fill_masked(on_fine, mask, len(fine[0]), len(fine[1]))
+    return clim_ops.reconstruct(_calendar(filled), fine_clim)
+
+
+def downscale(daily: DataFrame, fine_clim: DataFrame, mask: DataFrame, coarse: Grid, fine: Grid, baseline: tuple[int, int], months: str | Iterable[int] | None = None, fill_corrected: bool = False, store: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> dict[str, DataFrame]:
+    """clim, anom, raw, aggregate, residual, corrected, delta, final of one step.
+
+    ``daily`` is the coarse field, ``fine_clim`` the predicted climatology on the fine
+    grid. ``store`` may write a stage and read it back; without it the step is one lazy
+    plan. Months are cut before anything is regridded.
+    """
+    ny, nx = len(fine[0]), len(fine[1])
+    clim = store("clim", clim_ops.climatology(daily, *baseline))
+    anom = store("anom", clim_ops.anomaly(clim_ops.select_months(daily, months), clim))
+    raw = store("raw", reconstruct_daily(anom, fine_clim, mask, coarse, fine))
+    target = correct.semi_join_days(daily, raw).select("day", "iy", "ix", "value")
+    aggregate = regrid.parent_mean(regrid.with_parents(raw.select("day", "iy", "ix", "value"), fine, coarse))
+    residual = store("residual", correct.residual(target, aggregate))
+    back = fill.fill_masked(regrid.regrid(residual, coarse, fine, ["day"], "linear_nearest"), mask, ny, nx)
+    corrected = correct.add_aligned(raw, back)
+    if fill_corrected:
+        corrected = fill.fill_masked(corrected, mask, ny, nx)
+    corrected = store("corrected", corrected)
+    moved = correct.make_consistent(regrid.with_parents(corrected, fine, coarse), target)
+    delta = moved.filter("delta is not null").select("day", F.col("cy").alias("iy"), F.col("cx").alias("ix"), F.col("delta").alias("value")).distinct()
+    final = store("final", fill.fill_masked(moved, mask, ny, nx))
+    return {"clim": clim, "anom": anom, "raw": raw, "aggregate": aggregate, "residual": residual, "corrected": corrected, "delta": delta, "final": final}
+
+
+def downscale_twice(daily: DataFrame, clims: Sequence[DataFrame], masks: Sequence[DataFrame], grids: Sequence[Grid], baseline: tuple[int, int], months: str | Iterable[int] | None = None, store: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> list[dict[str, DataFrame]]:
+    """Both steps; the second starts from the first one's final field and fills its corrected one."""
+    first = downscale(daily, clims[0], masks[0], grids[0], grids[1], baseline, months, store=lambda n, df: store(f"1/{n}", df))
+    again = _calendar(first["final"])
+    second = downscale(again, clims[1], masks[1], grids[1], grids[2], baseline, months, fill_corrected=True, store=lambda n, df: store(f"2/{n}", df))
+    return [first, second]
