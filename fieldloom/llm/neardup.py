@@ -12,16 +12,19 @@ passages that many documents share stay out of the lists.
 
 Lists never give all their pairs. First each member is paired only with the list's most
 connected member, its hub; the links found are joined to components. What is left are
-outsiders: members of a hub's group outside the hub's component. Let M be a reference
+outsiders: members of a hub's group outside the hub's component. Let M be any reference
 set, I(x) the size of x's intersection with it, and call x's elements outside M added.
-If x and y share no added element, at most min(|M| - I(x), |M| - I(y)) elements of M are
-missing in both, and their similarity can reach the limit p only if
+If x and y share no added element, their intersection lies in M and has min(I(x), I(y))
+elements at most, so their similarity can reach the limit p only if
 
-    p (|M| - |y|) >= p |M union x| - I(x)     and the same with x and y exchanged.
+    (1 + p) min(I(x), I(y)) >= p (|x| + |y|).
 
-So only pairs that share an added element, or meet both bounds, are made and verified;
-pairs inside one component never are, since they cannot change the result. M is what
-two of three well-connected members hold, which undoes the edits of any one of them.
+So only pairs that share an added element, or meet this bound, are made and verified;
+pairs inside one component never are, since they cannot change the result. M is what two
+of three well-connected members hold, which undoes the edits of any one of them, and
+whatever else a quarter of the group holds. Where added elements are still common (a
+passage that copies of a text share), their lists get hub rounds of their own first,
+until few pairs of different components remain.
 """
 
 from __future__ import annotations
@@ -190,15 +193,22 @@ def _diff_batches(words: int):
     return run
 
 
-def outsider_pairs(met: DataFrame, labels: DataFrame, docs: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
-    """(a, b): the pairs of different components, outside the hub pairs, that may still be similar; see the module's text."""
+#: Sub-hub rounds over common added elements at most, and pairs a row from which one is worth it.
+SUB_ROUNDS = 4
+#: Share of a group from which an added element counts as part of its reference set.
+COMMON = 0.25
+PAIRS_A_ROW = 4
+
+
+def join_outsiders(met: DataFrame, links: DataFrame, labels: DataFrame, docs: DataFrame, percent: int, words: int, confirm) -> DataFrame:
+    """(id, label) after all links between components of the hubs' groups are added; see the module's text."""
     label = lambda c, name: labels.select(F.col("id").alias(c), F.col("label").alias(name))
     placed = met.join(label("id", "l"), "id", "left").join(label("hub", "main"), "hub", "left")
     placed = stage(placed.select("hub", "id", "pop", F.coalesce("l", "id").alias("label"), F.coalesce("main", "hub").alias("main")), "groups")
     open_groups = placed.groupBy("hub").agg(F.count("*").alias("size"), F.max((F.col("label") != F.col("main")).cast("int")).alias("open")).filter("size > 1 and open = 1").select("hub")
     placed = stage(placed.join(open_groups, "hub", "left_semi"), "open-groups")
     if placed.isEmpty():
-        return placed.select(F.col("hub").alias("a"), F.col("id").alias("b"))
+        return labels
     best = F.max(F.struct("pop", (-F.col("id")).alias("minus"))).alias("h")
     inner = placed.filter("label = main")
     second = inner.groupBy("hub").agg(best).select("hub", (-F.col("h.minus")).alias("h2"))
@@ -210,21 +220,61 @@ def outsider_pairs(met: DataFrame, labels: DataFrame, docs: DataFrame, percent:
     guides = guides.join(text("hub", "t1"), "hub").join(text("h2", "t2"), "h2", "left").join(text("h3", "t3"), "h3", "left").select("hub", "t1", "t2", "t3")
     rows = placed.select("hub", "id").join(text("id", "text"), "id").join(guides, "hub")
     diffs = map_arrow(rows.select("hub", "id", "text", "t1", "t2", "t3"), _diff_batches(words), "hub long, id long, nm long, n long, both long, added array<long>")
-    diffs = stage(diffs.join(placed.select("hub", "id", "label", "main"), ["hub", "id"]), "diffs")
-
-    added = diffs.select("hub", "id", "label", "main", "n", F.explode("added").alias("value"))
-    mixed = added.groupBy("hub", "value").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("hub", "value")
-    added = added.join(mixed, ["hub", "value"], "left_semi")
+    diffs = stage(diffs.join(placed.select("hub", "id", "pop"), ["hub", "id"]), "diffs")
+
+    held = diffs.select("hub", "id", "n", "pop", F.explode("added").alias("value"))
+    sizes = diffs.groupBy("hub").agg(F.count("*").alias("size"))
+    shared = held.groupBy("hub", "value").agg(F.count("*").alias("f")).filter("f > 1").join(sizes, "hub")
+    held = stage(held.join(shared, ["hub", "value"]).withColumn("common", F.col("f") >= COMMON * F.col("size")), "held")
+    added = held.filter("not common").select("hub", "value", "id", "n", "pop", "f")
+    more_both = held.filter("common").groupBy("hub", "id").agg(F.count("*").alias("more"))
+    diffs = stage(diffs.join(more_both, ["hub", "id"], "left").withColumn("both", F.col("both") + F.coalesce("more", F.lit(0))).drop("added", "more", "nm"), "bounds")
+
+    def labelled(df: DataFrame) -> DataFrame:
+        df = df.join(label("id", "l"), "id", "left").join(label("hub", "main"), "hub", "left")
+        return df.withColumn("label", F.coalesce("l", "id")).withColumn("main", F.coalesce("main", "hub")).drop("l")
+
+    rows = added.count()
+    for _ in range(SUB_ROUNDS):
+        # one row per list and component: its size and its best-connected member
+        best = F.max(F.struct("pop", (-F.col("id")).alias("minus"))).alias("b")
+        parts = labelled(added).groupBy("hub", "value", "label", "main").agg(F.count("*").cast("double").alias("n"), best)
+        lists = parts.groupBy("hub", "value").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.max(F.when(F.col("label") != F.col("main"), F.struct("n", "b.pop", "b.minus"))).alias("s"))
+        lists = stage(lists.filter("own < n * n and s is not null").select("hub", "value", (F.col("n") * F.col("n") - F.col("own")).alias("pairs"), (-F.col("s.minus")).alias("sub")), "sub-hubs")
+        if (lists.agg(F.sum("pairs")).first()[0] or 0) <= PAIRS_A_ROW * rows:
+            break
+        tried = labelled(added).join(lists.select("hub", "value", "sub"), ["hub", "value"]).filter("id <> sub")
+        tried = tried.select(F.least("id", "sub").alias("a"), F.greatest("id", "sub").alias("b")).distinct()
+        more = confirm(tried).join(links, ["a", "b"], "left_anti")
+        if more.isEmpty():
+            break
+        links = stage(links.union(more), "links")
+        labels = stage(components(links), "labels")
+
+    placed = labelled(added)
+    mixed = placed.groupBy("hub", "value").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("hub", "value")
+    placed = placed.join(mixed, ["hub", "value"], "left_semi")
+    # x needs percent * |x| - I(x) added elements in common with any partner, so its rarest others suffice
+    order = F.sort_array(F.collect_list(F.struct("f", "value"))).alias("held")
+    outside = labelled(diffs).filter("label <> main")
+    first = F.col("n") - F.col("both") - F.greatest(F.lit(1), F.ceil((percent * F.col("n") - 100 * F.col("both")) / 100)) + 1
+    singles = F.col("n") - F.col("both") - F.size("held")  # elements that no other member of the group added
+    own = added.groupBy("hub", "id").agg(order).join(outside, ["hub", "id"]).withColumn("first", F.greatest(F.lit(0), first - singles).cast("int"))
+    own = own.select("hub", "id", "n", "label", "main", F.explode(F.slice("held", F.lit(1), F.col("first"))).alias("e")).withColumn("value", F.col("e.value"))
     side = lambda df, x: df.select("hub", "value", F.col("id").alias(f"id_{x}"), F.col("label").alias(f"label_{x}"), F.col("n").alias(f"n_{x}"), (F.col("label") == F.col("main")).alias(f"in_{x}"))
-    apart = (F.col("label_x") != F.col("label_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (F.col("in_y") | (F.col("id_x") < F.col("id_y")))
-    sharing = side(added.filter("label <> main"), "x").join(side(added, "y"), ["hub", "value"]).filter(apart)
+    apart = (F.col("label_x") != F.col("label_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+    sharing = side(own.join(mixed, ["hub", "value"], "left_semi"), "x").join(side(placed, "y"), ["hub", "value"]).filter(apart)
 
-    gap = (percent * (F.col("nm") + F.col("n") - F.col("both")) - 100 * F.col("both")).alias("gap")
-    bound = lambda df, x: df.select("hub", "nm", F.col("id").alias(f"id_{x}"), F.col("label").alias(f"label_{x}"), F.col("n").alias(f"n_{x}"), (F.col("label") == F.col("main")).alias(f"in_{x}"), gap.alias(f"gap_{x}"))
-    fits = (percent * (F.col("nm") - F.col("n_y")) >= F.col("gap_x")) & (percent * (F.col("nm") - F.col("n_x")) >= F.col("gap_y"))
-    shrunk = bound(diffs.filter("label <> main"), "x").join(bound(diffs, "y").drop("nm"), "hub").filter(apart & fits)
-    pairs = sharing.select("id_x", "id_y").union(shrunk.select("id_x", "id_y"))
-    return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+    bound = lambda df, x: df.filter(100 * F.col("both") >= percent * F.col("n")).select("hub", F.col("id").alias(f"id_{x}"), F.col("label").alias(f"label_{x}"), F.col("n").alias(f"n_{x}"), F.col("both").alias(f"both_{x}"), (F.col("label") == F.col("main")).alias(f"in_{x}"))
+    fits = (100 + percent) * F.least("both_x", "both_y") >= percent * (F.col("n_x") + F.col("n_y"))
+    once = F.col("in_y") | (F.col("id_x") < F.col("id_y"))
+    close = bound(outside, "x").join(bound(labelled(diffs), "y"), "hub").filter(apart & fits & once)
+    pairs = sharing.select("id_x", "id_y").union(close.select("id_x", "id_y"))
+    cross = stage(pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct(), "cross")
+    if cross.isEmpty():
+        return labels
+    more = confirm(cross)
+    return labels if more.isEmpty() else stage(components(links.union(more)), "labels")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K, words: int = WORDS) -> DataFrame:
@@ -251,11 +301,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K, words: int =
     pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     links = stage(verified(pairs, reps, docs, percent, k, words), "links")
     labels = stage(components(links), "labels")
-    cross = stage(outsider_pairs(met, labels, docs, percent, words), "cross")
-    if not cross.isEmpty():
-        more = stage(verified(cross, reps, docs, percent, k, words), "more-links")
-        if not more.isEmpty():
-            labels = stage(components(links.union(more)), "labels")
+    confirm = lambda pairs: stage(verified(pairs, reps, docs, percent, k, words), "more-links")
+    labels = join_outsiders(met, links, labels, docs, percent, words, confirm)
 
     found = filled.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"]).join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     found = found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))

@@ -107,7 +107,7 @@ class Words:
         n = len(self.hash) - k + 1
         if n <= 0:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        total = np.full(n, np.uint64(k) * _BASE)
+        total = np.array([k], np.uint64) * _BASE
         for j in range(k):
             total = total * _STEP + self.hash[j : j + n]
         first = np.flatnonzero(self.row[k - 1 :] == self.row[:n])
