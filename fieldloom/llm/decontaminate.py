@@ -261,20 +261,21 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     within 0.2 n word edits of the item's n words; words are runs of ASCII letters,
     digits and non-ASCII characters, A-Z lower-cased. Among windows the least distance
     counts, then the first. Null and empty texts and items without words match nothing;
-    repeated items give a row each per item_id; repeated documents repeat no row. Extra
+    repeated items give a row each per item_id; repeated documents repeat no row; rows
+    without doc_id or item_id match nothing. Extra
     columns are ignored; empty tables give an empty result. Items go to the workers in
     blocks of ``ITEM_BLOCK``, one pass over the documents each.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, distance int, item_words int, first_word long"
-    known = items.select("item_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).filter("text <> ''")
+    known = items.filter("item_id is not null").select("item_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).filter("text <> ''")
     blocks = max(1, -(-known.count() // ITEM_BLOCK))
     found = None
     for block in range(blocks):
         part = known.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow()  # about ITEM_BLOCK rows
         index = ItemIndex(part["item_id"].to_pylist(), part["text"].to_pylist())
         if index.lengths:
-            one = map_arrow(id_and_text(docs), _match_batches(spark.sparkContext.broadcast(index)), schema)
+            one = map_arrow(id_and_text(docs).filter("doc_id is not null"), _match_batches(spark.sparkContext.broadcast(index)), schema)
             found = one if found is None else found.union(one)
     if found is None:
         return spark.createDataFrame([], schema)
