@@ -33,12 +33,14 @@ FIXED = 0.6
 #: Leaves up to which they are broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_LEAVES = 500_000
 
-_BLANK = "[ \\t\\r\\f\\x0B]+"
-_FIELD = "[^ ]*[0-9][^ ]*"
+#: Runs of blanks other than a single space; tokens that hold a digit, found from their first character.
+_BLANKS = " [ \\t\\r\\f\\x0B]+|[\\t\\r\\f\\x0B][ \\t\\r\\f\\x0B]*"
+_FIELD = "(?<![^ ])[^ 0-9]*[0-9][^ ]*"
 
 
 def _masked(line):
-    return F.regexp_replace(F.trim(F.regexp_replace(line, _BLANK, " ")), _FIELD, "<*>")
+    line = F.trim(F.regexp_replace(line, _BLANKS, " "))
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, _FIELD, "<*>")).otherwise(line)
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
@@ -64,16 +66,17 @@ def recurring(uses: DataFrame, *key: str) -> DataFrame:
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, pos): the lines of recurring templates. ``docs`` (doc_id, text) is read more than once."""
     lines = document_lines(docs)
-    marks = stage(lines.select("doc_id", "pos", "s1", "s2", "s3", "leaf", F.md5(F.col("template").cast("binary")).alias("key")), "lines")
+    held = stage(lines.withColumn("key", F.md5(F.col("template").cast("binary"))).drop("tokens"), "lines")
+    marks = held.drop("template")
     often = marks.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("key")
     exact = stage(recurring(marks.join(often, "key", "left_semi"), "key"), "templates")
     first = marks.join(exact, "key", "left_semi").select("doc_id", "pos")
 
-    rest = marks.join(exact, "key", "left_anti")
+    rest = marks.select("leaf", "key").join(exact, "key", "left_anti")
     leaves = stage(rest.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("leaf"), "leaves")
     near = leaves if leaves.count() > BROADCAST_LEAVES else F.broadcast(leaves)
-    members = lines.join(near, "leaf", "left_semi").withColumn("key", F.md5(F.col("template").cast("binary")))
-    members = stage(members.join(exact, "key", "left_anti"), "leaf-lines")
+    members = held.join(near, "leaf", "left_semi").join(exact, "key", "left_anti").withColumn("tokens", F.size(F.split("template", " ")))
+    members = stage(members, "leaf-lines")
     distinct = members.groupBy("leaf", "key").agg(F.min("template").alias("template"), F.min("tokens").alias("tokens"))
     sizes = distinct.groupBy("leaf").agg(F.count("*").alias("distinct_lines"), F.min("tokens").alias("tokens")).filter(F.col("distinct_lines") >= LEAST)
     words = distinct.join(sizes.select("leaf"), "leaf", "left_semi").select("leaf", F.posexplode(F.split("template", " ")).alias("at", "token"))
@@ -96,13 +99,13 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     count as one document. A null doc_id has no lines dropped. An empty table gives an
     empty result.
     """
-    gone = stage(dropped_lines(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.collect_set("pos").alias("_gone")).withColumnRenamed("doc_id", "_id"), "dropped")
+    gone = stage(dropped_lines(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.collect_set("pos").alias("__gone_lines")).withColumnRenamed("doc_id", "__gone_from"), "dropped")
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("_gone", i))
-    out = docs.drop("n_lines", "n_dropped").join(gone, F.col("doc_id") == F.col("_id"), "left")
-    out = out.withColumn("n_lines", F.size(lines)).withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)))
-    out = out.withColumn("n_dropped", F.greatest("n_dropped", F.lit(0))).withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    return out.drop("_gone", "_id")
+    kept = F.filter(lines, lambda x, i: ~F.array_contains("__gone_lines", i))
+    out = docs.drop("n_lines", "n_dropped").join(gone, F.col("doc_id") == F.col("__gone_from"), "left")
+    out = out.withColumn("n_lines", F.size(lines)).withColumn("n_dropped", F.coalesce(F.size("__gone_lines"), F.lit(0)))
+    out = out.withColumn("n_dropped", F.greatest("n_dropped", F.lit(0))).withColumn("text", F.when(F.col("__gone_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    return out.drop("__gone_lines", "__gone_from")
 
 
 #: The same in DuckDB's SQL, over documents; the constants are those above.
