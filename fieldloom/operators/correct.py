@@ -47,17 +47,16 @@ def make_consistent(placed: DataFrame, target: DataFrame, keys: Sequence[str] =
     ``placed`` has each fine cell's parent (cy, cx; -1 outside). Cells without a parent
     stay as they are; where the target is missing children become null. The mean is taken
     over the children that are together anyway, so fine rows are shuffled once, for it
-    and the join alike; a group has ratio * ratio rows.
+    and the join alike; a group has ratio * ratio rows, and a cell without a parent is a
+    group of its own.
     """
-    children = Window.partitionBy(*keys, "cy", "cx")
     inside = (F.col("cy") >= 0) & (F.col("cx") >= 0)
-    goal = target.select(*keys, F.col("iy").alias("cy"), F.col("ix").alias("cx"), F.col("value").alias("goal"))
-    # outside cells would form one group a day: they go around the window
-    means = placed.filter(inside).withColumn("mean", F.avg("value").over(children)).join(goal, [*keys, "cy", "cx"], "left")
-    delta = F.col("goal") - F.col("mean")
-    moved = means.select(*keys, "iy", "ix", "cy", "cx", (F.col("value") + delta).alias("value"), delta.alias("delta"))
-    rest = placed.filter(~inside).select(*keys, "iy", "ix", "cy", "cx", "value", F.lit(None).cast("double").alias("delta"))
-    return moved.unionByName(rest)
+    own = placed.withColumn("_gy", F.when(inside, F.col("cy")).otherwise(-1 - F.col("iy"))).withColumn("_gx", F.when(inside, F.col("cx")).otherwise(-1 - F.col("ix")))
+    children = Window.partitionBy(*keys, "_gy", "_gx")
+    goal = target.select(*keys, F.col("iy").alias("_gy"), F.col("ix").alias("_gx"), F.col("value").alias("goal"))
+    means = own.withColumn("mean", F.avg("value").over(children)).join(goal, [*keys, "_gy", "_gx"], "left")
+    delta = F.when(inside, F.col("goal") - F.col("mean"))
+    return means.select(*keys, "iy", "ix", "cy", "cx", F.when(inside, F.col("value") + delta).otherwise(F.col("value")).alias("value"), delta.alias("delta"))
 
 
 def consistency_error(final: DataFrame, target: DataFrame, keys: Sequence[str] = ("day",)) -> DataFrame:
