@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+# Years, months and the names that coordinates, masks and variables go by.
 BASELINE_YEARS = (1961, 2015)
 HOLDOUT_YEARS = (2016, 2025)
 PREDICTOR_YEARS = (1985, 2025)

@@ -8,24 +8,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def errors(pairs: DataFrame, by: Sequence[str] = (), pred: str = "pred", ref: str = "ref") -> DataFrame:
-    """(by, n, mae, rmse, bias, r2): over rows where both are there; r2 is null for one row, or a constant reference."""
+def errors(pairs: DataFrame, by: Sequence[str] = (), pred: str = "pred", ref: str = "ref", total: bool = False) -> DataFrame:
+    """(by, n, mae, rmse, bias, r2): over rows where both are there; r2 is null for one row, or a constant reference.
+
+    With ``total`` (for one column ``by``) a row where that is null sums up all, in the same pass.
+    """
     ok = pairs.filter(F.col(pred).isNotNull() & F.col(ref).isNotNull())
     e = F.col(pred) - F.col(ref)
-    total = F.var_pop(ref) * F.count("*")
-    out = ok.groupBy(*by).agg(
+    spread = F.var_pop(ref) * F.count("*")
+    out = (ok.rollup(*by) if total else ok.groupBy(*by)).agg(
         F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"),
-        F.when((F.count("*") > 1) & (total > 0), 1 - F.sum(e * e) / total).alias("r2"),
+        F.when((F.count("*") > 1) & (spread > 0), 1 - F.sum(e * e) / spread).alias("r2"),
     )
     return out.select(*by, "n", "mae", "rmse", "bias", "r2")
 
 
 def holdout(pred: DataFrame, ref: DataFrame, first: int, last: int, by: Sequence[str] = ("month",)) -> DataFrame:
-    """Errors over the hold-out years on the reference's grid, by ``by``, and overall as the row where these are null."""
+    """Errors over the hold-out years on the reference's grid, by ``by``, and overall as the row where that is null."""
     keys = ["day", "iy", "ix"]
     p = pred.filter(F.year("day").between(first, last)).select(*keys, F.col("value").alias("pred"))
     pairs = p.join(ref.select(*keys, F.col("value").alias("ref")), keys).withColumn("month", F.month("day"))
-    return errors(pairs, by).unionByName(errors(pairs).select(*[F.lit(None).cast("int").alias(b) for b in by], "*"))
+    return errors(pairs, by, total=True)
 
 
 def masked_loss(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
