@@ -58,3 +58,16 @@ def parent_mean(placed: DataFrame, keys: Sequence[str] = ("day",)) -> DataFrame:
     """(keys, iy, ix, value): mean of the valid children of each coarse cell; cells without one give no row."""
     inside = placed.filter("cy >= 0 and cx >= 0 and value is not null")
     return inside.groupBy(*keys, F.col("cy").alias("iy"), F.col("cx").alias("ix")).agg(F.avg("value").alias("value"))
+
+
+def on_grid(field: DataFrame, source: tuple[Sequence[float], Sequence[float]], target: tuple[Sequence[float], Sequence[float]], keys: Sequence[str] = ("month",), method: str = "linear") -> DataFrame:
+    """``field`` on the target grid: as it is if both grids agree within tolerance, regridded otherwise."""
+    if axes.same_axis(source[0], target[0]) and axes.same_axis(source[1], target[1]):
+        return field.select(*keys, "iy", "ix", "value")
+    return regrid(field, source, target, keys, method)
+
+
+def mask_on_grid(mask: DataFrame, source: tuple[Sequence[float], Sequence[float]], target: tuple[Sequence[float], Sequence[float]]) -> DataFrame:
+    """(iy, ix, inside) on the target grid, from the nearest source cell where the grids differ."""
+    numbers = mask.select(F.lit(0).alias("one"), "iy", "ix", F.col("inside").cast("double").alias("value"))
+    return on_grid(numbers, source, target, ["one"], "nearest").select("iy", "ix", (F.coalesce("value", F.lit(0.0)) > 0).alias("inside"))

@@ -173,3 +173,15 @@ def test_step_is_consistent_with_its_target(spark):
     row = correct.consistency_error(regrid.with_parents(out["final"], grids[1], grids[0]), daily).first()
     assert row["cells"] == 32 and row["max_error"] < 1e-9
     assert out["delta"].count() == 32 and out["residual"].filter("value is null").isEmpty()
+
+
+def test_fields_and_masks_come_to_another_grid(spark):
+    mask = fx.coarse_mask(spark)
+    same = regrid.mask_on_grid(mask, fx.COARSE_GRID, fx.COARSE_GRID)
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, mask.collect()))
+    held = {(r["iy"], r["ix"]): r["inside"] for r in mask.collect()}
+    fine = {(r["iy"], r["ix"]): r["inside"] for r in regrid.mask_on_grid(mask, fx.COARSE_GRID, fx.FINE_GRID).collect()}
+    assert len(fine) == 36 * 36 and fine[20, 20] is True and fine[2, 2] == held[0, 0]
+    monthly = spark.createDataFrame([(5, i, j, float(i + j)) for i in range(8) for j in range(8)], "month int, iy int, ix int, value double")
+    assert regrid.on_grid(monthly, fx.COARSE_GRID, fx.COARSE_GRID).count() == 64
+    assert regrid.on_grid(monthly, fx.COARSE_GRID, fx.FINE_GRID).filter("iy = 7 and ix = 12").first()["value"] == 3.0
