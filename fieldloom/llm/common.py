@@ -64,10 +64,32 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
 
 
-def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with this package present in the workers."""
+#: What a Python worker keeps from task to task; one thing at a time.
+_kept: dict = {}
+
+
+def kept(name, make):
+    """The object of this name in this worker, made if it isn't there; takes the place of any other."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def release() -> None:
+    _kept.clear()
+
+
+def map_arrow(df: DataFrame, run, schema: str, keeps: bool = False) -> DataFrame:
+    """``df.mapInArrow`` with this package present in the workers; unless ``run`` keeps things, theirs are released first."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def task(batches):
+        if not keeps:
+            release()
+        yield from run(batches)
+
+    return df.mapInArrow(run if keeps else task, schema)
 
 
 def partitions(spark: SparkSession) -> int:

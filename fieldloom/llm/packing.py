@@ -140,7 +140,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     A document's ids are those of its whole text followed by ``end_id``; only longer ones
     than ``capacity`` are cut. Null text is empty, so each row gives one piece at least.
     """
-    return map_arrow(id_and_text(docs), _piece_batches(tokenizer_path, capacity, end_id), "doc_id long, piece int, start long, length long, ids binary")
+    return map_arrow(id_and_text(docs), _piece_batches(tokenizer_path, capacity, end_id), "doc_id long, piece int, start long, length long, ids binary", keeps=True)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:

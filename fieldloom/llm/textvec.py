@@ -33,7 +33,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]), 1 << 16)
+        size = max(n, min(2 * len(_powers[0]), 1 << 21), 1 << 16)
         for k, base in enumerate((_BASE, _BASE_INV)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1

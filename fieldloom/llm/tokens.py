@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import id_and_text, map_arrow, new_path, path_exists
+from fieldloom.llm.common import id_and_text, kept, map_arrow, new_path, path_exists, stage
 
 #: Pre-tokens that one generation of a worker's memory holds.
 CACHE_ENTRIES = 400_000
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def load_tokenizer(path: str):
     import os
 
@@ -126,10 +126,9 @@ class PieceCache:
         return [known[p] if v is None else v for p, v in zip(found, values, strict=True)]
 
 
-@lru_cache(maxsize=4)
 def piece_cache(path: str, value) -> PieceCache:
-    """One memory per worker, kept from task to task."""
-    return PieceCache(path, value)
+    """One memory per worker, kept from task to task until another operator runs there."""
+    return kept((path, value.__name__), lambda: PieceCache(path, value))
 
 
 def _count_batches(path: str):
@@ -163,9 +162,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     missing = keyed.select("digest", "text")
     if path_exists(spark, store):
         missing = missing.join(spark.read.parquet(store).select("digest"), "digest", "left_anti")
-    counted = map_arrow(missing.dropDuplicates(["digest"]), _count_batches(tokenizer_path), "digest binary, n_tokens long")
+    counted = map_arrow(missing.dropDuplicates(["digest"]), _count_batches(tokenizer_path), "digest binary, n_tokens long", keeps=True)
     counted.write.mode("append").option("compression", "zstd").parquet(store)
     stored = spark.read.schema("digest binary, n_tokens long").parquet(store).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    stored = stage(stored, "counts")  # only then can Spark split the join where very many rows share a digest
     return (
         keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
         .join(stored, "digest")

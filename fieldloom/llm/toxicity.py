@@ -140,13 +140,11 @@ def fold_of(column: str = "doc_id"):
 def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
-        held: list[np.ndarray] = []
         for a, b, data, offsets in text_slices(batch):
             row, keys = document_keys(Words(data, offsets, NON_ALNUM))
-            held.append((keys << 1) | toxic[a:b][row])
-        keys, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
-        counts = n.astype(np.int64) << (32 * (keys & 1))
-        yield pa.RecordBatch.from_arrays([pa.array(keys >> 1), pa.array(counts)], ["key", "n"])
+            keys, n = np.unique((keys << 1) | toxic[a:b][row], return_counts=True)
+            counts = n.astype(np.int64) << (32 * (keys & 1))
+            yield pa.RecordBatch.from_arrays([pa.array(keys >> 1), pa.array(counts)], ["key", "n"])
 
 
 def _bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,13 +179,14 @@ def _score_batches(model, curve):
     return run
 
 
-def _dense(df: DataFrame, index: str, columns: list[str], size: int, dtype=np.int64) -> np.ndarray:
+def _dense(df: DataFrame, index: str, columns: list[str], size: int, dtype=np.float32) -> np.ndarray:
     """Columns of a table of at most ``size`` rows as dense arrays over ``index``."""
     got = df.select(index, *columns).toArrow()
     out = np.zeros((len(columns), size), dtype)
     at = got[index].to_numpy()
     for k, c in enumerate(columns):
-        out[k, at] = np.minimum(got[c].to_numpy(), np.iinfo(dtype).max)
+        column = got[c].to_numpy()
+        out[k, at] = column if dtype == np.float32 else np.minimum(column, np.iinfo(dtype).max)
     return out
 
 
