@@ -130,7 +130,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         around = e.union(e.select("v", "u")) if large else e
-        least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        # stored, so that the join below it can be split where one node has very many edges
+        least = stage(around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
         moved = around.filter("v > u") if large else around
         out = moved.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         if not large:
@@ -153,7 +154,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def inverted_lists(reps: DataFrame, percent: int, k: int = K) -> DataFrame:
     """(value, id, n, pop): rows of the rarest retained values that two or more classes hold; pop: how connected id is."""
     held = reps.select("id", "d1", "n", F.explode("sketch").alias("value"))
-    often = held.groupBy("value").agg(F.count("*").alias("f")).filter("f > 1")
+    often = stage(held.groupBy("value").agg(F.count("*").alias("f")).filter("f > 1"), "often")
     common = held.join(often, "value").groupBy("id", "d1", "n").agg(F.sort_array(F.collect_list(F.struct("f", "value"))).alias("held"), F.sum("f").alias("pop"))
     size, least = F.least("n", F.lit(k)), shared_at_least(percent, k)
     exact = F.ceil(F.col("n") * percent / 100)  # sets whose partners at this similarity all fit in a sketch too
@@ -206,6 +207,7 @@ def join_outsiders(met: DataFrame, links: DataFrame, labels: DataFrame, docs: Da
     placed = met.join(label("id", "l"), "id", "left").join(label("hub", "main"), "hub", "left")
     placed = stage(placed.select("hub", "id", "pop", F.coalesce("l", "id").alias("label"), F.coalesce("main", "hub").alias("main")), "groups")
     open_groups = placed.groupBy("hub").agg(F.count("*").alias("size"), F.max((F.col("label") != F.col("main")).cast("int")).alias("open")).filter("size > 1 and open = 1").select("hub")
+    open_groups = stage(open_groups, "open-hubs")
     placed = stage(placed.join(open_groups, "hub", "left_semi"), "open-groups")
     if placed.isEmpty():
         return labels
@@ -225,6 +227,7 @@ def join_outsiders(met: DataFrame, links: DataFrame, labels: DataFrame, docs: Da
     held = diffs.select("hub", "id", "n", "pop", F.explode("added").alias("value"))
     sizes = diffs.groupBy("hub").agg(F.count("*").alias("size"))
     shared = held.groupBy("hub", "value").agg(F.count("*").alias("f")).filter("f > 1").join(sizes, "hub")
+    shared = stage(shared, "shared")
     held = stage(held.join(shared, ["hub", "value"]).withColumn("common", F.col("f") >= COMMON * F.col("size")), "held")
     added = held.filter("not common").select("hub", "value", "id", "n", "pop", "f")
     more_both = held.filter("common").groupBy("hub", "id").agg(F.count("*").alias("more"))
@@ -234,7 +237,7 @@ def join_outsiders(met: DataFrame, links: DataFrame, labels: DataFrame, docs: Da
         df = df.join(label("id", "l"), "id", "left").join(label("hub", "main"), "hub", "left")
         return df.withColumn("label", F.coalesce("l", "id")).withColumn("main", F.coalesce("main", "hub")).drop("l")
 
-    rows = added.count()
+    rows, tested = added.count(), None
     for _ in range(SUB_ROUNDS):
         # one row per list and component: its size and its best-connected member
         best = F.max(F.struct("pop", (-F.col("id")).alias("minus"))).alias("b")
@@ -245,6 +248,8 @@ def join_outsiders(met: DataFrame, links: DataFrame, labels: DataFrame, docs: Da
             break
         tried = labelled(added).join(lists.select("hub", "value", "sub"), ["hub", "value"]).filter("id <> sub")
         tried = tried.select(F.least("id", "sub").alias("a"), F.greatest("id", "sub").alias("b")).distinct()
+        tried = stage(tried if tested is None else tried.join(tested, ["a", "b"], "left_anti"), "tried")
+        tested = tried if tested is None else tested.union(tried)
         more = confirm(tried).join(links, ["a", "b"], "left_anti")
         if more.isEmpty():
             break
@@ -253,6 +258,7 @@ def join_outsiders(met: DataFrame, links: DataFrame, labels: DataFrame, docs: Da
 
     placed = labelled(added)
     mixed = placed.groupBy("hub", "value").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("hub", "value")
+    mixed = stage(mixed, "mixed")
     placed = placed.join(mixed, ["hub", "value"], "left_semi")
     # x needs percent * |x| - I(x) added elements in common with any partner, so its rarest others suffice
     order = F.sort_array(F.collect_list(F.struct("f", "value"))).alias("held")
@@ -270,7 +276,8 @@ def join_outsiders(met: DataFrame, links: DataFrame, labels: DataFrame, docs: Da
     once = F.col("in_y") | (F.col("id_x") < F.col("id_y"))
     close = bound(outside, "x").join(bound(labelled(diffs), "y"), "hub").filter(apart & fits & once)
     pairs = sharing.select("id_x", "id_y").union(close.select("id_x", "id_y"))
-    cross = stage(pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct(), "cross")
+    pairs = pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+    cross = stage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "cross")
     if cross.isEmpty():
         return labels
     more = confirm(cross)
@@ -289,13 +296,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K, words: int =
     """
     sets = stage(sketches(docs, k, words), "sketches")
     filled = sets.filter("n > 0")
-    classes = filled.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
+    # aggregates are stored before they are joined back: only then can Spark split the joins of hot keys
+    classes = stage(filled.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "class-ids")
     chosen = classes.select(F.col("rep").alias("doc_id"), "d1", "d2", "n")
     reps = stage(filled.join(chosen, ["doc_id", "d1", "d2", "n"], "left_semi").dropDuplicates(["doc_id", "d1", "d2", "n"]).withColumnRenamed("doc_id", "id"), "classes")
     lists = stage(inverted_lists(reps, percent, k), "lists")
 
     rank = F.max(F.struct("pop", (-F.col("id")).alias("minus"), "n"))
-    hubs = lists.groupBy("value").agg(rank.alias("h")).select("value", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n"))
+    hubs = stage(lists.groupBy("value").agg(rank.alias("h")).select("value", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n")), "hubs")
     met = stage(lists.join(hubs, "value").filter(F.col("id") != F.col("hub")).groupBy("hub", "id").agg(F.max("pop").alias("pop"), F.max("n").alias("n"), F.max("hub_n").alias("hub_n")), "met")
     pairs = met.filter((100 * F.least("n", "hub_n")) >= (percent * F.greatest("n", "hub_n")))
     pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
