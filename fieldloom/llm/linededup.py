@@ -12,8 +12,8 @@ A template recurs if it appears in ``LEAST`` families of documents. Copies of on
 document are a family, not a recurrence: families are told apart by three marks of a
 document (the least of its lines' hashes under two hash functions, and its longest
 line), which copies share unless that very line was edited. The largest of the three
-counts must also be ``SPREAD`` of the documents that hold the template. Every line of a
-recurring template is dropped.
+counts must also be ``SPREAD`` of the different texts that hold the template. Every line
+of a recurring template is dropped.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ LEAST = 4
 SPREAD = 0.55
 CONSTANT = 0.7
 FIXED = 0.6
-#: Leaves up to which they are broadcast (16 bytes each); more are joined by shuffle.
-BROADCAST_LEAVES = 500_000
+#: Rows of keys, or of documents with lines to drop, up to which a table is broadcast (some 40 MB); more are joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 #: Runs of blanks other than a single space; tokens that hold a digit, found from their first character.
 _BLANKS = " [ \\t\\r\\f\\x0B]+|[\\t\\r\\f\\x0B][ \\t\\r\\f\\x0B]*"
@@ -39,43 +39,57 @@ _FIELD = "(?<![^ ])[^ 0-9]*[0-9][^ ]*"
 
 
 def _masked(line):
+    """The line with single blanks and masked fields."""
     line = F.trim(F.regexp_replace(line, _BLANKS, " "))
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, _FIELD, "<*>")).otherwise(line)
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """A stored table, broadcast where it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def document_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, template (masked line), tokens, leaf and the document's three marks s1-s3."""
-    lines = F.transform(F.split("text", "\n", -1), _masked)
+    """doc_id, pos, template (masked line), tokens, leaf, and the document's digest and three marks s1-s3."""
+    # decided once a document, outside the functions over its lines: most need no pattern
+    odd = F.col("text").rlike("[0-9]")
+    for c in ("  ", "\t", "\r", "\f", "\x0b"):
+        odd = odd | (F.instr("text", c) > 0)
+    parts = F.split("text", "\n", -1)
+    lines = F.when(odd, F.transform(parts, _masked)).otherwise(F.transform(parts, F.trim))
     filled = F.filter("lines", lambda x: x != "")
     marks = [F.array_min(F.transform(filled, lambda x, f=f: F.md5(F.concat(F.lit(f), x).cast("binary")))).alias(f"s{f}") for f in "12"]
     marks.append(F.array_max(F.transform(filled, lambda x: F.struct(F.length(x).alias("n"), F.md5(x.cast("binary")).alias("h"))))["h"].alias("s3"))
-    rows = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", lines.alias("lines")).select("doc_id", "lines", *marks)
-    rows = rows.select("doc_id", "s1", "s2", "s3", F.posexplode("lines").alias("pos", "template"))
-    rows = rows.withColumn("tokens", F.size(F.split("template", " "))).filter(F.col("tokens") >= LEAST_TOKENS)
+    rows = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", F.md5(F.col("text").cast("binary")).alias("whole"), lines.alias("lines")).select("doc_id", "whole", "lines", *marks)
+    rows = rows.select("doc_id", "whole", "s1", "s2", "s3", F.posexplode("lines").alias("pos", "template"))
+    tokens = F.octet_length("template") - F.octet_length(F.replace("template", F.lit(" "), F.lit(""))) + 1
+    rows = rows.withColumn("tokens", tokens).filter(F.col("tokens") >= LEAST_TOKENS)
     leaf = F.md5(F.concat_ws(" ", F.col("tokens").cast("string"), F.substring_index("template", " ", LEAD)).cast("binary"))
     return rows.withColumn("leaf", leaf)
 
 
 def recurring(uses: DataFrame, *key: str) -> DataFrame:
-    """Keys of ``uses`` (key..., doc_id, s1, s2, s3) that appear in enough families of documents."""
-    counts = [F.countDistinct(c).alias(f"n_{c}") for c in ("doc_id", "s1", "s2", "s3")]
+    """Keys of ``uses`` (key..., whole, s1, s2, s3) that appear in enough families of documents."""
+    counts = [F.countDistinct(c).alias(f"n_{c}") for c in ("whole", "s1", "s2", "s3")]
     families = F.greatest("n_s1", "n_s2", "n_s3")
-    return uses.groupBy(*key).agg(*counts).filter((families >= LEAST) & (families >= SPREAD * F.col("n_doc_id"))).select(*key)
+    return uses.groupBy(*key).agg(*counts).filter((families >= LEAST) & (families >= SPREAD * F.col("n_whole"))).select(*key)
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, pos): the lines of recurring templates. ``docs`` (doc_id, text) is read more than once."""
     lines = document_lines(docs)
-    held = stage(lines.withColumn("key", F.md5(F.col("template").cast("binary"))).drop("tokens"), "lines")
+    held = stage(lines.withColumn("key", F.md5(F.col("template").cast("binary"))), "lines")
     marks = held.drop("template")
-    often = marks.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("key")
-    exact = stage(recurring(marks.join(often, "key", "left_semi"), "key"), "templates")
+    # aggregates and joins are stored apart: only then can Spark split the join of a very common line, and combine its uses before dealing them
+    often = stage(marks.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("key"), "often")
+    uses = stage(marks.join(_few(often), "key", "left_semi").select("key", "whole", "s1", "s2", "s3"), "uses")
+    exact = stage(recurring(uses, "key"), "templates")
+    exact = _few(exact)
     first = marks.join(exact, "key", "left_semi").select("doc_id", "pos")
 
     rest = marks.select("leaf", "key").join(exact, "key", "left_anti")
     leaves = stage(rest.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("leaf"), "leaves")
-    near = leaves if leaves.count() > BROADCAST_LEAVES else F.broadcast(leaves)
-    members = held.join(near, "leaf", "left_semi").join(exact, "key", "left_anti").withColumn("tokens", F.size(F.split("template", " ")))
+    members = held.join(_few(leaves), "leaf", "left_semi").join(exact, "key", "left_anti")
     members = stage(members, "leaf-lines")
     distinct = members.groupBy("leaf", "key").agg(F.min("template").alias("template"), F.min("tokens").alias("tokens"))
     sizes = distinct.groupBy("leaf").agg(F.count("*").alias("distinct_lines"), F.min("tokens").alias("tokens")).filter(F.col("distinct_lines") >= LEAST)
@@ -84,7 +98,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     # at most one token passes at each position, since CONSTANT is over a half
     constants = votes.groupBy("leaf", "tokens").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("constants")).filter(F.size("constants") >= FIXED * F.col("tokens"))
     fits = F.forall("constants", lambda c: F.split("template", " ")[c["at"]] == c["token"])
-    fitting = stage(members.join(constants.select("leaf", "constants"), "leaf").filter(fits).select("doc_id", "pos", "s1", "s2", "s3", "leaf"), "fitting")
+    fitting = stage(members.join(constants.select("leaf", "constants"), "leaf").filter(fits).select("doc_id", "pos", "whole", "s1", "s2", "s3", "leaf"), "fitting")
     second = fitting.join(recurring(fitting, "leaf"), "leaf", "left_semi").select("doc_id", "pos")
     return first.union(second)
 
@@ -99,9 +113,11 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     count as one document. A null doc_id has no lines dropped. An empty table gives an
     empty result.
     """
-    gone = stage(dropped_lines(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.collect_set("pos").alias("__gone_lines")).withColumnRenamed("doc_id", "__gone_from"), "dropped")
+    lost = stage(dropped_lines(docs).filter("doc_id is not null"), "lost")
+    gone = stage(lost.groupBy("doc_id").agg(F.collect_set("pos").alias("__gone_lines")).withColumnRenamed("doc_id", "__gone_from"), "dropped")
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.array_contains("__gone_lines", i))
+    gone = F.broadcast(gone) if lost.count() <= BROADCAST_ROWS else gone
     out = docs.drop("n_lines", "n_dropped").join(gone, F.col("doc_id") == F.col("__gone_from"), "left")
     out = out.withColumn("n_lines", F.size(lines)).withColumn("n_dropped", F.coalesce(F.size("__gone_lines"), F.lit(0)))
     out = out.withColumn("n_dropped", F.greatest("n_dropped", F.lit(0))).withColumn("text", F.when(F.col("__gone_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
@@ -113,7 +129,7 @@ ORACLE_SQL = rf"""
 WITH raw AS (
   SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
 ), lines AS (
-  SELECT doc_id, unnest(range(len(parts))) AS pos,
+  SELECT doc_id, md5(text) AS whole, unnest(range(len(parts))) AS pos,
     unnest(list_transform(parts, lambda x: regexp_replace(trim(regexp_replace(x, '[ \t\r\f\x0B]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g'))) AS template
   FROM raw
 ), marks AS (
@@ -121,12 +137,12 @@ WITH raw AS (
     arg_max(md5(template), struct_pack(n := length(template), h := md5(template))) AS s3
   FROM lines WHERE template <> '' GROUP BY doc_id
 ), uses AS (
-  SELECT doc_id, pos, template, s1, s2, s3, len(string_split(template, ' ')) AS tokens,
+  SELECT doc_id, pos, template, whole, s1, s2, s3, len(string_split(template, ' ')) AS tokens,
     len(string_split(template, ' ')) || ' ' || array_to_string(string_split(template, ' ')[1:{LEAD}], ' ') AS leaf
   FROM lines JOIN marks USING (doc_id) WHERE len(string_split(template, ' ')) >= {LEAST_TOKENS}
 ), exact AS (
   SELECT template FROM uses GROUP BY template
-  HAVING greatest(count(DISTINCT s1), count(DISTINCT s2), count(DISTINCT s3)) >= greatest({LEAST}, {SPREAD} * count(DISTINCT doc_id))
+  HAVING greatest(count(DISTINCT s1), count(DISTINCT s2), count(DISTINCT s3)) >= greatest({LEAST}, {SPREAD} * count(DISTINCT whole))
 ), rest AS (
   SELECT * FROM uses ANTI JOIN exact USING (template)
 ), distinct_lines AS (
@@ -141,11 +157,11 @@ WITH raw AS (
 ), constants AS (
   SELECT leaf, list(struct_pack(place := place, token := token)) AS c FROM votes GROUP BY leaf, tokens HAVING count(*) >= {FIXED} * tokens
 ), fitting AS (
-  SELECT doc_id, pos, s1, s2, s3, leaf FROM rest JOIN constants USING (leaf)
+  SELECT doc_id, pos, whole, s1, s2, s3, leaf FROM rest JOIN constants USING (leaf)
   WHERE len(list_filter(c, lambda x: string_split(template, ' ')[x.place + 1] <> x.token)) = 0
 ), general AS (
   SELECT leaf FROM fitting GROUP BY leaf
-  HAVING greatest(count(DISTINCT s1), count(DISTINCT s2), count(DISTINCT s3)) >= greatest({LEAST}, {SPREAD} * count(DISTINCT doc_id))
+  HAVING greatest(count(DISTINCT s1), count(DISTINCT s2), count(DISTINCT s3)) >= greatest({LEAST}, {SPREAD} * count(DISTINCT whole))
 ), gone AS (
   SELECT doc_id, pos FROM uses SEMI JOIN exact USING (template) UNION SELECT doc_id, pos FROM fitting SEMI JOIN general USING (leaf)
 ), per_doc AS (
