@@ -12,8 +12,8 @@ A template recurs if it appears in ``LEAST`` families of documents. Copies of on
 document are a family, not a recurrence: families are told apart by three marks of a
 document (the least of its lines' hashes under two hash functions, and its longest
 line), which copies share unless that very line was edited. The largest of the three
-counts must also be ``SPREAD`` of the different texts that hold the template. Every line
-of a recurring template is dropped.
+counts must also be ``SPREAD`` of the different texts and ``ROW_SPREAD`` of the documents
+that hold the template. Every line of a recurring template is dropped.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ LEAD = 3
 LEAST_TOKENS = 5
 LEAST = 4
 SPREAD = 0.55
+ROW_SPREAD = 0.3
 CONSTANT = 0.7
 FIXED = 0.6
 #: Rows of keys, or of documents with lines to drop, up to which a table is broadcast (some 40 MB); more are joined by shuffle.
@@ -59,7 +60,8 @@ def document_lines(docs: DataFrame) -> DataFrame:
     lines = F.when(odd, F.transform(parts, _masked)).otherwise(F.transform(parts, F.trim))
     filled = F.filter("lines", lambda x: x != "")
     marks = [F.array_min(F.transform(filled, lambda x, f=f: F.md5(F.concat(F.lit(f), x).cast("binary")))).alias(f"s{f}") for f in "12"]
-    marks.append(F.array_max(F.transform(filled, lambda x: F.struct(F.length(x).alias("n"), F.md5(x.cast("binary")).alias("h"))))["h"].alias("s3"))
+    longest = F.array_max(F.transform(filled, lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))))["line"]
+    marks.append(F.md5(longest.cast("binary")).alias("s3"))
     rows = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", F.md5(F.col("text").cast("binary")).alias("whole"), lines.alias("lines")).select("doc_id", "whole", "lines", *marks)
     rows = rows.select("doc_id", "whole", "s1", "s2", "s3", F.posexplode("lines").alias("pos", "template"))
     tokens = F.octet_length("template") - F.octet_length(F.replace("template", F.lit(" "), F.lit(""))) + 1
@@ -69,10 +71,10 @@ def document_lines(docs: DataFrame) -> DataFrame:
 
 
 def recurring(uses: DataFrame, *key: str) -> DataFrame:
-    """Keys of ``uses`` (key..., whole, s1, s2, s3) that appear in enough families of documents."""
-    counts = [F.countDistinct(c).alias(f"n_{c}") for c in ("whole", "s1", "s2", "s3")]
+    """Keys of ``uses`` (key..., doc_id, whole, s1, s2, s3) that appear in enough families of documents."""
+    counts = [F.countDistinct(c).alias(f"n_{c}") for c in ("doc_id", "whole", "s1", "s2", "s3")]
     families = F.greatest("n_s1", "n_s2", "n_s3")
-    return uses.groupBy(*key).agg(*counts).filter((families >= LEAST) & (families >= SPREAD * F.col("n_whole"))).select(*key)
+    return uses.groupBy(*key).agg(*counts).filter((families >= LEAST) & (families >= SPREAD * F.col("n_whole")) & (families >= ROW_SPREAD * F.col("n_doc_id"))).select(*key)
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -82,7 +84,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     marks = held.drop("template")
     # aggregates and joins are stored apart: only then can Spark split the join of a very common line, and combine its uses before dealing them
     often = stage(marks.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("key"), "often")
-    uses = stage(marks.join(_few(often), "key", "left_semi").select("key", "whole", "s1", "s2", "s3"), "uses")
+    uses = stage(marks.join(_few(often), "key", "left_semi").select("key", "doc_id", "whole", "s1", "s2", "s3"), "uses")
     exact = stage(recurring(uses, "key"), "templates")
     exact = _few(exact)
     first = marks.join(exact, "key", "left_semi").select("doc_id", "pos")
@@ -134,7 +136,7 @@ WITH raw AS (
   FROM raw
 ), marks AS (
   SELECT doc_id, min(md5('1' || template)) AS s1, min(md5('2' || template)) AS s2,
-    arg_max(md5(template), struct_pack(n := length(template), h := md5(template))) AS s3
+    md5(arg_max(template, struct_pack(n := length(template), line := template))) AS s3
   FROM lines WHERE template <> '' GROUP BY doc_id
 ), uses AS (
   SELECT doc_id, pos, template, whole, s1, s2, s3, len(string_split(template, ' ')) AS tokens,
@@ -142,7 +144,7 @@ WITH raw AS (
   FROM lines JOIN marks USING (doc_id) WHERE len(string_split(template, ' ')) >= {LEAST_TOKENS}
 ), exact AS (
   SELECT template FROM uses GROUP BY template
-  HAVING greatest(count(DISTINCT s1), count(DISTINCT s2), count(DISTINCT s3)) >= greatest({LEAST}, {SPREAD} * count(DISTINCT whole))
+  HAVING greatest(count(DISTINCT s1), count(DISTINCT s2), count(DISTINCT s3)) >= greatest({LEAST}, {SPREAD} * count(DISTINCT whole), {ROW_SPREAD} * count(DISTINCT doc_id))
 ), rest AS (
   SELECT * FROM uses ANTI JOIN exact USING (template)
 ), distinct_lines AS (
@@ -161,7 +163,7 @@ WITH raw AS (
   WHERE len(list_filter(c, lambda x: string_split(template, ' ')[x.place + 1] <> x.token)) = 0
 ), general AS (
   SELECT leaf FROM fitting GROUP BY leaf
-  HAVING greatest(count(DISTINCT s1), count(DISTINCT s2), count(DISTINCT s3)) >= greatest({LEAST}, {SPREAD} * count(DISTINCT whole))
+  HAVING greatest(count(DISTINCT s1), count(DISTINCT s2), count(DISTINCT s3)) >= greatest({LEAST}, {SPREAD} * count(DISTINCT whole), {ROW_SPREAD} * count(DISTINCT doc_id))
 ), gone AS (
   SELECT doc_id, pos FROM uses SEMI JOIN exact USING (template) UNION SELECT doc_id, pos FROM fitting SEMI JOIN general USING (leaf)
 ), per_doc AS (
