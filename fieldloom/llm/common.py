@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -77,7 +79,13 @@ def kept(name, make):
 
 
 def release() -> None:
-    _kept.clear()
+    """Drop what this worker keeps, and give freed memory back to the system where its C library can."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
 
 
 def map_arrow(df: DataFrame, run, schema: str, keeps: bool = False) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import id_and_text, kept, map_arrow, new_path, path_exists, stage
 
 #: Pre-tokens that one generation of a worker's memory holds.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
 
 
 @lru_cache(maxsize=2)
