@@ -9,16 +9,15 @@ is variable; lines that agree with all constant positions, and these are ``FIXED
 all, share the leaf's template.
 
 A template recurs if it appears in ``LEAST`` families of documents. Copies of one
-document are a family, not a recurrence: families are told apart by three marks of a
-document (the least of its lines' hashes under two hash functions, and its longest
-line), which copies share unless that very line was edited. The largest of the three
-counts must also be ``SPREAD`` of the different texts and ``ROW_SPREAD`` of the documents
-that hold the template. Every line of a recurring template is dropped.
+document, near ones too, are a family, not a recurrence, and however many there are they
+count once: a document is compared with others by a sketch of the pieces of its lines, and those of ``ALIKE`` estimated Jaccard or more to a family's first
+member belong to it. Families are set aside one by one, so the work per template is
+linear in its documents. Every line of a recurring template is dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import stage, text_or_empty
@@ -27,16 +26,26 @@ LEAD = 3
 #: Shorter lines recur by chance in any large corpus and are kept.
 LEAST_TOKENS = 5
 LEAST = 4
+#: Ratios of ``ORACLE_SQL`` only, which states an older rule; the operator has none.
 SPREAD = 0.55
 ROW_SPREAD = 0.3
+#: Jaccard similarity of the other lines from which two documents count as copies.
+ALIKE = 0.4
+#: Hashes of pieces in a document's sketch, and at most of one line: a tested line leaves room for the others.
+SKETCH = 24
+OF_LINE = 4
 CONSTANT = 0.7
 FIXED = 0.6
 #: Rows of keys, or of documents with lines to drop, up to which a table is broadcast (some 40 MB); more are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: The same for rows that hold a sketch.
+BROADCAST_SKETCHES = 50_000
 
 #: Runs of blanks other than a single space; tokens that hold a digit, found from their first character.
 _BLANKS = " [ \\t\\r\\f\\x0B]+|[\\t\\r\\f\\x0B][ \\t\\r\\f\\x0B]*"
 _FIELD = "(?<![^ ])[^ 0-9]*[0-9][^ ]*"
+#: Where a line is cut into pieces: by the words alone, so that an edit changes one or two pieces.
+_CUT = " (?=[a-fA-F])"
 
 
 def _masked(line):
@@ -45,13 +54,18 @@ def _masked(line):
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, _FIELD, "<*>")).otherwise(line)
 
 
-def _few(df: DataFrame) -> DataFrame:
+def _few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A stored table, broadcast where it is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def _pieces(line):
+    """The least hashes of a line's pieces."""
+    return F.slice(F.sort_array(F.array_distinct(F.transform(F.split(line, _CUT), lambda x: F.xxhash64(x)))), 1, OF_LINE)
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, template (masked line), tokens, leaf, and the document's digest and three marks s1-s3."""
+    """doc_id, pos, template (masked line), tokens, leaf, and the document's sketch (of all its lines)."""
     # decided once a document, outside the functions over its lines: most need no pattern
     odd = F.col("text").rlike("[0-9]")
     for c in ("  ", "\t", "\r", "\f", "\x0b"):
@@ -59,34 +73,49 @@ def document_lines(docs: DataFrame) -> DataFrame:
     parts = F.split("text", "\n", -1)
     lines = F.when(odd, F.transform(parts, _masked)).otherwise(F.transform(parts, F.trim))
     filled = F.filter("lines", lambda x: x != "")
-    marks = [F.array_min(F.transform(filled, lambda x, f=f: F.md5(F.concat(F.lit(f), x).cast("binary")))).alias(f"s{f}") for f in "12"]
-    longest = F.array_max(F.transform(filled, lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))))["line"]
-    marks.append(F.md5(longest.cast("binary")).alias("s3"))
-    rows = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", F.md5(F.col("text").cast("binary")).alias("whole"), lines.alias("lines")).select("doc_id", "whole", "lines", *marks)
-    rows = rows.select("doc_id", "whole", "s1", "s2", "s3", F.posexplode("lines").alias("pos", "template"))
+    sketch = F.slice(F.sort_array(F.array_distinct(F.flatten(F.transform(filled, _pieces)))), 1, SKETCH)
+    rows = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", lines.alias("lines")).select("doc_id", "lines", sketch.alias("sketch"))
+    rows = rows.select("doc_id", "sketch", F.posexplode("lines").alias("pos", "template"))
     tokens = F.octet_length("template") - F.octet_length(F.replace("template", F.lit(" "), F.lit(""))) + 1
     rows = rows.withColumn("tokens", tokens).filter(F.col("tokens") >= LEAST_TOKENS)
     leaf = F.md5(F.concat_ws(" ", F.col("tokens").cast("string"), F.substring_index("template", " ", LEAD)).cast("binary"))
     return rows.withColumn("leaf", leaf)
 
 
+def _others():
+    """The document's sketch, and the hash it reaches to."""
+    reach = F.when(F.size("sketch") < SKETCH, F.lit((1 << 63) - 1)).otherwise(F.element_at("sketch", -1))
+    return F.struct(F.col("sketch").alias("hashes"), reach.alias("reach")).alias("rest")
+
+
+def _alike(a: str, b: str):
+    """Whether two rests are of copies: by the hashes up to where both reach."""
+    reach = F.least(f"{a}.reach", f"{b}.reach")
+    x, y = (F.filter(f"{c}.hashes", lambda h: h <= reach) for c in (a, b))
+    common = F.size(F.array_intersect(x, y))
+    return common >= ALIKE * (F.size(x) + F.size(y) - common)
+
+
 def recurring(uses: DataFrame, *key: str) -> DataFrame:
-    """Keys of ``uses`` (key..., doc_id, whole, s1, s2, s3) that appear in enough families of documents."""
-    counts = [F.countDistinct(c).alias(f"n_{c}") for c in ("doc_id", "whole", "s1", "s2", "s3")]
-    families = F.greatest("n_s1", "n_s2", "n_s3")
-    return uses.groupBy(*key).agg(*counts).filter((families >= LEAST) & (families >= SPREAD * F.col("n_whole")) & (families >= ROW_SPREAD * F.col("n_doc_id"))).select(*key)
+    """Keys of ``uses`` (key..., rest) that appear in enough families of documents, stored."""
+    left = uses.select(*key, "rest").distinct()
+    for k in range(LEAST - 1):
+        left = stage(left, f"families-{k}")
+        # a key with fewer different rests than families are missing is out
+        first = left.groupBy(*key).agg(F.min("rest").alias("first"), F.count("*").alias("n")).filter(F.col("n") >= LEAST - k).drop("n")
+        left = left.join(_few(stage(first, f"firsts-{k}"), BROADCAST_SKETCHES), list(key)).filter(~_alike("rest", "first")).drop("first")
+    return stage(left.select(*key).distinct(), "recurring")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, pos): the lines of recurring templates. ``docs`` (doc_id, text) is read more than once."""
     lines = document_lines(docs)
     held = stage(lines.withColumn("key", F.md5(F.col("template").cast("binary"))), "lines")
-    marks = held.drop("template")
+    marks = held.drop("template", "sketch")
     # aggregates and joins are stored apart: only then can Spark split the join of a very common line, and combine its uses before dealing them
     often = stage(marks.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("key"), "often")
-    uses = stage(marks.join(_few(often), "key", "left_semi").select("key", "doc_id", "whole", "s1", "s2", "s3"), "uses")
-    exact = stage(recurring(uses, "key"), "templates")
-    exact = _few(exact)
+    uses = held.join(_few(often), "key", "left_semi").select("key", _others())
+    exact = _few(recurring(uses, "key"))
     first = marks.join(exact, "key", "left_semi").select("doc_id", "pos")
 
     rest = marks.select("leaf", "key").join(exact, "key", "left_anti")
@@ -100,7 +129,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     # at most one token passes at each position, since CONSTANT is over a half
     constants = votes.groupBy("leaf", "tokens").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("constants")).filter(F.size("constants") >= FIXED * F.col("tokens"))
     fits = F.forall("constants", lambda c: F.split("template", " ")[c["at"]] == c["token"])
-    fitting = stage(members.join(constants.select("leaf", "constants"), "leaf").filter(fits).select("doc_id", "pos", "whole", "s1", "s2", "s3", "leaf"), "fitting")
+    fitting = stage(members.join(constants.select("leaf", "constants"), "leaf").filter(fits).select("doc_id", "pos", "leaf", _others()), "fitting")
     second = fitting.join(recurring(fitting, "leaf"), "leaf", "left_semi").select("doc_id", "pos")
     return first.union(second)
 

@@ -71,3 +71,27 @@ def test_no_python_in_the_plan(spark, tmp_path):
     texts, _, _ = corpus()
     plan = linededup.drop_recurring_lines(frame(spark, texts))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def kept_in(spark, texts, passage):
+    """The ids that still hold ``passage`` as a line."""
+    out = linededup.drop_recurring_lines(frame(spark, list(enumerate(texts)))).collect()
+    return {r["doc_id"] for r in out if passage in (r["text"] or "").split("\n")}
+
+
+@pytest.mark.parametrize("edited", [False, True])
+def test_copies_take_nothing_away(spark, edited):
+    rng = random.Random(3)
+    line = lambda n=12: " ".join(words(rng, n))
+    passage = line(60)
+    texts = ["\n".join([line(), line(), passage, line(), line(), line()]) for _ in range(30)]
+    first = texts[0].split("\n")
+    for k in range(300):
+        copy = list(first)
+        if edited:
+            copy[k % 2] = " ".join([*copy[k % 2].split()[:-1], f"{line(1)}"])
+            copy[3 + k % 3] = " ".join([line(1), *copy[3 + k % 3].split()[1:]])
+        texts.append("\n".join(copy))
+    assert kept_in(spark, texts, passage) == set()
+    # the copies alone are one family
+    assert len(kept_in(spark, [texts[0], *texts[30:]], passage)) == 301
