@@ -10,7 +10,8 @@ all, share the leaf's template.
 
 A template recurs if it appears in ``LEAST`` families of documents. Copies of one
 document, near ones too, are a family, not a recurrence, and however many there are they
-count once: a document is compared with others by a sketch of the pieces of its lines, and those of ``ALIKE`` estimated Jaccard or more to a family's first
+count once: a document is compared with others by a sketch of the pieces of all its lines
+but the tested one, and those of ``ALIKE`` estimated Jaccard or more to a family's first
 member belong to it. Families are set aside one by one, so the work per template is
 linear in its documents. Every line of a recurring template is dropped.
 """
@@ -83,9 +84,9 @@ def document_lines(docs: DataFrame) -> DataFrame:
 
 
 def _others():
-    """The document's sketch, and the hash it reaches to."""
+    """The rest of a document's sketch without the pieces of the line ``template``, and the hash it reaches to."""
     reach = F.when(F.size("sketch") < SKETCH, F.lit((1 << 63) - 1)).otherwise(F.element_at("sketch", -1))
-    return F.struct(F.col("sketch").alias("hashes"), reach.alias("reach")).alias("rest")
+    return F.struct(F.array_except("sketch", _pieces(F.col("template"))).alias("hashes"), reach.alias("reach")).alias("rest")
 
 
 def _alike(a: str, b: str):

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import duckdb
@@ -95,3 +96,13 @@ def test_copies_take_nothing_away(spark, edited):
     assert kept_in(spark, texts, passage) == set()
     # the copies alone are one family
     assert len(kept_in(spark, [texts[0], *texts[30:]], passage)) == 301
+
+
+@pytest.mark.parametrize("own", [1, 2])
+def test_a_passage_that_outweighs_the_other_lines_goes(spark, own):
+    rng = random.Random(4)
+    line = lambda n=10: " ".join(words(rng, n))
+    # the longest line, and least under the two hashes that marked documents before
+    passage = min((line(120) for _ in range(3000)), key=lambda x: max(hashlib.md5((f + x).encode()).hexdigest() for f in "12"))
+    texts = ["\n".join([*(line() for _ in range(own)), passage]) for _ in range(40)]
+    assert kept_in(spark, texts, passage) == set()
