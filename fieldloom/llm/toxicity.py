@@ -179,17 +179,23 @@ def _score_batches(model, curve):
     return run
 
 
-def _dense(df: DataFrame, index: str, columns: list[str], size: int, dtype=np.float32) -> np.ndarray:
+def _dense(df: DataFrame, index: str, columns: list[str], size: int) -> np.ndarray:
     """Columns of a table of at most ``size`` rows as dense arrays over ``index``."""
     got = df.select(index, *columns).toArrow()
-    out = np.zeros((len(columns), size), dtype)
+    out = np.zeros((len(columns), size), np.float32)
     at = got[index].to_numpy()
     for k, c in enumerate(columns):
-        column = got[c].to_numpy()
-        out[k, at] = column if dtype == np.float32 else np.minimum(column, np.iinfo(dtype).max)
+        out[k, at] = got[c].to_numpy()
     return out
 
 
+def pair_counts(bigrams: DataFrame) -> np.ndarray:
+    """[2, BIGRAMS] documents of either class with the bigrams of a bucket, from (key, toxic, ordinary)."""
+    repeated = map_arrow(bigrams.filter("toxic > 1 or ordinary > 1").select("key", "toxic", "ordinary"), _bucket_batches, "bucket long, toxic long, ordinary long")
+    often = lambda c: F.sum(F.when(F.col(c) > 1, F.col(c)).otherwise(0)).alias(c)
+    return _dense(repeated.groupBy("bucket").agg(often("ordinary"), often("toxic")), "bucket", ["ordinary", "toxic"], BIGRAMS)
+
+
 def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, toxic, fold of the rows that labels may be learned from: folds 1 to 4.
 
@@ -219,9 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame):
     before = _dense(by_word, "w", ["b0", "b1", "pooled"], VOCABULARY)
     after = _dense(by_history, "w", ["t0", "t1", "s0", "s1", "m0", "m1"], VOCABULARY)
     holds, stems = (_dense(counts.filter(F.col("kind") == k).select(word.alias("w"), "ordinary", "toxic"), "w", ["ordinary", "toxic"], VOCABULARY) for k in (1, 2))
-    repeated = map_arrow(bigrams.filter("toxic > 1 or ordinary > 1").select("key", "toxic", "ordinary"), _bucket_batches, "bucket long, toxic long, ordinary long")
-    often = lambda c: F.sum(F.when(F.col(c) > 1, F.col(c)).otherwise(0)).alias(c)
-    pairs = _dense(repeated.groupBy("bucket").agg(often("ordinary"), often("toxic")), "bucket", ["ordinary", "toxic"], BIGRAMS, np.uint16)
+    pairs = pair_counts(bigrams)
     model = spark.sparkContext.broadcast(KneserNey(pairs, after[0:2], after[2:4], after[4:6], np.minimum(before[:2], holds), before[2], stems))
 
     seen = map_arrow(learn.filter("fold = 1").select("doc_id", "toxic", "text"), _feature_batches(model), "doc_id long, toxic long, x array<double>")

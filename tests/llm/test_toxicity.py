@@ -68,3 +68,9 @@ def test_bigram_probabilities_sum_to_one():
     for c in range(2):
         total = (model.low[c].astype(np.float64) + model.left[c] * model.stem[c][0]).sum()
         assert abs(total - 1) < 1e-3
+
+
+def test_counts_of_frequent_bigrams_are_not_clipped(spark):
+    key = (5 << toxicity.BITS) | 7
+    counts = toxicity.pair_counts(spark.createDataFrame([(key, 70_000, 830_000)], "key long, toxic long, ordinary long"))
+    assert counts.max(axis=1).tolist() == [830_000, 70_000]
