@@ -6,9 +6,10 @@ how the two models' log-likelihoods differ, normalised by length, over the whole
 and over its most toxic stretches; a logistic curve turns these differences into a
 probability. The curve is fitted on a fold that the counts leave out.
 
-Words are hashed to ``VOCABULARY`` numbers and bigrams to ``BIGRAMS`` buckets, so the
-tables that every worker receives have one size whatever the corpus; the counts behind
-them are aggregated over all labelled texts.
+Words are hashed to ``VOCABULARY`` numbers, so the tables by word have one size whatever
+the corpus. Bigrams of these numbers keep their own counts: a sorted table of all that
+recur, which grows with the labelled texts, in parts of about ``BIGRAMS``. The driver
+gathers one part at a time, and a worker holds ``HELD_PARTS`` and one more at most.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import id_and_text, map_arrow, stage
-from fieldloom.llm.textvec import NON_ALNUM, Words, mix, text_slices
+from fieldloom.llm.textvec import NON_ALNUM, Words, text_slices
 
 BITS = 20
 VOCABULARY = 1 << BITS
 BIGRAMS = 1 << 22
+HELD_PARTS = 4
 #: First bytes of a word, under which rare words share evidence.
 STEM_BYTES = 5
 #: Rows of the left-out fold on which the curve is fitted, at most (by hash of doc_id, all if fewer).
@@ -40,8 +42,42 @@ _WORD = np.uint64(VOCABULARY - 1)
 _HOLDS, _STEM = 1 << (2 * BITS), 2 << (2 * BITS)
 
 
-def bigram_bucket(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) & np.uint64(BIGRAMS - 1)).astype(np.int64)
+def part_number(keys, parts: int):
+    """The part of the bigram table that holds a key."""
+    return (keys ^ (keys >> BITS)) % parts
+
+
+class Pairs:
+    """Counts [2, keys] of bigrams, 0 for those not in the table. parts: (sorted keys, counts) each, or broadcasts of that."""
+
+    def __init__(self, parts: list):
+        self.parts = parts
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros((2, len(keys)), np.float32)
+        part_of = part_number(keys, len(self.parts)) if len(self.parts) > 1 else None
+        for k, part in enumerate(self.parts):
+            own = np.flatnonzero(part_of == k) if part_of is not None else slice(None)
+            known, n = getattr(part, "value", part)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys[own]), len(known) - 1)
+                out[:, own] = np.where(known[at] == keys[own], n[:, at], 0)
+            if k >= HELD_PARTS:
+                vars(part).pop("_value", None)  # read again from the worker's disk when next needed
+        return out
+
+
+class Model:
+    """What workers score with: a broadcast KneserNey, and the broadcast parts of its bigram table."""
+
+    def __init__(self, tables, parts: list):
+        self.tables, self.parts = tables, parts
+
+    @property
+    def value(self) -> KneserNey:
+        model = self.tables.value
+        model.pairs = Pairs(self.parts)
+        return model
 
 
 def word_numbers(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,8 +105,8 @@ def document_keys(words: Words) -> tuple[np.ndarray, np.ndarray]:
 class KneserNey:
     """Log-likelihood ratios of toxic to ordinary text, per word. All counts are of documents.
 
-    pairs: [2, BIGRAMS] documents with a bigram, where two or more (a bigram of one
-    document is discounted whole); total, single, more: [2, VOCABULARY] for a word as
+    pairs: Pairs, documents with a bigram, where two or more (a bigram of one document
+    is discounted whole); total, single, more: [2, VOCABULARY] for a word as
     history, the bigrams' documents summed, and its bigrams of one and of more documents;
     before: [2, VOCABULARY] distinct predecessors of a word, but no more than documents
     that hold it; pooled: [VOCABULARY] distinct predecessors over both classes; stems:
@@ -92,9 +128,9 @@ class KneserNey:
 
     def ratios(self, number: np.ndarray, before: np.ndarray, stem: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each word after its predecessor, and of each word alone."""
-        bucket = bigram_bucket((before << BITS) | number)
+        pairs = self.pairs.counts((before << BITS) | number)
         low = [self.low[c][number] + self.left[c][number] * self.stem[c][stem] for c in range(2)]
-        p = [np.maximum(self.pairs[c][bucket] - np.float32(self.discount), 0) / np.maximum(self.total[c][before], 1) + self.rest[c][before] * low[c] for c in range(2)]
+        p = [np.maximum(pairs[c] - np.float32(self.discount), 0) / np.maximum(self.total[c][before], 1) + self.rest[c][before] * low[c] for c in range(2)]
         return np.log(p[1] / p[0]), np.log(low[1] / low[0])
 
 
@@ -147,12 +183,6 @@ def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys >> 1), pa.array(counts)], ["key", "n"])
 
 
-def _bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        bucket = bigram_bucket(batch.column("key").to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column("toxic"), batch.column("ordinary")], ["bucket", "toxic", "ordinary"])
-
-
 def _feature_batches(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,11 +219,17 @@ def _dense(df: DataFrame, index: str, columns: list[str], size: int) -> np.ndarr
     return out
 
 
-def pair_counts(bigrams: DataFrame) -> np.ndarray:
-    """[2, BIGRAMS] documents of either class with the bigrams of a bucket, from (key, toxic, ordinary)."""
-    repeated = map_arrow(bigrams.filter("toxic > 1 or ordinary > 1").select("key", "toxic", "ordinary"), _bucket_batches, "bucket long, toxic long, ordinary long")
-    often = lambda c: F.sum(F.when(F.col(c) > 1, F.col(c)).otherwise(0)).alias(c)
-    return _dense(repeated.groupBy("bucket").agg(often("ordinary"), often("toxic")), "bucket", ["ordinary", "toxic"], BIGRAMS)
+def pair_counts(bigrams: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Parts of (sorted keys, [2, keys] documents of either class) of the bigrams that recur in a class, from (key, toxic, ordinary)."""
+    often = [F.when(F.col(c) > 1, F.col(c)).otherwise(0).cast("float").alias(c) for c in ("ordinary", "toxic")]
+    repeated = stage(bigrams.filter("toxic > 1 or ordinary > 1").select("key", *often), "bigrams")
+    parts = max(1, -(-repeated.count() // BIGRAMS))
+    part = F.col("key").bitwiseXOR(F.shiftright("key", BITS)) % parts
+    for k in range(parts):
+        got = repeated.filter(part == k).toArrow()
+        keys = got["key"].to_numpy()
+        order = np.argsort(keys)
+        yield keys[order], np.array([got[c].to_numpy()[order] for c in ("ordinary", "toxic")])
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -208,7 +244,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame):
-    """(broadcast KneserNey, curve) from labelled rows; fold 1 fits the curve, folds 2-4 are counted."""
+    """(Model, curve) from labelled rows; fold 1 fits the curve, folds 2-4 are counted."""
     spark = docs.sparkSession
     learn = labelled_texts(docs, labels)
     keys = map_arrow(learn.filter("fold > 1").select("text", "toxic"), _key_batches, "key long, n long")
@@ -225,8 +261,8 @@ def fit(docs: DataFrame, labels: DataFrame):
     before = _dense(by_word, "w", ["b0", "b1", "pooled"], VOCABULARY)
     after = _dense(by_history, "w", ["t0", "t1", "s0", "s1", "m0", "m1"], VOCABULARY)
     holds, stems = (_dense(counts.filter(F.col("kind") == k).select(word.alias("w"), "ordinary", "toxic"), "w", ["ordinary", "toxic"], VOCABULARY) for k in (1, 2))
-    pairs = pair_counts(bigrams)
-    model = spark.sparkContext.broadcast(KneserNey(pairs, after[0:2], after[2:4], after[4:6], np.minimum(before[:2], holds), before[2], stems))
+    parts = [spark.sparkContext.broadcast(part) for part in pair_counts(bigrams)]
+    model = Model(spark.sparkContext.broadcast(KneserNey(None, after[0:2], after[2:4], after[4:6], np.minimum(before[:2], holds), before[2], stems)), parts)
 
     seen = map_arrow(learn.filter("fold = 1").select("doc_id", "toxic", "text"), _feature_batches(model), "doc_id long, toxic long, x array<double>")
     sample = seen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS).toArrow()

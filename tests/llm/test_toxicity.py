@@ -73,4 +73,20 @@ def test_bigram_probabilities_sum_to_one():
 def test_counts_of_frequent_bigrams_are_not_clipped(spark):
     key = (5 << toxicity.BITS) | 7
     counts = toxicity.pair_counts(spark.createDataFrame([(key, 70_000, 830_000)], "key long, toxic long, ordinary long"))
-    assert counts.max(axis=1).tolist() == [830_000, 70_000]
+    assert [n.max(axis=1).tolist() for _, n in counts] == [[830_000, 70_000]]
+
+
+def test_every_bigram_keeps_its_own_counts(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << (2 * toxicity.BITS), 20_000))
+    rows = [(int(k), i % 5, i % 7) for i, k in enumerate(keys)]
+    want = np.array([[n if n > 1 else 0 for n in (o, t)] for _, t, o in rows], float).T
+    monkeypatch.setattr(toxicity, "BIGRAMS", 4096)  # several parts, some of them not held
+    monkeypatch.setattr(toxicity, "HELD_PARTS", 1)
+    parts = [spark.sparkContext.broadcast(p) for p in toxicity.pair_counts(spark.createDataFrame(rows, "key long, toxic long, ordinary long"))]
+    assert len(parts) > 2
+    pairs = toxicity.Pairs(parts)
+    for _ in range(2):
+        assert (pairs.counts(keys) == want).all()
+    absent = np.setdiff1d(rng.integers(0, 1 << (2 * toxicity.BITS), 20_000), keys)
+    assert not pairs.counts(absent).any()
