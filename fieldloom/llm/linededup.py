@@ -2,11 +2,14 @@
 
 A line is split at blanks; tokens that hold a digit are variable fields. The tree has a
 fixed depth: lines go by token count, then by their first ``LEAD`` tokens, to a leaf.
-Within a leaf, lines that agree in all but variable fields share a template. Among the
-lines whose own template does not recur, a leaf is generalised once more: a position
-where one token holds ``CONSTANT`` of the leaf's distinct lines is constant, any other
-is variable; lines that agree with all constant positions, and these are ``FIXED`` of
-all, share the leaf's template.
+Within a leaf, lines that agree in all but variable fields share a template. The lines
+whose own template does not recur are generalised once more, in groups: the whole leaf,
+and, from ``PARTED`` tokens on, those of its lines that share one part of what follows
+the leading tokens (two parts, three from ``THREE_PARTS`` tokens on), so that several
+templates of a leaf, or ordinary lines beside them, do not outvote each other. A position
+where one token holds ``CONSTANT`` of the group's distinct lines is constant, any other
+is variable; lines that agree with all constant positions, and these are ``FIXED`` of all
+(``FIXED_PART`` in a group by part), share the group's template.
 
 A template recurs if it appears in ``LEAST`` families of documents. Copies of one
 document, near ones too, are a family, not a recurrence, and however many there are they
@@ -37,6 +40,9 @@ SKETCH = 24
 OF_LINE = 4
 CONSTANT = 0.7
 FIXED = 0.6
+FIXED_PART = 0.75
+PARTED = 7
+THREE_PARTS = 12
 #: Rows of keys, or of documents with lines to drop, up to which a table is broadcast (some 40 MB); more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: The same for rows that hold a sketch.
@@ -83,6 +89,19 @@ def document_lines(docs: DataFrame) -> DataFrame:
     return rows.withColumn("leaf", leaf)
 
 
+def _groups():
+    """The groups of a line: its leaf (part 0), and its leaf with each part of the tokens after the leading ones."""
+    words, parts = F.split("template", " "), F.when(F.col("tokens") >= THREE_PARTS, 3).otherwise(2)
+    rest = F.col("tokens") - LEAD
+
+    def part(k):
+        start, end = (F.floor(rest * x / parts).cast("int") for x in (k - 1, k))
+        return F.struct(k.alias("part"), F.md5(F.concat_ws(" ", "leaf", k.cast("string"), F.array_join(F.slice(words, start + LEAD + 1, end - start), " ")).cast("binary")).alias("group"))
+
+    whole = F.array(F.struct(F.lit(0).alias("part"), F.col("leaf").alias("group")))
+    return F.inline(F.when(F.col("tokens") >= PARTED, F.concat(whole, F.transform(F.sequence(F.lit(1), parts), part))).otherwise(whole))
+
+
 def _others():
     """The rest of a document's sketch without the pieces of the line ``template``, and the hash it reaches to."""
     reach = F.when(F.size("sketch") < SKETCH, F.lit((1 << 63) - 1)).otherwise(F.element_at("sketch", -1))
@@ -123,15 +142,17 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     leaves = stage(rest.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("leaf"), "leaves")
     members = held.join(_few(leaves), "leaf", "left_semi").join(exact, "key", "left_anti")
     members = stage(members, "leaf-lines")
-    distinct = members.groupBy("leaf", "key").agg(F.min("template").alias("template"), F.min("tokens").alias("tokens"))
-    sizes = distinct.groupBy("leaf").agg(F.count("*").alias("distinct_lines"), F.min("tokens").alias("tokens")).filter(F.col("distinct_lines") >= LEAST)
-    words = distinct.join(sizes.select("leaf"), "leaf", "left_semi").select("leaf", F.posexplode(F.split("template", " ")).alias("at", "token"))
-    votes = words.groupBy("leaf", "at", "token").agg(F.count("*").alias("n")).join(sizes, "leaf").filter(F.col("n") >= CONSTANT * F.col("distinct_lines"))
+    members = members.select("*", _groups())
+    distinct = members.groupBy("group", "key").agg(F.min("template").alias("template"), F.min("tokens").alias("tokens"), F.min("part").alias("part"))
+    sizes = distinct.groupBy("group").agg(F.count("*").alias("distinct_lines"), F.min("tokens").alias("tokens"), F.min("part").alias("part")).filter(F.col("distinct_lines") >= LEAST)
+    words = distinct.join(sizes.select("group"), "group", "left_semi").select("group", F.posexplode(F.split("template", " ")).alias("at", "token"))
+    votes = words.groupBy("group", "at", "token").agg(F.count("*").alias("n")).join(sizes, "group").filter(F.col("n") >= CONSTANT * F.col("distinct_lines"))
     # at most one token passes at each position, since CONSTANT is over a half
-    constants = votes.groupBy("leaf", "tokens").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("constants")).filter(F.size("constants") >= FIXED * F.col("tokens"))
+    constants = votes.groupBy("group", "tokens", "part").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("constants"))
+    constants = constants.filter(F.size("constants") >= F.when(F.col("part") == 0, FIXED).otherwise(FIXED_PART) * F.col("tokens")).select("group", "constants")
     fits = F.forall("constants", lambda c: F.split("template", " ")[c["at"]] == c["token"])
-    fitting = stage(members.join(constants.select("leaf", "constants"), "leaf").filter(fits).select("doc_id", "pos", "leaf", _others()), "fitting")
-    second = fitting.join(recurring(fitting, "leaf"), "leaf", "left_semi").select("doc_id", "pos")
+    fitting = stage(members.join(_few(stage(constants, "constants"), BROADCAST_SKETCHES), "group").filter(fits).select("doc_id", "pos", "group", _others()), "fitting")
+    second = fitting.join(recurring(fitting, "group"), "group", "left_semi").select("doc_id", "pos").distinct()
     return first.union(second)
 
 

@@ -106,3 +106,19 @@ def test_a_passage_that_outweighs_the_other_lines_goes(spark, own):
     passage = min((line(120) for _ in range(3000)), key=lambda x: max(hashlib.md5((f + x).encode()).hexdigest() for f in "12"))
     texts = ["\n".join([*(line() for _ in range(own)), passage]) for _ in range(40)]
     assert kept_in(spark, texts, passage) == set()
+
+
+def test_several_templates_of_a_leaf(spark):
+    rng = random.Random(5)
+    line = lambda n=12: " ".join(words(rng, n))
+    name = lambda: words(rng, 1)[0]
+    kinds = [
+        lambda: f"You are logged in as {name()} since this morning here",
+        lambda: f"You are logged out by {name()} until further notice today",
+        lambda: f"You are logged {line(7)}",  # ordinary
+        lambda: f"The news of {name()} {line(6)}",  # an ordinary leaf
+    ]
+    texts = ["\n".join([line(), kinds[k % 4](), line(), line()]) for k in range(80)]
+    out = linededup.drop_recurring_lines(frame(spark, list(enumerate(texts)))).collect()
+    assert {r["doc_id"] for r in out if r["n_dropped"]} == {k for k in range(80) if k % 4 < 2}
+    assert max(r["n_dropped"] for r in out) == 1
