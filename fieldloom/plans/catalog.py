@@ -372,9 +372,9 @@ def importance_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def downscale_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One step from observed days to the consistent fine field, over the days of one month of one year."""
+    """One step from observed days to the consistent fine field, over all days of the output months."""
     daily = fx.days(spark, sf_dir)
     # the source climatology on the fine grid stands for a prediction
     fine_clim = regrid.regrid(_clim(spark, sf_dir), fx.COARSE_GRID, fx.FINE_GRID, ["month"], "linear_nearest")
-    out = downscale.downscale(daily, fine_clim, fx.fine_mask(spark), fx.COARSE_GRID, fx.FINE_GRID, fx.BASELINE, [7])
+    out = downscale.downscale(daily, fine_clim, fx.fine_mask(spark), fx.COARSE_GRID, fx.FINE_GRID, fx.BASELINE)
     return out["final"]

@@ -48,3 +48,11 @@ def test_entry(spark):
     assert set(catalog.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).limit(1).count() == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
+def test_downscale_step_gives_all_output_months(spark, monkeypatch):
+    all_days = catalog.fx.days
+    monkeypatch.setattr(catalog.fx, "days", lambda *a: all_days(*a).filter("year = 1995 and day(day) < 3"))
+    got = catalog.QUERIES["downscale_step"](spark, SMALL).selectExpr("month(day) AS month").distinct().collect()
+    assert sorted(r["month"] for r in got) == [5, 6, 7, 8, 9]
