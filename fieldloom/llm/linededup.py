@@ -2,47 +2,55 @@
 
 A line is split at blanks; tokens that hold a digit are variable fields. The tree has a
 fixed depth: lines go by token count, then by their first ``LEAD`` tokens, to a leaf.
-Within a leaf, lines that agree in all but variable fields share a template. The lines
-whose own template does not recur are generalised once more, in groups: the whole leaf,
-and, from ``PARTED`` tokens on, those of its lines that share one part of what follows
-the leading tokens (two parts, three from ``THREE_PARTS`` tokens on), so that several
-templates of a leaf, or ordinary lines beside them, do not outvote each other. A position
-where one token holds ``CONSTANT`` of the group's distinct lines is constant, any other
-is variable; lines that agree with all constant positions, and these are ``FIXED`` of all
-(``FIXED_PART`` in a group by part), share the group's template.
+Lines that agree in all but variable fields share a template.
+
+Lines whose own template does not recur are generalised once more inside their leaf. A
+token's support is the number of the leaf's distinct lines that hold it at its place.
+``FIXED`` of a line's tokens, those of the most support, are its constants, together with
+any other token of no less support; the rest are variable. Lines of a leaf with the same
+constants share a general template, so a leaf holds as many templates as its lines give,
+and neither other templates nor ordinary lines beside them outvote one.
 
 A template recurs if it appears in ``LEAST`` families of documents. Copies of one
 document, near ones too, are a family, not a recurrence, and however many there are they
 count once: a document is compared with others by a sketch of the pieces of all its lines
 but the tested one, and those of ``ALIKE`` estimated Jaccard or more to a family's first
 member belong to it. Families are set aside one by one, so the work per template is
-linear in its documents. Every line of a recurring template is dropped.
+linear in its documents. What recurs by chance depends on length: for a template of
+``LONG`` tokens or more two documents with next to nothing else in common are enough
+(below ``APART``, by sketches of ``SHOWN`` hashes or more), and one of fewer than
+``SHORT`` tokens must, besides, be in ``SHORT_MORE`` different documents outside the
+families set aside. Every line of a recurring template is dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import stage, text_or_empty
+from fieldloom.llm.common import stage
 
 LEAD = 3
-#: Shorter lines recur by chance in any large corpus and are kept.
-LEAST_TOKENS = 5
 LEAST = 4
-#: Ratios of ``ORACLE_SQL`` only, which states an older rule; the operator has none.
-SPREAD = 0.55
-ROW_SPREAD = 0.3
-#: Jaccard similarity of the other lines from which two documents count as copies.
+#: Tokens below which a line recurs by chance in any large corpus, and different documents it must be in besides.
+SHORT = 5
+SHORT_MORE = 12
+#: Tokens from which two unlike documents are enough.
+LONG = 30
+#: Jaccard similarity of the other lines from which two documents count as copies, and below which as unlike.
 ALIKE = 0.4
-#: Hashes of pieces in a document's sketch, and at most of one line: a tested line leaves room for the others.
-SKETCH = 24
+APART = 0.25
+SHOWN = 4
+#: Share of a line's tokens that are constants of its general template at least.
+FIXED = 0.75
+#: Hashes in a document's sketch, and at most of one line: a tested line leaves room for the others.
+SKETCH = 28
 OF_LINE = 4
-CONSTANT = 0.7
-FIXED = 0.6
-FIXED_PART = 0.75
-PARTED = 7
-THREE_PARTS = 12
+#: Lines are cut into pieces at this letter, so that an edit changes one or two; shorter ones are left out where a line has longer.
+CUT = "d"
+PIECE_BYTES = 12
 #: Rows of keys, or of documents with lines to drop, up to which a table is broadcast (some 40 MB); more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: The same for rows that hold a sketch.
@@ -51,14 +59,13 @@ BROADCAST_SKETCHES = 50_000
 #: Runs of blanks other than a single space; tokens that hold a digit, found from their first character.
 _BLANKS = " [ \\t\\r\\f\\x0B]+|[\\t\\r\\f\\x0B][ \\t\\r\\f\\x0B]*"
 _FIELD = "(?<![^ ])[^ 0-9]*[0-9][^ ]*"
-#: Where a line is cut into pieces: by the words alone, so that an edit changes one or two pieces.
-_CUT = " (?=[a-fA-F])"
 
 
-def _masked(line):
-    """The line with single blanks and masked fields."""
-    line = F.trim(F.regexp_replace(line, _BLANKS, " "))
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, _FIELD, "<*>")).otherwise(line)
+def _masked(line: Column) -> Column:
+    """The line with single blanks and masked fields; most lines need no pattern for that."""
+    line = F.trim(line)
+    odd = line.rlike("[0-9\\t\\r\\f\\x0B]") | (F.instr(line, "  ") > 0)
+    return F.when(odd, F.regexp_replace(F.trim(F.regexp_replace(line, _BLANKS, " ")), _FIELD, "<*>")).otherwise(line)
 
 
 def _few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -66,157 +73,198 @@ def _few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def _pieces(line):
-    """The least hashes of a line's pieces."""
-    return F.slice(F.sort_array(F.array_distinct(F.transform(F.split(line, _CUT), lambda x: F.xxhash64(x)))), 1, OF_LINE)
+def document_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, template (masked line), tokens, key (of the template), leaf; of the lines that are not blank."""
+    rows = docs.filter("doc_id is not null").select("doc_id", F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("pos", "line"))
+    rows = rows.select("doc_id", "pos", _masked(F.col("line")).alias("template")).filter("template <> ''")
+    rows = rows.withColumn("tokens", F.octet_length("template") - F.octet_length(F.replace("template", F.lit(" "), F.lit(""))) + 1)
+    return rows.withColumn("key", F.xxhash64("template")).withColumn("leaf", F.xxhash64("tokens", F.substring_index("template", " ", LEAD)))
+
 
+def document_sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, sketch: the least hashes of the pieces of a document's lines, each with its line's position."""
 
-def document_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, template (masked line), tokens, leaf, and the document's sketch (of all its lines)."""
-    # decided once a document, outside the functions over its lines: most need no pattern
-    odd = F.col("text").rlike("[0-9]")
-    for c in ("  ", "\t", "\r", "\f", "\x0b"):
-        odd = odd | (F.instr("text", c) > 0)
-    parts = F.split("text", "\n", -1)
-    lines = F.when(odd, F.transform(parts, _masked)).otherwise(F.transform(parts, F.trim))
-    filled = F.filter("lines", lambda x: x != "")
-    sketch = F.slice(F.sort_array(F.array_distinct(F.flatten(F.transform(filled, _pieces)))), 1, SKETCH)
-    rows = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", lines.alias("lines")).select("doc_id", "lines", sketch.alias("sketch"))
-    rows = rows.select("doc_id", "sketch", F.posexplode("lines").alias("pos", "template"))
-    tokens = F.octet_length("template") - F.octet_length(F.replace("template", F.lit(" "), F.lit(""))) + 1
-    rows = rows.withColumn("tokens", tokens).filter(F.col("tokens") >= LEAST_TOKENS)
-    leaf = F.md5(F.concat_ws(" ", F.col("tokens").cast("string"), F.substring_index("template", " ", LEAD)).cast("binary"))
-    return rows.withColumn("leaf", leaf)
-
-
-def _groups():
-    """The groups of a line: its leaf (part 0), and its leaf with each part of the tokens after the leading ones."""
-    words, parts = F.split("template", " "), F.when(F.col("tokens") >= THREE_PARTS, 3).otherwise(2)
-    rest = F.col("tokens") - LEAD
-
-    def part(k):
-        start, end = (F.floor(rest * x / parts).cast("int") for x in (k - 1, k))
-        return F.struct(k.alias("part"), F.md5(F.concat_ws(" ", "leaf", k.cast("string"), F.array_join(F.slice(words, start + LEAD + 1, end - start), " ")).cast("binary")).alias("group"))
-
-    whole = F.array(F.struct(F.lit(0).alias("part"), F.col("leaf").alias("group")))
-    return F.inline(F.when(F.col("tokens") >= PARTED, F.concat(whole, F.transform(F.sequence(F.lit(1), parts), part))).otherwise(whole))
-
-
-def _others():
-    """The rest of a document's sketch without the pieces of the line ``template``, and the hash it reaches to."""
-    reach = F.when(F.size("sketch") < SKETCH, F.lit((1 << 63) - 1)).otherwise(F.element_at("sketch", -1))
-    return F.struct(F.array_except("sketch", _pieces(F.col("template"))).alias("hashes"), reach.alias("reach")).alias("rest")
-
-
-def _alike(a: str, b: str):
-    """Whether two rests are of copies: by the hashes up to where both reach."""
-    reach = F.least(f"{a}.reach", f"{b}.reach")
-    x, y = (F.filter(f"{c}.hashes", lambda h: h <= reach) for c in (a, b))
-    common = F.size(F.array_intersect(x, y))
-    return common >= ALIKE * (F.size(x) + F.size(y) - common)
-
-
-def recurring(uses: DataFrame, *key: str) -> DataFrame:
-    """Keys of ``uses`` (key..., rest) that appear in enough families of documents, stored."""
-    left = uses.select(*key, "rest").distinct()
+    def of_line(line: Column, pos: Column) -> Column:
+        cut = F.filter(F.split(line, CUT), lambda x: F.octet_length(x) >= PIECE_BYTES)
+        pieces = F.when(F.size(cut) > 0, cut).otherwise(F.array(line))
+        least = F.slice(F.sort_array(F.array_distinct(F.transform(pieces, lambda x: F.substring(F.md5(x.cast("binary")), 1, 15)))), 1, OF_LINE)
+        return F.transform(least, lambda h: F.struct(h.alias("h"), pos.alias("pos")))
+
+    lines = F.split(F.col("text").cast("string"), "\n", -1)
+    marks = F.flatten(F.transform(lines, lambda x, i: F.when(F.trim(x) != "", of_line(x, i)).otherwise(F.array().cast("array<struct<h:string,pos:int>>"))))
+    number = lambda e: F.struct(F.conv(e["h"], 16, 10).cast("long").alias("h"), e["pos"].alias("pos"))
+    return docs.filter("doc_id is not null and text is not null").select("doc_id", F.transform(F.slice(F.sort_array(marks), 1, SKETCH), number).alias("sketch"))
+
+
+def with_rests(uses: DataFrame, sketches: DataFrame, key: str) -> DataFrame:
+    """(key, tokens, doc_id, rest), stored: what documents hold besides their lines of the key, and the hash it reaches to."""
+    held = uses.groupBy(key, "doc_id").agg(F.max("tokens").alias("tokens"), F.collect_set("pos").alias("own"))  # no more than a document's lines
+    reach = F.when(F.size("sketch") < SKETCH, F.lit((1 << 63) - 1)).otherwise(F.element_at("sketch", -1)["h"])
+    others = F.array_distinct(F.transform(F.filter("sketch", lambda e: ~F.array_contains("own", e["pos"])), lambda e: e["h"]))
+    rest = F.struct(others.alias("hashes"), reach.alias("reach")).alias("rest")
+    return stage(held.join(sketches, "doc_id").select(key, "tokens", "doc_id", rest), "uses")
+
+
+def recurring(uses: DataFrame, key: str) -> DataFrame:
+    """Keys of ``uses`` (key, tokens, doc_id, rest), a stored table, that appear in enough families of documents; stored."""
+    left, found = uses, []
     for k in range(LEAST - 1):
-        left = stage(left, f"families-{k}")
-        # a key with fewer different rests than families are missing is out
-        first = left.groupBy(*key).agg(F.min("rest").alias("first"), F.count("*").alias("n")).filter(F.col("n") >= LEAST - k).drop("n")
-        left = left.join(_few(stage(first, f"firsts-{k}"), BROADCAST_SKETCHES), list(key)).filter(~_alike("rest", "first")).drop("first")
-    return stage(left.select(*key).distinct(), "recurring")
+        # a key in fewer documents than families are missing is out
+        needed = F.when(F.col("tokens") >= LONG, 2 - min(k, 1)).otherwise(LEAST - k)
+        first = left.groupBy(key, "tokens").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).filter(F.col("n") >= needed).drop("n")
+        first = left.join(_few(stage(first, f"first-ids-{k}")), [key, "tokens", "doc_id"]).select(key, F.col("doc_id").alias("first_id"), F.col("rest").alias("first"))
+        left = left.join(_few(stage(first, f"firsts-{k}"), BROADCAST_SKETCHES), key).filter("doc_id <> first_id")
+        reach = F.least("rest.reach", "first.reach")
+        left = left.withColumn("x", F.filter("rest.hashes", lambda h: h <= reach)).withColumn("y", F.filter("first.hashes", lambda h: h <= reach))
+        left = left.withColumn("common", F.size(F.array_intersect("x", "y"))).withColumn("any", F.size("x") + F.size("y") - F.col("common"))
+        left = left.filter(F.col("common") < ALIKE * F.col("any"))
+        unlike = (F.col("common") < APART * F.col("any")) & (F.least(F.size("x"), F.size("y")) >= SHOWN)
+        left = stage(left.select(key, "tokens", "doc_id", "rest", unlike.alias("unlike")), f"families-{k}")
+        found.append(left.filter((F.col("tokens") >= LONG) & F.col("unlike")).select(key))
+    found.append(left.filter(F.col("tokens") >= SHORT).select(key))
+    short = left.filter(F.col("tokens") < SHORT).select(key, "rest.hashes").distinct().groupBy(key).count()
+    found.append(short.filter(F.col("count") >= SHORT_MORE).select(key))
+    return stage(reduce(DataFrame.union, found).distinct(), "recurring")
+
+
+def general_templates(lines: DataFrame) -> DataFrame:
+    """(leaf, key, group) of the distinct ``lines`` (leaf, key, tokens, template) whose constants others share; group stands for these."""
+    words = lines.select("leaf", "key", "tokens", F.posexplode(F.split("template", " ")).alias("at", "token")).filter(F.col("at") >= LEAD)
+    supports = stage(words.groupBy("leaf", "at", "token").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST), "supports")
+    place = F.struct("n", "at", "token")
+    held = words.join(_few(supports), ["leaf", "at", "token"]).groupBy("leaf", "key", "tokens").agg(F.sort_array(F.collect_list(place), asc=False).alias("held"))
+    # the leading tokens are constants of every line in the leaf
+    needed = (F.ceil(FIXED * F.col("tokens")) - LEAD).cast("int")
+    held = held.filter(F.size("held") >= needed)
+    least = F.element_at("held", needed)["n"]
+    constants = F.sort_array(F.transform(F.filter("held", lambda e: e["n"] >= least), lambda e: F.struct(e["at"].alias("at"), e["token"].alias("token"))))
+    return held.select("leaf", "key", F.xxhash64("leaf", constants).alias("group"))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, pos): the lines of recurring templates. ``docs`` (doc_id, text) is read more than once."""
     lines = document_lines(docs)
-    held = stage(lines.withColumn("key", F.md5(F.col("template").cast("binary"))), "lines")
-    marks = held.drop("template", "sketch")
+    marks = stage(lines.drop("template"), "lines")
+    sketches = stage(document_sketches(docs), "sketches")
     # aggregates and joins are stored apart: only then can Spark split the join of a very common line, and combine its uses before dealing them
-    often = stage(marks.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("key"), "often")
-    uses = held.join(_few(often), "key", "left_semi").select("key", _others())
-    exact = _few(recurring(uses, "key"))
-    first = marks.join(exact, "key", "left_semi").select("doc_id", "pos")
-
-    rest = marks.select("leaf", "key").join(exact, "key", "left_anti")
-    leaves = stage(rest.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("leaf"), "leaves")
-    members = held.join(_few(leaves), "leaf", "left_semi").join(exact, "key", "left_anti")
-    members = stage(members, "leaf-lines")
-    members = members.select("*", _groups())
-    distinct = members.groupBy("group", "key").agg(F.min("template").alias("template"), F.min("tokens").alias("tokens"), F.min("part").alias("part"))
-    sizes = distinct.groupBy("group").agg(F.count("*").alias("distinct_lines"), F.min("tokens").alias("tokens"), F.min("part").alias("part")).filter(F.col("distinct_lines") >= LEAST)
-    words = distinct.join(sizes.select("group"), "group", "left_semi").select("group", F.posexplode(F.split("template", " ")).alias("at", "token"))
-    votes = words.groupBy("group", "at", "token").agg(F.count("*").alias("n")).join(sizes, "group").filter(F.col("n") >= CONSTANT * F.col("distinct_lines"))
-    # at most one token passes at each position, since CONSTANT is over a half
-    constants = votes.groupBy("group", "tokens", "part").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("constants"))
-    constants = constants.filter(F.size("constants") >= F.when(F.col("part") == 0, FIXED).otherwise(FIXED_PART) * F.col("tokens")).select("group", "constants")
-    fits = F.forall("constants", lambda c: F.split("template", " ")[c["at"]] == c["token"])
-    fitting = stage(members.join(_few(stage(constants, "constants"), BROADCAST_SKETCHES), "group").filter(fits).select("doc_id", "pos", "group", _others()), "fitting")
-    second = fitting.join(recurring(fitting, "group"), "group", "left_semi").select("doc_id", "pos").distinct()
-    return first.union(second)
+    often = marks.groupBy("key", "tokens").agg(F.count("*").alias("n")).filter(F.col("n") >= F.when(F.col("tokens") >= LONG, 2).when(F.col("tokens") >= SHORT, LEAST).otherwise(LEAST - 1 + SHORT_MORE))
+    often = stage(often.select("key"), "often")
+    exact = recurring(with_rests(marks.join(_few(often), "key", "left_semi"), sketches, "key"), "key")
+    first = marks.join(_few(exact), "key", "left_semi").select("doc_id", "pos")
+
+    rest = marks.filter(F.col("tokens") >= SHORT).join(_few(exact), "key", "left_anti")
+    leaves = rest.groupBy("leaf", "key").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("leaf")
+    members = stage(rest.join(_few(stage(leaves, "leaves")), "leaf", "left_semi"), "members")
+    keys = stage(members.select("key").distinct(), "member-keys")
+    distinct = lines.join(_few(keys), "key", "left_semi").dropDuplicates(["leaf", "key"]).select("leaf", "key", "tokens", "template")
+    groups = stage(general_templates(stage(distinct, "leaf-lines")), "groups")
+    several = stage(groups.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("group"), "several")
+    groups = stage(groups.join(_few(several), "group", "left_semi"), "general")
+    fitting = stage(members.join(_few(groups), ["leaf", "key"]).select("group", "tokens", "doc_id", "pos"), "fitting")
+    general = recurring(with_rests(fitting, sketches, "group"), "group")
+    return first.union(fitting.join(_few(general), "group", "left_semi").select("doc_id", "pos"))
 
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` rid of the lines of recurring templates, and line counts n_lines and n_dropped.
 
-    Only DataFrame functions. Lines end at newlines; those of fewer than 5 tokens stay.
-    Rows keep their other columns as they are (an own n_lines or n_dropped is replaced);
-    rows without a dropped line keep their text byte for byte, null included. doc_id is
-    the key: rows that repeat one lose the lines that either loses at its position, and
-    count as one document. A null doc_id has no lines dropped. An empty table gives an
-    empty result.
+    Only DataFrame functions. Lines end at newlines; blank ones stay. Rows keep their
+    other columns as they are (an own n_lines or n_dropped is replaced); rows without a
+    dropped line keep their text byte for byte, null included. doc_id is the key: rows
+    that repeat one lose the lines that either loses at its position, and do not count as
+    another document. A null doc_id has no lines dropped and counts for none. Very long
+    texts and lines are treated whole. An empty table gives an empty result.
     """
-    lost = stage(dropped_lines(docs).filter("doc_id is not null"), "lost")
-    gone = stage(lost.groupBy("doc_id").agg(F.collect_set("pos").alias("__gone_lines")).withColumnRenamed("doc_id", "__gone_from"), "dropped")
+    lost = stage(dropped_lines(docs).distinct(), "lost")
+    gone = stage(lost.groupBy("doc_id").agg(F.collect_list("pos").alias("__gone_lines")).withColumnRenamed("doc_id", "__gone_from"), "dropped")
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.array_contains("__gone_lines", i))
     gone = F.broadcast(gone) if lost.count() <= BROADCAST_ROWS else gone
     out = docs.drop("n_lines", "n_dropped").join(gone, F.col("doc_id") == F.col("__gone_from"), "left")
-    out = out.withColumn("n_lines", F.size(lines)).withColumn("n_dropped", F.coalesce(F.size("__gone_lines"), F.lit(0)))
-    out = out.withColumn("n_dropped", F.greatest("n_dropped", F.lit(0))).withColumn("text", F.when(F.col("__gone_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    out = out.withColumn("n_lines", F.size(lines)).withColumn("n_dropped", F.greatest(F.coalesce(F.size("__gone_lines"), F.lit(0)), F.lit(0)))
+    out = out.withColumn("text", F.when(F.col("__gone_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     return out.drop("__gone_lines", "__gone_from")
 
 
+def _round(k: int, name: str) -> str:
+    """CTEs of one family set aside, over left_{name}{k} (key, tokens, doc_id, hashes, reach)."""
+    return f"""
+firsts_{name}{k} AS (
+  SELECT key, min(doc_id) AS first_id FROM left_{name}{k} GROUP BY key, tokens HAVING count(*) >= CASE WHEN tokens >= {LONG} THEN {2 - min(k, 1)} ELSE {LEAST - k} END
+), pairs_{name}{k} AS (
+  SELECT l.key, l.tokens, l.doc_id, l.hashes, l.reach,
+    list_filter(l.hashes, lambda h: h <= least(l.reach, f.reach)) AS x, list_filter(f.hashes, lambda h: h <= least(l.reach, f.reach)) AS y
+  FROM left_{name}{k} l JOIN firsts_{name}{k} s ON l.key = s.key JOIN left_{name}{k} f ON f.key = s.key AND f.doc_id = s.first_id WHERE l.doc_id <> s.first_id
+), left_{name}{k + 1} AS (
+  SELECT *, common < {APART} * (len(x) + len(y) - common) AND least(len(x), len(y)) >= {SHOWN} AS unlike
+  FROM (SELECT *, len(list_intersect(x, y)) AS common FROM pairs_{name}{k}) WHERE common < {ALIKE} * (len(x) + len(y) - common)
+)"""
+
+
+def _recurring(name: str) -> str:
+    """CTEs from left_{name}0 to recurring_{name} (key)."""
+    rounds = ",".join(_round(k, name) for k in range(LEAST - 1))
+    far = " UNION ".join(f"SELECT key FROM left_{name}{k + 1} WHERE tokens >= {LONG} AND unlike" for k in range(LEAST - 1))
+    return f"""{rounds}, recurring_{name} AS (
+  {far} UNION SELECT key FROM left_{name}{LEAST - 1} WHERE tokens >= {SHORT}
+  UNION SELECT key FROM left_{name}{LEAST - 1} WHERE tokens < {SHORT} GROUP BY key HAVING count(DISTINCT hashes) >= {SHORT_MORE}
+)"""
+
+
+def _rests(uses: str, name: str, key: str) -> str:
+    return f"""
+held_{name} AS (
+  SELECT {key} AS key, doc_id, max(tokens) AS tokens, list(pos) AS own FROM {uses} GROUP BY {key}, doc_id
+), left_{name}0 AS (
+  SELECT key, tokens, doc_id, list_distinct(list_transform(list_filter(sketch, lambda e: NOT list_contains(own, e.pos)), lambda e: e.h)) AS hashes,
+    CASE WHEN len(sketch) < {SKETCH} THEN 'g' ELSE sketch[-1].h END AS reach
+  FROM held_{name} JOIN sketches USING (doc_id)
+)"""
+
+
 #: The same in DuckDB's SQL, over documents; the constants are those above.
 ORACLE_SQL = rf"""
 WITH raw AS (
-  SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
-), lines AS (
-  SELECT doc_id, md5(text) AS whole, unnest(range(len(parts))) AS pos,
+  SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), cut AS (
+  SELECT doc_id, unnest(range(len(parts))) AS pos, unnest(parts) AS line,
     unnest(list_transform(parts, lambda x: regexp_replace(trim(regexp_replace(x, '[ \t\r\f\x0B]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g'))) AS template
   FROM raw
-), marks AS (
-  SELECT doc_id, min(md5('1' || template)) AS s1, min(md5('2' || template)) AS s2,
-    md5(arg_max(template, struct_pack(n := length(template), line := template))) AS s3
-  FROM lines WHERE template <> '' GROUP BY doc_id
-), uses AS (
-  SELECT doc_id, pos, template, whole, s1, s2, s3, len(string_split(template, ' ')) AS tokens,
+), uses AS MATERIALIZED (
+  SELECT doc_id, pos, template, len(string_split(template, ' ')) AS tokens,
     len(string_split(template, ' ')) || ' ' || array_to_string(string_split(template, ' ')[1:{LEAD}], ' ') AS leaf
-  FROM lines JOIN marks USING (doc_id) WHERE len(string_split(template, ' ')) >= {LEAST_TOKENS}
-), exact AS (
-  SELECT template FROM uses GROUP BY template
-  HAVING greatest(count(DISTINCT s1), count(DISTINCT s2), count(DISTINCT s3)) >= greatest({LEAST}, {SPREAD} * count(DISTINCT whole), {ROW_SPREAD} * count(DISTINCT doc_id))
-), rest AS (
-  SELECT * FROM uses ANTI JOIN exact USING (template)
+  FROM cut WHERE template <> ''
+), pieces AS (
+  SELECT doc_id, pos, line, list_filter(string_split(line, '{CUT}'), lambda x: strlen(x) >= {PIECE_BYTES}) AS long FROM cut WHERE trim(line) <> ''
+), hashes AS (
+  SELECT doc_id, pos, list_sort(list_distinct(list_transform(CASE WHEN len(long) > 0 THEN long ELSE [line] END, lambda x: md5(x)[1:15])))[1:{OF_LINE}] AS h FROM pieces
+), sketches AS MATERIALIZED (
+  SELECT doc_id, list(struct_pack(h := h, pos := pos) ORDER BY h, pos)[1:{SKETCH}] AS sketch FROM (SELECT doc_id, pos, unnest(h) AS h FROM hashes) GROUP BY doc_id
+), often AS (
+  SELECT template FROM uses GROUP BY template, tokens
+  HAVING count(*) >= CASE WHEN tokens >= {LONG} THEN 2 WHEN tokens >= {SHORT} THEN {LEAST} ELSE {LEAST - 1 + SHORT_MORE} END
+), candidates AS (
+  SELECT * FROM uses SEMI JOIN often USING (template)
+),{_rests("candidates", "a", "template")},{_recurring("a")}, rest AS MATERIALIZED (
+  SELECT * FROM uses WHERE tokens >= {SHORT} AND template NOT IN (SELECT key FROM recurring_a)
 ), distinct_lines AS (
   SELECT DISTINCT leaf, template, tokens FROM rest
-), sizes AS (
-  SELECT leaf, count(*) AS n FROM distinct_lines GROUP BY leaf HAVING count(*) >= {LEAST}
+), full_leaves AS (
+  SELECT leaf FROM distinct_lines GROUP BY leaf HAVING count(*) >= {LEAST}
 ), words AS (
-  SELECT leaf, tokens, unnest(range(tokens)) AS place, unnest(string_split(template, ' ')) AS token FROM distinct_lines SEMI JOIN sizes USING (leaf)
-), votes AS (
-  SELECT leaf, tokens, place, token FROM words JOIN sizes USING (leaf)
-  GROUP BY leaf, tokens, place, token, n HAVING count(*) >= {CONSTANT} * n
-), constants AS (
-  SELECT leaf, list(struct_pack(place := place, token := token)) AS c FROM votes GROUP BY leaf, tokens HAVING count(*) >= {FIXED} * tokens
+  SELECT leaf, template, tokens, unnest(range(tokens)) AS place, unnest(string_split(template, ' ')) AS token FROM distinct_lines SEMI JOIN full_leaves USING (leaf)
+), supports AS (
+  SELECT leaf, template, tokens, place, token, count(*) OVER (PARTITION BY leaf, place, token) AS n FROM words WHERE place >= {LEAD}
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY leaf, template ORDER BY n DESC, place DESC) AS nth FROM supports WHERE n >= {LEAST}
+), limits AS (
+  SELECT leaf, template, n AS fewest FROM ranked WHERE nth = CAST(ceil({FIXED} * tokens) AS INTEGER) - {LEAD}
+), groups AS (
+  SELECT leaf, template, leaf || ' ' || string_agg(place || ':' || token, ' ' ORDER BY place) AS grp FROM ranked JOIN limits USING (leaf, template) WHERE n >= fewest GROUP BY leaf, template
 ), fitting AS (
-  SELECT doc_id, pos, whole, s1, s2, s3, leaf FROM rest JOIN constants USING (leaf)
-  WHERE len(list_filter(c, lambda x: string_split(template, ' ')[x.place + 1] <> x.token)) = 0
-), general AS (
-  SELECT leaf FROM fitting GROUP BY leaf
-  HAVING greatest(count(DISTINCT s1), count(DISTINCT s2), count(DISTINCT s3)) >= greatest({LEAST}, {SPREAD} * count(DISTINCT whole), {ROW_SPREAD} * count(DISTINCT doc_id))
-), gone AS (
-  SELECT doc_id, pos FROM uses SEMI JOIN exact USING (template) UNION SELECT doc_id, pos FROM fitting SEMI JOIN general USING (leaf)
+  SELECT grp, tokens, doc_id, pos FROM rest JOIN groups USING (leaf, template) WHERE grp IN (SELECT grp FROM groups GROUP BY grp HAVING count(*) >= {LEAST})
+),{_rests("fitting", "b", "grp")},{_recurring("b")}, gone AS (
+  SELECT doc_id, pos FROM uses WHERE template IN (SELECT key FROM recurring_a) UNION SELECT doc_id, pos FROM fitting WHERE grp IN (SELECT key FROM recurring_b)
 ), per_doc AS (
   SELECT doc_id, list(pos) AS gone FROM gone GROUP BY doc_id
 )

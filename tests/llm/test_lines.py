@@ -68,10 +68,13 @@ def test_no_rows_and_repeated_ids(spark):
     assert linededup.drop_recurring_lines(twice).filter("doc_id is null").first()["n_dropped"] == 0
 
 
-def test_no_python_in_the_plan(spark, tmp_path):
+def test_no_python_in_any_plan(spark, monkeypatch):
     texts, _, _ = corpus()
-    plan = linededup.drop_recurring_lines(frame(spark, texts))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plans, store = [], linededup.stage
+    monkeypatch.setattr(linededup, "stage", lambda df, name: plans.append(plan(df)) or store(df, name))
+    plans.append(plan(linededup.drop_recurring_lines(frame(spark, texts))))
+    assert len(plans) > 10 and not any("Python" in p or "Arrow" in p for p in plans)
 
 
 def kept_in(spark, texts, passage):
@@ -122,3 +125,34 @@ def test_several_templates_of_a_leaf(spark):
     out = linededup.drop_recurring_lines(frame(spark, list(enumerate(texts)))).collect()
     assert {r["doc_id"] for r in out if r["n_dropped"]} == {k for k in range(80) if k % 4 < 2}
     assert max(r["n_dropped"] for r in out) == 1
+
+
+def test_two_templates_that_differ_in_single_words(spark):
+    rng = random.Random(6)
+    line = lambda n=12: " ".join(words(rng, n))
+    texts = ["\n".join([line(), f"you are logged {'in as' if k % 2 else 'out of'} {words(rng, 1)[0]}", line(), line()]) for k in range(60)]
+    out = linededup.drop_recurring_lines(frame(spark, list(enumerate(texts)))).collect()
+    assert all(r["n_dropped"] == 1 and "logged" not in r["text"] for r in out)
+
+
+def test_short_lines_need_more_documents(spark):
+    rng = random.Random(7)
+    line = lambda n=12: " ".join(words(rng, n))
+    texts = ["\n".join([line(), line(), *(["read more here"] if k < 60 else ["see also"] if k < 66 else []), line()]) for k in range(70)]
+    assert kept_in(spark, texts, "read more here") == set()
+    assert kept_in(spark, texts, "see also") == set(range(60, 66))
+
+
+@pytest.mark.parametrize("holders", [2, 3])
+def test_few_documents_share_a_long_passage(spark, holders):
+    rng = random.Random(8)
+    line = lambda n=25: " ".join(words(rng, n))
+    passage, short = line(55), line(12)
+    texts = ["\n".join([line(), line(), line(), *([passage, short] if k < holders else [])]) for k in range(12)]
+    assert kept_in(spark, texts, passage) == set()
+    assert kept_in(spark, texts, short) == set(range(holders))
+    # near copies are no recurrence
+    copy = texts[11].split("\n")
+    texts.append("\n".join([copy[0], " ".join(["other", *copy[1].split()[1:]]), copy[2], passage]))
+    texts[11] += "\n" + passage
+    assert kept_in(spark, texts[11:], passage) == {0, 1}
