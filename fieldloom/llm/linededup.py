@@ -127,6 +127,16 @@ def recurring(uses: DataFrame, key: str) -> DataFrame:
     return stage(reduce(DataFrame.union, found).distinct(), "recurring")
 
 
+def templates_of(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """(leaf, key, tokens, template) of ``lines`` (doc_id, pos, leaf, key, tokens): only their documents are split."""
+    wanted = lines.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "leaf", "key", "tokens")).alias("wanted"))  # no more than a document's lines
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    found = texts.join(_few(stage(wanted, "wanted"), BROADCAST_SKETCHES), "doc_id").select(F.split("text", "\n", -1).alias("lines"), "wanted")
+    found = found.select("lines", F.explode("wanted").alias("w")).select("w.*", _masked(F.get("lines", F.col("w.pos"))).alias("template"))
+    # rows that repeat a doc_id with another text have another line there
+    return found.filter(F.xxhash64("template") == F.col("key")).dropDuplicates(["leaf", "key"]).select("leaf", "key", "tokens", "template")
+
+
 def general_templates(lines: DataFrame) -> DataFrame:
     """(leaf, key, group) of the distinct ``lines`` (leaf, key, tokens, template) whose constants others share; group stands for these."""
     words = lines.select("leaf", "key", "tokens", F.posexplode(F.split("template", " ")).alias("at", "token")).filter(F.col("at") >= LEAD)
@@ -143,8 +153,7 @@ def general_templates(lines: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, pos): the lines of recurring templates. ``docs`` (doc_id, text) is read more than once."""
-    lines = document_lines(docs)
-    marks = stage(lines.drop("template"), "lines")
+    marks = stage(document_lines(docs).drop("template"), "lines")
     sketches = stage(document_sketches(docs), "sketches")
     # aggregates and joins are stored apart: only then can Spark split the join of a very common line, and combine its uses before dealing them
     often = marks.groupBy("key", "tokens").agg(F.count("*").alias("n")).filter(F.col("n") >= F.when(F.col("tokens") >= LONG, 2).when(F.col("tokens") >= SHORT, LEAST).otherwise(LEAST - 1 + SHORT_MORE))
@@ -155,9 +164,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     rest = marks.filter(F.col("tokens") >= SHORT).join(_few(exact), "key", "left_anti")
     leaves = rest.groupBy("leaf", "key").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("leaf")
     members = stage(rest.join(_few(stage(leaves, "leaves")), "leaf", "left_semi"), "members")
-    keys = stage(members.select("key").distinct(), "member-keys")
-    distinct = lines.join(_few(keys), "key", "left_semi").dropDuplicates(["leaf", "key"]).select("leaf", "key", "tokens", "template")
-    groups = stage(general_templates(stage(distinct, "leaf-lines")), "groups")
+    groups = stage(general_templates(stage(templates_of(members.dropDuplicates(["leaf", "key"]), docs), "leaf-lines")), "groups")
     several = stage(groups.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("group"), "several")
     groups = stage(groups.join(_few(several), "group", "left_semi"), "general")
     fitting = stage(members.join(_few(groups), ["leaf", "key"]).select("group", "tokens", "doc_id", "pos"), "fitting")
