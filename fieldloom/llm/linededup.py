@@ -111,9 +111,9 @@ def recurring(uses: DataFrame, key: str) -> DataFrame:
     for k in range(LEAST - 1):
         # a key in fewer documents than families are missing is out
         needed = F.when(F.col("tokens") >= LONG, 2 - min(k, 1)).otherwise(LEAST - k)
-        first = left.groupBy(key, "tokens").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).filter(F.col("n") >= needed).drop("n")
-        first = left.join(_few(stage(first, f"first-ids-{k}")), [key, "tokens", "doc_id"]).select(key, F.col("doc_id").alias("first_id"), F.col("rest").alias("first"))
-        left = left.join(_few(stage(first, f"firsts-{k}"), BROADCAST_SKETCHES), key).filter("doc_id <> first_id")
+        first = left.groupBy(key, "tokens").agg(F.min(F.struct("doc_id", "rest")).alias("first"), F.count("*").alias("n")).filter(F.col("n") >= needed)
+        first = stage(first.select(key, F.col("first.doc_id").alias("first_id"), F.col("first.rest").alias("first")), f"firsts-{k}")
+        left = left.join(_few(first, BROADCAST_SKETCHES), key).filter("doc_id <> first_id")
         reach = F.least("rest.reach", "first.reach")
         left = left.withColumn("x", F.filter("rest.hashes", lambda h: h <= reach)).withColumn("y", F.filter("first.hashes", lambda h: h <= reach))
         left = left.withColumn("common", F.size(F.array_intersect("x", "y"))).withColumn("any", F.size("x") + F.size("y") - F.col("common"))
