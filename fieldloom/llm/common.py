@@ -6,20 +6,27 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.llm.textvec import forget_powers
 from fieldloom.session import ship_package
 
 _OWN_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="fieldloom-")
@@ -35,14 +42,42 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Rows and bytes of one Arrow batch that a Python worker gets while a table is stored.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bounds what Python workers hold at once; the session's own settings are put back."""
+    before = {k: spark.conf.get(k, None) for k in BATCH}
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def sent(spark: SparkSession, value) -> Iterator:
+    """``value`` as a broadcast that is destroyed afterwards; what is made with it must be stored by then."""
+    out = spark.sparkContext.broadcast(value)
+    try:
+        yield out
+    finally:
+        out.destroy()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -80,22 +115,24 @@ def kept(name, make):
 
 def release() -> None:
     """Drop what this worker keeps, and give freed memory back to the system where its C library can."""
-    if _kept:
-        _kept.clear()
-        gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+    _kept.clear()
+    forget_powers()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def map_arrow(df: DataFrame, run, schema: str, keeps: bool = False) -> DataFrame:
-    """``df.mapInArrow`` with this package present in the workers; unless ``run`` keeps things, theirs are released first."""
+    """``df.mapInArrow`` with this package present in the workers; unless ``run`` keeps things, theirs are released before and after."""
     ship_package(df.sparkSession)
 
     def task(batches):
-        if not keeps:
+        if _kept:
             release()
         yield from run(batches)
+        release()
 
     return df.mapInArrow(run if keeps else task, schema)
 

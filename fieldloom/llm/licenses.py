@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import id_and_text, map_arrow
+from fieldloom.llm.common import id_and_text, map_arrow, sent, stage
 from fieldloom.llm.textvec import NON_ALNUM, Words, mix, shingle_sets, text_slices
 
 WORDS = 5
@@ -127,7 +127,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     nothing; repeated rows count once; extra columns are ignored; an empty table gives an
     empty result. Templates need five words or more.
     """
-    index = docs.sparkSession.sparkContext.broadcast(TemplateIndex(templates or TEMPLATES))
-    found = map_arrow(id_and_text(docs), _scan_batches(index), "doc_id long, license string, containment double, first_word long")
+    with sent(docs.sparkSession, TemplateIndex(templates or TEMPLATES)) as index:
+        found = stage(map_arrow(id_and_text(docs), _scan_batches(index), "doc_id long, license string, containment double, first_word long"), "licenses")
     best = F.max(F.struct("containment", (-F.col("first_word")).alias("minus"))).alias("b")
     return found.groupBy("doc_id", "license").agg(best).select("doc_id", "license", "b.containment", (-F.col("b.minus")).alias("first_word"))

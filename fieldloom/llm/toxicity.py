@@ -26,8 +26,10 @@ from fieldloom.llm.textvec import NON_ALNUM, Words, text_slices
 
 BITS = 20
 VOCABULARY = 1 << BITS
-BIGRAMS = 1 << 22
-HELD_PARTS = 4
+BIGRAMS = 1 << 20
+HELD_PARTS = 8
+#: Slices in which the driver gathers a table by word.
+SLICES = 4
 #: First bytes of a word, under which rare words share evidence.
 STEM_BYTES = 5
 #: Rows of the left-out fold on which the curve is fitted, at most (by hash of doc_id, all if fewer).
@@ -79,6 +81,11 @@ class Model:
         model.pairs = Pairs(self.parts)
         return model
 
+    def destroy(self) -> None:
+        """Frees the tables everywhere; nothing can be scored any more."""
+        for b in (self.tables, *self.parts):
+            b.destroy()
+
 
 def word_numbers(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of the word, number of the word before it, number of its stem); a row's first word follows number 0."""
@@ -210,12 +217,16 @@ def _score_batches(model, curve):
 
 
 def _dense(df: DataFrame, index: str, columns: list[str], size: int) -> np.ndarray:
-    """Columns of a table of at most ``size`` rows as dense arrays over ``index``."""
-    got = df.select(index, *columns).toArrow()
+    """Columns of a table of at most ``size`` rows as dense arrays over ``index``; the driver gathers it in slices."""
+    stored = stage(df.select(F.col(index).cast("int").alias(index), *[F.col(c).cast("float").alias(c) for c in columns]), "by-word")
     out = np.zeros((len(columns), size), np.float32)
-    at = got[index].to_numpy()
-    for k, c in enumerate(columns):
-        out[k, at] = got[c].to_numpy()
+    for k in range(SLICES):
+        got = stored.filter(F.col(index) % SLICES == k).toArrow()
+        at = got[index].to_numpy()
+        for row, c in zip(out, columns, strict=True):
+            row[at] = got[c].to_numpy()
+        del got, at
+        pa.default_memory_pool().release_unused()
     return out
 
 
@@ -229,7 +240,10 @@ def pair_counts(bigrams: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         got = repeated.filter(part == k).toArrow()
         keys = got["key"].to_numpy()
         order = np.argsort(keys)
-        yield keys[order], np.array([got[c].to_numpy()[order] for c in ("ordinary", "toxic")])
+        found = keys[order], np.array([got[c].to_numpy()[order] for c in ("ordinary", "toxic")])
+        del got, keys, order
+        pa.default_memory_pool().release_unused()
+        yield found
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -286,7 +300,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Only labels of rows whose crc32(doc_id as text) mod 5 is not 0 are learned from.
     Null and empty texts get the score of a text without evidence. Labels other than 0
     and 1 are ignored; if a doc_id is labelled twice, 1 counts. With labels of one class
-    only that class is predicted, with none class 0. Repeated rows repeat their result;
-    extra columns are ignored; an empty table gives an empty result.
+    only that class is predicted, with none class 0. Whole texts are scored, however long;
+    a null doc_id is no held-out row (held_out null) and has no label. Repeated rows
+    repeat their result; extra columns are ignored; an empty table gives an empty result.
+    The result is stored.
     """
-    return score(docs, *fit(docs, labels))
+    model, curve = fit(docs, labels)
+    out = stage(score(docs, model, curve), "scores")
+    model.destroy()
+    return out
