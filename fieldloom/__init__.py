@@ -1 +1 @@
-"""Spark-first engine for downscaling daily gridded fields."""
+"""Spark-first engine that refines daily gridded fields."""

@@ -8,9 +8,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom import config, fields
-from fieldloom.operators import climatology, correct, fill, learn, metrics, regrid
-from fieldloom.plans import downscale
+from fieldloom.operators import climatology, correct, fill, learn, metrics, predictors, regrid
+from fieldloom.plans import refine
 from fieldloom.sources import grid_nc, tables
+from fieldloom.staging import stage
 
 
 def _axis(text: str) -> list[float]:
@@ -41,7 +42,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--clim-start-year", type=int, default=config.BASELINE_YEARS[0])
     p.add_argument("--clim-end-year", type=int, default=config.BASELINE_YEARS[1])
     p.add_argument("--months", default=None)
-    p = command("train", "fit a model per month; cells: month, iy, ix, value, inside and features", "cells", "features", "ny", "nx", "models-out", "metrics-csv", "importance-csv")
+    p = command("import-layers", "read masks, month cubes and predictors into a table", "input", "out")
+    p.add_argument("--vars")
+    p = command("prepare-predictors", "features as one column each; yearly ones as means over the years", "input", "features", "out")
+    p.add_argument("--first-year", type=int, default=config.BASELINE_YEARS[0])
+    p.add_argument("--last-year", type=int, default=config.BASELINE_YEARS[1])
+    p = command("train", "fit a model per month; cells: month, iy, ix, value, inside and raw features", "cells", "features", "ny", "nx", "models-out", "metrics-csv", "importance-csv")
     for flag, kind, default in (("epochs", int, 800), ("patience", int, 80), ("lr", float, 1e-3), ("weight-decay", float, 1e-4), ("base-channels", int, 64), ("depth", int, 5), ("test-size", float, 0.2), ("random-state", int, 42)):
         p.add_argument(f"--{flag}", type=kind, default=default)
     p.add_argument("--month", type=int)
@@ -53,7 +59,7 @@ def parser() -> argparse.ArgumentParser:
     command("add", "sum of two aligned fields", "a", "b", "out")
     command("residual", "target less parent means", "raw", "target", "coarse", "fine", "agg-out", "res-out")
     command("consistent", "shift children to their parents' targets, then fill", "input", "target", "mask", "coarse", "fine", "out")
-    p = command("downscale", "a whole step", "input", "fine-clim", "mask", "coarse", "fine", "out")
+    p = command("refine", "a whole step", "input", "fine-clim", "mask", "coarse", "fine", "out")
     p.add_argument("--clim-start-year", type=int, default=config.BASELINE_YEARS[0])
     p.add_argument("--clim-end-year", type=int, default=config.BASELINE_YEARS[1])
     p.add_argument("--months", default=None)
@@ -61,6 +67,8 @@ def parser() -> argparse.ArgumentParser:
     p = command("evaluate", "errors over the hold-out years", "pred", "ref", "out-csv")
     p.add_argument("--eval-start-year", type=int, default=config.HOLDOUT_YEARS[0])
     p.add_argument("--eval-end-year", type=int, default=config.HOLDOUT_YEARS[1])
+    p.add_argument("--coarse", help="grid of the reference, if coarser than the prediction's")
+    p.add_argument("--fine", help="grid of the prediction")
     command("merge-csv", "CSV parts as one", "pattern", "out").add_argument("--sort-by", default="month,feature")
     return top
 
@@ -72,6 +80,14 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     match args.command:
         case "import-nc":
             fields.write_field(fields.daily(grid_nc.read_grid_nc(spark, args.input, args.var)), args.out)
+        case "import-layers":
+            grid_nc.read_layers_nc(spark, args.input, args.vars.split(",") if args.vars else None).write.parquet(args.out)
+        case "prepare-predictors":
+            layers = spark.read.parquet(args.input)
+            static = layers.filter("step is null").select("feature", "iy", "ix", "value")
+            yearly = layers.filter("step is not null").select("feature", F.col("step").alias("year"), "iy", "ix", "value")
+            both = static if yearly.isEmpty() else static.unionByName(predictors.yearly_mean(yearly, args.first_year, args.last_year))
+            predictors.feature_matrix(both, args.features.split(",")).write.parquet(args.out)
         case "climatology":
             daily = load(args.input)
             climatology.select_years(daily, args.clim_start_year, args.clim_end_year, check=True)
@@ -82,13 +98,15 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             names, size = args.features.split(","), (int(args.ny), int(args.nx))
             how = learn.unet.Training(args.epochs, args.patience, args.lr, args.weight_decay, args.base_channels, args.depth, args.test_size, args.random_state)
             cells = spark.read.parquet(args.cells)
-            cells = cells if args.month is None else cells.filter(F.col("month") == args.month)
-            tables.write_models(learn.fit_models(cells, names, *size, how), args.models_out)
+            stats = stage(learn.wide_stats(cells, names), "feature-stats")
+            cells = learn.scored(cells if args.month is None else cells.filter(F.col("month") == args.month), stats, names)
+            tables.write_models(learn.fit_models(cells, names, *size, how, stats), args.models_out)
             models = tables.read_models(spark, args.models_out)
-            tables.write_csv(metrics.errors(learn.fitted_field(cells, models, names, *size, how), ["month", "test"]), args.metrics_csv)
+            fitted = stage(learn.fitted_field(cells, models, names, *size, how), "fitted")
+            tables.write_csv(learn.training_metrics(fitted, models, how, args.models_out), args.metrics_csv)
             tables.write_csv(learn.importance(models), args.importance_csv)
         case "predict":
-            out = learn.predict(spark.read.parquet(args.features), tables.read_models(spark, args.models), mask, int(args.ny), int(args.nx), args.tile_size, args.overlap)
+            out = learn.predict(spark.read.parquet(args.features), tables.read_models(spark, args.models), mask, int(args.ny), int(args.nx), args.tile_size, args.overlap, raw=True)
             fields.write_field(out, args.out)
         case "regrid":
             on_fine = regrid.regrid(load(args.input), coarse, fine, ["day"], args.method)
@@ -104,15 +122,15 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             placed = regrid.with_parents(load(args.input).select("day", "iy", "ix", "value"), fine, coarse)
             moved = correct.make_consistent(placed, correct.restrict_days(load(args.target), placed))
             fields.write_field(fields.daily(fill.fill_masked(moved, mask, len(fine[0]), len(fine[1]))), args.out)
-        case "downscale":
+        case "refine":
             def store(name, df):
                 path = f"{args.out}/{name}"
                 fields.write_field(fields.daily(df) if "day" in df.columns else df, path)
                 return load(path)
 
-            downscale.downscale(load(args.input), load(args.fine_clim), mask, coarse, fine, (args.clim_start_year, args.clim_end_year), args.months, args.fill_corrected, store)
+            refine.refine(load(args.input), load(args.fine_clim), mask, coarse, fine, (args.clim_start_year, args.clim_end_year), args.months, args.fill_corrected, store)
         case "evaluate":
-            tables.write_csv(metrics.holdout(load(args.pred), load(args.ref), args.eval_start_year, args.eval_end_year), args.out_csv)
+            tables.write_csv(metrics.holdout(load(args.pred), load(args.ref), args.eval_start_year, args.eval_end_year, fine=fine, coarse=coarse), args.out_csv)
         case "merge-csv":
             tables.write_csv(tables.read_csvs(spark, args.pattern, args.sort_by.split(",")), args.out)
 

@@ -24,7 +24,7 @@ VARIABLE_NAMES = {
 
 @dataclass(frozen=True)
 class Resolution:
-    """One downscaling step: names of its coarse and fine grid, and whether corrected fields are filled in the mask."""
+    """One refining step: names of its coarse and fine grid, and whether corrected fields are filled in the mask."""
 
     coarse: str
     fine: str

@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions import unet
-from fieldloom.operators import tiles
+from fieldloom.operators import predictors, tiles
+from fieldloom.operators.metrics import errors
 from fieldloom.session import ship_package
 
-MODEL = "month int, feature_names array<string>, target_mean double, target_std double, base int, depth int, best_epoch int, best_score double, importance array<double>, weights binary"
+MODEL = "month int, feature_names array<string>, feature_means array<double>, feature_stds array<double>, target_mean double, target_std double, base int, depth int, best_epoch int, best_score double, importance array<double>, weights binary"
+#: Tiles that meet their month's model in one group of a prediction, on average.
+TILE_BLOCK = 16
 FIT = "month int, iy int, ix int, test boolean, ref double, pred double"
 
 
@@ -46,12 +49,37 @@ def _group(cells: DataFrame, names: Sequence[str]) -> DataFrame:
     return cells.select("month", "iy", "ix", "value", F.col("inside").cast("int").alias("inside"), *names)
 
 
-def fit_models(cells: DataFrame, names: Sequence[str], ny: int, nx: int, how: unet.Training = unet.Training()) -> DataFrame:
-    """One model a month. ``cells``: month, iy, ix, value (target), inside, and standardised features ``names``."""
+def wide_stats(cells: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(feature, mean, std) of the columns ``names`` over the distinct cells inside; see ``predictors.feature_stats``."""
+    inside = cells.filter("inside").dropDuplicates(["iy", "ix"])
+    long = inside.select(F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names])).alias("f")).select("f.*")
+    return predictors.feature_stats(long)
+
+
+def _held_stats(stats: DataFrame | None, names: Sequence[str]) -> tuple[list[float], list[float]]:
+    """Means and deviations of ``names`` in order; 0 and 1 for features that come standardised."""
+    found = {} if stats is None else {r["feature"]: (r["mean"], r["std"]) for r in stats.collect()}  # a row a feature
+    return [found.get(n, (0.0, 1.0))[0] for n in names], [found.get(n, (0.0, 1.0))[1] for n in names]
+
+
+def scored(wide: DataFrame, stats: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``wide`` with the columns ``names`` as z-scores, 0 where missing."""
+    means, stds = _held_stats(stats, names)
+    return wide.select(*[c for c in wide.columns if c not in names], *[F.coalesce((F.col(n) - m) / s, F.lit(0.0)).alias(n) for n, m, s in zip(names, means, stds, strict=True)])
+
+
+def fit_models(cells: DataFrame, names: Sequence[str], ny: int, nx: int, how: unet.Training = unet.Training(), stats: DataFrame | None = None) -> DataFrame:
+    """One model a month. ``cells``: month, iy, ix, value (target), inside, and standardised features ``names``.
+
+    ``stats`` (feature, mean, std), by which the features were standardised, travel with
+    the models, so that ``predict`` can apply them to raw features. Each evaluation
+    trains again: store the result before it is used twice.
+    """
+    means, stds = _held_stats(stats, names)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         month, _, _, _, mean, std, _, net, epoch, score = _fit_month(pdf, names, ny, nx, how)
-        return pd.DataFrame([(month, list(names), mean, std, how.base, how.depth, epoch, score, net.first_layer_importance().tolist(), net.to_bytes())], columns=[c.split()[0] for c in MODEL.split(", ")])
+        return pd.DataFrame([(month, list(names), means, stds, mean, std, how.base, how.depth, epoch, score, net.first_layer_importance().tolist(), net.to_bytes())], columns=[c.split()[0] for c in MODEL.split(", ")])
 
     ship_package(cells.sparkSession)
     return _group(cells, names).groupBy("month").applyInPandas(run, MODEL)
@@ -84,34 +112,56 @@ def check_features(models: DataFrame) -> list[str]:
     return list(lists[0])
 
 
-def predict(features: DataFrame, models: DataFrame, mask: DataFrame, ny: int, nx: int, tile: int = 96, overlap: int = 24) -> DataFrame:
+def predict(features: DataFrame, models: DataFrame, mask: DataFrame, ny: int, nx: int, tile: int = 96, overlap: int = 24, raw: bool = False) -> DataFrame:
     """(month, iy, ix, value): each model on a wide feature grid (iy, ix, one column per feature), blended, null outside the mask.
 
-    Tiles of one month are separate groups; models reach them by their month.
+    With ``raw`` the features are standardised by the statistics that came with each
+    model. ``models`` is a stored table. Tiles of a month go in blocks of some
+    ``TILE_BLOCK``, each a group of its own that gets one copy of the month's model; no
+    model passes through the driver.
     """
     names = check_features(models)
     cut = tiles.into_tiles(features.select("iy", "ix", *names), ny, nx, tile, overlap)
-    months = [r["month"] for r in models.select("month").collect()]
-    # models are broadcast row by row with the workers' closure: 12 at most
-    held = features.sparkSession.sparkContext.broadcast({r["month"]: r.asDict() for r in models.collect()})
-    cut = cut.withColumn("month", F.explode(F.array(*[F.lit(m) for m in sorted(months)])))
+    months = sorted(r["month"] for r in models.select("month").collect())  # 12 rows at most
+    blocks = max(1, -(-tiles.count(ny, nx, tile, overlap) // TILE_BLOCK))
+    cut = cut.withColumn("month", F.explode(F.array(*[F.lit(m) for m in months]))).withColumn("block", F.pmod(F.xxhash64("y0", "x0"), F.lit(blocks)))
+    held = models.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    columns = ["month", "iy", "ix", "y0", "x0", "y0_size", "x0_size", "pred"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = held.value[int(pdf["month"].iloc[0])]
-        y0, x0 = int(pdf["y0"].iloc[0]), int(pdf["x0"].iloc[0])
-        h, w = int(pdf["y0_size"].iloc[0]), int(pdf["x0_size"].iloc[0])
-        p = _planes(pdf.assign(iy=pdf["iy"] - y0, ix=pdf["ix"] - x0), names, h, w, ())
+    def run(pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty or model.empty:
+            return pd.DataFrame(columns=columns)
+        m = model.iloc[0]
         net = unet.UNet(len(names), int(m["base"]), int(m["depth"])).from_bytes(m["weights"])
-        pred = net.forward(np.nan_to_num(np.stack([p[n] for n in names]))) * m["target_std"] + m["target_mean"]
-        pdf["pred"] = pred[pdf["iy"].to_numpy() - y0, pdf["ix"].to_numpy() - x0]
-        return pdf[["month", "iy", "ix", "y0", "x0", "y0_size", "x0_size", "pred"]]
+        mean, std = (np.array(m[k], float)[:, None, None] for k in ("feature_means", "feature_stds")) if raw else (0.0, 1.0)
+        out = []
+        for (y0, x0), one in pdf.groupby(["y0", "x0"]):
+            h, w = int(one["y0_size"].iloc[0]), int(one["x0_size"].iloc[0])
+            p = _planes(one.assign(iy=one["iy"] - y0, ix=one["ix"] - x0), names, h, w, ())
+            x = np.nan_to_num((np.stack([p[n] for n in names]) - mean) / std)
+            pred = net.forward(x) * m["target_std"] + m["target_mean"]
+            out.append(one.assign(pred=pred[one["iy"].to_numpy() - y0, one["ix"].to_numpy() - x0]))
+        return pd.concat(out)[columns]
 
     ship_package(features.sparkSession)
-    parts = cut.groupBy("month", "y0", "x0").applyInPandas(run, "month int, iy int, ix int, y0 int, x0 int, y0_size int, x0_size int, pred double")
+    parts = cut.groupBy("month", "block").cogroup(held.groupBy("month", "block")).applyInPandas(run, "month int, iy int, ix int, y0 int, x0 int, y0_size int, x0_size int, pred double")
     out = tiles.blend(parts, ["month"], overlap)
     return out.join(mask.select("iy", "ix", "inside"), ["iy", "ix"], "left").select("month", "iy", "ix", F.when(F.col("inside"), F.col("value")).alias("value"))
 
 
+def training_metrics(fitted: DataFrame, models: DataFrame, how: unet.Training, path: str) -> DataFrame:
+    """A row a month: cell counts, errors of either split, the best epoch and score, the settings, and where the model lies."""
+    parts = [errors(fitted.filter(F.col("test") == on), ["month"]).select("month", F.col("n").alias(f"n_{name}"), *[F.col(c).alias(f"{name}_{c}") for c in ("mae", "rmse", "r2")]) for name, on in (("train", False), ("test", True))]
+    joined = parts[0].join(parts[1], "month", "full").join(models.select("month", "best_epoch", "best_score"), "month")
+    many = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    return joined.select(
+        "month", (many("n_train") + many("n_test")).alias("n_land_total"), many("n_train").alias("n_train"), many("n_test").alias("n_test"),
+        "train_mae", "train_rmse", "train_r2", "test_mae", "test_rmse", "test_r2", "best_epoch", "best_score",
+        F.lit(how.epochs).alias("epochs"), F.lit(how.rate).alias("lr"), F.lit(how.decay).alias("weight_decay"), F.lit(how.base).alias("base_channels"),
+        F.concat(F.lit(f"{path}/month="), F.col("month").cast("string")).alias("model_path"),
+    ).orderBy("month")
+
+
 def importance(models: DataFrame) -> DataFrame:
     """(month, feature, importance_proxy)."""
     pairs = F.arrays_zip("feature_names", "importance")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.operators import regrid
+
 
 def errors(pairs: DataFrame, by: Sequence[str] = (), pred: str = "pred", ref: str = "ref", total: bool = False) -> DataFrame:
     """(by, n, mae, rmse, bias, r2): over rows where both are there; r2 is null for one row, or a constant reference.
@@ -23,11 +25,22 @@ def errors(pairs: DataFrame, by: Sequence[str] = (), pred: str = "pred", ref: st
     return out.select(*by, "n", "mae", "rmse", "bias", "r2")
 
 
-def holdout(pred: DataFrame, ref: DataFrame, first: int, last: int, by: Sequence[str] = ("month",)) -> DataFrame:
-    """Errors over the hold-out years on the reference's grid, by ``by``, and overall as the row where that is null."""
+def _in_years(field: DataFrame, first: int, last: int) -> DataFrame:
+    """Days of the years; a filter on the partition column where there is one, so that other years' files are not read."""
+    return field.filter((F.col("year") if "year" in field.columns else F.year("day")).between(first, last))
+
+
+def holdout(pred: DataFrame, ref: DataFrame, first: int, last: int, by: Sequence[str] = ("month",), fine: regrid.Grid | None = None, coarse: regrid.Grid | None = None) -> DataFrame:
+    """Errors over the hold-out years on the reference's grid, by ``by``, and overall as the row where that is null.
+
+    With ``fine`` and ``coarse`` the prediction, on the fine grid, is compared with a
+    reference on the coarse one by its parent means.
+    """
     keys = ["day", "iy", "ix"]
-    p = pred.filter(F.year("day").between(first, last)).select(*keys, F.col("value").alias("pred"))
-    pairs = p.join(ref.select(*keys, F.col("value").alias("ref")), keys).withColumn("month", F.month("day"))
+    pred, ref = _in_years(pred, first, last), _in_years(ref, first, last)
+    if fine and coarse:
+        pred = regrid.parent_mean(regrid.with_parents(pred.select(*keys, "value"), fine, coarse))
+    pairs = pred.select(*keys, F.col("value").alias("pred")).join(ref.select(*keys, F.col("value").alias("ref")), keys).withColumn("month", F.month("day"))
     return errors(pairs, by, total=True)
 
 

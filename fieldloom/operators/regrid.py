@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from fieldloom import axes
 
+#: Ascending coordinates (lat, lon).
+Grid = tuple[Sequence[float], Sequence[float]]
+
 METHODS = ("linear", "nearest", "linear_nearest")
 
 
@@ -67,6 +70,12 @@ def on_grid(field: DataFrame, source: tuple[Sequence[float], Sequence[float]], t
     return regrid(field, source, target, keys, method)
 
 
+def month_slots(monthly: DataFrame, ny: int, nx: int) -> DataFrame:
+    """(month, iy, ix, value): all twelve months over the whole grid, null where ``monthly`` has no row."""
+    grid = monthly.sparkSession.range(12 * ny * nx).select((F.floor(F.col("id") / (ny * nx)) + 1).cast("int").alias("month"), (F.floor(F.col("id") / nx) % ny).cast("int").alias("iy"), (F.col("id") % nx).cast("int").alias("ix"))
+    return grid.join(monthly.select("month", "iy", "ix", "value"), ["month", "iy", "ix"], "left")
+
+
 def mask_on_grid(mask: DataFrame, source: tuple[Sequence[float], Sequence[float]], target: tuple[Sequence[float], Sequence[float]]) -> DataFrame:
     """(iy, ix, inside) on the target grid, from the nearest source cell where the grids differ."""
     numbers = mask.select(F.lit(0).alias("one"), "iy", "ix", F.col("inside").cast("double").alias("value"))

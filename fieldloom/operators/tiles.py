@@ -16,6 +16,11 @@ def offsets(n: int, tile: int, overlap: int) -> list[int]:
     return sorted({*range(0, max(1, n - tile + 1), stride), max(0, n - tile)})
 
 
+def count(ny: int, nx: int, tile: int = 96, overlap: int = 24) -> int:
+    """How many tiles a grid is cut into."""
+    return 1 if max(ny, nx) <= tile else len(offsets(ny, tile, overlap)) * len(offsets(nx, tile, overlap))
+
+
 def tile_table(spark: SparkSession, ny: int, nx: int, tile: int = 96, overlap: int = 24) -> DataFrame:
     """(tile, y0, x0, h, w); one tile if the grid fits in it."""
     if max(ny, nx) <= tile:

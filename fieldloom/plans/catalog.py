@@ -9,8 +9,9 @@ from fieldloom import axes, fields
 from fieldloom.functions.unet import Training
 from fieldloom.operators import climatology as clim
 from fieldloom.operators import correct, fill, learn, metrics, predictors, regrid, tiles
-from fieldloom.plans import downscale
+from fieldloom.plans import refine
 from fieldloom.plans import fixtures as fx
+from fieldloom.staging import stage
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -177,13 +178,12 @@ def mask_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fill_sql(field: str) -> str:
-    return f"""WITH dense AS (SELECT d.day, k.iy, k.ix, k.inside, CASE WHEN k.inside THEN f.value END AS value
+    return f"""WITH dense AS MATERIALIZED (SELECT d.day, k.iy, k.ix, k.inside, CASE WHEN k.inside THEN f.value END AS value
     FROM (SELECT DISTINCT day FROM {field}) d CROSS JOIN {MASK} k LEFT JOIN {field} f ON f.day = d.day AND f.iy = k.iy AND f.ix = k.ix
-  ), near AS (SELECT m.day, m.iy, m.ix, v.value, row_number() OVER (PARTITION BY m.day, m.iy, m.ix
-      ORDER BY (m.iy - v.iy) * (m.iy - v.iy) + (m.ix - v.ix) * (m.ix - v.ix), v.iy, v.ix) AS r
-    FROM dense m JOIN dense v ON v.day = m.day AND v.value IS NOT NULL WHERE m.inside AND m.value IS NULL)
+  ), near AS (SELECT m.day, m.iy, m.ix, arg_min(v.value, ((m.iy - v.iy) * (m.iy - v.iy) + (m.ix - v.ix) * (m.ix - v.ix)) * 1000000 + v.iy * 1000 + v.ix) AS value
+    FROM (SELECT day, iy, ix FROM dense WHERE inside AND value IS NULL) m JOIN (SELECT * FROM dense WHERE value IS NOT NULL) v ON v.day = m.day GROUP BY m.day, m.iy, m.ix)
   SELECT d.day, d.iy, d.ix, CASE WHEN d.inside THEN coalesce(d.value, n.value, 0.0) END AS value
-  FROM dense d LEFT JOIN near n ON n.r = 1 AND n.day = d.day AND n.iy = d.iy AND n.ix = d.ix"""
+  FROM dense d LEFT JOIN near n USING (day, iy, ix)"""
 
 
 @query(_fill_sql(C))
@@ -347,17 +347,17 @@ def spatial_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def unet_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _training(spark, sf_dir)
-    models = learn.fit_models(cells, NAMES, fx.COARSE, fx.COARSE, QUICK)
+    cells = stage(_training(spark, sf_dir), "cells")
+    models = stage(learn.fit_models(cells, NAMES, fx.COARSE, fx.COARSE, QUICK), "models")
     fitted = learn.fitted_field(cells, models, NAMES, fx.COARSE, fx.COARSE, QUICK)
     return metrics.errors(fitted, ["month", "test"])
 
 
 def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    models = learn.fit_models(_training(spark, sf_dir), NAMES, fx.COARSE, fx.COARSE, QUICK)
-    scored = predictors.zscore(fx.static_features(spark, sf_dir), _stats(spark, sf_dir))
-    fine = regrid.regrid(scored, fx.COARSE_GRID, fx.FINE_GRID, ["feature"], "linear_nearest")
-    return learn.predict(predictors.feature_matrix(fine, NAMES), models, fx.fine_mask(spark), fx.FINE, fx.FINE, 24, 8)
+    """Raw features on the fine grid, standardised by what came with the models."""
+    models = stage(learn.fit_models(_training(spark, sf_dir), NAMES, fx.COARSE, fx.COARSE, QUICK, _stats(spark, sf_dir)), "models")
+    fine = regrid.regrid(fx.static_features(spark, sf_dir), fx.COARSE_GRID, fx.FINE_GRID, ["feature"], "linear_nearest")
+    return learn.predict(predictors.feature_matrix(fine, NAMES), models, fx.fine_mask(spark), fx.FINE, fx.FINE, 24, 8, raw=True)
 
 
 @query()
@@ -370,11 +370,56 @@ def importance_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn.importance(learn.fit_models(_training(spark, sf_dir), NAMES, fx.COARSE, fx.COARSE, QUICK))
 
 
-@query()
-def downscale_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _corners_sql(field: str, keys: str) -> str:
+    on = lambda x: " AND ".join(f"{x}.{k} = m.{k}" for k in keys.split(", "))
+    return f"""(SELECT y.t AS iy, x.t AS ix, y.w AS wy, x.w AS wx, {", ".join(f"m.{k}" for k in keys.split(", "))}, a.value AS v00, b.value AS v01, c.value AS v10, d.value AS v11
+  FROM {_TARGETS} y CROSS JOIN {_TARGETS} x CROSS JOIN (SELECT DISTINCT {keys} FROM {field}) m
+  LEFT JOIN {field} a ON {on("a")} AND a.iy = y.c AND a.ix = x.c LEFT JOIN {field} b ON {on("b")} AND b.iy = y.c AND b.ix = x.c + 1
+  LEFT JOIN {field} c ON {on("c")} AND c.iy = y.c + 1 AND c.ix = x.c LEFT JOIN {field} d ON {on("d")} AND d.iy = y.c + 1 AND d.ix = x.c + 1
+  WHERE coalesce(a.value, b.value, c.value, d.value) IS NOT NULL)"""
+
+
+def _filled(name: str, field: str) -> str:
+    """CTEs that fill a daily field inside the fine mask, as ``_fill_sql`` does; the result is ``name``."""
+    return f"""{name}_days AS MATERIALIZED (SELECT DISTINCT day FROM {field}), {name}_dense AS MATERIALIZED (SELECT d.day, k.iy, k.ix, k.inside, CASE WHEN k.inside THEN f.value END AS value
+    FROM {name}_days d CROSS JOIN {FINE_MASK} k LEFT JOIN {field} f ON f.day = d.day AND f.iy = k.iy AND f.ix = k.ix
+  ), {name}_rows AS MATERIALIZED (SELECT day, iy, list({{'ix': ix, 'value': value}} ORDER BY ix) AS donors FROM {name}_dense WHERE value IS NOT NULL GROUP BY day, iy
+  ), {name}_rownear AS (SELECT m.day, m.iy, m.ix, list_min(list_transform(r.donors, lambda v: ((m.iy - r.iy) * (m.iy - r.iy) + (m.ix - v.ix) * (m.ix - v.ix)) * 1000000 + r.iy * 1000 + v.ix)) AS code
+    FROM {name}_dense m JOIN {name}_rows r ON r.day = m.day WHERE m.inside AND m.value IS NULL
+  ), {name}_near AS (SELECT day, iy, ix, min(code) AS code FROM {name}_rownear GROUP BY ALL
+  ), {name} AS MATERIALIZED (SELECT d.day, d.iy, d.ix, CASE WHEN d.inside THEN coalesce(d.value, v.value, 0.0) END AS value FROM {name}_dense d LEFT JOIN {name}_near n USING (day, iy, ix)
+    LEFT JOIN {name}_dense v ON v.day = n.day AND v.iy = n.code % 1000000 // 1000 AND v.ix = n.code % 1000)"""
+
+
+_BOTH = f"coalesce({_LINEAR}, {_NEAREST})"
+_STEP = f"""WITH coarse AS MATERIALIZED (SELECT * FROM {C}), clim AS MATERIALIZED (SELECT month, iy, ix, avg(value) AS value FROM coarse WHERE year BETWEEN {FIRST} AND {LAST} GROUP BY ALL),
+  anom AS MATERIALIZED (SELECT d.day, d.month, d.iy, d.ix, d.value - c.value AS value FROM coarse d LEFT JOIN clim c USING (month, iy, ix) WHERE d.{MONTHS}),
+  fine_clim AS MATERIALIZED (SELECT month, iy, ix, {_BOTH} AS value FROM {_corners_sql("clim", "month")}),
+  on_fine AS MATERIALIZED (SELECT day, iy, ix, {_BOTH} AS value FROM {_corners_sql("anom", "day")}), {_filled("anomaly", "on_fine")},
+  raw AS MATERIALIZED (SELECT a.day, a.iy, a.ix, a.value + c.value AS value FROM anomaly a LEFT JOIN fine_clim c ON c.month = month(a.day) AND c.iy = a.iy AND c.ix = a.ix),
+  means AS (SELECT day, cy AS iy, cx AS ix, avg(value) AS value FROM (SELECT *, {_EDGE.format('iy')} AS cy, {_EDGE.format('ix')} AS cx FROM raw) WHERE cy >= 0 AND cx >= 0 AND value IS NOT NULL GROUP BY ALL),
+  residual AS MATERIALIZED (SELECT t.day, t.iy, t.ix, t.value - m.value AS value FROM coarse t LEFT JOIN means m USING (day, iy, ix) WHERE t.day IN (SELECT day FROM raw)),
+  back_fine AS MATERIALIZED (SELECT day, iy, ix, {_BOTH} AS value FROM {_corners_sql("residual", "day")}), {_filled("back", "back_fine")},
+  corrected AS MATERIALIZED (SELECT a.day, a.iy, a.ix, a.value + b.value AS value, {_EDGE.format('a.iy')} AS cy, {_EDGE.format('a.ix')} AS cx FROM raw a JOIN back b USING (day, iy, ix)),
+  again AS (SELECT day, cy, cx, avg(value) AS value FROM corrected WHERE cy >= 0 AND cx >= 0 GROUP BY ALL),
+  moved AS MATERIALIZED (SELECT p.day, p.iy, p.ix, CASE WHEN p.cy < 0 OR p.cx < 0 THEN p.value ELSE p.value + (t.value - m.value) END AS value FROM corrected p
+    LEFT JOIN again m USING (day, cy, cx) LEFT JOIN coarse t ON t.day = p.day AND t.iy = p.cy AND t.ix = p.cx), {_filled("final", "moved")}
+  SELECT day, iy, ix, round(value, 6) AS value FROM final"""
+
+
+@query(_STEP)
+def refine_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One step from observed days to the consistent fine field, over all days of the output months."""
     daily = fx.days(spark, sf_dir)
     # the source climatology on the fine grid stands for a prediction
     fine_clim = regrid.regrid(_clim(spark, sf_dir), fx.COARSE_GRID, fx.FINE_GRID, ["month"], "linear_nearest")
-    out = downscale.downscale(daily, fine_clim, fx.fine_mask(spark), fx.COARSE_GRID, fx.FINE_GRID, fx.BASELINE)
+    out = refine.refine(daily, fine_clim, fx.fine_mask(spark), fx.COARSE_GRID, fx.FINE_GRID, fx.BASELINE)
+    return out["final"].withColumn("value", F.round("value", 6))
+
+
+@query()
+def learned_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training, prediction of the fine climatology, and the whole step with it, as one chain."""
+    predicted = stage(_predicted(spark, sf_dir), "predicted")
+    out = refine.refine(fx.days(spark, sf_dir), predicted, fx.fine_mask(spark), fx.COARSE_GRID, fx.FINE_GRID, fx.BASELINE)
     return out["final"]

@@ -1,4 +1,4 @@
-"""One downscaling step as a plan, and two of them in a row."""
+"""One refining step as a plan, and two of them in a row."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators import climatology as clim_ops
 from fieldloom.operators import correct, fill, regrid
+from fieldloom.staging import stage
 
 Grid = tuple[Sequence[float], Sequence[float]]
 
@@ -24,12 +25,12 @@ def reconstruct_daily(anomalies: DataFrame, fine_clim: DataFrame, mask: DataFram
     return clim_ops.reconstruct(_calendar(filled), fine_clim)
 
 
-def downscale(daily: DataFrame, fine_clim: DataFrame, mask: DataFrame, coarse: Grid, fine: Grid, baseline: tuple[int, int], months: str | Iterable[int] | None = None, fill_corrected: bool = False, store: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> dict[str, DataFrame]:
+def refine(daily: DataFrame, fine_clim: DataFrame, mask: DataFrame, coarse: Grid, fine: Grid, baseline: tuple[int, int], months: str | Iterable[int] | None = None, fill_corrected: bool = False, store: Callable[[str, DataFrame], DataFrame] = lambda name, df: stage(df, name)) -> dict[str, DataFrame]:
     """clim, anom, raw, aggregate, residual, corrected, delta, final of one step.
 
     ``daily`` is the coarse field, ``fine_clim`` the predicted climatology on the fine
-    grid. ``store`` may write a stage and read it back; without it the step is one lazy
-    plan. Months are cut before anything is regridded.
+    grid. ``store`` writes a stage and reads it back, since later ones read it more than
+    once. Months are cut before anything is regridded.
     """
     ny, nx = len(fine[0]), len(fine[1])
     clim = store("clim", clim_ops.climatology(daily, *baseline))
@@ -49,9 +50,9 @@ def downscale(daily: DataFrame, fine_clim: DataFrame, mask: DataFrame, coarse: G
     return {"clim": clim, "anom": anom, "raw": raw, "aggregate": aggregate, "residual": residual, "corrected": corrected, "delta": delta, "final": final}
 
 
-def downscale_twice(daily: DataFrame, clims: Sequence[DataFrame], masks: Sequence[DataFrame], grids: Sequence[Grid], baseline: tuple[int, int], months: str | Iterable[int] | None = None, store: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> list[dict[str, DataFrame]]:
+def refine_twice(daily: DataFrame, clims: Sequence[DataFrame], masks: Sequence[DataFrame], grids: Sequence[Grid], baseline: tuple[int, int], months: str | Iterable[int] | None = None, store: Callable[[str, DataFrame], DataFrame] = lambda name, df: stage(df, name)) -> list[dict[str, DataFrame]]:
     """Both steps; the second starts from the first one's final field and fills its corrected one."""
-    first = downscale(daily, clims[0], masks[0], grids[0], grids[1], baseline, months, store=lambda n, df: store(f"1/{n}", df))
+    first = refine(daily, clims[0], masks[0], grids[0], grids[1], baseline, months, store=lambda n, df: store(f"1/{n}", df))
     again = _calendar(first["final"])
-    second = downscale(again, clims[1], masks[1], grids[1], grids[2], baseline, months, fill_corrected=True, store=lambda n, df: store(f"2/{n}", df))
+    second = refine(again, clims[1], masks[1], grids[1], grids[2], baseline, months, fill_corrected=True, store=lambda n, df: store(f"2/{n}", df))
     return [first, second]

@@ -31,6 +31,8 @@ class GridFile:
     def __init__(self, data: bytes | np.memmap):
         self.data, self.at = data, 4
         head = bytes(data[:4])
+        if head == b"\x89HDF":
+            raise ValueError("this is a NetCDF-4 (HDF5) file, which needs a reader that Spark does not have; convert it to the classic format first (nccopy -k 64-bit-offset)")
         if head[:3] != b"CDF" or head[3] not in (1, 2):
             raise ValueError("not a classic NetCDF file")
         self.wide = head[3] == 2
@@ -179,6 +181,44 @@ def _rows(f: GridFile, name: str | None, preferred: Sequence[str], first: int =
         yield pa.RecordBatch.from_arrays([*flat, pa.array(plane, mask=~np.isfinite(plane))], schema=_ARROW)
 
 
+STEPS = ("month", "year")
+LAYERS = "feature string, step int, iy int, ix int, lat double, lon double, value double"
+_LAYERS = pa.schema([("feature", pa.string()), ("step", pa.int32()), ("iy", pa.int32()), ("ix", pa.int32()), ("lat", pa.float64()), ("lon", pa.float64()), ("value", pa.float64())])
+
+
+def _layers(f: GridFile, names: Sequence[str] | None, exclude: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """One batch for each plane of the variables over (lat, lon), alone or with a month or year first or last, on ascending axes."""
+    lat, lon = (resolve_coordinate(list(f.variables), c) for c in (LAT_NAMES, LON_NAMES))
+    y, x = f.read(lat).astype(float), f.read(lon).astype(float)
+    oy, ox = np.argsort(y, kind="stable"), np.argsort(x, kind="stable")
+    iy, ix = np.repeat(np.arange(len(y)), len(x)).astype(np.int32), np.tile(np.arange(len(x)), len(y)).astype(np.int32)
+    for name, (dims, _, _, _) in f.variables.items():
+        step = next((d for d in dims if d in STEPS), None)
+        if name in exclude or (names is not None and name not in names) or set(dims) != {lat, lon} | ({step} - {None}):
+            continue
+        steps = [None] if step is None else (f.read(step).tolist() if step in f.variables else range(1, dict(f.dims)[step] + 1))
+        cube = np.transpose(f.read(name).astype(float), [dims.index(d) for d in ([step] if step else []) + [lat, lon]]).reshape(len(steps), len(y), len(x))
+        for at, plane in zip(steps, cube, strict=True):
+            flat = plane[np.ix_(oy, ox)].ravel()
+            rest = [pa.array([name] * len(flat)), pa.array([None if at is None else int(at)] * len(flat), pa.int32()), pa.array(iy), pa.array(ix), pa.array(y[oy][iy]), pa.array(x[ox][ix])]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(flat, mask=~np.isfinite(flat))], schema=_LAYERS)
+
+
+def read_layers_nc(spark: SparkSession, path: str, names: Sequence[str] | None = None, exclude: Sequence[str] = ()) -> DataFrame:
+    """(feature, step, iy, ix, lat, lon, value) of the planes in the files at ``path``: masks, month cubes, static and yearly predictors.
+
+    step is the month or year of a plane, null where the variable has neither.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                yield from _layers(GridFile(content.as_py()), names, exclude)
+
+    ship_package(spark)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, LAYERS)
+
+
 def read_grid_nc(spark: SparkSession, path: str, variable: str | None = None, preferred: Sequence[str] = ()) -> DataFrame:
     """(day, iy, ix, lat, lon, value) of the files at ``path`` (a glob too), through Spark's readers."""
 

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from fieldloom import axes, config, fields
 from fieldloom.operators import climatology, correct, fill, predictors, regrid, tiles
-from fieldloom.plans import downscale
+from fieldloom.plans import refine
 from fieldloom.plans import fixtures as fx
 
 DAY = datetime.date(2001, 7, 1)
@@ -168,7 +168,7 @@ def test_step_is_consistent_with_its_target(spark):
         df = spark.createDataFrame(cells, "month int, iy int, ix int, value double, inside boolean")
         clims.append(df.drop("inside"))
         masks.append(df.select("iy", "ix", "inside"))
-    out = downscale.downscale(daily, clims[0], masks[0], grids[0], grids[1], (2001, 2001), [7], fill_corrected=True)
+    out = refine.refine(daily, clims[0], masks[0], grids[0], grids[1], (2001, 2001), [7], fill_corrected=True)
     assert np.isfinite(plane(out["final"].filter("day = '2001-07-01'"), 20, 20)).all()
     row = correct.consistency_error(regrid.with_parents(out["final"], grids[1], grids[0]), daily).first()
     assert row["cells"] == 32 and row["max_error"] < 1e-9

@@ -28,7 +28,7 @@ def rows(records):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
-@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n != "downscale_step"])
+@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n != "refine_step"])
 def test_query(spark, duck, name):
     df = catalog.QUERIES[name](spark, SMALL)
     got = df.collect()
@@ -51,8 +51,8 @@ def test_entry(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
-def test_downscale_step_gives_all_output_months(spark, monkeypatch):
+def test_refine_step_gives_all_output_months(spark, monkeypatch):
     all_days = catalog.fx.days
     monkeypatch.setattr(catalog.fx, "days", lambda *a: all_days(*a).filter("year = 1995 and day(day) < 3"))
-    got = catalog.QUERIES["downscale_step"](spark, SMALL).selectExpr("month(day) AS month").distinct().collect()
+    got = catalog.QUERIES["refine_step"](spark, SMALL).selectExpr("month(day) AS month").distinct().collect()
     assert sorted(r["month"] for r in got) == [5, 6, 7, 8, 9]

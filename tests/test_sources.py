@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from fieldloom import cli, fields
-from fieldloom.operators import climatology
+from fieldloom.operators import climatology, metrics, regrid
 from fieldloom.sources import grid_nc, tables
 from fieldloom.streaming import daily as stream
 
@@ -35,7 +35,7 @@ def test_grid_file(spark, tmp_path):
         assert len(rows) == 30
         assert rows[datetime.date(2001, 7, 1), 2, 0] is None  # a fill value, and latitude turned to ascending
         assert rows[datetime.date(2001, 7, 2), 0, 1] == values[1, 2, 1]
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="NetCDF-4"):
         grid_nc.GridFile(b"\x89HDF\r\n\x1a\n")
 
 
@@ -82,3 +82,59 @@ def test_command_line(spark, tmp_path):
     assert fields.load_field(spark, f"{tmp_path}/sum").count() == 30
     do("evaluate", "--pred", tmp_path / "daily", "--ref", tmp_path / "daily", "--out-csv", tmp_path / "m", "--eval-start-year", 2001, "--eval-end-year", 2001)
     assert tables.read_csvs(spark, f"{tmp_path}/m").filter("mae = 0").count() == 2
+
+
+def write_layers(path):
+    lat, lon = np.array([1.0, 0.0]), np.array([10.0, 11.0, 12.0])
+    plane = np.arange(6, dtype=np.float64).reshape(2, 3)
+    cube = np.stack([plane + 10 * k for k in range(3)])
+    grid_nc.write_grid_nc(
+        str(path), {"month": 3, "year": 2, "lat": 2, "lon": 3},
+        {"lat": (("lat",), lat, {}), "lon": (("lon",), lon, {}), "month": (("month",), np.array([5, 6, 7], np.int32), {}), "year": (("year",), np.array([1985, 1990], np.int32), {}),
+         "land_mask": (("lat", "lon"), (plane > 2).astype(np.float64), {}), "clim": (("month", "lat", "lon"), cube, {}), "pop": (("lat", "lon", "year"), cube[:2].transpose(1, 2, 0).copy(), {})},
+    )
+
+
+def test_masks_month_cubes_and_yearly_layers(spark, tmp_path):
+    write_layers(tmp_path / "p.nc")
+    rows = {(r["feature"], r["step"], r["iy"], r["ix"]): r["value"] for r in grid_nc.read_layers_nc(spark, f"{tmp_path}/p.nc").collect()}
+    assert len(rows) == 6 * (1 + 3 + 2)
+    assert rows["land_mask", None, 0, 0] == 1 and rows["land_mask", None, 1, 0] == 0  # latitude turned to ascending
+    assert rows["clim", 6, 1, 2] == 12 and rows["pop", 1990, 0, 1] == 14
+    one = grid_nc.read_layers_nc(spark, f"{tmp_path}/p.nc", exclude=["clim", "pop"])
+    assert fields.inside_mask(one).filter("inside").count() == 3
+
+
+def test_train_and_predict_from_raw_features(spark, tmp_path):
+    write_layers(tmp_path / "p.nc")
+    do = lambda *a: cli.run(spark, cli.parser().parse_args([str(x) for x in a]))
+    do("import-layers", "--input", tmp_path / "p.nc", "--out", tmp_path / "layers", "--vars", "land_mask,pop")
+    do("prepare-predictors", "--input", tmp_path / "layers", "--features", "land_mask,pop", "--out", tmp_path / "wide")
+    assert spark.read.parquet(f"{tmp_path}/wide").filter("pop between 0 and 16").count() == 6
+    cells = [(m, i, j, float(i + j + m), True, 100.0 + i, 5.0 * j) for m in (5, 6) for i in range(8) for j in range(8)]
+    spark.createDataFrame(cells, "month int, iy int, ix int, value double, inside boolean, a double, b double").write.parquet(f"{tmp_path}/cells")
+    size = ["--ny", 8, "--nx", 8]
+    do("train", "--cells", tmp_path / "cells", "--features", "a,b", *size, "--models-out", tmp_path / "models", "--metrics-csv", tmp_path / "m", "--importance-csv", tmp_path / "i", "--epochs", 5, "--base-channels", 2, "--depth", 2)
+    got = tables.read_csvs(spark, f"{tmp_path}/m")
+    assert got.columns[:6] == ["month", "n_land_total", "n_train", "n_test", "train_mae", "train_rmse"] and got.count() == 2 and got.filter("n_land_total = 64 and epochs = 5").count() == 2
+    model = tables.read_models(spark, f"{tmp_path}/models").first()
+    assert np.allclose(model["feature_means"], [103.5, 17.5]) and np.allclose(model["feature_stds"], [5.25**0.5, 5 * 5.25**0.5])
+    spark.read.parquet(f"{tmp_path}/cells").filter("month = 5").select("iy", "ix", "a", "b").write.parquet(f"{tmp_path}/features")
+    spark.range(64).selectExpr("cast(id div 8 as int) iy", "cast(id % 8 as int) ix", "1.0 value").write.parquet(f"{tmp_path}/mask")
+    do("predict", "--features", tmp_path / "features", "--models", tmp_path / "models", "--mask", tmp_path / "mask", *size, "--out", tmp_path / "out", "--tile-size", 6, "--overlap", 2)
+    assert fields.load_field(spark, f"{tmp_path}/out").filter("value is not null").count() == 128
+
+
+def test_holdout_against_a_coarser_reference(spark):
+    day = datetime.date(2001, 7, 1)
+    axes = [0.5 + i for i in range(9)], [1.5 + 3 * i for i in range(3)]
+    fine = fields.daily(spark.createDataFrame([(day, i, j, float(i)) for i in range(9) for j in range(9)], "day date, iy int, ix int, value double"))
+    ref = fields.daily(spark.createDataFrame([(day, 1, 1, 5.0)], "day date, iy int, ix int, value double"))
+    got = {r["month"]: r for r in metrics.holdout(fine, ref, 2001, 2001, fine=(axes[0], axes[0]), coarse=(axes[1], axes[1])).collect()}
+    assert got[7]["n"] == 1 and abs(got[7]["bias"] + 1) < 1e-9
+
+
+def test_all_months_have_a_slot(spark):
+    some = spark.createDataFrame([(5, 0, 0, 1.0)], "month int, iy int, ix int, value double")
+    slots = regrid.month_slots(some, 2, 2)
+    assert slots.count() == 48 and slots.filter("value is not null").count() == 1
