@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -15,57 +13,9 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.textvec import forget_powers
 from fieldloom.session import ship_package
+from fieldloom.staging import drop_path, new_path, path_exists, shared_dir, stage
 
-_OWN_DIRS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs in one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIRS:
-        _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="fieldloom-")
-    return _OWN_DIRS[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; removed when the application ends."""
-    path = f"{shared_dir(spark)}/fieldloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
-#: Rows and bytes of one Arrow batch that a Python worker gets while a table is stored.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
-
-
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Bounds what Python workers hold at once; the session's own settings are put back."""
-    before = {k: spark.conf.get(k, None) for k in BATCH}
-    for k, v in BATCH.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    with small_batches(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["drop_path", "id_and_text", "kept", "map_arrow", "new_path", "partitions", "path_exists", "release", "sent", "shared_dir", "stage", "table", "text_or_empty"]
 
 
 @contextmanager
@@ -78,16 +28,6 @@ def sent(spark: SparkSession, value) -> Iterator:
         out.destroy()
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -4,8 +4,11 @@ The CGK random walk reads a window word by word and writes one word per step, mo
 or staying by a random bit of the word and the step; equal walks under small edit
 distance keep a small Hamming distance. Each repetition samples ``SAMPLED`` positions of
 such an embedding; items and windows of one length that agree on them are verified by
-exact word edit distance. The number of repetitions is set on the items themselves, by
-editing copies of them at the limit, so that ``RECALL`` of these are retrieved.
+exact word edit distance. The number of repetitions is set for each class of lengths, on
+edited copies of its longest items with as many edits as are allowed, so that ``RECALL``
+of these are retrieved, and confirmed on other copies. Where ``MOST_REPEATS`` would not
+do, which is so for items of many hundred words, each run of windows left by the filter
+below is aligned exactly with the items that it shares enough runs with.
 
 A window within d = ``EDITS`` * n edits of an item of n words shares at least
 n - g + 1 - g * d of the item's g-word runs (q-gram lemma), g = 3 for all but the
@@ -22,13 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import id_and_text, map_arrow
+from fieldloom.llm.common import id_and_text, map_arrow, sent, stage
 from fieldloom.llm.textvec import NON_ALNUM, Words, mix, text_slices
 
 EDITS = 0.2
 RECALL = 0.99
 SAMPLED = 2
-MOST_REPEATS = 96
+LEAST_REPEATS, MOST_REPEATS = 8, 96
+#: Edited copies on which repetitions are set, and as many on which they are confirmed.
+COPIES = 400
+#: Lengths whose ratio is no more than this share repetitions.
+CLASS = 1.15
+#: Items of more words are aligned exactly without trying repetitions.
+EXACT_WORDS = 512
 #: Items that one pass over the documents holds in each worker.
 ITEM_BLOCK = 20_000
 _END = np.uint64(0)
@@ -88,8 +97,26 @@ def prefix_distances(items: np.ndarray, windows: np.ndarray, limit: int) -> np.n
     return np.minimum(row.min(axis=1), limit + 1)
 
 
+def start_distances(items: np.ndarray, text: np.ndarray, limit: int) -> np.ndarray:
+    """[items, starts] least word edit distance of each item to any run of the text's words from each start on; over ``limit``: limit + 1."""
+    back, pattern = text[::-1], items[:, ::-1]
+    m = len(text)
+    steps = np.arange(m + 1, dtype=np.int32)
+    row = np.zeros((len(items), m + 1), np.int32)  # read backwards, a run may begin anywhere
+    for i in range(items.shape[1]):
+        change = row[:, :-1] + (back[None] != pattern[:, i : i + 1])
+        new = np.empty_like(row)
+        new[:, 0] = i + 1
+        new[:, 1:] = np.minimum(change, row[:, 1:] + 1)
+        row = np.minimum.accumulate(new - steps, axis=1) + steps
+    return np.minimum(row[:, :0:-1], limit + 1)
+
+
 class ItemIndex:
-    """Items by length, with their sampled embeddings and their runs of words."""
+    """Items by length, with their sampled embeddings and their runs of words.
+
+    repeats: repetitions by length, 0 where windows are aligned exactly instead.
+    """
 
     def __init__(self, ids: list[int], texts: list[str]):
         batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
@@ -108,9 +135,15 @@ class ItemIndex:
         self.repeats = self._repeats()
         self.keys = {}
         for n in self.lengths:
-            keys = sampled_words(self.items[n], self.repeats).ravel()
-            order = np.argsort(keys, kind="stable")
-            self.keys[n] = (keys[order], order // self.repeats)
+            if self.repeats[n]:
+                keys = sampled_words(self.items[n], self.repeats[n]).ravel()
+                order = np.argsort(keys, kind="stable")
+                self.keys[n] = (keys[order], order // self.repeats[n])
+        self.exact = {}
+        for n in (n for n in self.lengths if not self.repeats[n]):
+            runs = run_hashes(self.items[n], gram_of(n))
+            of_run = np.unique(np.stack([runs.ravel().view(np.int64), np.repeat(np.arange(len(runs)), runs.shape[1])], axis=1), axis=0)
+            self.exact[n] = (np.ascontiguousarray(of_run[:, 0]), np.ascontiguousarray(of_run[:, 1]))
         self.grams = {}
         for g in {gram_of(n) for n in self.lengths}:
             hashes, lengths = [], []
@@ -125,35 +158,54 @@ class ItemIndex:
             member[np.searchsorted(known, hashes), lengths] = True
             self.grams[g] = (known, member, np.bincount((known & np.uint64(0xFFFFF)).astype(np.int64), minlength=1 << 20) > 0)
 
-    def _repeats(self, samples: int = 400, seed: int = 3) -> int:
-        """Repetitions that retrieve ``RECALL`` of copies of the items with as many random edits as are allowed."""
-        rng = np.random.default_rng(seed)
-        first = []
-        for n in self.lengths:
-            d = most_edits(n)
-            if not d:
-                continue
-            take = rng.choice(len(self.items[n]), min(len(self.items[n]), max(1, samples // len(self.lengths) + 1)), replace=False)
-            edited = []
-            for h in self.items[n][take]:
-                e = list(h)
-                for _ in range(d):
-                    kind, p = rng.integers(3), int(rng.integers(len(e)))
-                    new = np.uint64(rng.integers(1, 1 << 63))
-                    if kind == 0:
-                        e[p] = new
-                    elif kind == 1:
-                        e.insert(p, new)
-                    elif len(e) > 1:
-                        e.pop(p)
-                e += [np.uint64(rng.integers(1, 1 << 63)) for _ in range(n)]
-                edited.append(e[:n])
-            same = sampled_words(self.items[n][take], MOST_REPEATS) == sampled_words(np.array(edited, np.uint64), MOST_REPEATS)
-            first.append(np.where(same.any(axis=1), same.argmax(axis=1), MOST_REPEATS))
-        if not first:
-            return 8
-        first = np.sort(np.concatenate(first))
-        return int(min(MOST_REPEATS, max(8, first[min(len(first) - 1, int(np.ceil(RECALL * len(first))) - 1)] + 1)))
+    def _repeats(self) -> dict[int, int]:
+        """Repetitions for each length; lengths within ``CLASS`` of each other share those of their longest."""
+        out: dict[int, int] = {}
+        rng = np.random.default_rng(3)
+        longest = None
+        for n in reversed(self.lengths):
+            if longest is None or longest > CLASS * n or not most_edits(n):
+                longest = n
+                out[n] = repeats_for(self.items[n], rng)
+            else:
+                out[n] = out[longest]
+        return out
+
+
+def edited_copies(items: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Each item with as many random edits as are allowed, cut or followed by other words to its length."""
+    n = items.shape[1]
+    out = np.empty_like(items)
+    for row, h in zip(out, items, strict=True):
+        e = list(h)
+        for _ in range(most_edits(n)):
+            kind, p = rng.integers(3), int(rng.integers(len(e)))
+            new = np.uint64(rng.integers(1, 1 << 63))
+            if kind == 0:
+                e[p] = new
+            elif kind == 1:
+                e.insert(p, new)
+            elif len(e) > 1:
+                e.pop(p)
+        e += [np.uint64(rng.integers(1, 1 << 63)) for _ in range(n - len(e))]
+        row[:] = e[:n]
+    return out
+
+
+def repeats_for(items: np.ndarray, rng: np.random.Generator) -> int:
+    """Repetitions that retrieve ``RECALL`` of edited copies, and of as many others; 0 if ``MOST_REPEATS`` do not."""
+    n = items.shape[1]
+    if not most_edits(n):
+        return LEAST_REPEATS
+    if n > EXACT_WORDS:
+        return 0
+    take = np.resize(rng.permutation(len(items)), COPIES)
+    first = []
+    for _ in range(2):
+        same = sampled_words(items[take], MOST_REPEATS) == sampled_words(edited_copies(items[take], rng), MOST_REPEATS)
+        first.append(np.sort(np.where(same.any(axis=1), same.argmax(axis=1), MOST_REPEATS)))
+    needed = int(max(f[int(np.ceil(RECALL * COPIES)) - 1] for f in first)) + 1
+    return max(LEAST_REPEATS, needed) if needed <= MOST_REPEATS else 0
 
 
 def run_hashes(rows: np.ndarray, g: int) -> np.ndarray:
@@ -210,15 +262,18 @@ def _match_batches(index):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             held: dict[int, list] = {}
+            out: dict[tuple[int, int], tuple[int, int, int]] = {}
             for a, _, data, offsets in text_slices(batch):
                 words = Words(data, offsets, NON_ALNUM)
                 for n, rows, first in _windows(words, ix):
+                    if n in ix.exact:
+                        align_windows(ix, n, words, rows, first, ids[a:], out)
+                        continue
                     width = n + most_edits(n)
                     take = first[:, None] + np.arange(width)
                     end = words.at[rows + 1][:, None]
                     text = np.where(take < end, (words.hash | np.uint64(1))[np.minimum(take, len(words.hash) - 1)], _END)
                     held.setdefault(n, []).append((a + rows, first - words.at[rows], text))
-            out: dict[tuple[int, int], tuple[int, int, int]] = {}
             for n, parts in held.items():
                 rows, first, text = (np.concatenate(x) for x in zip(*parts, strict=True))
                 for b in range(0, len(rows), 4096):
@@ -233,13 +288,14 @@ def _match_batches(index):
 def match_windows(ix: ItemIndex, n: int, rows: np.ndarray, first: np.ndarray, text: np.ndarray, ids: np.ndarray, out: dict) -> None:
     """Windows of one length against the items of that length; the best match of each document and item goes to ``out``."""
     keys, owner = ix.keys[n]
-    probes = sampled_words(np.ascontiguousarray(text[:, :n]), ix.repeats)
+    repeats = ix.repeats[n]
+    probes = sampled_words(np.ascontiguousarray(text[:, :n]), repeats)
     low, high = np.searchsorted(keys, probes.ravel(), "left"), np.searchsorted(keys, probes.ravel(), "right")
     hits = np.flatnonzero(high > low)
     if not len(hits):
         return
     many = high[hits] - low[hits]
-    window = np.repeat(hits // ix.repeats, many)
+    window = np.repeat(hits // repeats, many)
     item = owner[np.repeat(low[hits] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())]
     pairs = np.unique(window * len(ix.ids[n]) + item)
     window, item = pairs // len(ix.ids[n]), pairs % len(ix.ids[n])
@@ -254,6 +310,33 @@ def match_windows(ix: ItemIndex, n: int, rows: np.ndarray, first: np.ndarray, te
                 out[key] = value
 
 
+def align_windows(ix: ItemIndex, n: int, words: Words, rows: np.ndarray, first: np.ndarray, ids: np.ndarray, out: dict) -> None:
+    """The same by exact alignment: neighbouring windows as one stretch, against the items it shares enough runs with."""
+    g, limit = gram_of(n), most_edits(n)
+    known, owner = ix.exact[n]
+    hashes = words.hash | np.uint64(1)
+    cuts = np.flatnonzero((np.diff(first) > 1) | (np.diff(rows) > 0)) + 1
+    for part in np.split(np.arange(len(first)), cuts):
+        row, start, last = rows[part[0]], first[part[0]], first[part[-1]]
+        text = hashes[start : min(last + n + limit, words.at[row + 1])]
+        if len(text) < g:
+            continue
+        runs = run_hashes(text[None], g)[0].view(np.int64)
+        low, high = np.searchsorted(known, runs, "left"), np.searchsorted(known, runs, "right")
+        many = high - low
+        items = owner[np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())]
+        candidates = np.flatnonzero(np.bincount(items, minlength=len(ix.ids[n])) >= n - g + 1 - g * limit)
+        for b in range(0, len(candidates), 64):
+            some = candidates[b : b + 64]
+            found = start_distances(ix.items[n][some], text, limit)[:, : last - start + 1]
+            for item, distances in zip(some.tolist(), found, strict=True):
+                at = int(distances.argmin())
+                if distances[at] <= limit:
+                    key, value = (int(ids[row]), int(ix.ids[n][item])), (int(distances[at]), n, int(start + at - words.at[row]))
+                    if key not in out or value < out[key]:
+                        out[key] = value
+
+
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, distance, item_words, first_word: the best window of each document for each item it holds.
 
@@ -262,8 +345,8 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     digits and non-ASCII characters, A-Z lower-cased. Among windows the least distance
     counts, then the first. Null and empty texts and items without words match nothing;
     repeated items give a row each per item_id; repeated documents repeat no row; rows
-    without doc_id or item_id match nothing. Extra
-    columns are ignored; empty tables give an empty result. Items go to the workers in
+    without doc_id or item_id match nothing. Whole texts and items are read, however long.
+    Extra columns are ignored; empty tables give an empty result. Items go to the workers in
     blocks of ``ITEM_BLOCK``, one pass over the documents each.
     """
     spark = docs.sparkSession
@@ -275,7 +358,8 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
         part = known.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow()  # about ITEM_BLOCK rows
         index = ItemIndex(part["item_id"].to_pylist(), part["text"].to_pylist())
         if index.lengths:
-            one = map_arrow(id_and_text(docs).filter("doc_id is not null"), _match_batches(spark.sparkContext.broadcast(index)), schema)
+            with sent(spark, index) as held:
+                one = stage(map_arrow(id_and_text(docs).filter("doc_id is not null"), _match_batches(held), schema), "matches")
             found = one if found is None else found.union(one)
     if found is None:
         return spark.createDataFrame([], schema)

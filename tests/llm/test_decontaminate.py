@@ -95,3 +95,41 @@ def test_prefix_distance(item, window, limit):
 
     got = dc.prefix_distances(np.array([item], np.uint64), np.array([window], np.uint64), limit)
     assert got[0] == brute()
+
+
+def test_long_items_with_as_many_edits_as_allowed(spark):
+    rng = random.Random(9)
+    items, texts = [], []
+    for n in (160, 640, 1200, 2400):
+        for _ in range(3 if n > 200 else 6):
+            item = words(rng, n)
+            items.append((len(items), " ".join(item)))
+            for d in (dc.most_edits(n), dc.most_edits(n) // 2):
+                texts.append((len(texts), " ".join(words(rng, rng.randrange(60)) + edited(rng, item, d) + words(rng, 30))))
+    known = spark.createDataFrame(items, "item_id long, text string")
+    out = {(r["doc_id"], r["item_id"]): r for r in dc.matches(documents(spark, texts), known).collect()}
+    want = {(2 * i + j, i) for i, _ in items for j in (0, 1)}
+    assert len(out.keys() & want) >= 0.99 * len(want) - 1 and not out.keys() - want
+    assert {i for i, t in items if len(t.split()) > 512} <= {i for _, i in out} and len([k for k in want - set(out) if len(items[k[1]][1].split()) > 512]) == 0
+    for (d, i), r in list(out.items())[:6]:  # the shorter ones
+        assert r["distance"] == least_distance(tokens(items[i][1]), tokens(texts[d][1]))
+
+
+def test_starts_of_alignments():
+    rng = np.random.default_rng(0)
+    items, text = rng.integers(1, 5, (3, 8)).astype(np.uint64), rng.integers(1, 5, 30).astype(np.uint64)
+    got = dc.start_distances(items, text, 6)
+    for k, item in enumerate(items):
+        for s in range(30):
+            padded = np.concatenate([text[s : s + 14], np.zeros(14, np.uint64)])[None, :14]
+            assert got[k, s] == dc.prefix_distances(item[None], padded, 6)[0]
+
+
+def test_repetitions_hold_on_other_copies():
+    rng = np.random.default_rng(1)
+    for n in (20, 59, 160):
+        items = rng.integers(1, 1 << 62, (50, n)).astype(np.uint64)
+        r = dc.repeats_for(items, np.random.default_rng(2))
+        take = np.resize(np.arange(50), 600)
+        same = dc.sampled_words(items[take], r) == dc.sampled_words(dc.edited_copies(items[take], np.random.default_rng(77)), r)
+        assert r and same.any(axis=1).mean() >= 0.975
