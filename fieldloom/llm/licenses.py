@@ -17,29 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import id_and_text, map_arrow, sent, stage
+from fieldloom.llm.license_texts import TEMPLATES
 from fieldloom.llm.textvec import NON_ALNUM, Words, mix, shingle_sets, text_slices
 
 WORDS = 5
 CONTAINMENT = 0.8
 BANDS, ROWS = 32, 2
 
-#: Customary license notices.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "MIT": "Released under the MIT License.",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-}
-
 _SEEDS = np.random.default_rng(5).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
@@ -118,15 +102,23 @@ def _scan_batches(index):
     return run
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
+def template_table(table: DataFrame) -> dict[str, str]:
+    """Templates of a table (license, text), a few hundred rows that the driver holds; rows that lack either are left out."""
+    return {r["license"]: r["text"] for r in table.select("license", "text").collect() if r["license"] and r["text"]}
+
+
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """doc_id, license, containment, first_word: each template that a window of a document (doc_id, text) contains.
 
     Containment is the share of the template's 5-word shingles in the window, 0.8 at
     least; the best window counts, then the first. Words are runs of ASCII letters,
     digits and non-ASCII characters, A-Z lower-cased. Null, empty and short texts match
-    nothing; repeated rows count once; extra columns are ignored; an empty table gives an
-    empty result. Templates need five words or more.
+    nothing; whole texts are read, however long; rows without doc_id count as one
+    document; repeated rows count once; extra columns are ignored; an empty table gives
+    an empty result. Templates, by default ``license_texts.TEMPLATES``, may come as a
+    table (license, text) and need five words or more.
     """
+    templates = template_table(templates) if isinstance(templates, DataFrame) else templates
     with sent(docs.sparkSession, TemplateIndex(templates or TEMPLATES)) as index:
         found = stage(map_arrow(id_and_text(docs), _scan_batches(index), "doc_id long, license string, containment double, first_word long"), "licenses")
     best = F.max(F.struct("containment", (-F.col("first_word")).alias("minus"))).alias("b")

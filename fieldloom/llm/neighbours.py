@@ -203,11 +203,15 @@ def _scan(index, keep: int):
 
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
-    """(vec_id, vector) of rows whose vector has the commonest length, finite components and one that isn't 0."""
+    """(vec_id, vector) of rows whose vector has the commonest length, finite components and one that isn't 0; extreme ones scaled."""
     v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vector")).filter("vec_id is not null and vector is not null and size(vector) > 0")
     v = v.filter(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0))
     common = v.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    return v.filter(F.size("vector") == (common["dim"] if common else 0))
+    v = v.filter(F.size("vector") == (common["dim"] if common else 0))
+    # squares of very large or small components would leave the range of doubles; powers of two change no cosine and no digit
+    largest = F.array_max(F.transform("vector", lambda x: F.abs(x)))
+    scale = F.pow(F.lit(2.0), F.least(F.greatest(-F.floor(F.log2(largest)), F.lit(-1000)), F.lit(1000)))
+    return v.withColumn("vector", F.when(largest.between(1e-100, 1e100), F.col("vector")).otherwise(F.transform("vector", lambda x: x * scale)))
 
 
 def cosine(a: str, b: str):
@@ -220,8 +224,9 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, rerank: int = RERAN
 
     Candidates are all other rows; ties go to the smaller vec_id. Vectors that are null,
     zero, of another than the commonest length, or hold null or non-finite components
-    take no part. vec_id is the key: of rows that repeat one, one counts. With k
-    candidates or fewer all are returned. An empty table gives an empty result.
+    take no part, nor do rows without vec_id. vec_id is the key: of rows that repeat one,
+    one counts. With k candidates or fewer all are returned. Extra columns are ignored.
+    An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     valid = stage(valid_vectors(vectors).dropDuplicates(["vec_id"]), "vectors")

@@ -146,7 +146,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids) of every piece of every document.
 
-    Ties and repeated rows: see ``pack``. With ``keep_ids`` the token ids travel along.
+    Ties and repeated rows: see ``pack``. Null text counts as empty, a null doc_id is kept
+    as it is, extra columns are ignored, an empty table gives an empty result. With
+    ``keep_ids`` the token ids travel along.
     """
     pieces = token_pieces(docs, tokenizer_path, capacity, end_id).withColumn("ids_crc32", F.crc32("ids"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]

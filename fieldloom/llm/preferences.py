@@ -64,14 +64,39 @@ def format_preferences(turns: DataFrame) -> DataFrame:
 
 
 def paired_turns(conversations: DataFrame) -> DataFrame:
-    """Turns of conversations 2 k (chosen) and 2 k + 1 (rejected) as pair k."""
-    side = F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected")
-    return conversations.filter("conv_id is not null").select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), side.alias("side"), "turn", "role", "text")
+    """Turns of both sides of a pair per conversation, from ``conversations`` (conv_id, turn, role, text).
+
+    A table without preferences gets them thus: a conversation is the chosen side of the
+    pair of its number; the rejected side has the same turns up to its last assistant
+    turn, and there the last assistant turn of the partner, conversation 2 k + 1 for 2 k
+    and the other way round. A conversation without assistant turn or partner gives no
+    pair. Rows without conv_id are left out.
+    """
+    rows = conversations.filter("conv_id is not null").select(F.col("conv_id").cast("long").alias("pair_id"), "turn", "role", "text")
+    answer = F.max(F.struct("turn", "role", "text")).alias("answer")
+    last = rows.filter(F.col("role") == TRAINED).groupBy("pair_id").agg(answer)
+    other = last.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("answer").alias("other"))
+    pairs = last.join(other, "pair_id")
+    turns = rows.join(pairs, "pair_id")
+    chosen = turns.select("pair_id", F.lit("chosen").alias("side"), "turn", "role", "text")
+    shared = turns.filter(F.coalesce(F.col("turn") < F.col("answer.turn"), F.lit(True))).select("pair_id", F.lit("rejected").alias("side"), "turn", "role", "text")
+    answers = pairs.select("pair_id", F.lit("rejected").alias("side"), F.col("answer.turn").alias("turn"), F.col("other.role").alias("role"), F.col("other.text").alias("text"))
+    return chosen.unionByName(shared).unionByName(answers)
 
 
 ORACLE_SQL = rf"""
-WITH turns AS (
-  SELECT DISTINCT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, conv_id % 2 = 0 AS chosen, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
+WITH given AS (
+  SELECT CAST(conv_id AS BIGINT) AS pair_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
+), last AS (
+  SELECT pair_id, turn, text FROM given WHERE role = '{TRAINED}'
+  QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY turn DESC NULLS LAST, text DESC NULLS LAST) = 1
+), partners AS (
+  SELECT l.pair_id, l.turn, o.text FROM last l JOIN last o ON xor(o.pair_id, 1) = l.pair_id
+), turns AS (
+  SELECT DISTINCT * FROM (
+    SELECT pair_id, true AS chosen, turn, role, text FROM given SEMI JOIN partners USING (pair_id)
+    UNION ALL SELECT g.pair_id, false, g.turn, g.role, g.text FROM given g JOIN partners p ON p.pair_id = g.pair_id AND coalesce(g.turn < p.turn, true)
+    UNION ALL SELECT pair_id, false, turn, '{TRAINED}', text FROM partners)
 ), placed AS (
   SELECT *, row_number() OVER (PARTITION BY pair_id, chosen ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place,
     '{BEFORE}' || coalesce(role, '{NO_ROLE}') || '|>' || chr(10) AS head,

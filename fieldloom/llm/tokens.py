@@ -152,8 +152,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     Contents are normalised by reading null as empty and nothing else, since any further
     change of a text could change its count. The cache is a folder of Parquet files per
     tokenizer version; without ``cache_path`` it starts empty in the shared folder.
-    Repeated rows give repeated rows; extra columns are ignored; an empty table gives an
-    empty result; empty texts count 0. Retried or concurrent appends may store a digest
+    Repeated rows give repeated rows; a null doc_id is kept as it is; whole texts are
+    counted, however long; extra columns are ignored; an empty table gives an empty
+    result; empty texts count 0. Retried or concurrent appends may store a digest
     twice, so the cache is read as one row per digest.
     """
     spark = docs.sparkSession

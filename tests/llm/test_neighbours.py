@@ -46,3 +46,17 @@ def test_hot_list_is_split(spark, monkeypatch):
     x = np.concatenate([np.ones((400, 8)) + rng.normal(scale=1e-3, size=(400, 8)), rng.normal(size=(200, 8))])
     out = neighbours.nearest(frame(spark, [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]), every=100).collect()
     assert len(out) == 6 * 5
+
+
+def test_extreme_magnitudes_and_clashing_columns(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 8))
+    scale = np.array([1e-200, 1e200, 1e-310, 1.0, 1e300, 5e-160])[np.arange(200) % 6]
+    rows = [(i, [float(v) for v in row * k]) for i, (row, k) in enumerate(zip(x, scale))]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as rank", "2 as score", "3 as query_id", "4 as vector", "5 as list", "6 as code", "7 as chunk")
+    out = neighbours.nearest(docs, every=20).collect()
+    v = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert len(out) == 50
+    for r in out:
+        loose = 1e-9 if min(scale[r["vec_id"]], scale[r["query_id"]]) > 1e-300 else 1e-3  # digits are lost near the least double
+        assert abs(r["score"] - v[r["query_id"]] @ v[r["vec_id"]]) < loose

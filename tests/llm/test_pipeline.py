@@ -62,3 +62,43 @@ def test_registered(spark):
     import __spark_entry__ as entry
 
     assert "pipeline" in entry.queries() and sorted(n.split("_")[0] for n in entry.queries() if n.startswith("op")) == sorted(f"op{k}" for k in range(1, 11))
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Nulls, empties, a long text, repeated rows and ids, and columns that clash with the operators' own."""
+    rng = random.Random(9)
+    line = lambda n: " ".join(words(rng, n))
+    texts = [(k, "\n".join(line(20) for _ in range(3))) for k in range(12)]
+    item = line(30)
+    texts += [(20, None), (21, ""), (22, " \n "), (23, "\n".join(line(12) for _ in range(1500))), (None, texts[0][1]), (None, None)]
+    texts += [texts[1], texts[1], (30, line(30)), (30, line(30) + " " + item), (31, texts[2][1]), (None, item)]
+    rows = [(i, t, k, "x", k, 1.5) for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, pos int, template string, n long, sketch double")
+    path = tmp_path_factory.mktemp("odd")
+    spark.createDataFrame([(0, item), (1, None), (None, "a b c d e f")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(k, 1, k % 2) for k in range(12)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return docs, str(path)
+
+
+@pytest.mark.parametrize("name,function", corpus_pipeline.STAGES)
+def test_stages_on_odd_rows(spark, odd, name, function):
+    docs, path = odd
+    out = function(spark, docs, path)
+    rows = out.collect()
+    if name == "packing":
+        assert len({(r["doc_id"], r["piece"], r["sequence_id"], r["offset"]) for r in rows}) == len(rows) and sum(r["piece"] == 0 for r in rows) == docs.count()
+    else:
+        assert out.columns == docs.columns
+        ids = [r["doc_id"] for r in rows]
+        assert {20, 21, 22} <= set(ids) and ids.count(None) == 3
+        gone = {"near_dedup": [31], "decontamination": [30]}.get(name, [])
+        assert not set(gone) & set(ids) and (name == "toxicity" or set(range(12)) | {23} <= set(ids))
+        assert ids.count(1) in ((0, 3) if name == "toxicity" else (1,) if name == "near_dedup" else (3,)) or name == "near_dedup"
+    assert function(spark, docs.filter("false"), path).count() == 0
+
+
+def test_run_on_an_empty_table(spark, odd):
+    docs, path = odd
+    docs.filter("false").write.parquet(f"{path}/documents.parquet")
+    assert corpus_pipeline.run(spark, path).count() == 0

@@ -1,9 +1,12 @@
+import math
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fieldloom.llm import resample
+from fieldloom.llm.textvec import NON_ALNUM, Words, text_slices
 from tests.llm.helpers import documents, words
 
 
@@ -39,3 +42,38 @@ def test_kth_largest(spark):
             assert resample.kth_largest(df, "x", k) == np.sort(values)[::-1][k - 1]
         assert resample.kth_largest(df, "x", len(values)) is None
     assert df.agg(F.count("*")).first()[0] == 60
+
+
+def test_weights_and_sample_equal_brute_force(spark):
+    """Models counted n-gram by n-gram in dictionaries, whole sums, and the top k of the keys."""
+    rng = random.Random(1)
+    pool = words(rng, 60)
+    texts = [(i, " ".join(rng.choice(pool[: 20 + i % 40]) for _ in range(rng.randrange(1, 90)))) for i in range(150)] + [(150, None), (151, "...")]
+    labels = [(i, int(i % 3 == 0)) for i in range(120)]
+    target = {i for i, q in labels if q}
+    raw, good, grams = {}, {}, {}
+    for i, t in texts:
+        batch = pa.RecordBatch.from_arrays([pa.array([t], pa.string())], ["text"])
+        grams[i] = [b for _, _, data, at in text_slices(batch) for b in resample.buckets(Words(data, at, NON_ALNUM))[1].tolist()]
+        for b in grams[i]:
+            raw[b] = raw.get(b, 0) + 1
+            good[b] = good.get(b, 0) + (i in target)
+    all_raw, all_good = (sum(x.values()) + resample.BUCKETS for x in (raw, good))
+    weight = {i: sum(math.log((good[b] + 1) / all_good) - math.log((raw[b] + 1) / all_raw) for b in g) for i, g in grams.items()}
+    docs, known = documents(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int")
+    plain = {r["doc_id"]: r for r in resample.resample(docs, known, fraction=0.4).collect()}
+    assert all(abs(plain[i]["log_weight"] - w) < 1e-6 for i, w in weight.items())
+    draw = {i: plain[i]["gumbel_key"] - plain[i]["log_weight"] for i in weight}
+    assert {i for i, r in plain.items() if r["kept"]} == set(sorted(weight, key=lambda i: -weight[i] - draw[i])[:61])
+    tempered = {r["doc_id"]: r for r in resample.resample(docs, known, fraction=0.4, effective=50.0).collect()}
+    assert all(abs(tempered[i]["gumbel_key"] - draw[i] - 50 * weight[i] / max(1, len(grams[i]))) < 1e-6 for i in weight)
+
+
+def test_ties_go_to_the_smaller_id_exactly(spark):
+    big = 1 << 60
+    ids = [big + k for k in range(40)] + [-5, 3, None, None, 3]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    order = sorted((1 << 63) - 1 if i is None else i for i in ids)
+    for k in (1, 2, 5, 20, 43):
+        assert resample.kth_smallest_id(df, k) == order[k - 1]
+    assert resample.kth_smallest_id(df, len(ids)) is None

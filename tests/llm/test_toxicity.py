@@ -1,9 +1,12 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from fieldloom.llm import toxicity
+from fieldloom.llm.textvec import NON_ALNUM, Words, text_slices
 from tests.llm.helpers import documents, words
 
 
@@ -64,7 +67,7 @@ def test_bigram_probabilities_sum_to_one():
     before = np.zeros((2, size), np.int64)
     before[:, :50] = rng.integers(0, 5, (2, 50))
     zero = np.zeros((2, size), np.int64)
-    model = toxicity.KneserNey(np.zeros((2, toxicity.BIGRAMS), np.uint16), zero, zero, zero, before, before.sum(axis=0), zero)
+    model = toxicity.KneserNey(None, zero, zero, zero, before, before.sum(axis=0), zero)
     for c in range(2):
         total = (model.low[c].astype(np.float64) + model.left[c] * model.stem[c][0]).sum()
         assert abs(total - 1) < 1e-3
@@ -90,3 +93,70 @@ def test_every_bigram_keeps_its_own_counts(spark, monkeypatch):
         assert (pairs.counts(keys) == want).all()
     absent = np.setdiff1d(rng.integers(0, 1 << (2 * toxicity.BITS), 20_000), keys)
     assert not pairs.counts(absent).any()
+
+
+def brute_force(texts, labels):
+    """Log-likelihood ratios per word from counts in dictionaries: (whole text, words alone) differences of a text."""
+    def parts(text):
+        batch = pa.RecordBatch.from_arrays([pa.array([text], pa.string())], ["text"])
+        for _, _, data, at in text_slices(batch):
+            return [x.tolist() for x in toxicity.word_numbers(Words(data, at, NON_ALNUM))]
+
+    bigram, holds, stem = ([Counter(), Counter()] for _ in range(3))
+    for i, t in texts:
+        if i in labels and zlib.crc32(str(i).encode()) % 5 > 1:
+            number, before, stems = parts(t)
+            bigram[labels[i]].update(set(zip(before, number)))
+            holds[labels[i]].update(set(number))
+            stem[labels[i]].update(set(stems))
+    d, prior, size = 0.9, 2.0, toxicity.VOCABULARY
+    pooled = Counter(w for _, w in set(bigram[0]) | set(bigram[1]))
+    every = sum(pooled.values()) + 0.5 * size
+    mass = [max(1, sum(stem[c].values())) for c in range(2)]
+
+    def low(c, w, s):
+        cont = Counter(x for _, x in bigram[c])
+        cont = {x: min(n, holds[c][x]) for x, n in cont.items()}
+        n = max(1, sum(cont.values()))
+        left = d * len(cont) / n if cont else 1.0
+        likely = (stem[c][s] + prior) / ((stem[0][s] + stem[1][s]) * mass[c] / sum(mass) + prior)
+        return max(cont.get(w, 0) - d, 0) / n + left * (pooled[w] + 0.5) / every * likely
+
+    def p(c, h, w, s):
+        after = {x: n for (b, x), n in bigram[c].items() if b == h}
+        total = sum(after.values())
+        rest = (sum(n == 1 for n in after.values()) + d * sum(n > 1 for n in after.values())) / total if total else 1.0
+        n = after.get(w, 0)
+        return max((n if n > 1 else 0) - d, 0) / max(total, 1) + rest * low(c, w, s)
+
+    def differences(text):
+        words = list(zip(*parts(text)))
+        return [np.mean([np.log(p(1, h, w, s) / p(0, h, w, s)) for w, h, s in words]), np.mean([np.log(low(1, w, s) / low(0, w, s)) for w, h, s in words])]
+
+    return differences
+
+
+def test_log_likelihoods_equal_brute_force(spark):
+    texts, labels = labelled(60, seed=3)
+    texts = [(i, " ".join(t.split()[:25])) for i, t in texts]
+    known = {i: t for i, _, t in labels}
+    model, _ = toxicity.fit(documents(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    differences = brute_force(texts, known)
+    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in texts[:12]] + ["never seen words grumbly"], pa.string())], ["text"])
+    for _, _, data, at in text_slices(batch):
+        got = toxicity.features(Words(data, at, NON_ALNUM), model.value)
+    want = [differences(t) for t in batch.column("text").to_pylist()]
+    assert np.allclose(got[:, :2], want, rtol=1e-3, atol=1e-4)
+
+
+def test_the_whole_text_differences_alone_tell_classes_apart(spark):
+    texts, labels = labelled(600, seed=4)
+    truth = {i: t for i, _, t in labels}
+    docs = documents(spark, texts)
+    model, _ = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in texts], pa.string())], ["text"])
+    x = np.concatenate([toxicity.features(Words(data, at, NON_ALNUM), model.value) for _, _, data, at in text_slices(batch)])[:, :2]
+    fold = np.array([zlib.crc32(str(i).encode()) % 5 for i, _ in texts])
+    y = np.array([truth[i] for i, _ in texts])
+    curve = toxicity.fit_curve(x[fold == 1], y[fold == 1].astype(float))
+    assert np.mean((toxicity.apply_curve(x[fold == 0], curve) >= 0.5) == y[fold == 0]) > 0.95
