@@ -20,7 +20,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces of the documents that every stage kept; each stage is written and read again."""
+    """The packed pieces of the documents that every stage kept; each stage is written and read again.
+
+    Nulls, empty and very long texts, ties, repeated rows, empty tables and further
+    columns: see ``fieldloom.llm.stages``.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, function in STAGES:
         docs = stage(function(spark, docs, sf_dir), name)
