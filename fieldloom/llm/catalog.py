@@ -62,4 +62,4 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_preference_formatting": preferences.ORACLE_SQL, "op10_line_dedup": linededup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_preference_formatting": preferences.ORACLE_SQL, "op3_minhash_near_dedup": neardup.ORACLE_SQL, "op10_line_dedup": linededup.ORACLE_SQL}

@@ -19,12 +19,18 @@ elements at most, so their similarity can reach the limit p only if
 
     (1 + p) min(I(x), I(y)) >= p (|x| + |y|).
 
+The same holds, and more tightly, with M cut into blocks and I counted in each: the sum
+of the lesser counts takes the place of min(I(x), I(y)). M is what three well-connected
+members hold, in blocks by the place in their texts, so that excerpts of one text differ
+in their counts, and, as a block of its own, whatever else a quarter of the group holds.
+Counts of such a pair differ by (1 - p) / (1 + p) of both sizes at most, summed over the
+blocks, and so do sums of counts with signs; two such sums, rounded to that width, are
+the keys by which pairs meet.
+
 So only pairs that share an added element, or meet this bound, are made and verified;
-pairs inside one component never are, since they cannot change the result. M is what two
-of three well-connected members hold, which undoes the edits of any one of them, and
-whatever else a quarter of the group holds. Where added elements are still common (a
-passage that copies of a text share), their lists get hub rounds of their own first,
-until few pairs of different components remain.
+pairs inside one component never are, since they cannot change the result. Where added
+elements are still common (a passage that copies of a text share), their lists get hub
+rounds of their own first, until few pairs of different components remain.
 """
 
 from __future__ import annotations
@@ -37,13 +43,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import drop_path, id_and_text, map_arrow, new_path, stage
-from fieldloom.llm.textvec import Words, mix, shingle_sets, text_slices
+from fieldloom.llm.textvec import Words, mix, ordered_shingles, shingle_sets, text_slices
 
 K = 64
 WORDS = 5
 #: Standard deviations between the expected and the least shared values: P(loss) < 1e-5 for a pair at the limit.
 MARGIN = 4.75
 _TOP = np.uint64(1 << 63)
+#: Blocks into which a reference set is cut.
+BLOCKS = 32
 
 
 def shared_at_least(percent: int, k: int = K) -> int:
@@ -165,38 +173,80 @@ def inverted_lists(reps: DataFrame, percent: int, k: int = K) -> DataFrame:
     return rows.select("e.value", "id", "n", "pop")
 
 
+def reference_set(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted elements, block of each) of the guides' ordered shingles; what a later one adds lies beside what it follows."""
+    at: dict[int, int] = {}
+    for text in texts:
+        place = np.array([at.get(h, -1) for h in text.tolist()], np.int64)
+        known = np.flatnonzero(place >= 0)
+        if len(known):
+            last = np.maximum.accumulate(np.where(place >= 0, np.arange(len(place)), -1))
+            place = place[np.where(last >= 0, last, known[0])]
+        else:
+            place = np.arange(len(text)) * BLOCKS // max(1, len(text))
+        for h, p in zip(text.tolist(), place.tolist(), strict=True):
+            at.setdefault(h, p)
+    elements = np.array(list(at), np.uint64)
+    order = np.argsort(elements)
+    return elements[order], np.array(list(at.values()), np.int64)[order]
+
+
 def _diff_batches(words: int):
-    schema = pa.schema([("hub", pa.int64()), ("id", pa.int64()), ("nm", pa.int64()), ("n", pa.int64()), ("both", pa.int64()), ("added", pa.list_(pa.int64()))])
+    schema = pa.schema([("hub", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("counts", pa.list_(pa.int32())), ("added", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hubs = batch.column("hub").to_numpy()
             new = np.flatnonzero(np.concatenate(([True], hubs[1:] != hubs[:-1]))) if len(hubs) else []
             few = batch.take(pa.array(new, pa.int64()))
-            majority = {}
-            held = [[s for _, _, data, offsets in text_slices(few, c) for s in shingle_sets(Words(data, offsets), words)] for c in ("t1", "t2", "t3")]
-            for hub, x, y, z in zip(few.column("hub").to_pylist(), *held, strict=True):
-                if len(y) and len(z):
-                    value, n = np.unique(np.concatenate([x, y, z]), return_counts=True)
-                    x = value[n >= 2]
-                majority[hub] = x
+            held = [[s for _, _, data, offsets in text_slices(few, c) for s in ordered_shingles(Words(data, offsets), words)] for c in ("t1", "t2", "t3")]
+            known = {hub: reference_set(list(guides)) for hub, *guides in zip(few.column("hub").to_pylist(), *held, strict=True)}
             sets = [s for _, _, data, offsets in text_slices(batch, "text") for s in shingle_sets(Words(data, offsets), words)]
-            nm, n, both, added = [], [], [], []
+            n, counts, added = [], [], []
             for hub, s in zip(hubs.tolist(), sets, strict=True):
-                m = majority[hub]
-                inside = np.isin(s, m, assume_unique=True)
-                nm.append(len(m))
+                elements, block = known[hub]
+                at = np.minimum(np.searchsorted(elements, s), max(0, len(elements) - 1))
+                inside = elements[at] == s if len(elements) else np.zeros(len(s), bool)
                 n.append(len(s))
-                both.append(int(inside.sum()))
+                counts.append(np.bincount(block[at[inside]], minlength=BLOCKS).astype(np.int32) if len(elements) else np.zeros(BLOCKS, np.int32))
                 added.append((s[~inside] ^ _TOP).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("id"), pa.array(nm, pa.int64()), pa.array(n, pa.int64()), pa.array(both, pa.int64()), pa.array(added, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("id"), pa.array(n, pa.int64()), pa.array(counts, pa.list_(pa.int32())), pa.array(added, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
 
+def close_pairs(outside: DataFrame, everyone: DataFrame, percent: int) -> DataFrame:
+    """(id_x, id_y): an outsider and a member of another component of the hub's group whose counts allow a link.
+
+    Both: hub, id, n, counts, label, main. Sizes fall into classes of ratio 100 /
+    percent; a pair meets in the larger one's class, whose cells are as wide as two
+    signed sums of counts may differ there.
+    """
+    signs = ([-1] * (BLOCKS // 2) + [1] * (BLOCKS // 2), [1 if (k * 4 // BLOCKS) in (0, 3) else -1 for k in range(BLOCKS)])
+    width = lambda k: F.lit(2 * (100 - percent) / (100 + percent)) * F.pow(F.lit(100 / percent), k + 1)
+
+    def cell(sign: list[int], k):
+        marked = F.aggregate(F.zip_with(F.slice("counts", 1, BLOCKS), F.array(*[F.lit(x) for x in sign]), lambda v, e: v * e), F.lit(0), lambda a, v: a + v)
+        return F.floor(marked / width(k)).cast("long")
+
+    def placed(df: DataFrame, x: str, reach: list[int]) -> DataFrame:
+        able = df.filter((100 + percent) * F.col("both") >= percent * F.col("n") + percent * F.ceil(F.col("n") * percent / 100))
+        able = able.withColumn("class", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("long"))
+        able = able.withColumn("k", F.explode(F.array(F.col("class"), F.col("class") + 1)))
+        able = able.withColumn("c", F.explode(F.array(*[F.lit(d) for d in reach]))).withColumn("c", F.col("c") + cell(signs[0], F.col("k")))
+        able = able.withColumn("d", F.explode(F.array(*[F.lit(d) for d in reach]))).withColumn("d", F.col("d") + cell(signs[1], F.col("k")))
+        own = [F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "label", "counts", "class")]
+        return able.select("hub", "k", "c", "d", *own, (F.col("label") == F.col("main")).alias(f"in_{x}"))
+
+    least = F.aggregate(F.zip_with("counts_x", "counts_y", lambda v, w: F.least(v, w)), F.lit(0), lambda a, v: a + v)
+    fits = (F.col("label_x") != F.col("label_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (F.col("k") == F.greatest("class_x", "class_y"))
+    fits = fits & (F.col("in_y") | (F.col("id_x") < F.col("id_y"))) & ((100 + percent) * least >= percent * (F.col("n_x") + F.col("n_y")))
+    return placed(outside, "x", [-1, 0, 1]).join(placed(everyone, "y", [0]), ["hub", "k", "c", "d"]).filter(fits).select("id_x", "id_y")
+
+
 #: Sub-hub rounds over common added elements at most, and pairs a row from which one is worth it.
 SUB_ROUNDS = 4
-#: Share of a group from which an added element counts as part of its reference set.
+#: Share of a group from which an added element counts as part of its reference set, in a block of its own.
 COMMON = 0.25
 PAIRS_A_ROW = 4
 
@@ -221,7 +271,7 @@ def join_outsiders(met: DataFrame, links: DataFrame, labels: DataFrame, docs: Da
     text = lambda c, name: texts.select(F.col("doc_id").alias(c), F.col("text").alias(name))
     guides = guides.join(text("hub", "t1"), "hub").join(text("h2", "t2"), "h2", "left").join(text("h3", "t3"), "h3", "left").select("hub", "t1", "t2", "t3")
     rows = placed.select("hub", "id").join(text("id", "text"), "id").join(guides, "hub")
-    diffs = map_arrow(rows.select("hub", "id", "text", "t1", "t2", "t3"), _diff_batches(words), "hub long, id long, nm long, n long, both long, added array<long>")
+    diffs = map_arrow(rows.select("hub", "id", "text", "t1", "t2", "t3"), _diff_batches(words), "hub long, id long, n long, counts array<int>, added array<long>")
     diffs = stage(diffs.join(placed.select("hub", "id", "pop"), ["hub", "id"]), "diffs")
 
     held = diffs.select("hub", "id", "n", "pop", F.explode("added").alias("value"))
@@ -231,7 +281,8 @@ def join_outsiders(met: DataFrame, links: DataFrame, labels: DataFrame, docs: Da
     held = stage(held.join(shared, ["hub", "value"]).withColumn("common", F.col("f") >= COMMON * F.col("size")), "held")
     added = held.filter("not common").select("hub", "value", "id", "n", "pop", "f")
     more_both = held.filter("common").groupBy("hub", "id").agg(F.count("*").alias("more"))
-    diffs = stage(diffs.join(more_both, ["hub", "id"], "left").withColumn("both", F.col("both") + F.coalesce("more", F.lit(0))).drop("added", "more", "nm"), "bounds")
+    diffs = diffs.join(more_both, ["hub", "id"], "left").withColumn("counts", F.concat("counts", F.array(F.coalesce("more", F.lit(0)).cast("int"))))
+    diffs = stage(diffs.withColumn("both", F.aggregate("counts", F.lit(0), lambda a, v: a + v).cast("long")).drop("added", "more"), "bounds")
 
     def labelled(df: DataFrame) -> DataFrame:
         df = df.join(label("id", "l"), "id", "left").join(label("hub", "main"), "hub", "left")
@@ -271,11 +322,8 @@ def join_outsiders(met: DataFrame, links: DataFrame, labels: DataFrame, docs: Da
     apart = (F.col("label_x") != F.col("label_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
     sharing = side(own.join(mixed, ["hub", "value"], "left_semi"), "x").join(side(placed, "y"), ["hub", "value"]).filter(apart)
 
-    bound = lambda df, x: df.filter(100 * F.col("both") >= percent * F.col("n")).select("hub", F.col("id").alias(f"id_{x}"), F.col("label").alias(f"label_{x}"), F.col("n").alias(f"n_{x}"), F.col("both").alias(f"both_{x}"), (F.col("label") == F.col("main")).alias(f"in_{x}"))
-    fits = (100 + percent) * F.least("both_x", "both_y") >= percent * (F.col("n_x") + F.col("n_y"))
-    once = F.col("in_y") | (F.col("id_x") < F.col("id_y"))
-    close = bound(outside, "x").join(bound(labelled(diffs), "y"), "hub").filter(apart & fits & once)
-    pairs = sharing.select("id_x", "id_y").union(close.select("id_x", "id_y"))
+    close = close_pairs(outside, labelled(diffs), percent)
+    pairs = sharing.select("id_x", "id_y").union(close)
     pairs = pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
     cross = stage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "cross")
     if cross.isEmpty():
@@ -284,6 +332,11 @@ def join_outsiders(met: DataFrame, links: DataFrame, labels: DataFrame, docs: Da
     return labels if more.isEmpty() else stage(components(links.union(more)), "labels")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A stored table of ids, broadcast where it is small (some 40 MB)."""
+    return F.broadcast(df) if df.count() <= 500_000 else df
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text).
 
@@ -291,9 +344,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K, words: int =
     documents are linked when 100 * intersection >= percent * union of their sets of
     5-word shingles. Texts of 1-4 words have their whole sequence as only shingle; null
     and empty texts have none and stay alone. component_id is the smallest doc_id
-    reachable; kept marks it. doc_id is the key: rows repeating one with the same text
-    repeat its result. Extra columns are ignored; an empty table gives an empty result.
+    reachable; kept marks it. Whole texts count, however long. doc_id is the key: rows
+    that repeat one are one document, linked by any of its texts, and each has the set
+    size of its own text. A row without doc_id is linked with nothing: its component_id is
+    null, and it is kept. Extra columns are ignored; an empty table gives an empty result.
     """
+    nameless = docs.filter("doc_id is null")
+    docs = docs.filter("doc_id is not null")
     sets = stage(sketches(docs, k, words), "sketches")
     filled = sets.filter("n > 0")
     # aggregates are stored before they are joined back: only then can Spark split the joins of hot keys
@@ -301,18 +358,55 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K, words: int =
     chosen = classes.select(F.col("rep").alias("doc_id"), "d1", "d2", "n")
     reps = stage(filled.join(chosen, ["doc_id", "d1", "d2", "n"], "left_semi").dropDuplicates(["doc_id", "d1", "d2", "n"]).withColumnRenamed("doc_id", "id"), "classes")
     lists = stage(inverted_lists(reps, percent, k), "lists")
+    # the classes of a doc_id's different texts are one node
+    repeated = stage(sets.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated")
+    several = filled.join(_small(repeated), "doc_id", "left_semi").select("doc_id", "d1", "d2", "n").distinct().join(classes, ["d1", "d2", "n"]).groupBy("doc_id").agg(F.collect_set("rep").alias("reps"))
+    same = several.filter("size(reps) > 1").select(F.array_min("reps").alias("a"), F.explode("reps").alias("b")).filter("a <> b").distinct()
 
     rank = F.max(F.struct("pop", (-F.col("id")).alias("minus"), "n"))
     hubs = stage(lists.groupBy("value").agg(rank.alias("h")).select("value", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n")), "hubs")
     met = stage(lists.join(hubs, "value").filter(F.col("id") != F.col("hub")).groupBy("hub", "id").agg(F.max("pop").alias("pop"), F.max("n").alias("n"), F.max("hub_n").alias("hub_n")), "met")
     pairs = met.filter((100 * F.least("n", "hub_n")) >= (percent * F.greatest("n", "hub_n")))
     pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    links = stage(verified(pairs, reps, docs, percent, k, words), "links")
+    links = stage(verified(pairs, reps, docs, percent, k, words).union(same), "links")
     labels = stage(components(links), "labels")
     confirm = lambda pairs: stage(verified(pairs, reps, docs, percent, k, words), "more-links")
     labels = join_outsiders(met, links, labels, docs, percent, words, confirm)
 
     found = filled.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"]).join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     found = found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
-    alone = sets.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return found.union(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    alone = sets.filter("n = 0").select("doc_id")
+    if not repeated.isEmpty():  # an empty text of a document that has others
+        found = stage(found, "found")
+        other = found.join(_small(repeated), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+        alone = alone.join(_small(stage(other, "others")), "doc_id", "left")
+    else:
+        alone = alone.withColumn("component_id", F.lit(None).cast("long"))
+    alone = alone.select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    rest = map_arrow(id_and_text(nameless), _sketch_batches(k, words), "doc_id long, n long, d1 long, d2 long, sketch array<long>").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return found.union(alone).union(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+#: The same by whole sets, for 85 percent, in DuckDB's SQL; a row without doc_id is linked with nothing.
+ORACLE_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT row_number() OVER () AS line, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT line, doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: hash(array_to_string(w[i:i + 4], ' ')))) WHEN len(w) > 0 THEN [hash(array_to_string(w, ' '))] ELSE [] END AS s FROM split
+), rows AS MATERIALIZED (
+  SELECT line, len(s) AS n, unnest(s) AS h FROM sets WHERE doc_id IS NOT NULL
+), links AS (
+  SELECT a.line AS a, b.line AS b FROM rows a JOIN rows b ON a.h = b.h AND a.line < b.line AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.line, b.line, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), edges AS (
+  SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM links JOIN sets x ON x.line = a JOIN sets y ON y.line = b WHERE x.doc_id <> y.doc_id
+), around AS MATERIALIZED (
+  SELECT a, b FROM edges UNION SELECT b, a FROM edges
+), reach AS (
+  SELECT DISTINCT doc_id, doc_id AS other FROM sets WHERE doc_id IS NOT NULL
+  UNION SELECT r.doc_id, e.b FROM reach r JOIN around e ON e.a = r.other
+), least AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, coalesce(doc_id = component_id, true) AS kept FROM sets LEFT JOIN least USING (doc_id)
+"""

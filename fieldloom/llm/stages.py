@@ -30,7 +30,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted toxic, by models learned from the labels of ``docs``' own documents.
 
-    Null and empty texts are judged as texts without evidence. Of rows that repeat a
+    Null and empty texts are toxic only if most labelled ones are. Of rows that repeat a
     doc_id all go if one is predicted toxic. Rows without doc_id stay. Without labels all
     stay.
     """

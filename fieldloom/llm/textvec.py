@@ -142,3 +142,15 @@ def shingle_sets(words: Words, k: int = 5) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+def ordered_shingles(words: Words, k: int = 5) -> list[np.ndarray]:
+    """Per row its shingles in their order in the text; see ``shingle_sets``."""
+    grams, first = words.grams(k)
+    bounds = np.searchsorted(words.row[first] if len(first) else first, np.arange(words.rows + 1))
+    out = []
+    for r in range(words.rows):
+        a, b = bounds[r], bounds[r + 1]
+        own = words.hash[words.at[r] : words.at[r + 1]]
+        out.append(grams[a:b] if b > a else np.array([run_hash(own)] if len(own) else [], np.uint64))
+    return out

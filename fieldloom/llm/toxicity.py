@@ -202,15 +202,18 @@ def _feature_batches(model):
 
 
 def apply_curve(x: np.ndarray, curve) -> np.ndarray:
-    mean, scale, weights = curve
+    mean, scale, weights = curve[:3]
     return 1 / (1 + np.exp(-np.clip(np.column_stack([(x - mean) / scale, np.ones(len(x))]) @ weights, -30, 30)))
 
 
 def _score_batches(model, curve):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [apply_curve(features(Words(data, offsets, NON_ALNUM), model.value), curve) for _, _, data, offsets in text_slices(batch)]
-            scores = np.concatenate(parts) if parts else np.zeros(0)
+            parts = [np.zeros(0)]
+            for _, _, data, offsets in text_slices(batch):
+                words = Words(data, offsets, NON_ALNUM)
+                parts.append(np.where(np.diff(words.at) > 0, apply_curve(features(words, model.value), curve), curve[3]))
+            scores = np.concatenate(parts)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
 
     return run
@@ -258,7 +261,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame):
-    """(Model, curve) from labelled rows; fold 1 fits the curve, folds 2-4 are counted."""
+    """(Model, curve) from labelled rows; fold 1 fits the curve, folds 2-4 are counted. Last in the curve: the share of toxic rows."""
     spark = docs.sparkSession
     learn = labelled_texts(docs, labels)
     keys = map_arrow(learn.filter("fold > 1").select("text", "toxic"), _key_batches, "key long, n long")
@@ -282,10 +285,11 @@ def fit(docs: DataFrame, labels: DataFrame):
     sample = seen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS).toArrow()
     y = sample["toxic"].to_numpy().astype(float)
     x = np.array(sample["x"].to_pylist(), float).reshape(len(y), FEATURES)
-    if y.any() and not y.all():
-        return model, fit_curve(x, y)
-    constant = -30.0 if not y.any() else 30.0  # labels of one class, or none
-    return model, (np.zeros(FEATURES), np.ones(FEATURES), np.array([0.0] * FEATURES + [constant]))
+    share = float(y.mean()) if len(y) else 0.0
+    if 0 < share < 1:
+        return model, (*fit_curve(x, y), share)
+    constant = -30.0 if not share else 30.0  # labels of one class, or none
+    return model, (np.zeros(FEATURES), np.ones(FEATURES), np.array([0.0] * FEATURES + [constant]), share)
 
 
 def score(docs: DataFrame, model, curve) -> DataFrame:
@@ -298,7 +302,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text), learned from ``labels`` (doc_id, toxic).
 
     Only labels of rows whose crc32(doc_id as text) mod 5 is not 0 are learned from.
-    Null and empty texts get the score of a text without evidence. Labels other than 0
+    Null and empty texts and those without words get the share of toxic rows as score. Labels other than 0
     and 1 are ignored; if a doc_id is labelled twice, 1 counts. With labels of one class
     only that class is predicted, with none class 0. Whole texts are scored, however long;
     a null doc_id is no held-out row (held_out null) and has no label. Repeated rows

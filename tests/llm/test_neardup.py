@@ -1,6 +1,7 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -89,3 +90,73 @@ def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(order[i], order[i + 1]) for i in range(299) if i != 150], "a long, b long")
     got = {r["id"]: r["label"] for r in neardup.components(edges).collect()}
     assert set(got.values()) == {min(order[:151]), min(order[151:])} and len(got) == 300
+
+
+def excerpts(n, seed=0):
+    """Windows of one text, of about half its length."""
+    rng = random.Random(seed)
+    text = words(rng, 1200)
+    out = []
+    for k in range(n):
+        size = rng.randrange(300, 700)
+        at = rng.randrange(len(text) - size)
+        out.append((k, " ".join(text[at : at + size])))
+    return out
+
+
+def test_pairs_of_excerpts_grow_about_linearly(spark, monkeypatch):
+    tried = []
+    real = neardup.verified
+    monkeypatch.setattr(neardup, "verified", lambda pairs, *a, **b: tried.append(pairs.count()) or real(pairs, *a, **b))
+    made = []
+    for n in (200, 400, 800):
+        tried.clear()
+        texts = excerpts(n)
+        out = neardup.near_duplicates(documents(spark, texts)).collect()
+        made.append(sum(tried))
+        if n == 200:
+            assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute(texts, 85)
+    print(made)
+    assert made[1] < 3 * made[0] and made[2] < 3 * made[1] and made[2] < 800 * 40
+
+
+def test_no_close_pair_is_left_out(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(120):
+        counts = np.zeros(neardup.BLOCKS + 1, int)
+        a = rng.integers(0, 16)
+        counts[a : a + 14] = 10
+        counts += rng.integers(0, 2, len(counts)) * (counts > 0)
+        rows.append((1, k, int(counts.sum() + rng.integers(0, 9)), [int(c) for c in counts], int(counts.sum()), k, 0))
+    df = spark.createDataFrame(rows, "hub long, id long, n long, counts array<int>, both long, label long, main long")
+    got = {(r["id_x"], r["id_y"]) for r in neardup.close_pairs(df.filter("label <> main"), df, 85).collect()}
+    want = set()
+    for x in rows[1:]:
+        for y in rows:
+            fits = 185 * sum(map(min, x[3], y[3])) >= 85 * (x[2] + y[2]) and 100 * min(x[2], y[2]) >= 85 * max(x[2], y[2])
+            if x[1] != y[1] and fits and (y[1] == 0 or x[1] < y[1]):
+                want.add((x[1], y[1]))
+    assert want and got == want
+
+
+def test_ids_that_are_missing_or_have_several_texts(spark):
+    rng = random.Random(1)
+    a, b, c = (" ".join(words(rng, 40)) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, None), (4, c), (None, c), (None, None), (5, "w " * 30_000), (2, a)]
+    out = neardup.near_duplicates(documents(spark, rows)).collect()
+    assert len(out) == len(rows)
+    assert {r["doc_id"]: r["component_id"] for r in out} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, None: None}
+    assert sorted(r["n_shingles"] for r in out if r["doc_id"] is None) == [0, 36]
+    assert all(r["kept"] == (r["doc_id"] in (1, 4, 5, None)) for r in out)
+
+
+def test_sql_gives_the_same(spark):
+    texts = [*corpus(5), *[(500 + k, t) for k, t in excerpts(30)], (None, "a b c"), (3, "another text of the third document")]
+    docs = documents(spark, texts)
+    documents_ = docs.toPandas().astype({"doc_id": "Int64"})
+    c = duckdb.connect()
+    c.register("documents", documents_)
+    want = c.sql(neardup.ORACLE_SQL)
+    got = neardup.near_duplicates(docs).select(*want.columns)
+    assert sorted(map(repr, want.fetchall())) == sorted(repr(tuple(r)) for r in got.collect())
