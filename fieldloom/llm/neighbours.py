@@ -1,7 +1,9 @@
 """Approximate nearest neighbours by cosine: inverted file with product-quantised residuals.
 
 Coarse centroids and residual codebooks are fitted on a bounded sample; every vector is
-then encoded. A query scans the lists of its nearest centroids by asymmetric distances
+then encoded. Lists grow in number with the table: beyond ``MAX_LISTS`` lists of
+``LIST_ROWS`` rows each is split by a second, shared set of centroids of what is left, so
+that what a query scans stays about the same up to some 10^9 vectors. A query scans the lists of its nearest centroids by asymmetric distances
 (exact query residual against codewords), and the best candidates are ranked again by
 the exact cosine of the original vectors.
 """
@@ -16,11 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import map_arrow, stage
+from fieldloom.llm.common import map_arrow, sent, stage
 
 #: Vectors (by hash of vec_id; all if fewer) on which centroids and codebooks are fitted.
 SAMPLE = 20_000
 MAX_LISTS = 4096
+#: Rows that a list holds on average before lists are split, and parts of a list at most.
+LIST_ROWS = 4096
+MAX_PARTS = 64
 #: Share of near neighbours inside the sample that the scanned lists must hold, and candidates that are ranked exactly.
 IN_LISTS = 0.97
 RERANK = 256
@@ -33,10 +38,31 @@ QUERY_BLOCK = 256
 
 @dataclass
 class Index:
-    centroids: np.ndarray  # [lists, dim]
+    centroids: np.ndarray  # [first level, dim]
+    parts: np.ndarray  # [second level, dim]; list i * len(parts) + j lies around centroids[i] + parts[j]
     books: list[np.ndarray]  # per subspace [codewords, width]
     cuts: list[int]  # first dimension of each subspace, and dim
 
+    def lists(self) -> int:
+        return len(self.centroids) * len(self.parts)
+
+    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """List of each row, and what is left of it."""
+        one = _nearest(x, self.centroids)
+        rest = x - self.centroids[one]
+        two = _nearest(rest, self.parts)
+        return one * len(self.parts) + two, rest - self.parts[two]
+
+    def centres(self, lists: np.ndarray) -> np.ndarray:
+        return self.centroids[lists // len(self.parts)] + self.parts[lists % len(self.parts)]
+
+    def remoteness(self, x: np.ndarray) -> np.ndarray:
+        """[rows, lists] half the squared distance to each list's centre, but for a constant of the row."""
+        both = self.centroids @ self.parts.T  # |c + p|^2 = |c|^2 + |p|^2 + 2 c.p
+        half = ((self.centroids**2).sum(axis=1)[:, None] + (self.parts**2).sum(axis=1)[None]) / 2 + both
+        out = half[None] - (x @ self.centroids.T)[:, :, None] - (x @ self.parts.T)[:, None, :]
+        return out.reshape(len(x), -1)
+
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     out = np.empty(len(x), np.int64)
@@ -66,9 +92,12 @@ def fit_index(sample: np.ndarray, rows: int) -> Index:
     dim = sample.shape[1]
     centroids = kmeans(sample, int(min(MAX_LISTS, max(1, rows**0.5))))
     residual = sample - centroids[_nearest(sample, centroids)]
+    split = int(min(MAX_PARTS, rows // (len(centroids) * LIST_ROWS)))
+    parts = kmeans(residual, split, rounds=8) if split > 1 else np.zeros((1, dim), np.float32)
+    residual = residual - parts[_nearest(residual, parts)]
     cuts = np.linspace(0, dim, min(SUBSPACES, dim) + 1).round().astype(int).tolist()
     books = [kmeans(np.ascontiguousarray(residual[:, a:b]), CODEWORDS, rounds=8) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return Index(centroids, books, cuts)
+    return Index(centroids, parts, books, cuts)
 
 
 def _matrix(column) -> np.ndarray:
@@ -90,8 +119,7 @@ def _encode_batches(index):
             if not batch.num_rows:
                 continue
             x = unit(_matrix(batch.column("vector")))
-            at = _nearest(x, ix.centroids)
-            residual = x - ix.centroids[at]
+            at, residual = ix.assign(x)
             codes = np.stack([_nearest(residual[:, a:b], book) for a, b, book in zip(ix.cuts, ix.cuts[1:], ix.books, strict=False)], axis=1).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "list", "code"])
 
@@ -108,9 +136,11 @@ def probes_for(index: Index, sample: np.ndarray, k: int, share: float = IN_LISTS
     near = q @ sample.T
     near[near >= 1 - 1e-6] = -2  # the query itself and its copies are found in any case
     best = np.argsort(-near, axis=1, kind="stable")[:, :k]
-    order = np.argsort((index.centroids**2).sum(axis=1) / 2 - q @ index.centroids.T, axis=1, kind="stable")
-    place = np.argsort(order, axis=1)
-    at = np.take_along_axis(place, _nearest(sample, index.centroids)[best], axis=1)
+    held, at = index.assign(sample)[0], []
+    for a in range(0, len(q), 16):
+        place = np.argsort(np.argsort(index.remoteness(q[a : a + 16]), axis=1, kind="stable"), axis=1)
+        at.append(np.take_along_axis(place, held[best[a : a + 16]], axis=1))
+    at = np.concatenate(at)
     return int(np.sort(at.ravel())[min(at.size - 1, int(share * at.size))]) + 1
 
 
@@ -118,9 +148,10 @@ def cells(index: Index, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First chunk and number of chunks of each list: lists that lie together share a chunk, large ones are split."""
     centred = index.centroids - index.centroids.mean(axis=0)
     axis = np.linalg.svd(centred, full_matrices=False)[2][0]
+    place = ((centred @ axis)[:, None] + (index.parts @ axis)[None]).ravel()
     first, n = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
     chunk, held = 0, 0
-    for i in np.argsort(centred @ axis, kind="stable"):
+    for i in np.argsort(place, kind="stable"):
         n[i] = max(1, -(-sizes[i] // CHUNK))
         if held and (n[i] > 1 or held + sizes[i] > CHUNK):
             chunk, held = chunk + 1, 0
@@ -135,23 +166,23 @@ def cells(index: Index, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _probe_batches(index, sizes: np.ndarray, first: np.ndarray, chunks: np.ndarray, probes: int, enough: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
-        half = (ix.centroids * ix.centroids).sum(axis=1) / 2
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = unit(_matrix(batch.column("vector")))
-            order = np.argsort(half - x @ ix.centroids.T, axis=1, kind="stable")
-            n = np.maximum(probes, 1 + (np.cumsum(sizes[order], axis=1) < enough).sum(axis=1))
             row, chunk, lists = [], [], []
-            for r in range(len(x)):
-                asked = order[r, : n[r]]
-                asked = asked[sizes[asked] > 0]
-                split = np.repeat(asked, chunks[asked])
-                into = np.concatenate([first[i] + np.arange(chunks[i]) for i in asked]) if len(asked) else asked
-                for c in np.unique(into):
-                    row.append(r)
-                    chunk.append(int(c))
-                    lists.append(split[into == c].astype(np.int32))
+            for a in range(0, len(x), 64):
+                order = np.argsort(ix.remoteness(x[a : a + 64]), axis=1, kind="stable")
+                n = np.maximum(probes, 1 + (np.cumsum(sizes[order], axis=1) < enough).sum(axis=1))
+                for r in range(len(order)):
+                    asked = order[r, : n[r]]
+                    asked = asked[sizes[asked] > 0]
+                    split = np.repeat(asked, chunks[asked])
+                    into = np.concatenate([first[i] + np.arange(chunks[i]) for i in asked]) if len(asked) else asked
+                    for c in np.unique(into):
+                        row.append(a + r)
+                        chunk.append(int(c))
+                        lists.append(split[into == c].astype(np.int32))
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(take), batch.column("vector").take(take), pa.array(chunk, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], ["query_id", "vector", "chunk", "lists"])
 
@@ -173,8 +204,9 @@ def _scan(index, keep: int):
         # |q - c - w|^2 = |q - c|^2 + (|w|^2 + 2 c.w) - 2 q.w for list centre c and codewords w
         own = np.zeros(len(vid), np.float32)
         for s, book in enumerate(ix.books):
-            part = ix.centroids[:, ix.cuts[s] : ix.cuts[s + 1]]
-            own += ((book * book).sum(axis=1)[None] + 2 * part @ book.T)[at, code[s]]
+            span = slice(ix.cuts[s], ix.cuts[s + 1])
+            own += ((book * book).sum(axis=1)[None] + 2 * ix.centroids[:, span] @ book.T)[at // len(ix.parts), code[s]]
+            own += (2 * ix.parts[:, span] @ book.T)[at % len(ix.parts), code[s]]
         asked = queries["lists"].to_pylist()
         parts = []
         for a in range(0, len(q), 32):
@@ -182,9 +214,9 @@ def _scan(index, keep: int):
             distance = np.zeros((len(block), len(vid)), np.float32)
             for s, book in enumerate(ix.books):
                 distance -= (2 * block[:, ix.cuts[s] : ix.cuts[s + 1]] @ book.T)[:, code[s]]
-            centre = np.full((len(block), len(ix.centroids)), np.inf, np.float32)
+            centre = np.full((len(block), ix.lists()), np.inf, np.float32)
             for r in range(len(block)):
-                centre[r, asked[a + r]] = ((block[r] - ix.centroids[asked[a + r]]) ** 2).sum(axis=1)
+                centre[r, asked[a + r]] = ((block[r] - ix.centres(np.array(asked[a + r]))) ** 2).sum(axis=1)
             distance += own + centre[:, at]
             distance[vid[None, :] == qid[a : a + 32, None]] = np.inf
             for r in range(len(block)):
@@ -235,19 +267,26 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, rerank: int = RERAN
     if rows < 2:
         return spark.createDataFrame([], schema)
     sample = valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toArrow()
-    index = spark.sparkContext.broadcast(fit_index(unit(_matrix(sample["vector"])), rows))
+    sample = unit(_matrix(sample["vector"]))
+    with sent(spark, fit_index(sample, rows)) as index:
+        return stage(_search(valid, index, sample, k, every, rerank), "nearest")
+
+
+def _search(valid: DataFrame, index, sample: np.ndarray, k: int, every: int, rerank: int) -> DataFrame:
+    """The result of ``nearest`` over a stored table, lazily; ``index`` is a broadcast."""
+    spark = valid.sparkSession
     codes = stage(map_arrow(valid, _encode_batches(index), "vec_id long, list int, code binary"), "codes")
-    lists = len(index.value.centroids)
+    lists = index.value.lists()
     sizes = np.zeros(lists, np.int64)
-    for r in codes.groupBy("list").count().collect():  # MAX_LISTS rows at most
+    for r in codes.groupBy("list").count().collect():  # MAX_LISTS * MAX_PARTS rows at most
         sizes[r["list"]] = r["count"]
     queries = valid.filter(F.col("vec_id") % every == 0)
     first, chunks = cells(index.value, sizes)
-    probes = probes_for(index.value, unit(_matrix(sample["vector"])), k)
+    probes = probes_for(index.value, sample, k)
     run = _probe_batches(index, sizes, first, chunks, probes, 4 * rerank)
     probed = stage(map_arrow(queries, run, "query_id long, vector array<double>, chunk long, lists array<int>"), "probes")
     blocks = probed.groupBy("chunk").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("blocks"))
-    cut = F.broadcast(spark.createDataFrame([(i, int(first[i]), int(chunks[i])) for i in range(lists)], "list int, first long, chunks long"))  # MAX_LISTS rows at most
+    cut = F.broadcast(spark.createDataFrame([(i, int(first[i]), int(chunks[i])) for i in range(lists)], "list int, first long, chunks long"))  # MAX_LISTS * MAX_PARTS rows at most
     left = probed.join(blocks, "chunk").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")))
     right = codes.join(cut, "list").withColumn("chunk", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("chunks"))).join(blocks, "chunk")
     right = right.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))

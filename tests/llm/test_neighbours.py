@@ -60,3 +60,26 @@ def test_extreme_magnitudes_and_clashing_columns(spark):
     for r in out:
         loose = 1e-9 if min(scale[r["vec_id"]], scale[r["query_id"]]) > 1e-300 else 1e-3  # digits are lost near the least double
         assert abs(r["score"] - v[r["query_id"]] @ v[r["vec_id"]]) < loose
+
+
+def test_lists_that_are_split_again(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MAX_LISTS", 16)
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 32)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 16))[rng.integers(0, 60, 4000)] + rng.normal(scale=0.4, size=(4000, 16))
+    index = neighbours.fit_index(neighbours.unit(x), 4000)
+    assert index.lists() == 16 * 7
+    at, rest = index.assign(neighbours.unit(x[:50]))
+    assert np.allclose(index.centres(at) + rest, neighbours.unit(x[:50]), atol=1e-6)
+    away = index.remoteness(neighbours.unit(x[:50]))
+    want = ((neighbours.unit(x[:50])[:, None] - index.centres(np.arange(index.lists()))[None]) ** 2).sum(axis=2) / 2
+    assert np.allclose(away - away[:, :1], want - want[:, :1], atol=1e-5)
+    out = neighbours.nearest(frame(spark, [(i, [float(v) for v in r], 0) for i, r in enumerate(x)])).collect()
+    v = x.astype(np.float32).astype(float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 4000, 50):
+        s = v @ v[q]
+        s[q] = -2
+        hits += len({r["vec_id"] for r in out if r["query_id"] == q} & set(np.argsort(-s)[:5].tolist()))
+    assert hits / 400 >= 0.9
