@@ -20,11 +20,15 @@ def anomalies(days: DataFrame, clim: DataFrame) -> DataFrame:
     return days.join(c, ["month", "iy", "ix"], "left").select("day", "year", "month", "iy", "ix", (F.col("value") - F.col("clim")).alias("value"))
 
 
-def monthly_means(days: DataFrame, late: str = "10 days") -> DataFrame:
-    """(first, iy, ix, value, n) of 30-day windows; days later than ``late`` behind the newest are dropped."""
-    stamped = days.withColumn("at", F.col("day").cast("timestamp")).withWatermark("at", late)
-    means = stamped.groupBy(F.window("at", "30 days"), "iy", "ix").agg(F.avg("value").alias("value"), F.count("value").alias("n"))
-    return means.select(F.to_date("window.start").alias("first"), "iy", "ix", "value", "n")
+def monthly_means(days: DataFrame, late: str = "40 days") -> DataFrame:
+    """(first, iy, ix, value, n) of calendar months, by their first day.
+
+    A month is complete, and written, once there is a day of a month that begins more
+    than ``late`` after it; days of complete months are dropped.
+    """
+    stamped = days.withColumn("first", F.date_trunc("month", F.col("day").cast("timestamp"))).withWatermark("first", late)
+    means = stamped.groupBy("first", "iy", "ix").agg(F.avg("value").alias("value"), F.count("value").alias("n"))
+    return means.withColumn("first", F.to_date("first"))
 
 
 def write_days(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
