@@ -44,15 +44,25 @@ _STYLES = {
 }
 
 
+#: What the two known pre-tokenizers look like in a vocabulary file.
+_BYTE_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_WORD_BEFORE = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_WORD_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_WORD_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+
+
 def style_of(path: str) -> str:
-    """Which of the two known pre-tokenizers a vocabulary file has; '' if neither."""
+    """Which of the two known pre-tokenizers a vocabulary file has, all settings equal; '' if neither: texts are then encoded whole."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    before, split = spec.get("normalizer"), spec.get("pre_tokenizer") or {}
-    if before is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space"):
+    before, split, model = spec.get("normalizer"), dict(spec.get("pre_tokenizer") or {}), spec.get("model") or {}
+    if model.get("type") != "BPE" or model.get("dropout"):
+        return ""
+    same = lambda found, known: {k: v for k, v in found.items() if k != "trim_offsets"} == known
+    if before is None and same(split, _BYTE_SPLIT):
         return "byte"
-    kinds = [x.get("type") for x in (before or {}).get("normalizers", [])]
-    if kinds == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in split.get("pretokenizers", [])] == ["Split", "ByteLevel"]:
+    parts = split.get("pretokenizers") or []
+    if (before or {}).get("normalizers") == _WORD_BEFORE and len(parts) == 2 and parts[0] == _WORD_SPLIT and same(parts[1], _WORD_BYTES):
         return "word"
     return ""
 

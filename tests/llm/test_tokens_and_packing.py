@@ -100,3 +100,23 @@ def test_packed_documents(spark):
         ends[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(ends.values()) <= 2048
     assert packing.pack_documents(documents(spark, texts).filter("false"), WORD).count() == 0
+
+
+def test_only_vocabularies_with_the_known_settings_are_split(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    from fieldloom.llm import tokens
+
+    for name, style in (("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")):
+        path = public_tokenizers.path(name)
+        assert tokens.style_of(path) == style
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        spec["model"].update(vocab={}, merges=[])
+        for change in (lambda s: s["model"].update(dropout=0.1), lambda s: s["model"].update(type="WordLevel"), lambda s: s.update(normalizer={"type": "NFKC"}), lambda s: s["pre_tokenizer"].update(type="Other", pretokenizers=[])):
+            other = json.loads(json.dumps(spec))
+            change(other)
+            (tmp_path / "t.json").write_text(json.dumps(other))
+            assert tokens.style_of(str(tmp_path / "t.json")) == ""
