@@ -29,11 +29,11 @@ from fieldloom.llm.common import id_and_text, map_arrow, sent, stage
 from fieldloom.llm.textvec import NON_ALNUM, Words, mix, text_slices
 
 EDITS = 0.2
-RECALL = 0.99
+RECALL = 0.998
 SAMPLED = 2
-LEAST_REPEATS, MOST_REPEATS = 8, 96
+LEAST_REPEATS, MOST_REPEATS = 16, 96
 #: Edited copies on which repetitions are set, and as many on which they are confirmed.
-COPIES = 400
+COPIES = 500
 #: Lengths whose ratio is no more than this share repetitions.
 CLASS = 1.15
 #: Items of more words are aligned exactly without trying repetitions.
