@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIRS: dict[str, str] = {}
+_scopes = threading.local()
 
 #: Rows and bytes of one Arrow batch that a Python worker gets while a table is stored.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
@@ -39,9 +41,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/fieldloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     files, where = _hadoop(spark, path)
     files.deleteOnExit(where)
+    if getattr(_scopes, "open", None):
+        _scopes.open[-1].append(path)
     return path
 
 
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables stored inside are deleted at the end, but for the one that the function given stores and returns."""
+    path, made = new_path(spark, name), []
+    _scopes.open = [*getattr(_scopes, "open", []), made]
+    try:
+        yield lambda df: _store(df, path)
+    finally:
+        _scopes.open = _scopes.open[:-1]
+        for used in made:
+            drop_path(spark, used)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     files, where = _hadoop(spark, path)
     files.delete(where, True)
@@ -65,10 +82,13 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+def _store(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path = new_path(spark, name)
     with small_batches(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+    return _store(df, new_path(df.sparkSession, name))

@@ -5,7 +5,7 @@ import datetime
 import numpy as np
 import pytest
 
-from fieldloom import cli, fields
+from fieldloom import cli, fields, staging
 from fieldloom.operators import climatology, metrics, regrid
 from fieldloom.sources import grid_nc, tables
 from fieldloom.streaming import daily as stream
@@ -138,3 +138,21 @@ def test_all_months_have_a_slot(spark):
     some = spark.createDataFrame([(5, 0, 0, 1.0)], "month int, iy int, ix int, value double")
     slots = regrid.month_slots(some, 2, 2)
     assert slots.count() == 48 and slots.filter("value is not null").count() == 1
+
+
+def test_scratch_tables_go_and_results_stay(spark):
+    made = []
+    with staging.scratch(spark, "outer") as keep:
+        with staging.scratch(spark, "inner") as keep_inner:
+            first = staging.stage(spark.range(5), "a")
+            made += first.inputFiles()
+            inner = keep_inner(first.filter("id > 1"))
+        assert inner.count() == 3
+        made += inner.inputFiles()
+        out = keep(inner.selectExpr("id + 1 as id"))
+    assert sorted(r["id"] for r in out.collect()) == [3, 4, 5]
+    assert made and not any(staging.path_exists(spark, f) for f in made)
+    with pytest.raises(ZeroDivisionError), staging.scratch(spark, "failed"):
+        left = staging.stage(spark.range(1), "b").inputFiles()
+        _ = 1 / 0
+    assert not any(staging.path_exists(spark, f) for f in left)
