@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.textvec import forget_powers
 from fieldloom.session import ship_package
-from fieldloom.staging import drop_path, new_path, path_exists, shared_dir, stage
+from fieldloom.staging import drop_path, new_path, path_exists, scratch, shared_dir, stage
 
-__all__ = ["drop_path", "id_and_text", "kept", "map_arrow", "new_path", "partitions", "path_exists", "release", "sent", "shared_dir", "stage", "table", "text_or_empty"]
+__all__ = ["drop_path", "id_and_text", "kept", "map_arrow", "new_path", "partitions", "path_exists", "release", "scratch", "sent", "shared_dir", "stage", "table", "text_or_empty"]
 
 
 @contextmanager

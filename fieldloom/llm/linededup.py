@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import stage
+from fieldloom.llm.common import scratch, stage
 
 LEAD = 3
 LEAST = 4
@@ -182,7 +182,8 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     another document. A null doc_id has no lines dropped and counts for none. Very long
     texts and lines are treated whole. An empty table gives an empty result.
     """
-    lost = stage(dropped_lines(docs).distinct(), "lost")
+    with scratch(docs.sparkSession, "lost") as keep:
+        lost = keep(dropped_lines(docs).distinct())
     gone = stage(lost.groupBy("doc_id").agg(F.collect_list("pos").alias("__gone_lines")).withColumnRenamed("doc_id", "__gone_from"), "dropped")
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.array_contains("__gone_lines", i))

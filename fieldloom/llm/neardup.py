@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import drop_path, id_and_text, map_arrow, new_path, stage
+from fieldloom.llm.common import drop_path, id_and_text, map_arrow, new_path, scratch, stage
 from fieldloom.llm.textvec import Words, mix, ordered_shingles, shingle_sets, text_slices
 
 K = 64
@@ -348,7 +348,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K, words: int =
     that repeat one are one document, linked by any of its texts, and each has the set
     size of its own text. A row without doc_id is linked with nothing: its component_id is
     null, and it is kept. Extra columns are ignored; an empty table gives an empty result.
+    The result is stored.
     """
+    with scratch(docs.sparkSession, "near-duplicates") as keep:
+        return keep(_near_duplicates(docs, percent, k, words))
+
+
+def _near_duplicates(docs: DataFrame, percent: int, k: int, words: int) -> DataFrame:
     nameless = docs.filter("doc_id is null")
     docs = docs.filter("doc_id is not null")
     sets = stage(sketches(docs, k, words), "sketches")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import map_arrow, sent, stage
+from fieldloom.llm.common import map_arrow, scratch, sent, stage
 
 #: Vectors (by hash of vec_id; all if fewer) on which centroids and codebooks are fitted.
 SAMPLE = 20_000
@@ -260,6 +260,11 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, rerank: int = RERAN
     one counts. With k candidates or fewer all are returned. Extra columns are ignored.
     An empty table gives an empty result.
     """
+    with scratch(vectors.sparkSession, "nearest") as keep:
+        return _nearest_rows(vectors, k, every, rerank, keep)
+
+
+def _nearest_rows(vectors: DataFrame, k: int, every: int, rerank: int, keep) -> DataFrame:
     spark = vectors.sparkSession
     valid = stage(valid_vectors(vectors).dropDuplicates(["vec_id"]), "vectors")
     schema = "query_id long, rank int, vec_id long, score double"
@@ -269,7 +274,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, rerank: int = RERAN
     sample = valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toArrow()
     sample = unit(_matrix(sample["vector"]))
     with sent(spark, fit_index(sample, rows)) as index:
-        return stage(_search(valid, index, sample, k, every, rerank), "nearest")
+        return keep(_search(valid, index, sample, k, every, rerank))
 
 
 def _search(valid: DataFrame, index, sample: np.ndarray, k: int, every: int, rerank: int) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import id_and_text, map_arrow, stage
+from fieldloom.llm.common import id_and_text, map_arrow, scratch, stage
 from fieldloom.llm.textvec import NON_ALNUM, Words, text_slices
 
 BITS = 20
@@ -309,7 +309,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     repeat their result; extra columns are ignored; an empty table gives an empty result.
     The result is stored.
     """
-    model, curve = fit(docs, labels)
-    out = stage(score(docs, model, curve), "scores")
-    model.destroy()
+    with scratch(docs.sparkSession, "scores") as keep:
+        model, curve = fit(docs, labels)
+        out = keep(score(docs, model, curve))
+        model.destroy()
     return out
