@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+SLICE_ROWS = 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -57,7 +58,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets of the rows into the bytes) for runs of rows of about ``limit`` bytes."""
+    """(first row, end row, bytes, offsets of the rows into the bytes) for runs of rows of about ``limit`` bytes, ``SLICE_ROWS`` rows at most."""
     texts = batch.column(batch.schema.get_field_index(column))
     if texts.null_count:
         texts = pc.fill_null(texts, "")
@@ -72,7 +73,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
     at = 0
     while at < n:
         end = int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1
-        end = min(max(end, at + 1), n)
+        end = min(max(end, at + 1), at + SLICE_ROWS, n)
         yield at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
 

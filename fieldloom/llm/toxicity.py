@@ -42,6 +42,8 @@ _WORD = np.uint64(VOCABULARY - 1)
 
 
 _HOLDS, _STEM = 1 << (2 * BITS), 2 << (2 * BITS)
+#: Bits of a key; what is left of 63 holds a slice's row (``textvec.SLICE_ROWS``).
+_KEY_BITS = 2 * BITS + 2
 
 
 def part_number(keys, parts: int):
@@ -100,13 +102,12 @@ def word_numbers(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def document_keys(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) once for each bigram, word and stem that a row holds."""
     number, before, stem = word_numbers(words)
-    keys = np.concatenate([(before << BITS) | number, _HOLDS | number, _STEM | stem])
-    row = np.tile(words.row, 3)
-    order = np.lexsort((keys, row))
-    keys, row = keys[order], row[order]
-    first = np.ones(len(keys), bool)
-    first[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
-    return row[first], keys[first]
+    row = words.row << _KEY_BITS
+    marks = np.sort(np.concatenate([row | (before << BITS) | number, row | _HOLDS | number, row | _STEM | stem]))
+    first = np.ones(len(marks), bool)
+    first[1:] = marks[1:] != marks[:-1]
+    marks = marks[first]
+    return marks >> _KEY_BITS, marks & ((1 << _KEY_BITS) - 1)
 
 
 class KneserNey:
