@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from fieldloom.llm import toxicity
+from fieldloom.llm import textvec, toxicity
 from fieldloom.llm.textvec import NON_ALNUM, Words, text_slices
 from tests.llm.helpers import documents, words
 
@@ -160,3 +160,27 @@ def test_the_whole_text_differences_alone_tell_classes_apart(spark):
     y = np.array([truth[i] for i, _ in texts])
     curve = toxicity.fit_curve(x[fold == 1], y[fold == 1].astype(float))
     assert np.mean((toxicity.apply_curve(x[fold == 0], curve) >= 0.5) == y[fold == 0]) > 0.95
+
+
+def test_document_keys_and_slices_against_sets(monkeypatch):
+    texts = ["a b a b c", "", None, "a b", "x1 " * 40, "café a", "a b a b c"] * 30
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+
+    def keys_by_row(limit):
+        out = {}
+        for at, end, data, offsets in textvec.text_slices(batch, limit=limit):
+            assert end - at <= textvec.SLICE_ROWS
+            words = textvec.Words(data, offsets, textvec.NON_ALNUM)
+            number, before, stem = toxicity.word_numbers(words)
+            for r, *parts in zip(words.row.tolist(), number.tolist(), before.tolist(), stem.tolist(), strict=True):
+                n, b, s = parts
+                out.setdefault(at + r, set()).update({(b << toxicity.BITS) | n, toxicity._HOLDS | n, toxicity._STEM | s})
+            row, keys = toxicity.document_keys(words)
+            for r in range(words.rows):
+                got = keys[row == r].tolist()
+                assert got == sorted(out.get(at + r, ()))
+        return out
+
+    whole = keys_by_row(1 << 20)
+    monkeypatch.setattr(textvec, "SLICE_ROWS", 4)
+    assert keys_by_row(64) == whole == keys_by_row(1)
