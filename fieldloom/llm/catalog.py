@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldloom.llm import decontaminate, licenses, linededup, neardup, neighbours, packing, preferences, resample, tokens, toxicity
+from fieldloom.llm import decontaminate, infill, licenses, linededup, neardup, neighbours, packing, preferences, quantiles, repeats, resample, tokens, toxicity
 from fieldloom.llm.common import table
 
 
@@ -49,6 +50,19 @@ def op1_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preferences.format_preferences(preferences.paired_turns(table(spark, sf_dir, "conversations")))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.drop_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_quantile_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantiles.summarise(quantiles.money_values(*(table(spark, sf_dir, t) for t in ("clicks", "sale_lines", "items"))))
+
+
 QUERIES = {
     "op1_preference_formatting": op1_preference_formatting,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -60,6 +74,9 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_quantile_summaries": op13_quantile_summaries,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_preference_formatting": preferences.ORACLE_SQL, "op3_minhash_near_dedup": neardup.ORACLE_SQL, "op10_line_dedup": linededup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_preference_formatting": preferences.ORACLE_SQL, "op3_minhash_near_dedup": neardup.ORACLE_SQL, "op10_line_dedup": linededup.ORACLE_SQL, "op11_fill_in_middle": infill.ORACLE_SQL, "op12_substring_dedup": repeats.ORACLE_SQL}

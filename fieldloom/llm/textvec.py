@@ -57,19 +57,26 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets of the rows into the bytes) for runs of rows of about ``limit`` bytes, ``SLICE_ROWS`` rows at most."""
-    texts = batch.column(batch.schema.get_field_index(column))
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The buffer that holds the texts of an array, and where in it each begins and ends; null texts are empty."""
     if texts.null_count:
         texts = pc.fill_null(texts, "")
     if pa.types.is_large_string(texts.type):
         texts = texts.cast(pa.string())
-    n = len(texts)
-    if n == 0:
-        return
+    if len(texts) == 0:
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offset_buffer, data_buffer = texts.buffers()
-    offsets = np.frombuffer(offset_buffer, np.int32, count=n + 1, offset=4 * texts.offset).astype(np.int64)
+    offsets = np.frombuffer(offset_buffer, np.int32, count=len(texts) + 1, offset=4 * texts.offset).astype(np.int64)
     data = np.frombuffer(data_buffer, np.uint8) if data_buffer is not None and data_buffer.size else np.zeros(0, np.uint8)
+    return data, offsets
+
+
+def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets of the rows into the bytes) for runs of rows of about ``limit`` bytes, ``SLICE_ROWS`` rows at most."""
+    n = batch.num_rows
+    if n == 0:
+        return
+    data, offsets = text_bytes(batch.column(batch.schema.get_field_index(column)))
     at = 0
     while at < n:
         end = int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1
@@ -81,7 +88,8 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
 class Words:
     """Words of a slice: byte spans, the row each lies in, and 64-bit hashes."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE, fold: bool = True):
+        """``fold``: A-Z count as a-z."""
         n = len(data)
         self.rows = len(offsets) - 1
         inside = ~separators[data]
@@ -99,7 +107,7 @@ class Words:
         self.at = np.searchsorted(self.row, np.arange(self.rows + 1))
         power, inverse = _power_tables(n + 1)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
+        np.cumsum(((LOWER[data] if fold else data).astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
         self._sums, self._inverse = sums, inverse
         self.hash = self.prefix_hash(n + 1)
 
@@ -108,14 +116,14 @@ class Words:
         end = np.minimum(self.end, self.start + length)
         return mix((self._sums[end] - self._sums[self.start]) * self._inverse[self.start])
 
-    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and index of the first word of each run of k words inside one row."""
+    def grams(self, k: int, step: np.uint64 = _STEP) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and index of the first word of each run of k words inside one row; another odd ``step`` gives another hash."""
         n = len(self.hash) - k + 1
         if n <= 0:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         total = np.array([k], np.uint64) * _BASE
         for j in range(k):
-            total = total * _STEP + self.hash[j : j + n]
+            total = total * step + self.hash[j : j + n]
         first = np.flatnonzero(self.row[k - 1 :] == self.row[:n])
         return mix(total[first]), first
 
