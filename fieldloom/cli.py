@@ -64,6 +64,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--clim-end-year", type=int, default=config.BASELINE_YEARS[1])
     p.add_argument("--months", default=None)
     p.add_argument("--fill-corrected", action="store_true")
+    p = command("export-nc", "a daily field as NetCDF files in a mounted folder", "input", "grid", "var", "out")
+    p.add_argument("--layout", default="netcdf4", choices=["netcdf4", "classic"])
+    p.add_argument("--step-chunk", type=int, default=30)
     p = command("evaluate", "errors over the hold-out years", "pred", "ref", "out-csv")
     p.add_argument("--eval-start-year", type=int, default=config.HOLDOUT_YEARS[0])
     p.add_argument("--eval-end-year", type=int, default=config.HOLDOUT_YEARS[1])
@@ -123,12 +126,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             moved = correct.make_consistent(placed, correct.restrict_days(load(args.target), placed))
             fields.write_field(fields.daily(fill.fill_masked(moved, mask, len(fine[0]), len(fine[1]))), args.out)
         case "refine":
-            def store(name, df):
-                path = f"{args.out}/{name}"
-                fields.write_field(fields.daily(df) if "day" in df.columns else df, path)
-                return load(path)
-
-            refine.refine(load(args.input), load(args.fine_clim), mask, coarse, fine, (args.clim_start_year, args.clim_end_year), args.months, args.fill_corrected, store)
+            write = lambda df, path: fields.write_field(fields.daily(df) if "day" in df.columns else df, path)
+            refine.refine(load(args.input), load(args.fine_clim), mask, coarse, fine, (args.clim_start_year, args.clim_end_year), args.months, args.fill_corrected, fields.recorded(write, load, args.out, refine.DEFINITIONS))
+        case "export-nc":
+            grid_nc.write_field_nc(load(args.input), args.out, *_grid(args.grid), args.var, args.layout, args.step_chunk)
         case "evaluate":
             tables.write_csv(metrics.holdout(load(args.pred), load(args.ref), args.eval_start_year, args.eval_end_year, fine=fine, coarse=coarse), args.out_csv)
         case "merge-csv":

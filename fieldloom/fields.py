@@ -7,9 +7,10 @@ become NULL on the way in.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -63,10 +64,28 @@ def write_field(df: DataFrame, path: str, mode: str = "error") -> None:
     out.write.mode(mode).option("compression", "zstd").partitionBy(*parts).parquet(path)
 
 
-def with_meta(df: DataFrame, **attributes: str) -> DataFrame:
-    """``df`` with a map column ``meta`` of provenance; created_at is added."""
-    pairs = [x for k, v in attributes.items() for x in (F.lit(k), F.lit(str(v)))]
-    return df.withColumn("meta", F.create_map(*pairs, F.lit("created_at"), F.current_timestamp().cast("string")))
+MANIFEST = "name string, path string, definition string, inputs array<string>, rows long, values long, low double, high double, first_day date, last_day date, created_at timestamp"
+
+
+def recorded(write: Callable[[DataFrame, str], None], read: Callable[[str], DataFrame], root: str, definitions: Mapping[str, tuple[str, Sequence[str]]]) -> Callable[[str, DataFrame], DataFrame]:
+    """A ``store(name, df)`` that writes below ``root``, reads back, and adds a row to the table ``root``/manifest.
+
+    Counts, ranges and days are observed while the field is written, without another
+    pass; definitions and inputs come by name, "" and () for a name that has none. A name
+    that is written again gets another row; the latest counts.
+    """
+
+    def store(name: str, df: DataFrame) -> DataFrame:
+        spark, path, seen = df.sparkSession, f"{root}/{name}", Observation()
+        day = F.col("day") if "day" in df.columns else F.lit(None).cast("date")
+        write(df.observe(seen, F.count("*").alias("rows"), F.count("value").alias("values"), F.min("value").cast("double").alias("low"), F.max("value").cast("double").alias("high"), F.min(day).alias("first_day"), F.max(day).alias("last_day")), path)
+        found = seen.get
+        definition, inputs = definitions.get(name.rsplit("/", 1)[-1], ("", ()))
+        row = (name, path, definition, list(inputs), found["rows"], found["values"], found["low"], found["high"], found["first_day"], found["last_day"], datetime.datetime.now())
+        spark.createDataFrame([row], MANIFEST).write.mode("append").parquet(f"{root}/manifest")
+        return read(path)
+
+    return store
 
 
 def to_planes(df: DataFrame, keys: Sequence[str], ny: int, nx: int) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom import axes
+
 
 def restrict_days(target: DataFrame, days: DataFrame) -> DataFrame:
     """``target`` on the days of ``days`` (day), which must all be there."""
@@ -17,7 +19,16 @@ def restrict_days(target: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def semi_join_days(target: DataFrame, days: DataFrame) -> DataFrame:
-    return target.join(days.select("day").distinct(), "day", "left_semi")
+    """``target`` on the days of ``days``. Where it is stored by year and month, these of the days cut its files first.
+
+    There are a few months for any number of days, so their table is broadcast; the
+    filter on it is what lets dynamic partition pruning take it for the target's scan.
+    """
+    days = days.select("day").distinct()
+    if {"year", "month"} <= set(target.columns):
+        months = days.select(F.year("day").alias("year"), F.month("day").alias("month")).filter("year > 0").distinct()
+        target = target.join(F.broadcast(months), ["year", "month"], "left_semi").select(*target.columns)
+    return target.join(days, "day", "left_semi").select(*target.columns)
 
 
 def missing_days(target: DataFrame, days: DataFrame) -> DataFrame:
@@ -35,6 +46,19 @@ def add_aligned(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("day", "iy",
     return x.join(y, list(keys)).select(*keys, (F.col("a") + F.col("b")).alias("value"))
 
 
+def add_on_same_grid(a: DataFrame, b: DataFrame, a_axes: DataFrame, b_axes: DataFrame, rtol: float = 1e-5, atol: float = 1e-4) -> DataFrame:
+    """(day, iy, ix, value): sum of two fields whose grids (axis "lat" or "lon", idx, coord) agree within tolerance, on the cells of ``a``.
+
+    Coordinates of products of one grid often differ by their last digits, so labels
+    would not meet; the axes are matched by a band join, and its map gives ``b`` the
+    indices of ``a``, whichever way round its axes run. Grids that differ raise an error.
+    """
+    pairs = axes.same_grid_map(a_axes, b_axes, rtol, atol)
+    of = lambda axis, index: F.broadcast(pairs.filter(F.col("axis") == axis).select(F.col("idx_b").alias(index), F.col("idx_a").alias(f"{index}_a")))  # noqa: E731  # one row a point of an axis
+    moved = b.join(of("lat", "iy"), "iy").join(of("lon", "ix"), "ix").select("day", F.col("iy_a").alias("iy"), F.col("ix_a").alias("ix"), "value")
+    return add_aligned(a, moved)
+
+
 def residual(target: DataFrame, aggregate: DataFrame, keys: Sequence[str] = ("day", "iy", "ix")) -> DataFrame:
     """(keys, value): target less aggregate; null where there is no aggregate."""
     agg = aggregate.select(*keys, F.col("value").alias("agg"))

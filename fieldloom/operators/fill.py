@@ -180,19 +180,45 @@ def _settled(near: np.ndarray, donor: np.ndarray, inside: np.ndarray, first_colu
     return out
 
 
-def _strip_pass(ny: int, nx: int, w: int, keys: Sequence[str], fallback: float):
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("band")
-        first = rows["strip"][0].as_py() * w
-        width = min(w, nx - first)
-        near, donor, inside = (np.concatenate([np.frombuffer(b, t).reshape(-1, width) for b in rows[c].to_pylist()]) for c, t in (("near", np.int32), ("donor", np.float64), ("inside", bool)))
-        out = _settled(near, donor, inside, first, fallback).ravel()
-        iy, ix = np.divmod(np.arange(ny * width), width)
-        return pa.table([*(pa.chunked_array([rows[k].combine_chunks().take(pa.array(np.zeros(len(out), np.int64)))]) for k in keys), pa.array(iy, pa.int32()), pa.array(ix + first, pa.int32()), pa.array(out, mask=np.isnan(out))], names=[*keys, "iy", "ix", "value"])
+def _strip_pass(ny: int, nx: int, h: int, w: int, keys: Sequence[str], fallback: float):
+    """Cells of each strip, from rows that come by key, strip and band: all bands of a strip are there."""
+    bands = -(-ny // h)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        for batch in batches:
+            column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+            for i, (strip, *held) in enumerate(zip(*(column(c).to_pylist() for c in ("strip", "near", "donor", "inside")), strict=True)):
+                parts.append(held)
+                if len(parts) < bands:
+                    continue
+                first, width = strip * w, min(w, nx - strip * w)
+                near, donor, inside = (np.concatenate([np.frombuffer(b, t).reshape(-1, width) for b in x]) for x, t in zip(zip(*parts, strict=True), (np.int32, np.float64, bool), strict=True))
+                parts = []
+                out = _settled(near, donor, inside, first, fallback).ravel()
+                iy, ix = np.divmod(np.arange(ny * width), width)
+                same = pa.array(np.full(len(out), i))
+                yield pa.RecordBatch.from_arrays([*(column(k).take(same) for k in keys), pa.array(iy, pa.int32()), pa.array(ix + first, pa.int32()), pa.array(out, mask=np.isnan(out))], [*keys, "iy", "ix", "value"])
 
     return run
 
 
+def _together(run, rows: int = 1 << 16):
+    """``run`` with its small batches put together."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in run(batches):
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= rows or len(held) >= 1024:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held = []
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return task
+
+
 def fill_blocks(field: DataFrame, mask: DataFrame, ny: int, nx: int, keys: Sequence[str] = ("day",), fallback: float = 0.0, cells: int = BLOCK_CELLS) -> DataFrame:
     """(keys, iy, ix, value) of the whole ny * nx grid at every key, as ``fill_pairs`` gives it, in bands of rows and strips of columns.
 
@@ -212,9 +238,10 @@ def fill_blocks(field: DataFrame, mask: DataFrame, ny: int, nx: int, keys: Seque
     joined = every.join(held, [*keys, "band"], "left").join(F.broadcast(bands) if ny * nx <= 8 * MASK_BYTES else bands, "band", "left").select(*keys, "band", "held", "inside")
     out = f"{key_schema}, iy int, ix int, value double"
     if h >= ny:
-        return joined.mapInArrow(_band_pass(ny, nx, h, w, keys, fallback), out)
-    parts = joined.mapInArrow(_band_pass(ny, nx, h, w, keys, fallback), f"{key_schema}, strip int, band int, near binary, donor binary, inside binary")
-    return parts.groupBy(*keys, "strip").applyInArrow(_strip_pass(ny, nx, w, keys, fallback), out)
+        return joined.mapInArrow(_together(_band_pass(ny, nx, h, w, keys, fallback)), out)
+    parts = joined.mapInArrow(_together(_band_pass(ny, nx, h, w, keys, fallback), 64), f"{key_schema}, strip int, band int, near binary, donor binary, inside binary")
+    dealt = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, "strip").sortWithinPartitions(*keys, "strip", "band")
+    return dealt.mapInArrow(_together(_strip_pass(ny, nx, h, w, keys, fallback)), out)
 
 
 def fill_masked(field: DataFrame, mask: DataFrame, ny: int, nx: int, keys: Sequence[str] = ("day",), fallback: float = 0.0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom import axes
+from fieldloom.fields import inside_mask
 
 STD_FLOOR = 1e-6
 
@@ -21,14 +22,38 @@ def classify(variables: dict[str, Sequence[str]], exclude: Iterable[str] = ()) -
 
 def yearly_mean(yearly: DataFrame, first: int, last: int) -> DataFrame:
     """(feature, iy, ix, value): mean over the years first..last, each standing for its predictor year's snapshot."""
-    there = [r["year"] for r in yearly.select("year").distinct().collect()]  # one row a year
-    years = axes.predictor_year_table(yearly.sparkSession, there, first, last)
-    weights = years.groupBy(F.col("predictor_year").alias("year")).agg(F.count("*").alias("weight"))
+    features = yearly.select("feature").distinct()
+    wanted = features.select("feature", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("year"))
+    years = axes.predictor_years(yearly.select("feature", "year"), wanted)
+    weights = years.groupBy("feature", F.col("predictor_year").alias("year")).agg(F.count("*").alias("weight"))
     held = F.when(F.col("value").isNotNull(), F.col("weight"))
-    rows = yearly.join(axes.small(weights, last - first + 1), "year")
+    rows = yearly.join(weights, ["feature", "year"])
     return rows.groupBy("feature", "iy", "ix").agg((F.sum(F.col("value") * F.col("weight")) / F.sum(held)).alias("value"))
 
 
+def load_predictors(layers: DataFrame, first: int, last: int, exclude: Iterable[str] = (), names: Sequence[str] | None = None, stats: DataFrame | None = None) -> tuple[DataFrame, list[str], DataFrame, DataFrame]:
+    """(features, names, stats, mask) of a table of layers (feature, step, iy, ix, value), step a year or null.
+
+    Names are the static features, then the yearly ones, without ``exclude``, unless
+    given; a name without layers is an error. Yearly features are means over first..last.
+    The layer ``land_mask`` is the mask, inside where above 0; without one every cell is
+    inside. Features are z-scores by ``stats``, or by their own inside the mask.
+    """
+    kinds = layers.groupBy("feature").agg(F.count("step").alias("steps")).collect()  # one row a variable
+    static, yearly = classify({r["feature"]: ("lat", "lon", "year") if r["steps"] else ("lat", "lon") for r in sorted(kinds)}, exclude)
+    there = {r["feature"] for r in kinds}
+    names = static + yearly if names is None else list(names)
+    if lacking := [n for n in names if n not in there]:
+        raise KeyError(f"no predictor {lacking[0]!r} among {sorted(there)}")
+    cells = layers.select("iy", "ix").distinct()
+    land = layers.filter("feature = 'land_mask' AND step IS NULL")
+    mask = inside_mask(land) if "land_mask" in there else cells.withColumn("inside", F.lit(True))
+    of_years = yearly_mean(layers.filter("step IS NOT NULL").select("feature", F.col("step").alias("year"), "iy", "ix", "value"), first, last)
+    both = layers.filter("step IS NULL").select("feature", "iy", "ix", "value").unionByName(of_years).filter(F.col("feature").isin(names))
+    stats = feature_stats(both, mask) if stats is None else stats
+    return zscore(both, stats), names, stats, mask
+
+
 def feature_stats(features: DataFrame, mask: DataFrame | None = None, by: Sequence[str] = ("feature",)) -> DataFrame:
     """(by, mean, std): over finite cells inside the mask; std below the floor counts as 1, no cell gives (0, 1)."""
     inside = features if mask is None else features.join(mask.filter("inside").select("iy", "ix", F.lit(True).alias("in")), ["iy", "ix"], "left")

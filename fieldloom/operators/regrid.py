@@ -57,6 +57,19 @@ def with_parents(field: DataFrame, fine: tuple[Sequence[float], Sequence[float]]
     return field.join(my, "iy").join(mx, "ix")
 
 
+def with_tiles(field: DataFrame, fine: tuple[Sequence[float], Sequence[float]], coarse: tuple[Sequence[float], Sequence[float]], size: int, outer: str = "clip") -> DataFrame:
+    """``with_parents``, and the tile of ``size`` * ``size`` parents that each row lies in; a parent's children share one."""
+    spark = field.sparkSession
+    my = axes.tile_table(spark, fine[0], coarse[0], "iy", "cy", "_ty", size, outer)
+    mx = axes.tile_table(spark, fine[1], coarse[1], "ix", "cx", "_tx", size, outer)
+    return field.join(my, "iy").join(mx, "ix").withColumn("tile", F.col("_ty") * (len(coarse[1]) // size + 1) + F.col("_tx")).drop("_ty", "_tx")
+
+
+def tile_of_parent(field: DataFrame, coarse: tuple[Sequence[float], Sequence[float]], size: int) -> DataFrame:
+    """A coarse field with the tile that each cell's children lie in."""
+    return field.withColumn("tile", F.floor(F.col("iy") / size).cast("int") * (len(coarse[1]) // size + 1) + F.floor(F.col("ix") / size).cast("int"))
+
+
 def parent_mean(placed: DataFrame, keys: Sequence[str] = ("day",)) -> DataFrame:
     """(keys, iy, ix, value): mean of the valid children of each coarse cell; cells without one give no row."""
     inside = placed.filter("cy >= 0 and cx >= 0 and value is not null")

@@ -44,6 +44,49 @@ def into_tiles(cells: DataFrame, ny: int, nx: int, tile: int = 96, overlap: int
     return cells.join(axis_tiles(spark, ny, nx, tile, overlap, "iy", "y0"), "iy").join(axis_tiles(spark, nx, ny, tile, overlap, "ix", "x0"), "ix")
 
 
+def block_rows(field: DataFrame, ny: int, nx: int, side: int, keys: Sequence[str] = ("day",)) -> DataFrame:
+    """(keys, by, bx, block): the field as arrays of side * side values in row order, null where it has no row or the grid ends."""
+    at = ((F.col("iy") % side) * side + F.col("ix") % side).cast("int")
+    spot = [F.floor(F.col(c) / side).cast("int").alias(b) for c, b in (("iy", "by"), ("ix", "bx"))]
+    held = field.filter(F.col("iy").between(0, ny - 1) & F.col("ix").between(0, nx - 1)).select(*keys, *spot, F.struct(at.alias("at"), "value").alias("cell"))
+    held = held.groupBy(*keys, "by", "bx").agg(F.map_from_entries(F.collect_list("cell")).alias("held"))
+    return held.select(*keys, "by", "bx", F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.try_element_at("held", i)).alias("block"))
+
+
+def halo_tiles(blocks: DataFrame, ny: int, nx: int, side: int, tile: int = 96, overlap: int = 24, keys: Sequence[str] = ("day",)) -> DataFrame:
+    """(keys, y0, x0, y0_size, x0_size, tile): overlapping tiles as arrays of rows, cut from ``block_rows``.
+
+    A tile gathers the few blocks it touches, so what is exchanged is a block per tile
+    that needs it, its halo, instead of a row per cell and tile.
+    """
+    spark = blocks.sparkSession
+    one = max(ny, nx) <= tile
+
+    def touched(n: int, block: str, first: str) -> DataFrame:
+        rows = [(b, s, min(tile, n - s)) for s in ([0] if one else offsets(n, tile, overlap)) for b in range(s // side, -(-min(n, s + tile) // side))]
+        return axes.small(spark.createDataFrame(rows, f"{block} int, {first} int, {first}_size int"), len(rows))
+
+    sent = blocks.join(touched(ny, "by", "y0"), "by").join(touched(nx, "bx", "x0"), "bx")
+    spot = ["y0", "x0", "y0_size", "x0_size"]
+    wide = -(-nx // side) + 1
+    held = sent.groupBy(*keys, *spot).agg(F.map_from_entries(F.collect_list(F.struct((F.col("by") * wide + F.col("bx")).alias("at"), "block"))).alias("held"))
+
+    def value(y, x):
+        block = F.try_element_at("held", (F.floor(y / side) * wide + F.floor(x / side)).cast("int"))
+        return F.try_element_at(block, ((y % side) * side + x % side + 1).cast("int"))
+
+    row = lambda y: F.transform(F.sequence(F.col("x0"), F.col("x0") + F.col("x0_size") - 1), lambda x: value(y, x))
+    return held.select(*keys, *spot, F.transform(F.sequence(F.col("y0"), F.col("y0") + F.col("y0_size") - 1), row).alias("tile"))
+
+
+def blend_tiles(made: DataFrame, keys: Sequence[str] = ("day",), overlap: int = 24, value: str = "tile") -> DataFrame:
+    """(keys, iy, ix, value): tiles of predictions (``halo_tiles``' columns) as one field; missing predictions weigh nothing."""
+    spot = ["y0", "x0", "y0_size", "x0_size"]
+    rows = made.select(*keys, *spot, F.posexplode(value).alias("r", "row")).select(*keys, *spot, "r", F.posexplode("row").alias("c", "pred"))
+    cells = rows.select(*keys, *spot, (F.col("y0") + F.col("r")).alias("iy"), (F.col("x0") + F.col("c")).alias("ix"), "pred")
+    return blend(cells.filter("pred IS NOT NULL"), keys, overlap)
+
+
 def ramp(i, n, edge: int):
     """Weight of cell i of n: linear from 1 / e at either end to 1, e = edge or half the length."""
     e = F.least(F.lit(edge), F.greatest(F.lit(1), F.floor(n / 2)))

@@ -11,7 +11,8 @@ from fieldloom.operators import climatology as clim
 from fieldloom.operators import correct, fill, learn, metrics, predictors, regrid, tiles
 from fieldloom.plans import refine
 from fieldloom.plans import fixtures as fx
-from fieldloom.staging import stage
+from fieldloom.sources import grid_nc
+from fieldloom.staging import colocated, new_path, stage, stage_bucketed
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -77,32 +78,52 @@ def time_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correct.semi_join_days(fx.days(spark, sf_dir), clim.select_months(fx.days(spark, sf_dir, fx.FINE)))
 
 
+@query(f"SELECT * FROM {C} WHERE day IN (SELECT day FROM {N} WHERE year = 1996 AND {MONTHS})")
+def time_semi_join_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is stored by year and month; those of the days alone are read."""
+    path = new_path(spark, "target")
+    fx.days(spark, sf_dir).write.partitionBy("year", "month").parquet(path)
+    days = stage(clim.select_months(fx.days(spark, sf_dir, fx.FINE).filter("year = 1996")).select("day").distinct(), "days")
+    return correct.semi_join_days(spark.read.parquet(path), days).select("day", "year", "month", "iy", "ix", "value")
+
+
 @query(f"SELECT DISTINCT day FROM {C} WHERE day NOT IN (SELECT day FROM {C} WHERE year = 1996)")
 def time_gap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = fx.days(spark, sf_dir)
     return correct.missing_days(d.filter("year = 1996"), d)
 
 
-_POSITION = "(range - 2) / CAST(5 AS DOUBLE)"
+def _axis_sql(n: int) -> str:
+    """Points of an axis that are there in the table, by number."""
+    return f"(SELECT DISTINCT CAST(p_partkey % {n} AS INT) AS idx FROM part)"
+
+
+def _axis(spark: SparkSession, sf_dir: str, n: int, first: float, step: float) -> DataFrame:
+    points = fx.table(spark, sf_dir, "part").select((F.col("p_partkey") % n).cast("int").alias("idx")).distinct()
+    return points.select(F.lit("lat").alias("axis"), "idx", F.round(first + step * F.col("idx"), 6).alias("coord"))
+
 
+_POSITION = "(idx - 2) / CAST(5 AS DOUBLE)"
 
-def _map(spark: SparkSession, outer: str) -> DataFrame:
-    return axes.parent_table(spark, fx.FINE_AXIS, fx.COARSE_AXIS, "idx", "parent", outer)
 
+def _map(spark: SparkSession, sf_dir: str, outer: str) -> DataFrame:
+    return axes.parent_map(_axis(spark, sf_dir, fx.FINE, 0.025, 0.05), _axis(spark, sf_dir, fx.COARSE, 0.125, 0.25), outer).select("idx", "parent")
 
-@query(f"SELECT CAST(range AS INT) AS idx, CAST(CASE WHEN {_POSITION} >= 0 AND {_POSITION} < 7 THEN floor({_POSITION} + 0.5) ELSE -1 END AS INT) AS parent FROM range(40)")
+
+@query(f"SELECT idx, CAST(CASE WHEN {_POSITION} >= 0 AND {_POSITION} < 7 THEN floor({_POSITION} + 0.5) ELSE -1 END AS INT) AS parent FROM {_axis_sql(fx.FINE)}")
 def subcell_map_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _map(spark, "clip")
+    return _map(spark, sf_dir, "clip")
 
 
-@query(f"SELECT CAST(range AS INT) AS idx, CAST(floor({_POSITION} + 0.5) AS INT) AS parent FROM range(40)")
+@query(f"SELECT idx, CAST(floor({_POSITION} + 0.5) AS INT) AS parent FROM {_axis_sql(fx.FINE)}")
 def subcell_map_half(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _map(spark, "half")
+    return _map(spark, sf_dir, "half")
 
 
-@query("SELECT 'lat' AS axis, CAST(range AS INT) AS idx, 0.125 + 0.25 * CAST(range AS DOUBLE) AS coord, CAST(7 - range AS INT) AS source_idx FROM range(8)")
+@query(f"SELECT 'lat' AS axis, CAST(7 - idx AS INT) AS idx, round(1.875 - 0.25 * idx, 6) AS coord, idx AS source_idx FROM {_axis_sql(fx.COARSE)}")
 def axis_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return axes.ascending(spark.createDataFrame([("lat", i, c) for i, c in enumerate(reversed(fx.COARSE_AXIS))], "axis string, idx int, coord double"))
+    """An axis that comes in descending order."""
+    return axes.ascending(_axis(spark, sf_dir, fx.COARSE, 1.875, -0.25))
 
 
 _EDGE = "CASE WHEN {0} >= 2 AND {0} < 37 THEN CAST(floor(({0} - 2) / CAST(5 AS DOUBLE) + 0.5) AS INT) ELSE -1 END"
@@ -134,6 +155,15 @@ def delta_distribute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correct.make_consistent(_placed(spark, sf_dir), fx.days(spark, sf_dir))
 
 
+@query(f"SELECT * FROM {_MOVED}")
+def delta_distribute_colocated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a table bucketed by tiles of 2 * 2 parents: fine rows stay where they lie."""
+    placed = stage_bucketed(regrid.with_tiles(fx.days(spark, sf_dir, fx.FINE).select("day", "iy", "ix", "value"), fx.FINE_GRID, fx.COARSE_GRID, 2), "placed", "tile", 8)
+    target = regrid.tile_of_parent(fx.days(spark, sf_dir), fx.COARSE_GRID, 2)
+    with colocated(spark):
+        return stage_bucketed(correct.make_consistent(placed, target, ["tile", "day"]), "moved", "tile", 8).drop("tile")
+
+
 @query(f"""SELECT count(*) AS cells, max(abs(x.value - c.value)) < 1e-9 AS consistent FROM
   (SELECT day, cy AS iy, cx AS ix, avg(value) AS value FROM {_MOVED} WHERE cy >= 0 AND cx >= 0 AND value IS NOT NULL GROUP BY ALL) x JOIN {C} c USING (day, iy, ix)""")
 def consistency_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,13 +207,13 @@ def mask_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill.apply_mask(fx.monthly(spark, sf_dir), fx.coarse_mask(spark))
 
 
-def _fill_sql(field: str) -> str:
-    return f"""WITH dense AS MATERIALIZED (SELECT d.day, k.iy, k.ix, k.inside, CASE WHEN k.inside THEN f.value END AS value
-    FROM (SELECT DISTINCT day FROM {field}) d CROSS JOIN {MASK} k LEFT JOIN {field} f ON f.day = d.day AND f.iy = k.iy AND f.ix = k.ix
-  ), near AS (SELECT m.day, m.iy, m.ix, arg_min(v.value, ((m.iy - v.iy) * (m.iy - v.iy) + (m.ix - v.ix) * (m.ix - v.ix)) * 1000000 + v.iy * 1000 + v.ix) AS value
-    FROM (SELECT day, iy, ix FROM dense WHERE inside AND value IS NULL) m JOIN (SELECT * FROM dense WHERE value IS NOT NULL) v ON v.day = m.day GROUP BY m.day, m.iy, m.ix)
-  SELECT d.day, d.iy, d.ix, CASE WHEN d.inside THEN coalesce(d.value, n.value, 0.0) END AS value
-  FROM dense d LEFT JOIN near n USING (day, iy, ix)"""
+def _fill_sql(field: str, key: str = "day", mask: str = MASK) -> str:
+    return f"""WITH dense AS MATERIALIZED (SELECT d.{key}, k.iy, k.ix, k.inside, CASE WHEN k.inside THEN f.value END AS value
+    FROM (SELECT DISTINCT {key} FROM {field}) d CROSS JOIN {mask} k LEFT JOIN {field} f ON f.{key} = d.{key} AND f.iy = k.iy AND f.ix = k.ix
+  ), near AS (SELECT m.{key}, m.iy, m.ix, arg_min(v.value, ((m.iy - v.iy) * (m.iy - v.iy) + (m.ix - v.ix) * (m.ix - v.ix)) * 1000000 + v.iy * 1000 + v.ix) AS value
+    FROM (SELECT * FROM dense WHERE inside AND value IS NULL) m JOIN (SELECT * FROM dense WHERE value IS NOT NULL) v ON v.{key} = m.{key} GROUP BY m.{key}, m.iy, m.ix)
+  SELECT d.{key}, d.iy, d.ix, CASE WHEN d.inside THEN coalesce(d.value, n.value, 0.0) END AS value
+  FROM dense d LEFT JOIN near n USING ({key}, iy, ix)"""
 
 
 @query(_fill_sql(C))
@@ -196,6 +226,19 @@ def nearest_fill_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill.fill_planes(fill.on_template(fx.days(spark, sf_dir), fx.coarse_mask(spark)), fx.COARSE, fx.COARSE)
 
 
+_MONTH_SUMS = f"(SELECT month, iy, ix, sum(value) AS value FROM {N} GROUP BY ALL)"
+
+
+def _month_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.days(spark, sf_dir, fx.FINE).groupBy("month", "iy", "ix").agg(F.sum("value").alias("value"))
+
+
+@query(_fill_sql(_MONTH_SUMS, "month", FINE_MASK))
+def nearest_fill_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly fields on the fine grid in bands of five rows and strips of five columns."""
+    return fill.fill_blocks(_month_sums(spark, sf_dir), fx.fine_mask(spark), fx.FINE, fx.FINE, ["month"], cells=200)
+
+
 @query(_fill_sql(f"(SELECT * FROM {C} WHERE iy = 0)"))
 def masked_fill_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only the first row has values, two of its cells lie inside: most days fall back to 0."""
@@ -207,6 +250,15 @@ def field_add_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correct.add_aligned(fx.days(spark, sf_dir), fx.days(spark, sf_dir, agg=F.min))
 
 
+@query(f"SELECT a.day, a.iy, a.ix, a.value + b.value AS value FROM {C} a JOIN (SELECT day, 7 - iy AS iy, ix, value FROM {LOW}) b USING (day, iy, ix)")
+def field_add_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grids whose axes run in opposite ways and differ by up to 0.00008: a band join of the axes leads the sum."""
+    lat, turned = _axis(spark, sf_dir, fx.COARSE, 0.125, 0.25), _axis(spark, sf_dir, fx.COARSE, 1.875, -0.25)
+    lon = lat.withColumn("axis", F.lit("lon"))
+    shift = F.col("coord") + (F.col("idx") % 3 - 1) * 0.00008
+    return correct.add_on_same_grid(fx.days(spark, sf_dir), fx.days(spark, sf_dir, agg=F.min), lat.unionByName(lon), turned.unionByName(lon).withColumn("coord", shift))
+
+
 _THERE = "(SELECT DISTINCT year(o_orderdate) AS y FROM orders)"
 _YEARS = f"""(SELECT CAST(range AS INT) AS year, CAST(CASE WHEN range <= 1985 AND EXISTS (SELECT 1 FROM {_THERE} WHERE y = 1985) THEN 1985
   WHEN range <= 1990 AND EXISTS (SELECT 1 FROM {_THERE} WHERE y = 1990) THEN 1990
@@ -215,8 +267,9 @@ _YEARS = f"""(SELECT CAST(range AS INT) AS year, CAST(CASE WHEN range <= 1985 AN
 
 @query(f"SELECT * FROM {_YEARS}")
 def predictor_year_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    there = [r[0] for r in fx.yearly_feature(spark, sf_dir).select("year").distinct().collect()]
-    return axes.predictor_year_table(spark, there, 1961, 2015)
+    there = fx.yearly_feature(spark, sf_dir).select("feature", "year")
+    wanted = there.select("feature").distinct().select("feature", F.explode(F.sequence(F.lit(1961), F.lit(2015))).alias("year"))
+    return axes.predictor_years(there, wanted).select("year", "predictor_year")
 
 
 @query(f"SELECT feature, iy, ix, sum(value) / count(value) AS value FROM {_YEARS} m JOIN {fx.YEARLY_SQL} p ON p.year = m.predictor_year GROUP BY ALL")
@@ -254,6 +307,31 @@ def target_standardise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictors.standardise_target(fx.monthly(spark, sf_dir), fx.coarse_mask(spark)).withColumn("value", F.round("value", 9))
 
 
+@query(f"""WITH m AS (SELECT month, iy, ix, CASE WHEN inside THEN value END AS value FROM {M} LEFT JOIN {MASK} USING (iy, ix))
+  SELECT month, iy, ix, round(coalesce(value, avg(value) OVER (PARTITION BY month)), 6) AS value FROM m""")
+def target_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the target taken back to its own scale; what was missing is the month's mean."""
+    masked = fill.apply_mask(fx.monthly(spark, sf_dir), fx.coarse_mask(spark))
+    stats = predictors.feature_stats(masked, by=["month"])
+    back = predictors.destandardise(predictors.zscore(masked, stats, ["month"]), stats)
+    return back.select("month", "iy", "ix", F.round("value", 6).alias("value"))
+
+
+_LAND_SQL = "(SELECT CAST(p_partkey // 8 % 8 AS INT) AS iy, CAST(p_partkey % 8 AS INT) AS ix, CAST(max(p_size) > 20 AS DOUBLE) AS value FROM part GROUP BY ALL)"
+
+
+@query(f"""WITH f AS (SELECT * FROM {fx.STATIC_SQL} UNION ALL SELECT feature, iy, ix, sum(value) / count(value) AS value FROM {_YEARS} y JOIN {fx.YEARLY_SQL} p ON p.year = y.predictor_year GROUP BY ALL),
+  s AS (SELECT feature, avg(f.value) FILTER (l.value > 0) AS mean, CASE WHEN stddev_pop(f.value) FILTER (l.value > 0) >= 1e-6 THEN stddev_pop(f.value) FILTER (l.value > 0) ELSE 1 END AS std FROM f LEFT JOIN {_LAND_SQL} l USING (iy, ix) GROUP BY feature)
+  SELECT feature, iy, ix, round(coalesce((value - mean) / std, 0), 6) AS value FROM f JOIN s USING (feature)""")
+def predictor_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Static and yearly layers told apart, the mask taken from the layer land_mask, scores by statistics inside it."""
+    static = fx.static_features(spark, sf_dir)
+    land = static.filter("feature = 'size_top'").select(F.lit("land_mask").alias("feature"), "iy", "ix", (F.col("value") > 20).cast("double").alias("value"))
+    layers = static.unionByName(land).withColumn("step", F.lit(None).cast("int")).unionByName(fx.yearly_feature(spark, sf_dir).withColumnRenamed("year", "step"))
+    scored, _, _, _ = predictors.load_predictors(layers, 1961, 2015, exclude=["land_mask"])
+    return scored.withColumn("value", F.round("value", 6))
+
+
 _ERRORS = """count(*) AS n, round(avg(abs(p - r)), 9) AS mae, round(sqrt(avg((p - r) * (p - r))), 9) AS rmse, round(avg(p - r), 9) AS bias,
   round(CASE WHEN count(*) > 1 AND var_pop(r) > 0 THEN 1 - sum((p - r) * (p - r)) / (var_pop(r) * count(*)) END, 9) AS r2"""
 _PAIRS = f"(SELECT day, year, month, iy, ix, b.value AS p, a.value AS r FROM {C} a JOIN {LOW} b USING (day, year, month, iy, ix))"
@@ -285,15 +363,26 @@ def masked_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _STARTS = "(SELECT unnest([0, 12, 24]) AS s)"
 _WEIGHT = "least(({i} - {s} + 1) / CAST(8 AS DOUBLE), (16 - ({i} - {s})) / CAST(8 AS DOUBLE), 1)"
+_BLENDED = f"""SELECT month, iy, ix, round(sum((value + 2 * y0 + x0) * w) / greatest(sum(w), 1e-6), 6) AS value FROM (
+  SELECT f.*, a.s AS y0, b.s AS x0, {_WEIGHT.format(i="f.iy", s="a.s")} * {_WEIGHT.format(i="f.ix", s="b.s")} AS w
+  FROM {_MONTH_SUMS} f JOIN {_STARTS} a ON f.iy BETWEEN a.s AND a.s + 15 JOIN {_STARTS} b ON f.ix BETWEEN b.s AND b.s + 15) GROUP BY month, iy, ix"""
 
 
-@query(f"""SELECT iy, ix, sum((iy * 40 + ix + 2 * y0 + x0) * w) / greatest(sum(w), 1e-6) AS value FROM (
-  SELECT CAST(y.range AS INT) AS iy, CAST(x.range AS INT) AS ix, a.s AS y0, b.s AS x0, {_WEIGHT.format(i="y.range", s="a.s")} * {_WEIGHT.format(i="x.range", s="b.s")} AS w
-  FROM range(40) y JOIN {_STARTS} a ON y.range BETWEEN a.s AND a.s + 15 CROSS JOIN range(40) x JOIN {_STARTS} b ON x.range BETWEEN b.s AND b.s + 15) GROUP BY ALL""")
+@query(_BLENDED)
 def tile_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model that answers with cell and tile numbers, on tiles of 16 with overlap 4."""
-    cut = tiles.into_tiles(fx.fine_mask(spark).select("iy", "ix"), fx.FINE, fx.FINE, 16, 4)
-    return tiles.blend(cut.withColumn("pred", (F.col("iy") * 40 + F.col("ix") + 2 * F.col("y0") + F.col("x0")).cast("double")), overlap=4)
+    """A model that adds tile numbers to what it gets, on tiles of 16 with overlap 4."""
+    cut = tiles.into_tiles(_month_sums(spark, sf_dir), fx.FINE, fx.FINE, 16, 4)
+    made = tiles.blend(cut.withColumn("pred", F.col("value") + 2 * F.col("y0") + F.col("x0")), ["month"], overlap=4)
+    return made.withColumn("value", F.round("value", 6))
+
+
+@query(_BLENDED)
+def tile_blend_halo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from blocks of 8 * 8 cells: each tile gathers the blocks it touches."""
+    blocks = tiles.block_rows(_month_sums(spark, sf_dir), fx.FINE, fx.FINE, 8, ["month"])
+    cut = tiles.halo_tiles(blocks, fx.FINE, fx.FINE, 8, 16, 4, ["month"])
+    answer = F.transform("tile", lambda row: F.transform(row, lambda v: v + 2 * F.col("y0") + F.col("x0")))
+    return tiles.blend_tiles(cut.withColumn("tile", answer), ["month"], 4).withColumn("value", F.round("value", 6))
 
 
 @query(f"SELECT * FROM {CLIM} WHERE {MONTHS}")
@@ -322,9 +411,47 @@ def clim_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clim.assemble(c.withColumn("value", F.col("value") * 2), c)
 
 
-@query(f"SELECT count(*) FILTER (inside) AS n_land, count(*) FILTER (inside AND ix % 2 = 0) AS n_train, count(*) FILTER (inside AND ix % 2 = 1) AS n_test FROM {MASK}")
+@query("""SELECT count(*) FILTER (inside) AS n_land, count(*) FILTER (inside AND NOT test) AS n_train, count(*) FILTER (inside AND test) AS n_test
+  FROM (SELECT max(p_size) > 20 AS inside, sum(p_size) % 2 = 1 AS test FROM part GROUP BY p_partkey // 8 % 8, p_partkey % 8)""")
 def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.split_counts(fx.coarse_mask(spark).withColumn("test", F.col("ix") % 2 == 1))
+    wide = predictors.feature_matrix(fx.static_features(spark, sf_dir), ["size_top", "size_total"])
+    return metrics.split_counts(wide.select((F.col("size_top") > 20).alias("inside"), (F.col("size_total") % 2 == 1).alias("test")))
+
+
+_IN_FILE = f"SELECT day, year, month, iy, ix, round(0.125 + 0.25 * iy, 6) AS lat, round(0.125 + 0.25 * ix, 6) AS lon, value FROM {C} WHERE {MONTHS}"
+
+
+def _through_file(spark: SparkSession, sf_dir: str, layout: str) -> DataFrame:
+    path = new_path(spark, layout)
+    grid_nc.write_field_nc(fx.days(spark, sf_dir), path, fx.COARSE_AXIS, fx.COARSE_AXIS, "tmax", layout)
+    return spark.read.format("grid_nc").load(path).filter(F.col("month").isin(5, 6, 7, 8, 9) & F.col("value").isNotNull())
+
+
+@query(_IN_FILE)
+def netcdf4_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily field written as deflated NetCDF-4 files by many tasks; slices of the output months read back."""
+    return _through_file(spark, sf_dir, "netcdf4")
+
+
+@query(_IN_FILE)
+def netcdf_classic_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through one classic file, written at places that the axes fix."""
+    return _through_file(spark, sf_dir, "classic")
+
+
+def _seen(name: str, table: str, day: str) -> str:
+    return f"SELECT '{name}' AS name, count(*) AS rows, count(value) AS \"values\", min(value) AS low, max(value) AS high, {day.format('min')} AS first_day, {day.format('max')} AS last_day FROM {table}"
+
+
+@query(f"""SELECT name, rows, "values", round(low, 4) AS low, round(high, 4) AS high, first_day, last_day FROM ({_seen("clim", CLIM, "CAST(NULL AS DATE)")} UNION ALL {_seen("anom", ANOM, "{}(day)")})""")
+def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was observed while two fields were written: counts, ranges, days."""
+    root = new_path(spark, "recorded")
+    store = fields.recorded(fields.write_field, lambda path: fields.load_field(spark, path), root, refine.DEFINITIONS)
+    made = store("clim", _clim(spark, sf_dir))
+    store("anom", clim.anomaly(clim.select_months(fx.days(spark, sf_dir)), made))
+    found = spark.read.parquet(f"{root}/manifest")
+    return found.select("name", "rows", "values", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), "first_day", "last_day")
 
 
 #: Small enough for a check on CPUs; the default Training is the full size.

@@ -92,3 +92,27 @@ def _store(df: DataFrame, path: str) -> DataFrame:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     return _store(df, new_path(df.sparkSession, name))
+
+
+def stage_bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """As ``stage``, in a table bucketed by ``column``: joins, windows and groups on keys with it read rows where they lie.
+
+    ``df`` is dealt out by the column first, unless it lies so already.
+    """
+    spark = df.sparkSession
+    path, table = new_path(spark, name), f"fieldloom_{uuid.uuid4().hex}"
+    with small_batches(spark), colocated(spark):
+        df.repartition(buckets, column).write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(table)
+    return spark.table(table)
+
+
+@contextmanager
+def colocated(spark: SparkSession) -> Iterator[None]:
+    """Lets joins rest on a partitioning by some of their keys, for what is planned within."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
