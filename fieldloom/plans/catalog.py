@@ -497,19 +497,19 @@ def importance_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn.importance(learn.fit_models(_training(spark, sf_dir), NAMES, fx.COARSE, fx.COARSE, QUICK))
 
 
-def _corners_sql(field: str, keys: str) -> str:
+def _corners_sql(field: str, keys: str, targets: str = _TARGETS) -> str:
     on = lambda x: " AND ".join(f"{x}.{k} = m.{k}" for k in keys.split(", "))
     return f"""(SELECT y.t AS iy, x.t AS ix, y.w AS wy, x.w AS wx, {", ".join(f"m.{k}" for k in keys.split(", "))}, a.value AS v00, b.value AS v01, c.value AS v10, d.value AS v11
-  FROM {_TARGETS} y CROSS JOIN {_TARGETS} x CROSS JOIN (SELECT DISTINCT {keys} FROM {field}) m
+  FROM {targets} y CROSS JOIN {targets} x CROSS JOIN (SELECT DISTINCT {keys} FROM {field}) m
   LEFT JOIN {field} a ON {on("a")} AND a.iy = y.c AND a.ix = x.c LEFT JOIN {field} b ON {on("b")} AND b.iy = y.c AND b.ix = x.c + 1
   LEFT JOIN {field} c ON {on("c")} AND c.iy = y.c + 1 AND c.ix = x.c LEFT JOIN {field} d ON {on("d")} AND d.iy = y.c + 1 AND d.ix = x.c + 1
   WHERE coalesce(a.value, b.value, c.value, d.value) IS NOT NULL)"""
 
 
-def _filled(name: str, field: str) -> str:
-    """CTEs that fill a daily field inside the fine mask, as ``_fill_sql`` does; the result is ``name``."""
+def _filled(name: str, field: str, mask: str = FINE_MASK) -> str:
+    """CTEs that fill a daily field inside the mask, as ``_fill_sql`` does; the result is ``name``."""
     return f"""{name}_days AS MATERIALIZED (SELECT DISTINCT day FROM {field}), {name}_dense AS MATERIALIZED (SELECT d.day, k.iy, k.ix, k.inside, CASE WHEN k.inside THEN f.value END AS value
-    FROM {name}_days d CROSS JOIN {FINE_MASK} k LEFT JOIN {field} f ON f.day = d.day AND f.iy = k.iy AND f.ix = k.ix
+    FROM {name}_days d CROSS JOIN {mask} k LEFT JOIN {field} f ON f.day = d.day AND f.iy = k.iy AND f.ix = k.ix
   ), {name}_rows AS MATERIALIZED (SELECT day, iy, list({{'ix': ix, 'value': value}} ORDER BY ix) AS donors FROM {name}_dense WHERE value IS NOT NULL GROUP BY day, iy
   ), {name}_rownear AS (SELECT m.day, m.iy, m.ix, list_min(list_transform(r.donors, lambda v: ((m.iy - r.iy) * (m.iy - r.iy) + (m.ix - v.ix) * (m.ix - v.ix)) * 1000000 + r.iy * 1000 + v.ix)) AS code
     FROM {name}_dense m JOIN {name}_rows r ON r.day = m.day WHERE m.inside AND m.value IS NULL
@@ -544,6 +544,65 @@ def refine_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out["final"].withColumn("value", F.round("value", 6))
 
 
+def _targets_sql(coarse: int, fine: int, ratio: int) -> str:
+    """As ``_TARGETS``, of a grid ``ratio`` times as fine."""
+    at = f"(range - {(ratio - 1) // 2}) / CAST({ratio} AS DOUBLE)"
+    left = f"least(CAST(floor({at}) AS INT), {coarse - 2})"
+    return f"(SELECT CAST(range AS INT) AS t, {left} AS c, round({at} - {left}, 12) AS w FROM range({fine}) WHERE {at} BETWEEN 0 AND {coarse - 1})"
+
+
+def _parent_sql(index: str, coarse: int, ratio: int) -> str:
+    at = f"({index} - {(ratio - 1) // 2}) / CAST({ratio} AS DOUBLE)"
+    return f"CASE WHEN {at} >= 0 AND {at} < {coarse - 1} THEN CAST(floor({at} + 0.5) AS INT) ELSE -1 END"
+
+
+def _step_sql(p: str, daily: str, fine_clim: str, mask: str, coarse: int, fine: int, ratio: int, fill_corrected: bool) -> str:
+    """CTEs of one step from ``daily`` (day, month, year, iy, ix, value); the result is ``p``_final."""
+    parent = lambda x: _parent_sql(x, coarse, ratio)
+    spread = lambda field: f"(SELECT day, iy, ix, {_BOTH} AS value FROM {_corners_sql(field, 'day', _targets_sql(coarse, fine, ratio))})"
+    added = f"{p}_added AS MATERIALIZED (SELECT a.day, a.iy, a.ix, a.value + b.value AS value FROM {p}_raw a JOIN {p}_back b USING (day, iy, ix))"
+    corrected = f"{added}, {_filled(f'{p}_mended', f'{p}_added', mask)}" if fill_corrected else added
+    held = f"{p}_mended" if fill_corrected else f"{p}_added"
+    return f"""{p}_clim AS MATERIALIZED (SELECT month, iy, ix, avg(value) AS value FROM {daily} WHERE year BETWEEN {FIRST} AND {LAST} GROUP BY ALL),
+  {p}_anom AS MATERIALIZED (SELECT d.day, d.iy, d.ix, d.value - c.value AS value FROM {daily} d LEFT JOIN {p}_clim c USING (month, iy, ix) WHERE d.{MONTHS}),
+  {p}_on_fine AS MATERIALIZED {spread(f"{p}_anom")}, {_filled(f"{p}_anomaly", f"{p}_on_fine", mask)},
+  {p}_raw AS MATERIALIZED (SELECT a.day, a.iy, a.ix, a.value + c.value AS value FROM {p}_anomaly a LEFT JOIN {fine_clim} c ON c.month = month(a.day) AND c.iy = a.iy AND c.ix = a.ix),
+  {p}_means AS (SELECT day, {parent("iy")} AS iy, {parent("ix")} AS ix, avg(value) AS value FROM {p}_raw WHERE {parent("iy")} >= 0 AND {parent("ix")} >= 0 AND value IS NOT NULL GROUP BY ALL),
+  {p}_residual AS MATERIALIZED (SELECT t.day, t.iy, t.ix, t.value - m.value AS value FROM {daily} t LEFT JOIN {p}_means m USING (day, iy, ix) WHERE t.day IN (SELECT day FROM {p}_raw)),
+  {p}_back_fine AS MATERIALIZED {spread(f"{p}_residual")}, {_filled(f"{p}_back", f"{p}_back_fine", mask)}, {corrected},
+  {p}_corrected AS MATERIALIZED (SELECT *, {parent("iy")} AS cy, {parent("ix")} AS cx FROM {held}),
+  {p}_again AS (SELECT day, cy, cx, avg(value) AS value FROM {p}_corrected WHERE cy >= 0 AND cx >= 0 GROUP BY ALL),
+  {p}_moved AS MATERIALIZED (SELECT p.day, p.iy, p.ix, CASE WHEN p.cy < 0 OR p.cx < 0 THEN p.value ELSE p.value + (t.value - m.value) END AS value FROM {p}_corrected p
+    LEFT JOIN {p}_again m USING (day, cy, cx) LEFT JOIN {daily} t ON t.day = p.day AND t.iy = p.cy AND t.ix = p.cx), {_filled(f"{p}_final", f"{p}_moved", mask)}"""
+
+
+#: Two steps of ratio 3: grids of 3, 9 and 27 points a side.
+SIDES = (3, 9, 27)
+CHAIN = [[round(first + step * i, 6) for i in range(n)] for n, first, step in zip(SIDES, (0.45, 0.15, 0.05), (0.9, 0.3, 0.1), strict=True)]
+_MASK_27 = fx.mask_sql(27, 12)
+_MASK_9 = f"(SELECT CAST(iy // 3 AS INT) AS iy, CAST(ix // 3 AS INT) AS ix, inside FROM {_MASK_27} WHERE iy % 3 = 1 AND ix % 3 = 1)"
+_CHAIN = f"""WITH observed AS MATERIALIZED (SELECT * FROM {fx.days_sql(3)}), clim AS MATERIALIZED (SELECT month, iy, ix, avg(value) AS value FROM observed WHERE year BETWEEN {FIRST} AND {LAST} GROUP BY ALL),
+  clim_9 AS MATERIALIZED (SELECT month, iy, ix, {_BOTH} AS value FROM {_corners_sql("clim", "month", _targets_sql(3, 9, 3))}),
+  clim_27 AS MATERIALIZED (SELECT month, iy, ix, {_BOTH} AS value FROM {_corners_sql("clim", "month", _targets_sql(3, 27, 9))}),
+  {_step_sql("one", "observed", "clim_9", _MASK_9, 3, 9, 3, False)},
+  between AS MATERIALIZED (SELECT day, CAST(year(day) AS INT) AS year, CAST(month(day) AS INT) AS month, iy, ix, value FROM one_final),
+  {_step_sql("two", "between", "clim_27", _MASK_27, 9, 27, 3, True)}
+  SELECT day, iy, ix, round(value, 6) AS value FROM two_final"""
+
+
+@query(_CHAIN)
+def refine_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both steps in a row; climatologies come to the finer grids from twelve month slots, the middle mask from the fine one."""
+    grids = [(a, a) for a in CHAIN]
+    observed = fx.days(spark, sf_dir, 3)
+    slots = regrid.month_slots(clim.climatology(observed, *fx.BASELINE), 3, 3)
+    clims = [stage(regrid.on_grid(slots, grids[0], g, ["month"], "linear_nearest"), "clim") for g in grids[1:]]
+    fine = fx.mask(spark, 27, 12)
+    masks = [regrid.mask_on_grid(fine, grids[2], g) for g in grids[1:]]
+    out = refine.refine_twice(observed, clims, masks, grids, fx.BASELINE)
+    return out[1]["final"].withColumn("value", F.round("value", 6))
+
+
 @query()
 def learned_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training, prediction of the fine climatology, and the whole step with it, as one chain."""
