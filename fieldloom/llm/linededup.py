@@ -43,6 +43,9 @@ LONG = 30
 ALIKE = 0.4
 APART = 0.25
 SHOWN = 4
+#: Hashes, of two documents together, of lines that are no candidates, from which these count; a share below which they are no copies' lines.
+OWN_SHOWN = 10
+OWN_APART = 0.15
 #: Share of a line's tokens that are constants of its general template at least.
 FIXED = 0.75
 #: Hashes in a document's sketch, and at most of one line: a tested line leaves room for the others.
@@ -96,12 +99,20 @@ def document_sketches(docs: DataFrame) -> DataFrame:
     return docs.filter("doc_id is not null and text is not null").select("doc_id", F.transform(F.slice(F.sort_array(marks), 1, SKETCH), number).alias("sketch"))
 
 
+def marked(sketches: DataFrame, *candidates: DataFrame) -> DataFrame:
+    """``sketches`` with ``own``, stored: the hashes of lines that are at none of the documents' places (doc_id, pos) in ``candidates``."""
+    places = reduce(DataFrame.union, [c.select("doc_id", "pos") for c in candidates])
+    shared = stage(places.groupBy("doc_id").agg(F.collect_set("pos").alias("shared")), "shared")  # no more than a document's lines
+    own = F.array_distinct(F.transform(F.filter("sketch", lambda e: ~F.array_contains("shared", e["pos"])), lambda e: e["h"]))
+    return sketches.join(shared, "doc_id").select("doc_id", "sketch", own.alias("own"))
+
+
 def with_rests(uses: DataFrame, sketches: DataFrame, key: str) -> DataFrame:
-    """(key, tokens, doc_id, rest), stored: what documents hold besides their lines of the key, and the hash it reaches to."""
-    held = uses.groupBy(key, "doc_id").agg(F.max("tokens").alias("tokens"), F.collect_set("pos").alias("own"))  # no more than a document's lines
+    """(key, tokens, doc_id, rest), stored: what documents hold besides their lines of the key, what of it is their own, and the hash it reaches to."""
+    held = uses.groupBy(key, "doc_id").agg(F.max("tokens").alias("tokens"), F.collect_set("pos").alias("places"))  # no more than a document's lines
     reach = F.when(F.size("sketch") < SKETCH, F.lit((1 << 63) - 1)).otherwise(F.element_at("sketch", -1)["h"])
-    others = F.array_distinct(F.transform(F.filter("sketch", lambda e: ~F.array_contains("own", e["pos"])), lambda e: e["h"]))
-    rest = F.struct(others.alias("hashes"), reach.alias("reach")).alias("rest")
+    others = F.array_distinct(F.transform(F.filter("sketch", lambda e: ~F.array_contains("places", e["pos"])), lambda e: e["h"]))
+    rest = F.struct(others.alias("hashes"), reach.alias("reach"), F.col("own")).alias("rest")
     return stage(held.join(sketches, "doc_id").select(key, "tokens", "doc_id", rest), "uses")
 
 
@@ -117,7 +128,9 @@ def recurring(uses: DataFrame, key: str) -> DataFrame:
         reach = F.least("rest.reach", "first.reach")
         left = left.withColumn("x", F.filter("rest.hashes", lambda h: h <= reach)).withColumn("y", F.filter("first.hashes", lambda h: h <= reach))
         left = left.withColumn("common", F.size(F.array_intersect("x", "y"))).withColumn("any", F.size("x") + F.size("y") - F.col("common"))
-        left = left.filter(F.col("common") < ALIKE * F.col("any"))
+        x_own, y_own = (F.filter(f"{side}.own", lambda h: h <= reach) for side in ("rest", "first"))
+        left = left.withColumn("own", F.size(x_own) + F.size(y_own)).withColumn("own_common", F.size(F.array_intersect(x_own, "y")) + F.size(F.array_intersect(y_own, "x")))
+        left = left.filter((F.col("common") < ALIKE * F.col("any")) | ((F.col("own") >= OWN_SHOWN) & (F.col("own_common") < OWN_APART * F.col("own"))))
         unlike = (F.col("common") < APART * F.col("any")) & (F.least(F.size("x"), F.size("y")) >= SHOWN)
         left = stage(left.select(key, "tokens", "doc_id", "rest", unlike.alias("unlike")), f"families-{k}")
         found.append(left.filter((F.col("tokens") >= LONG) & F.col("unlike")).select(key))
@@ -158,7 +171,8 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     # aggregates and joins are stored apart: only then can Spark split the join of a very common line, and combine its uses before dealing them
     often = marks.groupBy("key", "tokens").agg(F.count("*").alias("n")).filter(F.col("n") >= F.when(F.col("tokens") >= LONG, 2).when(F.col("tokens") >= SHORT, LEAST).otherwise(LEAST - 1 + SHORT_MORE))
     often = stage(often.select("key"), "often")
-    exact = recurring(with_rests(marks.join(_few(often), "key", "left_semi"), sketches, "key"), "key")
+    candidates = marks.join(_few(often), "key", "left_semi")
+    exact = recurring(with_rests(candidates, marked(sketches, candidates), "key"), "key")
     first = marks.join(_few(exact), "key", "left_semi").select("doc_id", "pos")
 
     rest = marks.filter(F.col("tokens") >= SHORT).join(_few(exact), "key", "left_anti")
@@ -168,7 +182,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     several = stage(groups.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("group"), "several")
     groups = stage(groups.join(_few(several), "group", "left_semi"), "general")
     fitting = stage(members.join(_few(groups), ["leaf", "key"]).select("group", "tokens", "doc_id", "pos"), "fitting")
-    general = recurring(with_rests(fitting, sketches, "group"), "group")
+    general = recurring(with_rests(fitting, marked(sketches, candidates, fitting), "group"), "group")
     return first.union(fitting.join(_few(general), "group", "left_semi").select("doc_id", "pos"))
 
 
@@ -195,17 +209,19 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
 
 
 def _round(k: int, name: str) -> str:
-    """CTEs of one family set aside, over left_{name}{k} (key, tokens, doc_id, hashes, reach)."""
+    """CTEs of one family set aside, over left_{name}{k} (key, tokens, doc_id, hashes, reach, own)."""
     return f"""
 firsts_{name}{k} AS (
   SELECT key, min(doc_id) AS first_id FROM left_{name}{k} GROUP BY key, tokens HAVING count(*) >= CASE WHEN tokens >= {LONG} THEN {2 - min(k, 1)} ELSE {LEAST - k} END
 ), pairs_{name}{k} AS (
-  SELECT l.key, l.tokens, l.doc_id, l.hashes, l.reach,
-    list_filter(l.hashes, lambda h: h <= least(l.reach, f.reach)) AS x, list_filter(f.hashes, lambda h: h <= least(l.reach, f.reach)) AS y
+  SELECT l.key, l.tokens, l.doc_id, l.hashes, l.reach, l.own,
+    list_filter(l.hashes, lambda h: h <= least(l.reach, f.reach)) AS x, list_filter(f.hashes, lambda h: h <= least(l.reach, f.reach)) AS y,
+    list_filter(l.own, lambda h: h <= least(l.reach, f.reach)) AS x_own, list_filter(f.own, lambda h: h <= least(l.reach, f.reach)) AS y_own
   FROM left_{name}{k} l JOIN firsts_{name}{k} s ON l.key = s.key JOIN left_{name}{k} f ON f.key = s.key AND f.doc_id = s.first_id WHERE l.doc_id <> s.first_id
 ), left_{name}{k + 1} AS (
-  SELECT *, common < {APART} * (len(x) + len(y) - common) AND least(len(x), len(y)) >= {SHOWN} AS unlike
+  SELECT key, tokens, doc_id, hashes, reach, own, common < {APART} * (len(x) + len(y) - common) AND least(len(x), len(y)) >= {SHOWN} AS unlike
   FROM (SELECT *, len(list_intersect(x, y)) AS common FROM pairs_{name}{k}) WHERE common < {ALIKE} * (len(x) + len(y) - common)
+    OR (len(x_own) + len(y_own) >= {OWN_SHOWN} AND len(list_intersect(x_own, y)) + len(list_intersect(y_own, x)) < {OWN_APART} * (len(x_own) + len(y_own)))
 )"""
 
 
@@ -219,14 +235,17 @@ def _recurring(name: str) -> str:
 )"""
 
 
-def _rests(uses: str, name: str, key: str) -> str:
+def _rests(uses: str, name: str, key: str, candidates: str) -> str:
     return f"""
-held_{name} AS (
-  SELECT {key} AS key, doc_id, max(tokens) AS tokens, list(pos) AS own FROM {uses} GROUP BY {key}, doc_id
+shared_{name} AS (
+  SELECT doc_id, list(DISTINCT pos) AS shared FROM ({candidates}) GROUP BY doc_id
+), held_{name} AS (
+  SELECT {key} AS key, doc_id, max(tokens) AS tokens, list(pos) AS places FROM {uses} GROUP BY {key}, doc_id
 ), left_{name}0 AS (
-  SELECT key, tokens, doc_id, list_distinct(list_transform(list_filter(sketch, lambda e: NOT list_contains(own, e.pos)), lambda e: e.h)) AS hashes,
-    CASE WHEN len(sketch) < {SKETCH} THEN 'g' ELSE sketch[-1].h END AS reach
-  FROM held_{name} JOIN sketches USING (doc_id)
+  SELECT key, tokens, doc_id, list_distinct(list_transform(list_filter(sketch, lambda e: NOT list_contains(places, e.pos)), lambda e: e.h)) AS hashes,
+    CASE WHEN len(sketch) < {SKETCH} THEN 'g' ELSE sketch[-1].h END AS reach,
+    list_distinct(list_transform(list_filter(sketch, lambda e: NOT list_contains(shared, e.pos)), lambda e: e.h)) AS own
+  FROM held_{name} JOIN sketches USING (doc_id) JOIN shared_{name} USING (doc_id)
 )"""
 
 
@@ -253,7 +272,7 @@ WITH raw AS (
   HAVING count(*) >= CASE WHEN tokens >= {LONG} THEN 2 WHEN tokens >= {SHORT} THEN {LEAST} ELSE {LEAST - 1 + SHORT_MORE} END
 ), candidates AS (
   SELECT * FROM uses SEMI JOIN often USING (template)
-),{_rests("candidates", "a", "template")},{_recurring("a")}, rest AS MATERIALIZED (
+),{_rests("candidates", "a", "template", "SELECT doc_id, pos FROM candidates")},{_recurring("a")}, rest AS MATERIALIZED (
   SELECT * FROM uses WHERE tokens >= {SHORT} AND template NOT IN (SELECT key FROM recurring_a)
 ), distinct_lines AS (
   SELECT DISTINCT leaf, template, tokens FROM rest
@@ -271,7 +290,7 @@ WITH raw AS (
   SELECT leaf, template, leaf || ' ' || string_agg(place || ':' || token, ' ' ORDER BY place) AS grp FROM ranked JOIN limits USING (leaf, template) WHERE n >= fewest GROUP BY leaf, template
 ), fitting AS (
   SELECT grp, tokens, doc_id, pos FROM rest JOIN groups USING (leaf, template) WHERE grp IN (SELECT grp FROM groups GROUP BY grp HAVING count(*) >= {LEAST})
-),{_rests("fitting", "b", "grp")},{_recurring("b")}, gone AS (
+),{_rests("fitting", "b", "grp", "SELECT doc_id, pos FROM candidates UNION SELECT doc_id, pos FROM fitting")},{_recurring("b")}, gone AS (
   SELECT doc_id, pos FROM uses WHERE template IN (SELECT key FROM recurring_a) UNION SELECT doc_id, pos FROM fitting WHERE grp IN (SELECT key FROM recurring_b)
 ), per_doc AS (
   SELECT doc_id, list(pos) AS gone FROM gone GROUP BY doc_id

@@ -156,3 +156,23 @@ def test_few_documents_share_a_long_passage(spark, holders):
     texts.append("\n".join([copy[0], " ".join(["other", *copy[1].split()[1:]]), copy[2], passage]))
     texts[11] += "\n" + passage
     assert kept_in(spark, texts[11:], passage) == {0, 1}
+
+
+@pytest.mark.parametrize(("shared", "own"), [(2, 3), (5, 3), (10, 3), (10, 10), (20, 10), (30, 15)])
+def test_boilerplate_that_outweighs_own_lines_goes(spark, shared, own):
+    rng = random.Random(9)
+    line = lambda n=10: " ".join(words(rng, n))
+    frame_lines = [line(6) for _ in range(shared)]
+    texts = ["\n".join([*frame_lines[: shared // 2], *(line() for _ in range(own)), *frame_lines[shared // 2 :]]) for _ in range(100)]
+    out = linededup.drop_recurring_lines(frame(spark, list(enumerate(texts)))).collect()
+    assert {r["n_dropped"] for r in out} == {shared}
+    assert all(set((r["text"] or "").split("\n")) == set(texts[r["doc_id"]].split("\n")) - set(frame_lines) for r in out)
+
+
+def test_near_copies_with_a_line_of_their_own_keep_what_they_share(spark):
+    rng = random.Random(10)
+    line = lambda n=14: " ".join(words(rng, n))
+    base = [line() for _ in range(9)]
+    texts = ["\n".join([*base, line()]) for _ in range(60)] + ["\n".join(line() for _ in range(6)) for _ in range(30)]
+    out = linededup.drop_recurring_lines(frame(spark, list(enumerate(texts)))).collect()
+    assert sum(r["n_dropped"] for r in out) == 0
