@@ -99,21 +99,28 @@ def document_sketches(docs: DataFrame) -> DataFrame:
     return docs.filter("doc_id is not null and text is not null").select("doc_id", F.transform(F.slice(F.sort_array(marks), 1, SKETCH), number).alias("sketch"))
 
 
-def marked(sketches: DataFrame, *candidates: DataFrame) -> DataFrame:
-    """``sketches`` with ``own``, stored: the hashes of lines that are at none of the documents' places (doc_id, pos) in ``candidates``."""
-    places = reduce(DataFrame.union, [c.select("doc_id", "pos") for c in candidates])
-    shared = stage(places.groupBy("doc_id").agg(F.collect_set("pos").alias("shared")), "shared")  # no more than a document's lines
-    own = F.array_distinct(F.transform(F.filter("sketch", lambda e: ~F.array_contains("shared", e["pos"])), lambda e: e["h"]))
-    return sketches.join(shared, "doc_id").select("doc_id", "sketch", own.alias("own"))
+def with_rests(uses: DataFrame, sketches: DataFrame, key: str, *more: DataFrame) -> DataFrame:
+    """(key, tokens, doc_id, rest), stored: what documents hold besides their lines of the key, what of it is their own, and the hash it reaches to.
 
+    A document's own lines are those that are neither in ``uses`` nor in ``more`` (doc_id,
+    pos). Uses are gathered by document, no more than its lines, and meet its sketch once.
+    """
+    rows = uses.select("doc_id", "pos", F.col(key).alias("key"), "tokens")
+    for other in more:
+        rows = rows.unionByName(other.select("doc_id", "pos"), allowMissingColumns=True)
+    held = rows.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "key", "tokens")).alias("held")).join(sketches, "doc_id")
+
+    def mark(e: Column) -> Column:
+        here = F.filter("held", lambda u: u["pos"] == e["pos"])
+        return F.struct(e["h"].alias("h"), F.transform(here, lambda u: u["key"]).alias("keys"))
 
-def with_rests(uses: DataFrame, sketches: DataFrame, key: str) -> DataFrame:
-    """(key, tokens, doc_id, rest), stored: what documents hold besides their lines of the key, what of it is their own, and the hash it reaches to."""
-    held = uses.groupBy(key, "doc_id").agg(F.max("tokens").alias("tokens"), F.collect_set("pos").alias("places"))  # no more than a document's lines
+    hashes = lambda marks: F.array_distinct(F.transform(marks, lambda m: m["h"]))
     reach = F.when(F.size("sketch") < SKETCH, F.lit((1 << 63) - 1)).otherwise(F.element_at("sketch", -1)["h"])
-    others = F.array_distinct(F.transform(F.filter("sketch", lambda e: ~F.array_contains("places", e["pos"])), lambda e: e["h"]))
-    rest = F.struct(others.alias("hashes"), reach.alias("reach"), F.col("own")).alias("rest")
-    return stage(held.join(sketches, "doc_id").select(key, "tokens", "doc_id", rest), "uses")
+    keys = F.array_distinct(F.transform(F.filter("held", lambda u: u["key"].isNotNull()), lambda u: F.struct(u["key"].alias("key"), u["tokens"].alias("tokens"))))
+    held = held.select("doc_id", reach.alias("reach"), keys.alias("uses"), F.transform("sketch", mark).alias("marks"))
+    held = held.select("doc_id", "reach", "marks", hashes(F.filter("marks", lambda m: F.size(m["keys"]) == 0)).alias("own"), F.explode("uses").alias("use"))
+    others = hashes(F.filter("marks", lambda m: ~F.coalesce(F.array_contains(m["keys"], F.col("use.key")), F.lit(False))))
+    return stage(held.select(F.col("use.key").alias(key), F.col("use.tokens").alias("tokens"), "doc_id", F.struct(others.alias("hashes"), "reach", "own").alias("rest")), "uses")
 
 
 def recurring(uses: DataFrame, key: str) -> DataFrame:
@@ -172,7 +179,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     often = marks.groupBy("key", "tokens").agg(F.count("*").alias("n")).filter(F.col("n") >= F.when(F.col("tokens") >= LONG, 2).when(F.col("tokens") >= SHORT, LEAST).otherwise(LEAST - 1 + SHORT_MORE))
     often = stage(often.select("key"), "often")
     candidates = marks.join(_few(often), "key", "left_semi")
-    exact = recurring(with_rests(candidates, marked(sketches, candidates), "key"), "key")
+    exact = recurring(with_rests(candidates, sketches, "key"), "key")
     first = marks.join(_few(exact), "key", "left_semi").select("doc_id", "pos")
 
     rest = marks.filter(F.col("tokens") >= SHORT).join(_few(exact), "key", "left_anti")
@@ -182,7 +189,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     several = stage(groups.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("group"), "several")
     groups = stage(groups.join(_few(several), "group", "left_semi"), "general")
     fitting = stage(members.join(_few(groups), ["leaf", "key"]).select("group", "tokens", "doc_id", "pos"), "fitting")
-    general = recurring(with_rests(fitting, marked(sketches, candidates, fitting), "group"), "group")
+    general = recurring(with_rests(fitting, sketches, "group", candidates), "group")
     return first.union(fitting.join(_few(general), "group", "left_semi").select("doc_id", "pos"))
 
 
