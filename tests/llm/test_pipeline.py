@@ -61,7 +61,7 @@ def test_stages_take_effect(spark, folder):
 def test_registered(spark):
     import __spark_entry__ as entry
 
-    assert "pipeline" in entry.queries() and sorted(n.split("_")[0] for n in entry.queries() if n.startswith("op")) == sorted(f"op{k}" for k in range(1, 11))
+    assert "pipeline" in entry.queries() and sorted(n.split("_")[0] for n in entry.queries() if n.startswith("op")) == sorted(f"op{k}" for k in range(1, 14))
 
 
 @pytest.fixture(scope="module")
