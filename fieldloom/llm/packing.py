@@ -79,22 +79,29 @@ def plan_best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
     return slots
 
 
+def in_blocks(pieces: DataFrame, histogram: dict[int, int]) -> DataFrame:
+    """Stored ``pieces`` with blocks and block: about ``RANK_BLOCK`` rows of one length each, whatever their ids and contents."""
+    blocks = pieces.sparkSession.createDataFrame([(k, -(-n // RANK_BLOCK)) for k, n in histogram.items()], "length long, blocks long")
+    return pieces.join(F.broadcast(blocks), "length").withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.col("blocks")))
+
+
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """``pieces`` (doc_id, piece, length, ...) with sequence_id and offset added.
 
     Lengths must be 1..capacity. Ties of equal lengths go by doc_id, piece, start, then
-    contents; repeated rows each get a place. An empty table gives an empty result. The
-    input is read twice, so it must be a stored table or otherwise repeatable.
+    contents, within blocks of ``RANK_BLOCK`` rows; repeated rows each get a place. An
+    empty table gives an empty result. The input is stored first, with a number for each
+    row, so that rows alike in every column (null or repeated ids) spread over blocks.
     """
-    spark = pieces.sparkSession
+    spark, columns = pieces.sparkSession, pieces.columns
+    pieces = stage(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     slots = plan_best_fit(histogram, capacity)
-    blocks = spark.createDataFrame([(k, -(-n // RANK_BLOCK)) for k, n in histogram.items()], "length long, blocks long")
-    spread = pieces.join(F.broadcast(blocks), "length").withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.col("blocks")))
+    spread = in_blocks(pieces, histogram)
     sizes = spread.groupBy("length", "block").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("length", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ties = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]
+    ties = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in columns]
     within = Window.partitionBy("length", "block").orderBy(*ties)
     ranked = spread.withColumn("place", F.row_number().over(within) - 1).join(bases, ["length", "block"]).withColumn("rank", F.col("base") + F.col("place"))
     plan = spark.createDataFrame(slots, "slot_length long, first_rank long, n_ranks long, first_sequence long, per_sequence long, first_offset long")
@@ -103,7 +110,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     at = F.col("rank") - F.col("first_rank")
     placed = ranked.join(plan, (F.col("length") == F.col("slot_length")) & (at >= 0) & (at < F.col("n_ranks")))
     return placed.select(
-        *[F.col(c) for c in pieces.columns],
+        *[F.col(c) for c in columns],
         (F.col("first_sequence") + F.floor(at / F.col("per_sequence"))).cast("long").alias("sequence_id"),
         (F.col("first_offset") + (at % F.col("per_sequence")) * F.col("length")).cast("long").alias("offset"),
     )
@@ -152,4 +159,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     """
     pieces = token_pieces(docs, tokenizer_path, capacity, end_id).withColumn("ids_crc32", F.crc32("ids"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
-    return pack(stage(pieces.select(*columns), "pieces"), capacity)
+    return pack(pieces.select(*columns), capacity)

@@ -102,6 +102,21 @@ def test_packed_documents(spark):
     assert packing.pack_documents(documents(spark, texts).filter("false"), WORD).count() == 0
 
 
+def test_blocks_of_rows_that_are_alike(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANK_BLOCK", 100)
+    rows = [(None, 0, 0, 5, 1)] * 3000 + [(4, 0, 0, 5, 2)] * 2000 + [(i, 0, 0, 7, i) for i in range(50)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    sizes = packing.in_blocks(pieces.selectExpr("*", "monotonically_increasing_id() as row"), {5: 5000, 7: 50}).groupBy("length", "block").count().collect()
+    assert len(sizes) == 51 and max(r["count"] for r in sizes) < 200
+    ends = {}
+    out = packing.pack(pieces, 64).collect()
+    for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert len(out) == len(rows) and max(ends.values()) <= 64
+    assert len(ends) == brute_best_fit([r[3] for r in rows], 64)
+
+
 def test_only_vocabularies_with_the_known_settings_are_split(tmp_path):
     import json
 
