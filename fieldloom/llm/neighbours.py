@@ -257,7 +257,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, rerank: int = RERAN
     Candidates are all other rows; ties go to the smaller vec_id. Vectors that are null,
     zero, of another than the commonest length, or hold null or non-finite components
     take no part, nor do rows without vec_id. vec_id is the key: of rows that repeat one,
-    one counts. With k candidates or fewer all are returned. Extra columns are ignored.
+    the least vector counts (by its first component, then the next), whatever their order. With k candidates or fewer all are returned. Extra columns are ignored.
     An empty table gives an empty result.
     """
     with scratch(vectors.sparkSession, "nearest") as keep:
@@ -266,7 +266,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, rerank: int = RERAN
 
 def _nearest_rows(vectors: DataFrame, k: int, every: int, rerank: int, keep) -> DataFrame:
     spark = vectors.sparkSession
-    valid = stage(valid_vectors(vectors).dropDuplicates(["vec_id"]), "vectors")
+    valid = stage(valid_vectors(vectors).groupBy("vec_id").agg(F.min("vector").alias("vector")), "vectors")
     schema = "query_id long, rank int, vec_id long, score double"
     rows = valid.count()
     if rows < 2:

@@ -83,3 +83,10 @@ def test_lists_that_are_split_again(spark, monkeypatch):
         s[q] = -2
         hits += len({r["vec_id"] for r in out if r["query_id"] == q} & set(np.argsort(-s)[:5].tolist()))
     assert hits / 400 >= 0.9
+
+
+def test_the_least_vector_counts_where_an_id_repeats(spark):
+    rows = [(0, [1.0, 0.0], 0), (7, [1.0, 0.1], 0), (7, [-1.0, 0.1], 0), (7, None, 0), (9, [0.0, 1.0], 0)]
+    for order in (rows, rows[::-1]):
+        got = neighbours.nearest(frame(spark, order)).orderBy("rank").collect()
+        assert [(r["vec_id"], round(r["score"], 3)) for r in got] == [(9, 0.0), (7, -0.995)]
