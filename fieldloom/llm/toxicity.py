@@ -7,9 +7,11 @@ and over its most toxic stretches; a logistic curve turns these differences into
 probability. The curve is fitted on a fold that the counts leave out.
 
 Words are hashed to ``VOCABULARY`` numbers, so the tables by word have one size whatever
-the corpus. Bigrams of these numbers keep their own counts: a sorted table of all that
-recur, which grows with the labelled texts, in parts of about ``BIGRAMS``. The driver
-gathers one part at a time, and a worker holds ``HELD_PARTS`` and one more at most.
+the corpus. Bigrams of these numbers keep their own counts: a table of all that recur,
+which grows with the labelled texts. Its most frequent rows, ``HELD_PARTS`` times
+``BIGRAMS`` at most, are broadcast in parts; the driver gathers one part at a time. The
+others stay a table, and reach the texts that hold them by a join on the bigram and one
+on the text's digest. Which way a count came changes no score (but for rounding).
 """
 
 from __future__ import annotations
@@ -57,7 +59,8 @@ class Pairs:
     def __init__(self, parts: list):
         self.parts = parts
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
+    def counts(self, keys: np.ndarray, joined: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """``joined``: (sorted keys, counts) of bigrams that no part holds."""
         out = np.zeros((2, len(keys)), np.float32)
         part_of = part_number(keys, len(self.parts)) if len(self.parts) > 1 else None
         for k, part in enumerate(self.parts):
@@ -66,16 +69,20 @@ class Pairs:
             if len(known):
                 at = np.minimum(np.searchsorted(known, keys[own]), len(known) - 1)
                 out[:, own] = np.where(known[at] == keys[own], n[:, at], 0)
-            if k >= HELD_PARTS:
-                vars(part).pop("_value", None)  # read again from the worker's disk when next needed
+        if joined is not None and len(joined[0]):
+            at = np.minimum(np.searchsorted(joined[0], keys), len(joined[0]) - 1)
+            out += np.where(joined[0][at] == keys, joined[1][:, at], 0)
         return out
 
 
 class Model:
-    """What workers score with: a broadcast KneserNey, and the broadcast parts of its bigram table."""
+    """What workers score with: a broadcast KneserNey, and the broadcast parts of its bigram table. rare: what is not broadcast of that, or None."""
 
-    def __init__(self, tables, parts: list):
-        self.tables, self.parts = tables, parts
+    def __init__(self, tables, parts: list, rare: DataFrame | None = None):
+        self.tables, self.parts, self.rare = tables, parts, rare
+
+    def __getstate__(self) -> dict:
+        return {"tables": self.tables, "parts": self.parts, "rare": None}  # workers get no tables
 
     @property
     def value(self) -> KneserNey:
@@ -134,16 +141,16 @@ class KneserNey:
             self.rest[c] = np.where(total[c] > 0, (single[c] + discount * more[c]) / np.maximum(total[c], 1), 1.0)
             self.stem[c] = (stems[c] + prior) / (stems.sum(axis=0) * mass[c] / mass.sum() + prior)
 
-    def ratios(self, number: np.ndarray, before: np.ndarray, stem: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each word after its predecessor, and of each word alone."""
-        pairs = self.pairs.counts((before << BITS) | number)
+    def ratios(self, number: np.ndarray, before: np.ndarray, stem: np.ndarray, joined=None) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word after its predecessor, and of each word alone. joined: see ``Pairs.counts``."""
+        pairs = self.pairs.counts((before << BITS) | number, joined)
         low = [self.low[c][number] + self.left[c][number] * self.stem[c][stem] for c in range(2)]
         p = [np.maximum(pairs[c] - np.float32(self.discount), 0) / np.maximum(self.total[c][before], 1) + self.rest[c][before] * low[c] for c in range(2)]
         return np.log(p[1] / p[0]), np.log(low[1] / low[0])
 
 
-def features(words: Words, model: KneserNey) -> np.ndarray:
-    """[rows, FEATURES]: mean ratios of the whole text, and the largest mean over each window length."""
+def features(words: Words, model: KneserNey, joined=None) -> np.ndarray:
+    """[rows, FEATURES]: mean ratios of the whole text, and the largest mean over each window length. joined: see ``Pairs.counts``."""
     out = np.zeros((words.rows, FEATURES))
     if not len(words.hash):
         return out
@@ -151,7 +158,7 @@ def features(words: Words, model: KneserNey) -> np.ndarray:
     filled = np.flatnonzero(lengths)
     starts = words.at[:-1][filled]
     last = words.at[words.row + 1]
-    for k, ratio in enumerate(model.ratios(*word_numbers(words))):
+    for k, ratio in enumerate(model.ratios(*word_numbers(words), joined)):
         sums = np.concatenate(([0.0], np.cumsum(ratio.astype(np.float64))))
         out[filled, k] = (sums[words.at[1:][filled]] - sums[starts]) / lengths[filled]
         for j, w in enumerate(WINDOWS):
@@ -191,10 +198,52 @@ def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys >> 1), pa.array(counts)], ["key", "n"])
 
 
+def _rare_key_batches(model):
+    """Per text the bigrams that no broadcast part holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, found = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
+            for _, _, data, offsets in text_slices(batch):
+                words = Words(data, offsets, NON_ALNUM)
+                row, keys = document_keys(words)
+                new = np.flatnonzero(keys < _HOLDS)
+                new = new[~model.value.pairs.counts(keys[new]).any(axis=0)]
+                ends.append(ends[-1][-1] + np.searchsorted(row[new], np.arange(words.rows), "right"))
+                found.append(keys[new])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), lists], ["digest", "keys"])
+
+    return run
+
+
+def with_rare(texts: DataFrame, model: Model) -> DataFrame:
+    """``texts`` with rare: (key, ordinary, toxic) of the bigrams in each that recur but are not broadcast; unchanged if all are.
+
+    Bigrams are looked up once per distinct text. A list holds no more than its text does.
+    """
+    if model.rare is None:
+        return texts
+    texts = texts.withColumn("digest", F.md5("text"))
+    keys = map_arrow(texts.select("digest", "text"), _rare_key_batches(model), "digest string, keys array<long>")
+    keys = keys.groupBy("digest").agg(F.first("keys").alias("keys")).select("digest", F.explode("keys").alias("key"))
+    rare = keys.join(model.rare, "key").groupBy("digest").agg(F.collect_list(F.struct("key", "ordinary", "toxic")).alias("rare"))
+    return texts.join(rare, "digest", "left").drop("digest")
+
+
+def joined_counts(batch: pa.RecordBatch, a: int, b: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """What ``with_rare`` joined to rows a..b-1, as ``Pairs.counts`` takes it."""
+    if "rare" not in batch.schema.names:
+        return None
+    key, *counts = (x.to_numpy(zero_copy_only=False) for x in batch.column("rare").slice(a, b - a).flatten().flatten())
+    key, first = np.unique(key, return_index=True)
+    return key, np.array([c[first] for c in counts], np.float32)
+
+
 def _feature_batches(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(Words(data, offsets, NON_ALNUM), model.value) for _, _, data, offsets in text_slices(batch)]
+            rows = [features(Words(data, offsets, NON_ALNUM), model.value, joined_counts(batch, a, b)) for a, b, data, offsets in text_slices(batch)]
             x = np.concatenate(rows) if rows else np.zeros((0, FEATURES))
             flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), FEATURES).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), flat], ["doc_id", "toxic", "x"])
@@ -211,9 +260,9 @@ def _score_batches(model, curve):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [np.zeros(0)]
-            for _, _, data, offsets in text_slices(batch):
+            for a, b, data, offsets in text_slices(batch):
                 words = Words(data, offsets, NON_ALNUM)
-                parts.append(np.where(np.diff(words.at) > 0, apply_curve(features(words, model.value), curve), curve[3]))
+                parts.append(np.where(np.diff(words.at) > 0, apply_curve(features(words, model.value, joined_counts(batch, a, b)), curve), curve[3]))
             scores = np.concatenate(parts)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
 
@@ -234,10 +283,34 @@ def _dense(df: DataFrame, index: str, columns: list[str], size: int) -> np.ndarr
     return out
 
 
+def recurring(bigrams: DataFrame) -> DataFrame:
+    """(key, ordinary, toxic), stored: documents of either class with a bigram, of those that recur in a class."""
+    often = [F.when(F.col(c) > 1, F.col(c)).otherwise(0).cast("float").alias(c) for c in ("ordinary", "toxic")]
+    return stage(bigrams.filter("toxic > 1 or ordinary > 1").select("key", *often), "bigrams")
+
+
+def held_and_rare(repeated: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The most frequent rows, ``HELD_PARTS`` * ``BIGRAMS`` at most, and the others (None if there are none)."""
+    level = F.floor(F.log2(F.col("ordinary") + F.col("toxic")) * 8)
+    sizes = {r["level"]: r["n"] for r in repeated.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}  # some 500 rows at most
+    held, least = 0, 0
+    for k in sorted(sizes, reverse=True):
+        held += sizes[k]
+        if held > HELD_PARTS * BIGRAMS:
+            least = k + 1
+            break
+    else:
+        return repeated, None
+    return repeated.filter(level >= least), repeated.filter(level < least)
+
+
 def pair_counts(bigrams: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Parts of (sorted keys, [2, keys] documents of either class) of the bigrams that recur in a class, from (key, toxic, ordinary)."""
-    often = [F.when(F.col(c) > 1, F.col(c)).otherwise(0).cast("float").alias(c) for c in ("ordinary", "toxic")]
-    repeated = stage(bigrams.filter("toxic > 1 or ordinary > 1").select("key", *often), "bigrams")
+    return in_parts(recurring(bigrams))
+
+
+def in_parts(repeated: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(sorted keys, [2, keys] counts) of a stored table (key, ordinary, toxic), ``BIGRAMS`` keys or so at a time."""
     parts = max(1, -(-repeated.count() // BIGRAMS))
     part = F.col("key").bitwiseXOR(F.shiftright("key", BITS)) % parts
     for k in range(parts):
@@ -261,6 +334,16 @@ def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return id_and_text(docs).join(known, "doc_id").withColumn("fold", fold_of())
 
 
+def curve_rows(labelled: DataFrame) -> DataFrame:
+    """The rows up to the ``CURVE_ROWS``-th by hash of doc_id, with all that repeat its doc_id; texts are not read to find it."""
+    place = F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id"))
+    last = labelled.select(place.alias("place")).orderBy("place").limit(CURVE_ROWS).agg(F.max("place").alias("last")).first()["last"]
+    if last is None:
+        return labelled.filter("false")
+    h = F.xxhash64("doc_id")
+    return labelled.filter((h < last["h"]) | ((h == last["h"]) & (F.col("doc_id") <= last["doc_id"])))
+
+
 def fit(docs: DataFrame, labels: DataFrame):
     """(Model, curve) from labelled rows; fold 1 fits the curve, folds 2-4 are counted. Last in the curve: the share of toxic rows."""
     spark = docs.sparkSession
@@ -279,10 +362,12 @@ def fit(docs: DataFrame, labels: DataFrame):
     before = _dense(by_word, "w", ["b0", "b1", "pooled"], VOCABULARY)
     after = _dense(by_history, "w", ["t0", "t1", "s0", "s1", "m0", "m1"], VOCABULARY)
     holds, stems = (_dense(counts.filter(F.col("kind") == k).select(word.alias("w"), "ordinary", "toxic"), "w", ["ordinary", "toxic"], VOCABULARY) for k in (1, 2))
-    parts = [spark.sparkContext.broadcast(part) for part in pair_counts(bigrams)]
-    model = Model(spark.sparkContext.broadcast(KneserNey(None, after[0:2], after[2:4], after[4:6], np.minimum(before[:2], holds), before[2], stems)), parts)
+    held, rare = held_and_rare(recurring(bigrams))
+    parts = [spark.sparkContext.broadcast(part) for part in in_parts(held)]
+    model = Model(spark.sparkContext.broadcast(KneserNey(None, after[0:2], after[2:4], after[4:6], np.minimum(before[:2], holds), before[2], stems)), parts, rare)
 
-    seen = map_arrow(learn.filter("fold = 1").select("doc_id", "toxic", "text"), _feature_batches(model), "doc_id long, toxic long, x array<double>")
+    taken = with_rare(curve_rows(learn.filter("fold = 1").select("doc_id", "toxic", "text")), model)
+    seen = map_arrow(taken, _feature_batches(model), "doc_id long, toxic long, x array<double>")
     sample = seen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS).toArrow()
     y = sample["toxic"].to_numpy().astype(float)
     x = np.array(sample["x"].to_pylist(), float).reshape(len(y), FEATURES)
@@ -295,7 +380,7 @@ def fit(docs: DataFrame, labels: DataFrame):
 
 def score(docs: DataFrame, model, curve) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text)."""
-    scored = map_arrow(id_and_text(docs), _score_batches(model, curve), "doc_id long, score double")
+    scored = map_arrow(with_rare(id_and_text(docs), model), _score_batches(model, curve), "doc_id long, score double")
     return scored.select("doc_id", (fold_of() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

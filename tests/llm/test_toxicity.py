@@ -184,3 +184,39 @@ def test_document_keys_and_slices_against_sets(monkeypatch):
     whole = keys_by_row(1 << 20)
     monkeypatch.setattr(textvec, "SLICE_ROWS", 4)
     assert keys_by_row(64) == whole == keys_by_row(1)
+
+
+def test_bigrams_beyond_the_broadcast_reach_texts_by_joins(spark, monkeypatch):
+    texts, labels = labelled(300, seed=5)
+    texts += [(900, None), (901, ""), (903, texts[6][1]), (903, texts[6][1]), (None, texts[6][1]), (904, "never seen words")]
+    docs = documents(spark, texts).withColumnRenamed("lang", "digest").withColumnRenamed("source", "rare")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+    def scores():
+        return sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in toxicity.toxicity(docs, known).collect())
+
+    want = scores()
+    monkeypatch.setattr(toxicity, "BIGRAMS", 40)
+    for held in (2, 0):  # some broadcast in parts, then none
+        monkeypatch.setattr(toxicity, "HELD_PARTS", held)
+        got = scores()
+        assert [i for i, _ in got] == [i for i, _ in want]
+        assert np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-9)  # sums run in another order
+
+
+def test_the_most_frequent_bigrams_are_broadcast_up_to_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "BIGRAMS", 40)
+    monkeypatch.setattr(toxicity, "HELD_PARTS", 20)
+    rows = [(k, float(k % 40), float(k % 3)) for k in range(1, 2000) if k % 40 > 1]
+    held, rare = toxicity.held_and_rare(spark.createDataFrame(rows, "key long, ordinary float, toxic float"))
+    assert 0 < held.count() <= 800 and held.count() + rare.count() == len(rows)
+    assert held.selectExpr("min(ordinary + toxic)").first()[0] > rare.selectExpr("max(ordinary + toxic)").first()[0]
+
+
+def test_rows_of_the_curve_are_chosen_before_their_texts_are_read(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CURVE_ROWS", 25)
+    docs = spark.createDataFrame([(i, i % 2, f"t {i}") for i in range(200)] + [(7, 0, "again")], "doc_id long, toxic long, text string")
+    got = [r["doc_id"] for r in toxicity.curve_rows(docs).collect()]
+    want = [r["doc_id"] for r in docs.selectExpr("doc_id", "xxhash64(doc_id) h").orderBy("h", "doc_id").limit(25).collect()]
+    assert set(got) == set(want) and len(got) in (25, 26)
+    assert toxicity.curve_rows(docs.filter("false")).count() == 0
