@@ -38,8 +38,9 @@ COPIES = 500
 CLASS = 1.15
 #: Items of more words are aligned exactly without trying repetitions.
 EXACT_WORDS = 512
-#: Items that one pass over the documents holds in each worker.
+#: Items, and bytes of their texts, that one pass over the documents holds in each worker.
 ITEM_BLOCK = 20_000
+ITEM_BYTES = 16 << 20
 _END = np.uint64(0)
 
 
@@ -337,6 +338,12 @@ def align_windows(ix: ItemIndex, n: int, words: Words, rows: np.ndarray, first:
                         out[key] = value
 
 
+def block_count(items: DataFrame) -> int:
+    """Blocks that hold about ``ITEM_BLOCK`` items or ``ITEM_BYTES`` of their texts, whichever is less."""
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    return max(1, -(-size["n"] // ITEM_BLOCK), -(-size["bytes"] // ITEM_BYTES))
+
+
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, distance, item_words, first_word: the best window of each document for each item it holds.
 
@@ -347,12 +354,13 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     repeated items give a row each per item_id; repeated documents repeat no row; rows
     without doc_id or item_id match nothing. Whole texts and items are read, however long.
     Extra columns are ignored; empty tables give an empty result. Items go to the workers in
-    blocks of ``ITEM_BLOCK``, one pass over the documents each.
+    blocks of about ``ITEM_BLOCK`` items or ``ITEM_BYTES`` of text, one pass over the documents each; an item
+    id must be an integer.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, distance int, item_words int, first_word long"
     known = items.filter("item_id is not null").select("item_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).filter("text <> ''")
-    blocks = max(1, -(-known.count() // ITEM_BLOCK))
+    blocks = block_count(known)
     found = None
     for block in range(blocks):
         part = known.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow()  # about ITEM_BLOCK rows

@@ -133,3 +133,12 @@ def test_repetitions_hold_on_other_copies():
         take = np.resize(np.arange(50), 600)
         same = dc.sampled_words(items[take], r) == dc.sampled_words(dc.edited_copies(items[take], np.random.default_rng(77)), r)
         assert r and same.any(axis=1).mean() >= 0.975
+
+
+def test_blocks_of_items_are_bounded_by_size_as_well(spark, monkeypatch):
+    items = spark.createDataFrame([(i, "word " * 200) for i in range(40)], "item_id long, text string")
+    assert dc.block_count(items) == 1 and dc.block_count(items.filter("false")) == 1
+    monkeypatch.setattr(dc, "ITEM_BYTES", 10_000)
+    assert dc.block_count(items) == 4
+    monkeypatch.setattr(dc, "ITEM_BLOCK", 5)
+    assert dc.block_count(items) == 8
