@@ -6,14 +6,17 @@ distance keep a small Hamming distance. Each repetition samples ``SAMPLED`` posi
 such an embedding; items and windows of one length that agree on them are verified by
 exact word edit distance. The number of repetitions is set for each class of lengths, on
 edited copies of its longest items with as many edits as are allowed, so that ``RECALL``
-of these are retrieved, and confirmed on other copies. Where ``MOST_REPEATS`` would not
-do, which is so for items of many hundred words, each run of windows left by the filter
-below is aligned exactly with the items that it shares enough runs with.
-
-A window within d = ``EDITS`` * n edits of an item of n words shares at least
-n - g + 1 - g * d of the item's g-word runs (q-gram lemma), g = 3 for all but the
-shortest items. Windows with fewer runs of items of that length are not embedded; this
-drops no match.
+of these are retrieved, and confirmed on other copies.
+
+An item of more than ``BLOCK`` words is cut into blocks of nearly equal length. Edits of
+0.2 of the item's words leave at least one block with edits of 0.2 of its own words or
+less, so that one block at least is retrieved as an item of its length is; each
+retrieved block says where the item may start, give or take its most edits, and there the
+whole item is verified by exact alignment.
+
+A window within d = ``EDITS`` * n edits of an item or block of n words shares at least
+n - g + 1 - g * d of its g-word runs (q-gram lemma), g = 3 for all but the shortest.
+Windows with fewer runs of blocks of that length are not embedded; this drops no match.
 """
 
 from __future__ import annotations
@@ -31,13 +34,13 @@ from fieldloom.llm.textvec import NON_ALNUM, Words, mix, text_slices
 EDITS = 0.2
 RECALL = 0.998
 SAMPLED = 2
-LEAST_REPEATS, MOST_REPEATS = 16, 96
+LEAST_REPEATS = 16
 #: Edited copies on which repetitions are set, and as many on which they are confirmed.
 COPIES = 500
 #: Lengths whose ratio is no more than this share repetitions.
 CLASS = 1.15
-#: Items of more words are aligned exactly without trying repetitions.
-EXACT_WORDS = 512
+#: Most words of a block; at most 64, one bit each in ``ItemIndex.grams``.
+BLOCK = 64
 #: Items, and bytes of their texts, that one pass over the documents holds in each worker.
 ITEM_BLOCK = 20_000
 ITEM_BYTES = 16 << 20
@@ -113,50 +116,54 @@ def start_distances(items: np.ndarray, text: np.ndarray, limit: int) -> np.ndarr
     return np.minimum(row[:, :0:-1], limit + 1)
 
 
+def block_cuts(n: int) -> list[int]:
+    """Where the blocks of an item of n words begin, and n: as few of ``BLOCK`` words or less as will do, alike in length."""
+    k = -(-n // BLOCK)
+    return [j * n // k for j in range(k + 1)]
+
+
 class ItemIndex:
-    """Items by length, with their sampled embeddings and their runs of words.
+    """Items, their blocks by length with sampled embeddings, and the runs of words of these.
 
-    repeats: repetitions by length, 0 where windows are aligned exactly instead.
+    blocks: words by length; owner, offset: the item of each block, and where in it the block begins.
     """
 
     def __init__(self, ids: list[int], texts: list[str]):
         batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-        by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
+        self.ids: list[int] = []
+        self.items: list[np.ndarray] = []
         at = 0
         for _, _, data, offsets in text_slices(batch):
             words = Words(data, offsets, NON_ALNUM)
             for r in range(words.rows):
                 h = words.hash[words.at[r] : words.at[r + 1]] | np.uint64(1)  # 0 is what lies past the end
                 if len(h):
-                    by_length.setdefault(len(h), []).append((ids[at + r], h))
+                    self.ids.append(ids[at + r])
+                    self.items.append(h)
             at += words.rows
+        by_length: dict[int, list[tuple[int, int]]] = {}
+        for i, h in enumerate(self.items):
+            cuts = block_cuts(len(h))
+            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                by_length.setdefault(end - begin, []).append((i, begin))
         self.lengths = sorted(by_length)
-        self.ids = {n: np.array([i for i, _ in by_length[n]], np.int64) for n in self.lengths}
-        self.items = {n: np.array([h for _, h in by_length[n]], np.uint64) for n in self.lengths}
+        self.owner = {b: np.array([i for i, _ in by_length[b]], np.int64) for b in self.lengths}
+        self.offset = {b: np.array([o for _, o in by_length[b]], np.int64) for b in self.lengths}
+        self.whole = {b: np.array([len(self.items[i]) == b for i, _ in by_length[b]]) for b in self.lengths}
+        self.blocks = {b: np.array([self.items[i][o : o + b] for i, o in by_length[b]], np.uint64) for b in self.lengths}
         self.repeats = self._repeats()
         self.keys = {}
-        for n in self.lengths:
-            if self.repeats[n]:
-                keys = sampled_words(self.items[n], self.repeats[n]).ravel()
-                order = np.argsort(keys, kind="stable")
-                self.keys[n] = (keys[order], order // self.repeats[n])
-        self.exact = {}
-        for n in (n for n in self.lengths if not self.repeats[n]):
-            runs = run_hashes(self.items[n], gram_of(n))
-            of_run = np.unique(np.stack([runs.ravel().view(np.int64), np.repeat(np.arange(len(runs)), runs.shape[1])], axis=1), axis=0)
-            self.exact[n] = (np.ascontiguousarray(of_run[:, 0]), np.ascontiguousarray(of_run[:, 1]))
+        for b in self.lengths:
+            keys = sampled_words(self.blocks[b], self.repeats[b]).ravel()
+            order = np.argsort(keys, kind="stable")
+            self.keys[b] = (keys[order], order // self.repeats[b])
         self.grams = {}
-        for g in {gram_of(n) for n in self.lengths}:
-            hashes, lengths = [], []
-            for k, n in enumerate(self.lengths):
-                if gram_of(n) == g:
-                    runs = np.unique(run_hashes(self.items[n], g))
-                    hashes.append(runs)
-                    lengths.append(np.full(len(runs), k))
-            hashes, lengths = np.concatenate(hashes), np.concatenate(lengths)
-            known = np.unique(hashes)
-            member = np.zeros((len(known), len(self.lengths)), bool)
-            member[np.searchsorted(known, hashes), lengths] = True
+        for g in {gram_of(b) for b in self.lengths}:
+            of_length = [(k, np.unique(run_hashes(self.blocks[b], g))) for k, b in enumerate(self.lengths) if gram_of(b) == g]
+            known = np.unique(np.concatenate([runs for _, runs in of_length]))
+            member = np.zeros(len(known), np.uint64)  # bit k: some block of lengths[k] words has the run
+            for k, runs in of_length:
+                member[np.searchsorted(known, runs)] |= np.uint64(1) << np.uint64(k)
             self.grams[g] = (known, member, np.bincount((known & np.uint64(0xFFFFF)).astype(np.int64), minlength=1 << 20) > 0)
 
     def _repeats(self) -> dict[int, int]:
@@ -167,7 +174,7 @@ class ItemIndex:
         for n in reversed(self.lengths):
             if longest is None or longest > CLASS * n or not most_edits(n):
                 longest = n
-                out[n] = repeats_for(self.items[n], rng)
+                out[n] = repeats_for(self.blocks[n], rng)
             else:
                 out[n] = out[longest]
         return out
@@ -194,19 +201,20 @@ def edited_copies(items: np.ndarray, rng: np.random.Generator) -> np.ndarray:
 
 
 def repeats_for(items: np.ndarray, rng: np.random.Generator) -> int:
-    """Repetitions that retrieve ``RECALL`` of edited copies, and of as many others; 0 if ``MOST_REPEATS`` do not."""
-    n = items.shape[1]
-    if not most_edits(n):
+    """Repetitions that retrieve ``RECALL`` of edited copies, and of as many others."""
+    if not most_edits(items.shape[1]):
         return LEAST_REPEATS
-    if n > EXACT_WORDS:
-        return 0
     take = np.resize(rng.permutation(len(items)), COPIES)
-    first = []
-    for _ in range(2):
-        same = sampled_words(items[take], MOST_REPEATS) == sampled_words(edited_copies(items[take], rng), MOST_REPEATS)
-        first.append(np.sort(np.where(same.any(axis=1), same.argmax(axis=1), MOST_REPEATS)))
-    needed = int(max(f[int(np.ceil(RECALL * COPIES)) - 1] for f in first)) + 1
-    return max(LEAST_REPEATS, needed) if needed <= MOST_REPEATS else 0
+    pairs = [(items[take], edited_copies(items[take], rng)) for _ in range(2)]
+    tried, needed = 64, None
+    while needed is None or needed > tried:
+        tried *= 2
+        first = []
+        for a, b in pairs:
+            same = sampled_words(a, tried) == sampled_words(b, tried)
+            first.append(np.sort(np.where(same.any(axis=1), same.argmax(axis=1), tried)))
+        needed = int(max(f[int(np.ceil(RECALL * COPIES)) - 1] for f in first)) + 1
+    return max(LEAST_REPEATS, needed)
 
 
 def run_hashes(rows: np.ndarray, g: int) -> np.ndarray:
@@ -217,7 +225,7 @@ def run_hashes(rows: np.ndarray, g: int) -> np.ndarray:
 
 
 def _windows(words: Words, index: ItemIndex) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length n, rows, first words) of the windows that hold enough runs of items of n words."""
+    """(length n, rows, first words) of the windows that hold enough runs of blocks of n words."""
     hashes = words.hash | np.uint64(1)
     for g, (known, member, low) in index.grams.items():
         if len(hashes) < g:
@@ -234,7 +242,7 @@ def _windows(words: Words, index: ItemIndex) -> Iterator[tuple[int, np.ndarray,
         for k, n in enumerate(index.lengths):
             if gram_of(n) != g:
                 continue
-            hit = member[found, k]
+            hit = (member[found] >> np.uint64(k)) & np.uint64(1) > 0
             place, row = spots[hit], spot_row[hit]
             d = most_edits(n)
             need = n - g + 1 - g * d
@@ -263,22 +271,26 @@ def _match_batches(index):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             held: dict[int, list] = {}
+            texts: dict[int, np.ndarray] = {}  # words of the rows that may hold blocks of longer items
             out: dict[tuple[int, int], tuple[int, int, int]] = {}
             for a, _, data, offsets in text_slices(batch):
                 words = Words(data, offsets, NON_ALNUM)
                 for n, rows, first in _windows(words, ix):
-                    if n in ix.exact:
-                        align_windows(ix, n, words, rows, first, ids[a:], out)
-                        continue
                     width = n + most_edits(n)
                     take = first[:, None] + np.arange(width)
                     end = words.at[rows + 1][:, None]
                     text = np.where(take < end, (words.hash | np.uint64(1))[np.minimum(take, len(words.hash) - 1)], _END)
                     held.setdefault(n, []).append((a + rows, first - words.at[rows], text))
+                    if not ix.whole[n].all():
+                        for r in np.unique(rows).tolist():
+                            texts.setdefault(a + r, words.hash[words.at[r] : words.at[r + 1]] | np.uint64(1))
+            starts = []
             for n, parts in held.items():
                 rows, first, text = (np.concatenate(x) for x in zip(*parts, strict=True))
                 for b in range(0, len(rows), 4096):
-                    match_windows(ix, n, rows[b : b + 4096], first[b : b + 4096], text[b : b + 4096], ids, out)
+                    starts.append(match_windows(ix, n, rows[b : b + 4096], first[b : b + 4096], text[b : b + 4096], ids, out))
+            if starts:
+                align_items(ix, np.concatenate(starts), texts, ids, out)
             if out:
                 columns = list(zip(*[(d, i, *v) for (d, i), v in sorted(out.items())], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
@@ -286,56 +298,63 @@ def _match_batches(index):
     return run
 
 
-def match_windows(ix: ItemIndex, n: int, rows: np.ndarray, first: np.ndarray, text: np.ndarray, ids: np.ndarray, out: dict) -> None:
-    """Windows of one length against the items of that length; the best match of each document and item goes to ``out``."""
+def _note(out: dict, key: tuple[int, int], value: tuple[int, int, int]) -> None:
+    if key not in out or value < out[key]:
+        out[key] = value
+
+
+def match_windows(ix: ItemIndex, n: int, rows: np.ndarray, first: np.ndarray, text: np.ndarray, ids: np.ndarray, out: dict) -> np.ndarray:
+    """Windows of one length against the blocks of that length.
+
+    The best match of each document and item of one block goes to ``out``; returned is
+    [matches of blocks of longer items, (row, item, where the item would start)].
+    """
     keys, owner = ix.keys[n]
     repeats = ix.repeats[n]
     probes = sampled_words(np.ascontiguousarray(text[:, :n]), repeats)
     low, high = np.searchsorted(keys, probes.ravel(), "left"), np.searchsorted(keys, probes.ravel(), "right")
     hits = np.flatnonzero(high > low)
-    if not len(hits):
-        return
     many = high[hits] - low[hits]
     window = np.repeat(hits // repeats, many)
-    item = owner[np.repeat(low[hits] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())]
-    pairs = np.unique(window * len(ix.ids[n]) + item)
-    window, item = pairs // len(ix.ids[n]), pairs % len(ix.ids[n])
+    block = owner[np.repeat(low[hits] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())]
+    pairs = np.unique(window * len(ix.owner[n]) + block)
+    window, block = pairs // len(ix.owner[n]), pairs % len(ix.owner[n])
     limit = most_edits(n)
+    starts = [np.empty((0, 3), np.int64)]
     for b in range(0, len(window), 8192):
-        w, i = window[b : b + 8192], item[b : b + 8192]
-        distance = prefix_distances(ix.items[n][i], text[w], limit)
-        for k in np.flatnonzero(distance <= limit):
-            key = (int(ids[rows[w[k]]]), int(ix.ids[n][i[k]]))
-            value = (int(distance[k]), n, int(first[w[k]]))
-            if key not in out or value < out[key]:
-                out[key] = value
-
-
-def align_windows(ix: ItemIndex, n: int, words: Words, rows: np.ndarray, first: np.ndarray, ids: np.ndarray, out: dict) -> None:
-    """The same by exact alignment: neighbouring windows as one stretch, against the items it shares enough runs with."""
-    g, limit = gram_of(n), most_edits(n)
-    known, owner = ix.exact[n]
-    hashes = words.hash | np.uint64(1)
-    cuts = np.flatnonzero((np.diff(first) > 1) | (np.diff(rows) > 0)) + 1
-    for part in np.split(np.arange(len(first)), cuts):
-        row, start, last = rows[part[0]], first[part[0]], first[part[-1]]
-        text = hashes[start : min(last + n + limit, words.at[row + 1])]
-        if len(text) < g:
+        w, k = window[b : b + 8192], block[b : b + 8192]
+        distance = prefix_distances(ix.blocks[n][k], text[w], limit)
+        near = distance <= limit
+        w, k, distance = w[near], k[near], distance[near]
+        item, whole = ix.owner[n][k], ix.whole[n][k]
+        for j in np.flatnonzero(whole):
+            _note(out, (int(ids[rows[w[j]]]), ix.ids[item[j]]), (int(distance[j]), n, int(first[w[j]])))
+        w, k, item = w[~whole], k[~whole], item[~whole]
+        starts.append(np.stack([rows[w], item, first[w] - ix.offset[n][k]], axis=1))
+    return np.concatenate(starts)
+
+
+def align_items(ix: ItemIndex, starts: np.ndarray, texts: dict[int, np.ndarray], ids: np.ndarray, out: dict) -> None:
+    """Exact alignment of items where blocks of theirs were retrieved; neighbouring starts of a row and item go as one stretch."""
+    starts = np.unique(starts, axis=0)
+    if not len(starts):
+        return
+    sizes = np.array([len(ix.items[i]) for i in starts[:, 1].tolist()])
+    gap = 2 * np.array([most_edits(n) for n in sizes.tolist()]) + 1
+    step = np.diff(starts, axis=0)
+    cuts = np.flatnonzero((step[:, 0] != 0) | (step[:, 1] != 0) | (step[:, 2] > gap[1:])) + 1
+    for part in np.split(starts, cuts):
+        row, i = int(part[0, 0]), int(part[0, 1])
+        item = ix.items[i]
+        n, limit, g = len(item), most_edits(len(item)), gram_of(len(item))
+        begin, last = max(0, int(part[0, 2]) - limit), int(part[-1, 2]) + limit
+        text = texts[row][begin : last + n + limit]
+        if len(text) < g or np.isin(run_hashes(item[None], g)[0], run_hashes(text[None], g)[0]).sum() < n - g + 1 - g * limit:
             continue
-        runs = run_hashes(text[None], g)[0].view(np.int64)
-        low, high = np.searchsorted(known, runs, "left"), np.searchsorted(known, runs, "right")
-        many = high - low
-        items = owner[np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())]
-        candidates = np.flatnonzero(np.bincount(items, minlength=len(ix.ids[n])) >= n - g + 1 - g * limit)
-        for b in range(0, len(candidates), 64):
-            some = candidates[b : b + 64]
-            found = start_distances(ix.items[n][some], text, limit)[:, : last - start + 1]
-            for item, distances in zip(some.tolist(), found, strict=True):
-                at = int(distances.argmin())
-                if distances[at] <= limit:
-                    key, value = (int(ids[row]), int(ix.ids[n][item])), (int(distances[at]), n, int(start + at - words.at[row]))
-                    if key not in out or value < out[key]:
-                        out[key] = value
+        found = start_distances(item[None], text, limit)[0, : last - begin + 1]
+        at = int(found.argmin())
+        if found[at] <= limit:
+            _note(out, (int(ids[row]), ix.ids[i]), (int(found[at]), n, begin + at))
 
 
 def block_count(items: DataFrame) -> int:

@@ -142,3 +142,44 @@ def test_blocks_of_items_are_bounded_by_size_as_well(spark, monkeypatch):
     assert dc.block_count(items) == 4
     monkeypatch.setattr(dc, "ITEM_BLOCK", 5)
     assert dc.block_count(items) == 8
+
+
+def test_one_way_at_all_lengths():
+    rng = random.Random(5)
+    lengths = [5, 20, 63, 64, 65, 129, 240, 320, 512, 640, 1200]
+    ix = dc.ItemIndex(list(range(len(lengths))), [" ".join(words(rng, n)) for n in lengths])
+    assert max(ix.lengths) <= dc.BLOCK and all(dc.LEAST_REPEATS <= r <= 96 for r in ix.repeats.values())
+    for i, n in enumerate(lengths):
+        blocks = sorted((int(o), b) for b in ix.lengths for k, o in zip(ix.owner[b], ix.offset[b], strict=True) if k == i)
+        assert [o for o, _ in blocks] == np.cumsum([0] + [b for _, b in blocks])[:-1].tolist() and sum(b for _, b in blocks) == n
+        assert len(blocks) == -(-n // dc.BLOCK) and sum(dc.most_edits(b) + 1 for _, b in blocks) > dc.most_edits(n)
+    assert all(member.dtype == np.uint64 and member.ndim == 1 for _, member, _ in ix.grams.values())
+
+
+def test_recall_through_blocks_at_all_lengths(spark):
+    rng = random.Random(8)
+    items, texts, want = [], [], set()
+    for n in (20, 60, 110, 200, 240, 260, 320, 700, 1200):
+        for _ in range(6):
+            item = words(rng, n)
+            items.append((len(items), " ".join(item)))
+            d = dc.most_edits(n)
+            part = edited(rng, item[: n // 2], d) + item[n // 2 :]  # all edits in one half
+            for copy in (edited(rng, item, d), part, item):
+                texts.append((len(texts), " ".join(words(rng, rng.randrange(40)) + copy + words(rng, rng.randrange(40)))))
+                want.add((len(texts) - 1, len(items) - 1))
+    known = spark.createDataFrame(items, "item_id long, text string")
+    out = {(r["doc_id"], r["item_id"]): r["distance"] for r in dc.matches(documents(spark, texts), known).collect()}
+    assert not out.keys() - want and len(want - out.keys()) <= 0.01 * len(want)
+    assert all(out[k] == 0 for k in out if k[0] % 3 == 2)
+
+
+def test_long_items_that_share_blocks(spark):
+    rng = random.Random(3)
+    shared = words(rng, 150)
+    items = [(i, " ".join(shared + words(rng, 150))) for i in range(20)]
+    items += [(50, " ".join(["again"] * 200)), (51, " ".join(shared * 2))]
+    texts = [(0, items[3][1]), (1, " ".join(shared)), (2, " ".join(["again"] * 170)), (3, " ".join(["again"] * 150)), (4, " ".join(shared * 3)), (5, items[21][1] + " x " + items[7][1])]
+    known = spark.createDataFrame(items, "item_id long, text string")
+    out = {(r["doc_id"], r["item_id"]): (r["distance"], r["first_word"]) for r in dc.matches(documents(spark, texts), known).collect()}
+    assert out == {(0, 3): (0, 0), (2, 50): (30, 0), (4, 51): (0, 0), (5, 51): (0, 0), (5, 7): (0, 301)}
