@@ -191,26 +191,55 @@ def reference_set(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return elements[order], np.array(list(at.values()), np.int64)[order]
 
 
+#: Texts that guide a group, and members about that one copy of them serves.
+GUIDES = 3
+GUIDED = 512
+
+
+def guided(placed: DataFrame, guides: DataFrame, texts: DataFrame) -> DataFrame:
+    """(hub, part, slot, id, text): members of groups in parts of about ``GUIDED``, each part in one task and after its group's guides.
+
+    placed: hub, id; guides: hub, h2, h3 (the latter two may be null); texts: doc_id, text.
+    Slots 0 to ``GUIDES`` - 1 are the guides, once a part; members have ``GUIDES``.
+    """
+    parts = placed.groupBy("hub").agg(F.ceil(F.count("*") / GUIDED).cast("int").alias("parts"))
+    members = placed.select("hub", "id").join(parts, "hub").select("hub", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.lit(GUIDES).alias("slot"), "id")
+    leaders = guides.select("hub", F.posexplode(F.array("hub", "h2", "h3")).alias("slot", "id")).filter("id is not null").join(parts, "hub")
+    leaders = leaders.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "slot", "id")
+    rows = members.union(leaders).join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
+    return rows.select("hub", "part", "slot", "id", "text").repartition("hub", "part").sortWithinPartitions("hub", "part", "slot", "id", "text")
+
+
 def _diff_batches(words: int):
     schema = pa.schema([("hub", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("counts", pa.list_(pa.int32())), ("added", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, guides, known = None, {}, None
         for batch in batches:
-            hubs = batch.column("hub").to_numpy()
-            new = np.flatnonzero(np.concatenate(([True], hubs[1:] != hubs[:-1]))) if len(hubs) else []
-            few = batch.take(pa.array(new, pa.int64()))
-            held = [[s for _, _, data, offsets in text_slices(few, c) for s in ordered_shingles(Words(data, offsets), words)] for c in ("t1", "t2", "t3")]
-            known = {hub: reference_set(list(guides)) for hub, *guides in zip(few.column("hub").to_pylist(), *held, strict=True)}
-            sets = [s for _, _, data, offsets in text_slices(batch, "text") for s in shingle_sets(Words(data, offsets), words)]
-            n, counts, added = [], [], []
-            for hub, s in zip(hubs.tolist(), sets, strict=True):
-                elements, block = known[hub]
-                at = np.minimum(np.searchsorted(elements, s), max(0, len(elements) - 1))
-                inside = elements[at] == s if len(elements) else np.zeros(len(s), bool)
-                n.append(len(s))
-                counts.append(np.bincount(block[at[inside]], minlength=BLOCKS).astype(np.int32) if len(elements) else np.zeros(BLOCKS, np.int32))
-                added.append((s[~inside] ^ _TOP).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("id"), pa.array(n, pa.int64()), pa.array(counts, pa.list_(pa.int32())), pa.array(added, pa.list_(pa.int64()))], schema=schema)
+            slots, ids = batch.column("slot").to_numpy(), batch.column("id").to_pylist()
+            keys = list(zip(batch.column("hub").to_pylist(), batch.column("part").to_pylist(), strict=True))
+            rows = []
+            for a, end, data, offsets in text_slices(batch):
+                split = Words(data, offsets)
+                guide = slots[a:end] < GUIDES
+                ordered = ordered_shingles(split, words) if guide.any() else None
+                sets = None if guide.all() else shingle_sets(split, words)
+                for r in range(end - a):
+                    if keys[a + r] != group:
+                        group, guides, known = keys[a + r], {}, None
+                    if guide[r]:
+                        guides.setdefault(int(slots[a + r]), ordered[r].copy())  # of a document's several texts the least
+                        continue
+                    if known is None:
+                        known = reference_set([guides[k] for k in sorted(guides)])
+                    elements, block = known
+                    s = sets[r]
+                    at = np.minimum(np.searchsorted(elements, s), max(0, len(elements) - 1))
+                    inside = elements[at] == s if len(elements) else np.zeros(len(s), bool)
+                    counts = np.bincount(block[at[inside]], minlength=BLOCKS).astype(np.int32) if len(elements) else np.zeros(BLOCKS, np.int32)
+                    rows.append((group[0], ids[a + r], len(s), counts, (s[~inside] ^ _TOP).view(np.int64)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
@@ -268,10 +297,7 @@ def join_outsiders(met: DataFrame, links: DataFrame, labels: DataFrame, docs: Da
     guides = open_groups.join(second, "hub", "left").join(third, "hub", "left")
     needed = placed.select(F.col("id").alias("doc_id")).union(guides.select("hub")).distinct()
     texts = stage(id_and_text(docs).join(needed, "doc_id", "left_semi"), "open-texts")
-    text = lambda c, name: texts.select(F.col("doc_id").alias(c), F.col("text").alias(name))
-    guides = guides.join(text("hub", "t1"), "hub").join(text("h2", "t2"), "h2", "left").join(text("h3", "t3"), "h3", "left").select("hub", "t1", "t2", "t3")
-    rows = placed.select("hub", "id").join(text("id", "text"), "id").join(guides, "hub")
-    diffs = map_arrow(rows.select("hub", "id", "text", "t1", "t2", "t3"), _diff_batches(words), "hub long, id long, n long, counts array<int>, added array<long>")
+    diffs = map_arrow(guided(placed, guides, texts), _diff_batches(words), "hub long, id long, n long, counts array<int>, added array<long>")
     diffs = stage(diffs.join(placed.select("hub", "id", "pop"), ["hub", "id"]), "diffs")
 
     held = diffs.select("hub", "id", "n", "pop", F.explode("added").alias("value"))

@@ -5,6 +5,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from fieldloom.llm import neardup
 from fieldloom.llm.textvec import Words, shingle_sets, text_slices
@@ -160,3 +161,21 @@ def test_sql_gives_the_same(spark):
     want = c.sql(neardup.ORACLE_SQL)
     got = neardup.near_duplicates(docs).select(*want.columns)
     assert sorted(map(repr, want.fetchall())) == sorted(repr(tuple(r)) for r in got.collect())
+
+
+def test_guides_go_once_a_part(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "GUIDED", 50)
+    placed = spark.createDataFrame([(0, i) for i in range(1, 401)] + [(1000, 1001)], "hub long, id long")
+    guides = spark.createDataFrame([(0, 1, 2), (1000, 1001, None)], "hub long, h2 long, h3 long")
+    texts = spark.createDataFrame([(i, f"text {i}") for i in [*range(401), 1000, 1001]] + [(0, "a second text")], "doc_id long, text string")
+    rows = neardup.guided(placed, guides, texts).withColumn("task", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).collect()
+    members = [r for r in rows if r["slot"] == neardup.GUIDES]
+    assert sorted((r["hub"], r["id"]) for r in members) == sorted((r["hub"], r["id"]) for r in placed.collect())
+    parts = {}
+    for r in sorted(rows, key=lambda r: r["at"]):
+        parts.setdefault((r["hub"], r["part"]), []).append(r)
+    assert len([p for p in parts if p[0] == 0]) == 8
+    for (hub, _), part in parts.items():
+        assert len({r["task"] for r in part}) == 1
+        assert [(r["slot"], r["id"], r["text"]) for r in part if r["slot"] < neardup.GUIDES] == ([(0, 0, "a second text"), (0, 0, "text 0"), (1, 1, "text 1"), (2, 2, "text 2")] if hub == 0 else [(0, 1000, "text 1000"), (1, 1001, "text 1001")])
+        assert [r["slot"] for r in part] == sorted(r["slot"] for r in part) and len([r for r in part if r["slot"] == neardup.GUIDES]) < 100
