@@ -27,10 +27,12 @@ Counts of such a pair differ by (1 - p) / (1 + p) of both sizes at most, summed
 blocks, and so do sums of counts with signs; two such sums, rounded to that width, are
 the keys by which pairs meet.
 
-So only pairs that share an added element, or meet this bound, are made and verified;
-pairs inside one component never are, since they cannot change the result. Where added
-elements are still common (a passage that copies of a text share), their lists get hub
-rounds of their own first, until few pairs of different components remain.
+So only pairs that share an added element, or meet this bound, are made and verified.
+Those that share one must meet it too, with added elements counted by hash in further
+blocks, so that texts which share edits or a passage but are not alike do not leave the
+join. Pairs inside one component are never made, since they cannot change the result.
+Where added elements are still common (a passage that copies of a text share), their
+lists get hub rounds of their own first, until few pairs of different components remain.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import drop_path, id_and_text, map_arrow, new_path, scratch, stage
@@ -244,6 +246,12 @@ def _diff_batches(words: int):
     return run
 
 
+def may_link(x: str, y: str, percent: int) -> Column:
+    """Whether sets of ``n_x`` and ``n_y`` elements with these counts by class may be linked: they share the lesser count of each class at most."""
+    least = F.aggregate(F.zip_with(x, y, lambda v, w: F.least(v, w)), F.lit(0), lambda a, v: a + v)
+    return (100 + percent) * least >= percent * (F.col("n_x") + F.col("n_y"))
+
+
 def close_pairs(outside: DataFrame, everyone: DataFrame, percent: int) -> DataFrame:
     """(id_x, id_y): an outsider and a member of another component of the hub's group whose counts allow a link.
 
@@ -267,9 +275,8 @@ def close_pairs(outside: DataFrame, everyone: DataFrame, percent: int) -> DataFr
         own = [F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "label", "counts", "class")]
         return able.select("hub", "k", "c", "d", *own, (F.col("label") == F.col("main")).alias(f"in_{x}"))
 
-    least = F.aggregate(F.zip_with("counts_x", "counts_y", lambda v, w: F.least(v, w)), F.lit(0), lambda a, v: a + v)
     fits = (F.col("label_x") != F.col("label_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (F.col("k") == F.greatest("class_x", "class_y"))
-    fits = fits & (F.col("in_y") | (F.col("id_x") < F.col("id_y"))) & ((100 + percent) * least >= percent * (F.col("n_x") + F.col("n_y")))
+    fits = fits & (F.col("in_y") | (F.col("id_x") < F.col("id_y"))) & may_link("counts_x", "counts_y", percent)
     return placed(outside, "x", [-1, 0, 1]).join(placed(everyone, "y", [0]), ["hub", "k", "c", "d"]).filter(fits).select("id_x", "id_y")
 
 
@@ -278,6 +285,8 @@ SUB_ROUNDS = 4
 #: Share of a group from which an added element counts as part of its reference set, in a block of its own.
 COMMON = 0.25
 PAIRS_A_ROW = 4
+#: Counters over which a member's added elements are spread by hash, to bound what two members share.
+MARKS = 64
 
 
 def join_outsiders(met: DataFrame, links: DataFrame, labels: DataFrame, docs: DataFrame, percent: int, words: int, confirm) -> DataFrame:
@@ -336,19 +345,24 @@ def join_outsiders(met: DataFrame, links: DataFrame, labels: DataFrame, docs: Da
     placed = labelled(added)
     mixed = placed.groupBy("hub", "value").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("hub", "value")
     mixed = stage(mixed, "mixed")
-    placed = placed.join(mixed, ["hub", "value"], "left_semi")
+    # counts of all that a member can share: by block of the reference set, common, and added by hash; held stands in the lists' order
+    held = added.groupBy("hub", "id").agg(F.sort_array(F.collect_list(F.struct("f", "value"))).alias("held"))
+    marks = F.transform(F.sequence(F.lit(0), F.lit(MARKS - 1)), lambda b: F.size(F.filter("held", lambda e: F.pmod(e["value"], F.lit(MARKS)) == b)))
+    marked = stage(labelled(diffs).join(held, ["hub", "id"]).withColumn("marks", F.concat("counts", marks)).drop("counts", "pop"), "marked")
     # x needs percent * |x| - I(x) added elements in common with any partner, so its rarest others suffice
-    order = F.sort_array(F.collect_list(F.struct("f", "value"))).alias("held")
-    outside = labelled(diffs).filter("label <> main")
     first = F.col("n") - F.col("both") - F.greatest(F.lit(1), F.ceil((percent * F.col("n") - 100 * F.col("both")) / 100)) + 1
     singles = F.col("n") - F.col("both") - F.size("held")  # elements that no other member of the group added
-    own = added.groupBy("hub", "id").agg(order).join(outside, ["hub", "id"]).withColumn("first", F.greatest(F.lit(0), first - singles).cast("int"))
-    own = own.select("hub", "id", "n", "label", "main", F.explode(F.slice("held", F.lit(1), F.col("first"))).alias("e")).withColumn("value", F.col("e.value"))
-    side = lambda df, x: df.select("hub", "value", F.col("id").alias(f"id_{x}"), F.col("label").alias(f"label_{x}"), F.col("n").alias(f"n_{x}"), (F.col("label") == F.col("main")).alias(f"in_{x}"))
-    apart = (F.col("label_x") != F.col("label_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
-    sharing = side(own.join(mixed, ["hub", "value"], "left_semi"), "x").join(side(placed, "y"), ["hub", "value"]).filter(apart)
+    own = marked.filter("label <> main").withColumn("held", F.slice("held", F.lit(1), F.greatest(F.lit(0), first - singles).cast("int")))
+
+    def side(df: DataFrame, x: str) -> DataFrame:
+        rows = df.withColumn("value", F.explode("held.value")).join(mixed, ["hub", "value"], "left_semi")
+        return rows.select("hub", "value", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "label", "n", "marks")], (F.col("label") == F.col("main")).alias(f"in_{x}"))
+
+    apart = (F.col("label_x") != F.col("label_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (F.col("in_y") | (F.col("id_x") < F.col("id_y")))
+    sharing = side(own, "x").join(side(marked, "y"), ["hub", "value"]).filter(apart & may_link("marks_x", "marks_y", percent))
 
-    close = close_pairs(outside, labelled(diffs), percent)
+    members = labelled(diffs)
+    close = close_pairs(members.filter("label <> main"), members, percent)
     pairs = sharing.select("id_x", "id_y").union(close)
     pairs = pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
     cross = stage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "cross")

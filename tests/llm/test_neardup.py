@@ -121,6 +121,32 @@ def test_pairs_of_excerpts_grow_about_linearly(spark, monkeypatch):
     assert made[1] < 3 * made[0] and made[2] < 3 * made[1] and made[2] < 800 * 40
 
 
+def test_texts_that_share_edits_but_are_unlike_are_not_paired(spark, monkeypatch):
+    rng = random.Random(5)
+    base = words(rng, 300)
+    places = rng.sample(range(300), 60)
+    texts = [" ".join(base)] * 2 + [" ".join(base[:-1] + ["end"])]
+    for _ in range(60):
+        w = list(base)
+        for at in rng.sample(places, 10):
+            w[at] = f"edit{at}"
+        texts.append(" ".join(w))
+    texts.append(" ".join(texts[-1].split()[:-6]))
+    texts = list(enumerate(texts))
+    made, plain = [], neardup.stage
+
+    def counting(df, name):
+        out = plain(df, name)
+        if name == "cross":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "stage", counting)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(documents(spark, texts), 80).collect()}
+    assert got == brute(texts, 80)
+    assert made and sum(made) <= 2 * len(texts)  # 561 pairs share one of the rarest edits
+
+
 def test_no_close_pair_is_left_out(spark):
     rng = np.random.default_rng(3)
     rows = []
