@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from fieldloom import axes, fields, staging
 from fieldloom.operators import correct, predictors, regrid, tiles
-from fieldloom.plans import refine
+from fieldloom.plans import catalog, refine
 from fieldloom.plans import fixtures as fx
 
 DAY = datetime.date(2001, 7, 1)
+SF = "/root/testdata/sf0.001"
 GRIDS = fx.COARSE_GRID, fx.FINE_GRID
 
 
@@ -194,3 +195,23 @@ def test_halo_tiles_equal_tiles_of_cells(spark, ny, nx, side, tile, overlap):
     back = {(r["k"], r["iy"], r["ix"]): r["value"] for r in tiles.blend_tiles(cut, ["k"], overlap).collect()}
     assert back.keys() == {r[:3] for r in rows} and all(abs(back[r[:3]] - r[3]) < 1e-9 for r in rows)
     assert json.dumps(sorted(cut.columns))
+
+
+@pytest.mark.parametrize("name", ["learned_step", "refine_step"])
+def test_a_step_reads_its_days_from_a_stored_table(spark, monkeypatch, name):
+    read, plain = [], catalog.clim.climatology
+
+    def noted(df, *a):
+        read.append(df)
+        return plain(df, *a)
+
+    def step_of(df, *a):
+        read.append(df)
+        return {"final": df}
+
+    monkeypatch.setattr(catalog.clim, "climatology", noted)
+    monkeypatch.setattr(catalog.refine, "refine", step_of)
+    catalog.QUERIES[name](spark, SF)
+    assert len(read) == 2
+    for df in read:
+        assert not any("lineitem" in f for f in df.inputFiles())
