@@ -32,7 +32,9 @@ Those that share one must meet it too, with added elements counted by hash in fu
 blocks, so that texts which share edits or a passage but are not alike do not leave the
 join. Pairs inside one component are never made, since they cannot change the result.
 Where added elements are still common (a passage that copies of a text share), their
-lists get hub rounds of their own first, until few pairs of different components remain.
+lists get hub rounds of their own first, until few pairs of different components remain
+or a round leaves most of them. Labels are joined to members, not to their elements, and
+members that share fewer added elements than a link asks of them are in no list.
 """
 
 from __future__ import annotations
@@ -287,6 +289,34 @@ COMMON = 0.25
 PAIRS_A_ROW = 4
 #: Counters over which a member's added elements are spread by hash, to bound what two members share.
 MARKS = 64
+#: A further sub-hub round takes place if the last one left no larger share of the pairs.
+WORTH = 0.9
+
+
+def added_needed(percent: int) -> Column:
+    """Added elements that a member of ``n`` elements, ``both`` of them in the reference set, must share with any partner it is linked to by one."""
+    return F.greatest(F.lit(1), F.ceil((percent * F.col("n") - 100 * F.col("both")) / 100))
+
+
+def sharing_members(added: DataFrame, bounds: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``bounds`` whose added elements can make a link between components, with ``held`` and ``marks`` for ``counts``.
+
+    added: hub, value, id of elements that several members added; placed: hub, id, label.
+    A member that shares fewer of them than any link asks of it goes, and then each
+    element that only one component still holds, since all that two linked members of
+    different components share stays with both. held: (f, value), rarest first; marks:
+    counts of all that can be shared, by block of the reference set, common, and added by
+    hash.
+    """
+    able = added.groupBy("hub", "id").agg(F.count("*").alias("many")).join(bounds, ["hub", "id"]).filter(F.col("many") >= added_needed(percent)).select("hub", "id")
+    able = stage(able.join(placed.select("hub", "id", "label"), ["hub", "id"]), "able")
+    added = added.join(able, ["hub", "id"])
+    several = added.groupBy("hub", "value").agg(F.count("*").alias("f"), F.min("label").alias("low"), F.max("label").alias("high"))
+    several = stage(several.filter("low <> high").select("hub", "value", "f"), "several")
+    held = added.join(several, ["hub", "value"]).groupBy("hub", "id").agg(F.sort_array(F.collect_list(F.struct("f", "value"))).alias("held"))
+    marks = F.transform(F.sequence(F.lit(0), F.lit(MARKS - 1)), lambda b: F.size(F.filter("held", lambda e: F.pmod(e["value"], F.lit(MARKS)) == b)))
+    held = bounds.join(held, ["hub", "id"]).filter(F.size("held") >= added_needed(percent))
+    return held.withColumn("marks", F.concat("counts", marks)).drop("counts")
 
 
 def join_outsiders(met: DataFrame, links: DataFrame, labels: DataFrame, docs: DataFrame, percent: int, words: int, confirm) -> DataFrame:
@@ -314,25 +344,32 @@ def join_outsiders(met: DataFrame, links: DataFrame, labels: DataFrame, docs: Da
     shared = held.groupBy("hub", "value").agg(F.count("*").alias("f")).filter("f > 1").join(sizes, "hub")
     shared = stage(shared, "shared")
     held = stage(held.join(shared, ["hub", "value"]).withColumn("common", F.col("f") >= COMMON * F.col("size")), "held")
-    added = held.filter("not common").select("hub", "value", "id", "n", "pop", "f")
+    added = held.filter("not common").select("hub", "value", "id")
     more_both = held.filter("common").groupBy("hub", "id").agg(F.count("*").alias("more"))
     diffs = diffs.join(more_both, ["hub", "id"], "left").withColumn("counts", F.concat("counts", F.array(F.coalesce("more", F.lit(0)).cast("int"))))
     diffs = stage(diffs.withColumn("both", F.aggregate("counts", F.lit(0), lambda a, v: a + v).cast("long")).drop("added", "more"), "bounds")
+    listed = stage(sharing_members(added, diffs, placed, percent), "listed")
 
     def labelled(df: DataFrame) -> DataFrame:
         df = df.join(label("id", "l"), "id", "left").join(label("hub", "main"), "hub", "left")
         return df.withColumn("label", F.coalesce("l", "id")).withColumn("main", F.coalesce("main", "hub")).drop("l")
 
-    rows, tested = added.count(), None
-    for _ in range(SUB_ROUNDS):
+    def list_rows() -> tuple[DataFrame, DataFrame]:
+        """Rows of the lists with their members' present labels, and of each list that several components share its pairs and its sub-hub."""
+        rows = stage(labelled(listed.select("hub", "id", "pop", F.col("held.value").alias("values"))).withColumn("value", F.explode("values")).drop("values"), "list-rows")
         # one row per list and component: its size and its best-connected member
         best = F.max(F.struct("pop", (-F.col("id")).alias("minus"))).alias("b")
-        parts = labelled(added).groupBy("hub", "value", "label", "main").agg(F.count("*").cast("double").alias("n"), best)
+        parts = rows.groupBy("hub", "value", "label", "main").agg(F.count("*").cast("double").alias("n"), best)
         lists = parts.groupBy("hub", "value").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.max(F.when(F.col("label") != F.col("main"), F.struct("n", "b.pop", "b.minus"))).alias("s"))
-        lists = stage(lists.filter("own < n * n and s is not null").select("hub", "value", (F.col("n") * F.col("n") - F.col("own")).alias("pairs"), (-F.col("s.minus")).alias("sub")), "sub-hubs")
-        if (lists.agg(F.sum("pairs")).first()[0] or 0) <= PAIRS_A_ROW * rows:
+        return rows, stage(lists.filter("own < n * n and s is not null").select("hub", "value", (F.col("n") * F.col("n") - F.col("own")).alias("pairs"), (-F.col("s.minus")).alias("sub")), "sub-hubs")
+
+    (rows, lists), tested, before = list_rows(), None, None
+    enough = PAIRS_A_ROW * rows.count()
+    for _ in range(SUB_ROUNDS):
+        pairs = lists.agg(F.sum("pairs")).first()[0] or 0
+        if pairs <= enough or before is not None and pairs > WORTH * before:
             break
-        tried = labelled(added).join(lists.select("hub", "value", "sub"), ["hub", "value"]).filter("id <> sub")
+        tried = rows.join(lists.select("hub", "value", "sub"), ["hub", "value"]).filter("id <> sub")
         tried = tried.select(F.least("id", "sub").alias("a"), F.greatest("id", "sub").alias("b")).distinct()
         tried = stage(tried if tested is None else tried.join(tested, ["a", "b"], "left_anti"), "tried")
         tested = tried if tested is None else tested.union(tried)
@@ -341,18 +378,13 @@ def join_outsiders(met: DataFrame, links: DataFrame, labels: DataFrame, docs: Da
             break
         links = stage(links.union(more), "links")
         labels = stage(components(links), "labels")
+        before, (rows, lists) = pairs, list_rows()
 
-    placed = labelled(added)
-    mixed = placed.groupBy("hub", "value").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("hub", "value")
-    mixed = stage(mixed, "mixed")
-    # counts of all that a member can share: by block of the reference set, common, and added by hash; held stands in the lists' order
-    held = added.groupBy("hub", "id").agg(F.sort_array(F.collect_list(F.struct("f", "value"))).alias("held"))
-    marks = F.transform(F.sequence(F.lit(0), F.lit(MARKS - 1)), lambda b: F.size(F.filter("held", lambda e: F.pmod(e["value"], F.lit(MARKS)) == b)))
-    marked = stage(labelled(diffs).join(held, ["hub", "id"]).withColumn("marks", F.concat("counts", marks)).drop("counts", "pop"), "marked")
-    # x needs percent * |x| - I(x) added elements in common with any partner, so its rarest others suffice
-    first = F.col("n") - F.col("both") - F.greatest(F.lit(1), F.ceil((percent * F.col("n") - 100 * F.col("both")) / 100)) + 1
-    singles = F.col("n") - F.col("both") - F.size("held")  # elements that no other member of the group added
-    own = marked.filter("label <> main").withColumn("held", F.slice("held", F.lit(1), F.greatest(F.lit(0), first - singles).cast("int")))
+    mixed = lists.select("hub", "value")
+    marked = stage(labelled(listed).drop("pop"), "marked")
+    # x needs so many added elements in common with any partner that its rarest others suffice
+    first = F.size("held") - added_needed(percent) + 1
+    own = marked.filter("label <> main").withColumn("held", F.slice("held", F.lit(1), F.greatest(F.lit(0), first).cast("int")))
 
     def side(df: DataFrame, x: str) -> DataFrame:
         rows = df.withColumn("value", F.explode("held.value")).join(mixed, ["hub", "value"], "left_semi")

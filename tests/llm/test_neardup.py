@@ -147,6 +147,31 @@ def test_texts_that_share_edits_but_are_unlike_are_not_paired(spark, monkeypatch
     assert made and sum(made) <= 2 * len(texts)  # 561 pairs share one of the rarest edits
 
 
+def test_members_that_share_too_little_are_in_no_list(spark, monkeypatch):
+    """Texts of one text's greater part, each with words of its own and a passage that eight share: that is too little for a link, so no list holds it."""
+    rng = random.Random(11)
+    base, passages = words(rng, 300), [words(rng, 12) for _ in range(8)]
+    texts = [" ".join(base)] * 2 + [" ".join(base[:-1] + ["end"])]
+    for k in range(64):
+        texts.append(" ".join(base[:210] + words(rng, 80) + passages[k % 8]))
+    linked = base[:210] + words(rng, 60) + passages[0]  # these two share more than their passage
+    texts += [" ".join([*linked, *words(rng, 30)]), " ".join([*words(rng, 8), *linked, *words(rng, 22)])]
+    texts = list(enumerate(texts))
+    made, met, plain = [], [], neardup.stage
+
+    def counting(df, name):
+        out = plain(df, name)
+        if name in ("sub-hubs", "groups"):
+            (made if name == "sub-hubs" else met).append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "stage", counting)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(documents(spark, texts), 80).collect()}
+    assert got == brute(texts, 80) and got[67][1] == got[68][1] == 67
+    assert met[0] >= 64  # they do meet in groups
+    assert made and max(made) < 20  # the passages alone have 64 elements that eight texts each share
+
+
 def test_no_close_pair_is_left_out(spark):
     rng = np.random.default_rng(3)
     rows = []
